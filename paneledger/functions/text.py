@@ -1,60 +1,44 @@
-"""Human-readable renderings, as column expressions."""
+"""Human-readable renderings, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from paneledger.names import END_OF_STREAM
 
-
 # Fixed multiplier that splits a double into two halves of at most 26 bits.
-DOUBLE_SPLIT = 134217729.0
+DOUBLE_SPLIT = "134217729D"
 
 
-def _one_decimal(size: Column, per: int) -> Column:
-    """``size / per`` to one decimal, rounded as the nearest double of the
-    quotient demands: an exact half goes up only where that double is not below it."""
-    rest = size * 10 % per
-    tenths = ((size * 10 - rest) / per).cast("bigint")
-    twice_rest = rest * 2
-    quotient = size / F.lit(float(per))
-    scaled = quotient * F.lit(DOUBLE_SPLIT)
-    high = scaled - (scaled - quotient)
-    not_below = (high * 20 - (tenths * 2 + 1)) + (quotient - high) * 20 >= 0
-    up = (twice_rest > per) | ((twice_rest == per) & not_below)
-    rounded = tenths + up.cast("bigint")
-    return F.concat_ws(".", ((rounded - rounded % 10) / 10).cast("bigint").cast("string"), (rounded % 10).cast("string"))
+def _one_decimal(size: str, per: int) -> str:
+    """``size / per`` to one decimal, rounded as the nearest double of the quotient
+    demands: an exact half goes up only where that double is not below it."""
+    tenths, twice_rest, quotient = f"(({size}) * 10 DIV {per})", f"(({size}) * 10 % {per} * 2)", f"(({size}) / {per}D)"
+    high = f"({quotient} * {DOUBLE_SPLIT} - ({quotient} * {DOUBLE_SPLIT} - {quotient}))"
+    not_below = f"({high} * 20D - ({tenths} * 2 + 1)) + ({quotient} - {high}) * 20D >= 0"
+    up = f"CAST({twice_rest} > {per} OR ({twice_rest} = {per} AND {not_below}) AS BIGINT)"
+    return f"concat_ws('.', ({tenths} + {up}) DIV 10, ({tenths} + {up}) % 10)"
 
 
-def human_ms(ms: Column | str) -> Column:
+def human_ms(ms: str) -> str:
     """A duration with one decimal in the largest unit that fits; the sign stays."""
-    ms = F.col(ms) if isinstance(ms, str) else ms
-    size = F.abs(ms)
-    sign = F.when(ms < 0, F.lit("-")).otherwise(F.lit(""))
-    unit = lambda per, suffix: F.concat(sign, _one_decimal(size, per), F.lit(suffix))
+    size = f"abs({ms})"
+    in_unit = lambda per, suffix: f"concat(CASE WHEN {ms} < 0 THEN '-' ELSE '' END, {_one_decimal(size, per)}, '{suffix}')"
     return (
-        F.when(size < 1_000, F.concat(ms.cast("string"), F.lit("ms")))
-        .when(size < 60_000, unit(1_000, "s"))
-        .when(size < 3_600_000, unit(60_000, "m"))
-        .when(size < 86_400_000, unit(3_600_000, "h"))
-        .otherwise(unit(86_400_000, "d"))
+        f"CASE WHEN {size} < 1000 THEN concat({ms}, 'ms') WHEN {size} < 60000 THEN {in_unit(1_000, 's')} "
+        f"WHEN {size} < 3600000 THEN {in_unit(60_000, 'm')} WHEN {size} < 86400000 THEN {in_unit(3_600_000, 'h')} "
+        f"ELSE {in_unit(86_400_000, 'd')} END"
     )
 
 
-def watermark_text(w: Column | str) -> Column:
-    w = F.col(w) if isinstance(w, str) else w
+def watermark_text(w: str) -> str:
     return (
-        F.when(w.isNull(), F.lit("-inf (never advanced)"))
-        .when(w == END_OF_STREAM, F.lit("+inf (end of stream)"))
-        .otherwise(w.cast("string"))
+        f"CASE WHEN {w} IS NULL THEN '-inf (never advanced)' "
+        f"WHEN {w} = {END_OF_STREAM}L THEN '+inf (end of stream)' ELSE CAST({w} AS STRING) END"
     )
 
 
-def lateness_text(profile: str = "") -> Column:
+def lateness_text() -> str:
     """One line about a row of a lateness profile."""
-    col = lambda name: F.col(profile + name)
-    return F.concat(
-        F.format_string("%d/%d out of order (%.2f%%), p50 ", col("out_of_order"), col("events"), col("out_of_order_pct")),
-        human_ms(col("p50")), F.lit(", p99 "), human_ms(col("p99")), F.lit(", max "), human_ms(col("max_lateness")),
+    return (
+        "concat(format_string('%d/%d out of order (%.2f%%), p50 ', out_of_order, events, out_of_order_pct), "
+        f"{human_ms('p50')}, ', p99 ', {human_ms('p99')}, ', max ', {human_ms('max_lateness')})"
     )

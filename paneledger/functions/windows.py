@@ -1,38 +1,36 @@
-"""Tumbling windows over epoch milliseconds: half-open, floored, offset-able."""
+"""Tumbling windows over epoch milliseconds: half-open, floored, offset-able.
 
-from __future__ import annotations
+All functions return SQL expressions, for ``selectExpr`` and ``F.expr``.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from paneledger.config import require_int
 
 # Fixed pattern of a window key: start and end may both be negative.
-WINDOW_KEY_PATTERN = r"^(-?\d+)-(-?\d+)$"
+WINDOW_KEY_PATTERN = r"^(-?\\d+)-(-?\\d+)$"
 
 
-def window_start(t: Column | str, window_ms: int, offset_ms: int = 0) -> Column:
+def window_start(t: str, window_ms: int, offset_ms: int = 0) -> str:
     """Start of the window holding ``t``. Exact on BIGINT, floors below zero."""
     require_int("window_ms", window_ms, 1)
     require_int("offset_ms", offset_ms)
-    t = F.col(t) if isinstance(t, str) else t
-    return t - F.pmod(t - F.lit(offset_ms).cast("bigint"), F.lit(window_ms).cast("bigint"))
+    return f"({t}) - pmod(({t}) - ({offset_ms}L), {window_ms}L)"
 
 
-def window_end(start: Column | str, window_ms: int) -> Column:
-    start = F.col(start) if isinstance(start, str) else start
-    return start + F.lit(window_ms).cast("bigint")
+def window_end(start: str, window_ms: int) -> str:
+    return f"({start}) + {window_ms}L"
 
 
-def window_key(start: Column | str, end: Column | str) -> Column:
-    return F.concat_ws("-", start, end)
+def window_key(start: str, end: str) -> str:
+    return f"concat_ws('-', {start}, {end})"
 
 
-def parse_window_key(key: Column | str) -> Column:
+def parse_window_key(key: str) -> str:
     """``struct<win_start, win_end>`` of a window key; a malformed key fails the query."""
-    key = F.col(key) if isinstance(key, str) else key
-    part = lambda n: F.regexp_extract(key, WINDOW_KEY_PATTERN, n).cast("bigint")
-    parsed = F.struct(part(1).alias("win_start"), part(2).alias("win_end"))
-    return F.when(key.rlike(WINDOW_KEY_PATTERN), parsed).otherwise(
-        F.raise_error(F.concat(F.lit("not a window key: "), F.coalesce(key, F.lit("null"))))
+    part = f"CAST(regexp_extract({key}, '{WINDOW_KEY_PATTERN}', {{}}) AS BIGINT)"
+    return (
+        f"CASE WHEN {key} RLIKE '{WINDOW_KEY_PATTERN}' "
+        f"THEN named_struct('win_start', {part.format(1)}, 'win_end', {part.format(2)}) "
+        f"ELSE raise_error(concat('not a window key: ', coalesce({key}, 'null'))) END"
     )

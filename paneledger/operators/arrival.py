@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from paneledger.operators.scan import first_of_group, ordered_scan, running_index, running_max, running_max_before
 
@@ -30,11 +29,11 @@ def index_log(log: DataFrame, order: list[str] = ["seq"], keep_columns: list[str
     columns = dict.fromkeys(["log_id", "t", *order, *keep_columns])
     running = {
         "i": running_index("i"),
-        "max_seen": running_max("max_seen", F.col("t")),
-        "max_before": running_max_before("max_seen", F.col("t")),
-        "first_t": first_of_group("first_t", F.col("t"), "i"),
+        "max_seen": running_max("max_seen", "t"),
+        "max_before": running_max_before("max_seen", "t"),
+        "first_t": first_of_group("first_t", "t"),
     }
-    scanned = ordered_scan(log.select(*columns), ["log_id"], order, running, "arrival", blocks)
+    scanned = ordered_scan(log.select(*columns), ["log_id"], order, running, "arrival", blocks, reused=True)
     kept = [c for c in columns if c != "log_id"]
     return ArrivalIndex(
         scanned.rows.select("log_id", "blk", "i", "max_before", "max_seen", "first_t", *kept),
@@ -44,9 +43,8 @@ def index_log(log: DataFrame, order: list[str] = ["seq"], keep_columns: list[str
 
 def first_rows(index: ArrivalIndex, n: int) -> DataFrame:
     """The first ``n`` arrivals of every log, contiguous, not a sample."""
-    return index.rows.where(F.col("i") < n)
+    return index.rows.where(f"i < {n}")
 
 
-def event_lateness() -> F.Column:
-    """How far an event is behind the highest event time seen so far."""
-    return F.greatest(F.lit(0).cast("bigint"), F.coalesce(F.col("max_before"), F.col("t")) - F.col("t"))
+# How far an event is behind the highest event time seen so far.
+EVENT_LATENESS = "greatest(0L, coalesce(max_before, t) - t)"

@@ -15,36 +15,31 @@ An *outcome* is about a window; a *finding* accuses the engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from paneledger.config import Config
 from paneledger.functions.text import watermark_text
 from paneledger.names import END_OF_STREAM
+from paneledger.operators.judge import aggregates
 from paneledger.operators.panes import per_log
 
-FINDING_COLUMNS = ["log_id", "code", "severity", "win_start", "detail"]
+KEYS = ["log_id", "win_start"]
 
 
-def text(*parts: Column | str | int) -> Column:
-    """Concatenate literals and columns; a NULL reads ``null``."""
-    return F.concat(*[
-        F.coalesce(p.cast("string"), F.lit("null")) if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+def _text(*parts: str) -> str:
+    """Concatenate SQL parts; a NULL reads ``null``."""
+    return f"concat({', '.join(p if p.startswith(chr(39)) else f'coalesce(CAST({p} AS STRING), {chr(39)}null{chr(39)})' for p in parts)})"
 
 
-def _finding(rows: DataFrame, code: str, detail: Column, window: Column | None = None) -> DataFrame:
-    window = F.lit(None).cast("bigint") if window is None else window
-    return rows.select("log_id", F.lit(code).alias("code"), F.lit("defect").alias("severity"),
-                       window.alias("win_start"), detail.alias("detail"))
+def _finding(rows: DataFrame, code: str, detail: str, window: str = "CAST(NULL AS BIGINT)") -> DataFrame:
+    return rows.selectExpr("log_id", f"'{code}' AS code", "'defect' AS severity", f"{window} AS win_start", f"{detail} AS detail")
 
 
 def receipt_counts(receipts: DataFrame, config: Config) -> DataFrame:
     """Receipts per window, split by whether the event was within the bound."""
-    in_bound = F.col("lateness_ms") < config.allowed_lateness_ms
-    return receipts.groupBy("log_id", "win_start").agg(
-        F.sum(F.when(in_bound, 0).otherwise(1).cast("bigint")).alias("too_late_receipts"),
-        F.sum(F.when(in_bound, 1).otherwise(0).cast("bigint")).alias("in_bound_receipts"),
-    )
+    in_bound = f"lateness_ms < {config.allowed_lateness_ms}"
+    return receipts.groupBy(*KEYS).agg(*aggregates(
+        too_late_receipts=f"count_if(NOT ({in_bound}))", in_bound_receipts=f"count_if({in_bound})"))
 
 
 def verdict_windows(
@@ -55,108 +50,89 @@ def verdict_windows(
     A refused event counts once: too-late receipts, plus in-bound discards (the
     receipts of ``side-output``, the late count of ``drop``).
     """
-    zero = F.lit(0).cast("bigint")
-    keys = ["log_id", "win_start"]
-    engine = windows.select(*keys, F.col("win_end").alias("e_end"), "emitted", "panes", "late_in_bound")
+    engine = windows.selectExpr(*KEYS, "win_end AS engine_end", "emitted", "panes", "late_in_bound")
     joined = (
-        truth.select(*keys, "win_end", F.col("count").alias("expected"))
-        .join(engine, keys, "full_outer")
-        .join(receipt_counts(receipts, config), keys, "left")
-    )
-    rows = per_log(joined, health.select("log_id", "w_last"), ["w_last"])
-    discarded = {
-        "update": zero,
-        "drop": F.coalesce("late_in_bound", zero),
-        "side-output": F.coalesce("in_bound_receipts", zero),
-    }[config.late_policy]
-    rows = rows.select(
-        *keys, F.coalesce("win_end", "e_end").alias("win_end"),
-        F.coalesce("expected", zero).alias("expected"), "emitted", F.coalesce("panes", zero).alias("panes"),
-        discarded.alias("discarded"), F.coalesce("too_late_receipts", zero).alias("too_late_receipts"),
-        (F.lit(END_OF_STREAM).cast("bigint") if config.termination == "flush" else F.col("w_last")).alias("w_final"),
-    ).withColumn("receipted", F.col("too_late_receipts") + F.col("discarded"))
-
-    silent = F.col("panes") == 0
-    unreached = F.col("w_final").isNull() | (F.col("w_final") < F.col("win_end"))
-    all_receipted = (F.col("receipted") >= F.col("expected")) & (F.col("expected") > 0)
-    agrees = F.col("emitted").eqNullSafe(F.col("expected"))
-    short = F.col("expected") - F.coalesce("emitted", zero)
-    explained = (short == F.col("receipted")) & (F.col("receipted") > 0)
-    outcome = (
-        F.when(silent, "unverifiable")
-        .when(agrees & (F.col("panes") > 1), "revised")
-        .when(agrees, "complete")
-        .otherwise("unverifiable")
+        truth.selectExpr(*KEYS, "win_end", "count AS expected")
+        .join(engine, KEYS, "full_outer")
+        .join(receipt_counts(receipts, config), KEYS, "left")
     )
-    reason = (
-        F.when(silent & unreached, "watermark-never-reached")
-        .when(silent & all_receipted, "lateness-bound-exceeded")
-        .when(silent, "no-pane-after-close")
-        .when(agrees, F.lit(None).cast("string"))
-        .when(explained & (F.col("discarded") > 0), "policy-discard")
-        .when(explained, "lateness-bound-exceeded")
-        .otherwise("unexplained-shortfall")
+    discarded = {"update": "0L", "drop": "late_in_bound", "side-output": "in_bound_receipts"}[config.late_policy]
+    w_final = f"{END_OF_STREAM}L" if config.termination == "flush" else "w_last"
+    rows = per_log(joined, health.select("log_id", "w_last")).selectExpr(
+        *KEYS, "coalesce(win_end, engine_end) AS win_end", "coalesce(expected, 0L) AS expected", "emitted",
+        "coalesce(panes, 0L) AS panes", f"coalesce({discarded}, 0L) AS discarded",
+        "coalesce(too_late_receipts, 0L) AS too_late_receipts", f"{w_final} AS w_final",
+    ).selectExpr(
+        "*", "too_late_receipts + discarded AS receipted", "expected - coalesce(emitted, 0L) AS short",
+        "w_final IS NULL OR w_final < win_end AS unreached",
     )
-    gap = F.when(F.col("w_final").isNull(), F.lit("")).otherwise(
-        text(", ", F.col("win_end") - F.col("w_final"), " ms before the window's end"))
-    detail = (
-        F.when(silent & unreached, F.concat(text("the watermark ended at "), watermark_text("w_final"), gap))
-        .when(silent & all_receipted, text(
-            "the watermark passed before any of the ", F.col("expected"), " event(s) came; ",
-            F.col("receipted"), " receipted"))
-        .when(silent, text("closed without a pane; ", F.col("expected") - F.col("receipted"), " event(s) unaccounted for"))
-        .when(agrees & (F.col("panes") > 1), text(F.col("panes"), " panes; the last one agrees with the batch count"))
-        .when(agrees, F.lit("one pane; it agrees with the batch count"))
-        .when(explained, text(
-            "emitted ", F.col("emitted"), " of ", F.col("expected"), "; the missing ", short, " are receipted (",
-            F.col("too_late_receipts"), " too late, ", F.col("discarded"), " discarded by policy)"))
-        .otherwise(text("emitted ", F.col("emitted"), " of ", F.col("expected"), ", only ", F.col("receipted"), " receipted"))
-    )
-    return rows.select(
-        *keys, "win_end", outcome.alias("outcome"), reason.alias("reason"), "expected", "emitted", "panes",
-        "receipted", detail.alias("detail"),
+    rows = rows.selectExpr("*", """CASE
+        WHEN panes = 0 AND unreached THEN 'watermark-never-reached'
+        WHEN panes = 0 AND receipted >= expected AND expected > 0 THEN 'lateness-bound-exceeded'
+        WHEN panes = 0 THEN 'no-pane-after-close'
+        WHEN emitted <=> expected THEN NULL
+        WHEN short = receipted AND receipted > 0 AND discarded > 0 THEN 'policy-discard'
+        WHEN short = receipted AND receipted > 0 THEN 'lateness-bound-exceeded'
+        ELSE 'unexplained-shortfall' END AS reason""")
+    return rows.selectExpr(
+        *KEYS, "win_end",
+        "CASE WHEN reason IS NOT NULL THEN 'unverifiable' WHEN panes > 1 THEN 'revised' ELSE 'complete' END AS outcome",
+        "reason", "expected", "emitted", "panes", "receipted", f"{_detail()} AS detail",
     )
 
 
+def _detail() -> str:
+    """The sentence behind an outcome."""
+    return f"""CASE
+        WHEN reason = 'watermark-never-reached' THEN concat('the watermark ended at ', {watermark_text('w_final')},
+            CASE WHEN w_final IS NULL THEN '' ELSE concat(', ', win_end - w_final, ' ms before the end of the window') END)
+        WHEN panes = 0 AND reason = 'lateness-bound-exceeded' THEN
+            {_text("'the watermark passed before any of the '", 'expected', "' event(s) came; '", 'receipted', "' receipted'")}
+        WHEN panes = 0 THEN {_text("'closed without a pane; '", 'expected - receipted', "' event(s) unaccounted for'")}
+        WHEN reason = 'unexplained-shortfall' THEN
+            {_text("'emitted '", 'emitted', "' of '", 'expected', "', only '", 'receipted', "' receipted'")}
+        WHEN reason IS NOT NULL THEN
+            {_text("'emitted '", 'emitted', "' of '", 'expected', "'; the missing '", 'short', "' are receipted ('",
+                   'too_late_receipts', "' too late, '", 'discarded', "' discarded by policy)'")}
+        WHEN panes > 1 THEN {_text('panes', "' panes; the last one agrees with the batch count'")}
+        ELSE 'one pane; it agrees with the batch count' END"""
+
+
 def window_findings(verdict: DataFrame) -> DataFrame:
     """``no-pane-after-close`` and ``unexplained-shortfall``: the reasons that accuse."""
-    accused = verdict.where(F.col("reason").isin("no-pane-after-close", "unexplained-shortfall"))
-    return accused.select("log_id", F.col("reason").alias("code"), F.lit("defect").alias("severity"), "win_start", "detail")
+    accused = verdict.where("reason IN ('no-pane-after-close', 'unexplained-shortfall')")
+    return accused.selectExpr("log_id", "reason AS code", "'defect' AS severity", "win_start", "detail")
 
 
 def overshoot_findings(health: DataFrame) -> DataFrame:
     """The watermark stood above every event time seen so far."""
-    return _finding(health.where("watermark_overshoots > 0"), "watermark-overshoot", text(
-        F.col("watermark_overshoots"), " event(s) with the watermark above the highest event time, by up to ",
-        F.col("max_overshoot_ms"), " ms"))
+    return _finding(health.where("watermark_overshoots > 0"), "watermark-overshoot", _text(
+        "watermark_overshoots", "' event(s) with the watermark above the highest event time, by up to '",
+        "max_overshoot_ms", "' ms'"))
 
 
 def regression_findings(health: DataFrame, config: Config) -> DataFrame:
     """The raw watermark fell although the strategy promises that it cannot."""
-    fell = health.where((F.col("watermark_regressions") > 0) & F.lit(config.watermark.monotonic))
-    return _finding(fell, "watermark-regression", text(
-        F.col("watermark_regressions"), " fall(s) of a raw watermark that cannot fall, by up to ",
-        F.col("max_regression_ms"), " ms"))
+    fell = health.where(f"watermark_regressions > 0 AND {str(config.watermark.monotonic).lower()}")
+    return _finding(fell, "watermark-regression", _text(
+        "watermark_regressions", "' fall(s) of a raw watermark that cannot fall, by up to '", "max_regression_ms", "' ms'"))
 
 
 def unaccounted_events(windows: DataFrame, truth: DataFrame, receipts: DataFrame, config: Config) -> DataFrame:
     """Per window: events that were neither tallied nor receipted. Under
     ``side-output`` an in-bound late event is owed a receipt as well."""
-    zero = F.lit(0).cast("bigint")
-    keys = ["log_id", "win_start"]
-    tallied = F.coalesce("on_time", zero) + (zero if config.late_policy == "side-output" else F.coalesce("late_in_bound", zero))
-    in_bound = F.coalesce("in_bound_receipts", zero) if config.late_policy == "side-output" else zero
-    lost = F.col("count") - tallied - in_bound - F.coalesce("too_late_receipts", zero)
+    in_bound = "in_bound_receipts" if config.late_policy == "side-output" else "late_in_bound"
+    lost = f"count - coalesce(on_time, 0L) - coalesce({in_bound}, 0L) - coalesce(too_late_receipts, 0L)"
     return (
-        truth.select(*keys, "count").join(windows.select(*keys, "on_time", "late_in_bound"), keys, "left")
-        .join(receipt_counts(receipts, config), keys, "left")
-        .select(*keys, lost.alias("lost")).where("lost > 0")
+        truth.select(*KEYS, "count").join(windows.select(*KEYS, "on_time", "late_in_bound"), KEYS, "left")
+        .join(receipt_counts(receipts, config), KEYS, "left")
+        .selectExpr(*KEYS, f"{lost} AS lost").where("lost > 0")
     )
 
 
 def silent_drop_findings(unaccounted: DataFrame) -> DataFrame:
-    lost = unaccounted.groupBy("log_id").agg(F.sum("lost").alias("lost"))
-    return _finding(lost, "silent-drop", text(F.col("lost"), " event(s) neither counted nor receipted"))
+    lost = unaccounted.groupBy("log_id").agg(*aggregates(lost="sum(lost)"))
+    return _finding(lost, "silent-drop", _text("lost", "' event(s) neither counted nor receipted'"))
 
 
 def missing_events(indexed: DataFrame, accounted: DataFrame) -> DataFrame:
@@ -166,49 +142,42 @@ def missing_events(indexed: DataFrame, accounted: DataFrame) -> DataFrame:
 
 def premature_close_findings(windows: DataFrame, config: Config) -> DataFrame:
     """State was released before the watermark had passed end + allowed lateness."""
-    owed = F.col("win_end") + F.lit(config.allowed_lateness_ms).cast("bigint")
-    early = windows.where(F.col("collected_at_watermark") < owed)
-    return _finding(early, "premature-close", text(
-        "released at watermark ", F.col("collected_at_watermark"), ", ", owed - F.col("collected_at_watermark"),
-        " ms too early"), F.col("win_start"))
+    owed = f"win_end + {config.allowed_lateness_ms}L"
+    return _finding(windows.where(f"collected_at_watermark < {owed}"), "premature-close", _text(
+        "'released at watermark '", "collected_at_watermark", "', '", f"{owed} - collected_at_watermark", "' ms too early'"),
+        "win_start")
 
 
 def pane_chain_findings(panes: DataFrame) -> DataFrame:
     """A revision must retract exactly what the pane before it emitted. Joined on
     the pane number, so a window with very many panes is spread over all tasks."""
-    keys = ["log_id", "win_start", "seq"]
-    previous = panes.select("log_id", "win_start", (F.col("seq") + 1).alias("seq"), F.col("count").alias("was"))
+    keys = [*KEYS, "seq"]
+    previous = panes.selectExpr(*KEYS, "seq + 1 AS seq", "count AS was")
     revisions = panes.where("kind = 'revision'").select(*keys, "retracts").join(previous, keys, "left")
-    broken = revisions.where(~F.col("retracts").eqNullSafe(F.col("was")) | F.col("was").isNull())
-    return _finding(broken, "pane-chain-broken", text(
-        "pane ", F.col("seq"), " retracts ", F.col("retracts"), " but the pane before emitted ", F.col("was")),
-        F.col("win_start"))
+    return _finding(revisions.where("was IS NULL OR NOT (retracts <=> was)"), "pane-chain-broken", _text(
+        "'pane '", "seq", "' retracts '", "retracts", "' but the pane before emitted '", "was"), "win_start")
 
 
 def pane_count_findings(windows: DataFrame, config: Config) -> DataFrame:
     """Under ``update`` a fired window owes one pane for its close and one per
     in-bound late event; for a window opened after its close these coincide."""
-    owed = F.when(F.col("opened_after_close"), 0).otherwise(1) + F.col("late_in_bound")
-    off = windows.where(F.col("fired") & (F.col("panes") != owed) & F.lit(config.late_policy == "update"))
-    return _finding(off, "pane-count-mismatch", text(F.col("panes"), " pane(s) where ", owed, " were owed"), F.col("win_start"))
+    owed = "late_in_bound + CASE WHEN opened_after_close THEN 0 ELSE 1 END"
+    off = windows.where(f"fired AND panes <> {owed} AND {str(config.late_policy == 'update').lower()}")
+    return _finding(off, "pane-count-mismatch", _text("panes", "' pane(s) where '", owed, "' were owed'"), "win_start")
 
 
 def verdict_summary(verdict: DataFrame, findings: DataFrame) -> DataFrame:
     """Per log: outcome counts, windows, findings, and whether the log is clean."""
-    is_outcome = lambda name: F.sum((F.col("outcome") == name).cast("bigint")).alias(name)
-    summary = verdict.groupBy("log_id").agg(
-        is_outcome("complete"), is_outcome("revised"), is_outcome("unverifiable"), F.count(F.lit(1)).alias("total"))
-    found = findings.groupBy("log_id").agg(F.count(F.lit(1)).alias("findings"))
-    return (
-        summary.join(found, "log_id", "left")
-        .withColumn("findings", F.coalesce("findings", F.lit(0).cast("bigint")))
-        .withColumn("clean", F.col("findings") == 0)
-    )
+    counts = {name: f"count_if(outcome = '{name}')" for name in ("complete", "revised", "unverifiable")}
+    summary = verdict.groupBy("log_id").agg(*aggregates(**counts, total="count(1)"))
+    found = findings.groupBy("log_id").agg(*aggregates(n="count(1)"))
+    return summary.join(found, "log_id", "left").selectExpr(
+        *summary.columns, "coalesce(n, 0L) AS findings", "coalesce(n, 0L) = 0 AS clean")
 
 
 def reason_counts(verdict: DataFrame) -> DataFrame:
-    return verdict.where("reason IS NOT NULL").groupBy("log_id", "reason").agg(F.count(F.lit(1)).alias("windows"))
+    return verdict.where("reason IS NOT NULL").groupBy("log_id", "reason").agg(*aggregates(windows="count(1)"))
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("log_id", "code").agg(F.count(F.lit(1)).alias("findings"))
+    return findings.groupBy("log_id", "code").agg(*aggregates(findings="count(1)"))

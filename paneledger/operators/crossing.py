@@ -8,19 +8,18 @@ is then a running last value over both kinds of rows in descending grid order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from paneledger.config import Config
 from paneledger.operators.scan import last_known, ordered_scan
 
 FIRE, RELEASE = "fire", "release"
+HIT = "named_struct('index', i, 'watermark', w_after, 't', t, 'cls', cls)"
 
 
-def grid_line(value: Column, shift: int, window_ms: int) -> Column:
+def grid_line(value: str, shift: int, window_ms: int) -> str:
     """The last grid line at or below ``value``, as a time."""
-    shifted = value - F.lit(shift).cast("bigint")
-    return value - F.pmod(shifted, F.lit(window_ms).cast("bigint"))
+    return f"{value} - pmod({value} - ({shift}L), {window_ms}L)"
 
 
 def grid_steps(judged: DataFrame, config: Config, kinds: list[str]) -> DataFrame:
@@ -28,33 +27,30 @@ def grid_steps(judged: DataFrame, config: Config, kinds: list[str]) -> DataFrame
     shifts = {FIRE: config.offset_ms, RELEASE: config.offset_ms + config.allowed_lateness_ms}
     steps = []
     for kind in kinds:
-        line = grid_line(F.col("w_after"), shifts[kind], config.window_ms)
-        line_before = grid_line(F.col("w_before"), shifts[kind], config.window_ms)
-        passed = F.col("w_after").isNotNull() & (F.col("w_before").isNull() | (line > line_before))
-        hit = F.struct(F.col("i").alias("index"), F.col("w_after").alias("watermark"), F.col("t"), F.col("cls"))
-        steps.append(F.when(passed, F.struct(F.lit(kind).alias("kind"), line.alias("line"), hit.alias("hit"))))
-    found = F.array_compact(F.array(*steps))
-    some = judged.where(F.col("w_after").isNotNull() & ~F.col("w_after").eqNullSafe(F.col("w_before")))
-    return some.select("log_id", F.explode(found).alias("step")).select("log_id", "step.*")
+        line = grid_line("w_after", shifts[kind], config.window_ms)
+        line_before = grid_line("w_before", shifts[kind], config.window_ms)
+        steps.append(f"named_struct('kind', '{kind}', 'line', {line}, 'passed', {line_before} IS NULL OR {line} > {line_before})")
+    moved = judged.where("w_after IS NOT NULL AND NOT (w_after <=> w_before)")
+    return (
+        moved.selectExpr("log_id", f"{HIT} AS hit", f"explode(array({', '.join(steps)})) AS step")
+        .where("step.passed").selectExpr("log_id", "step.kind", "step.line", "hit")
+    )
 
 
 def crossings(judged: DataFrame, windows: DataFrame, config: Config, kinds: list[str], blocks: int | None = None) -> DataFrame:
     """Per (log, window): ``fire`` and/or ``release``, each ``struct<index,
     watermark, t, cls>`` of the event that first carried the watermark to the
     window's end, or to its end plus allowed lateness; NULL if none did."""
-    late = F.lit(config.allowed_lateness_ms).cast("bigint")
-    at = {FIRE: F.col("win_end"), RELEASE: F.col("win_end") + late}
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), at[k].alias("line")) for k in kinds]))
-    thresholds = windows.select("log_id", "win_start", wanted.alias("x")).select("log_id", "win_start", "x.*")
+    at = {FIRE: "win_end", RELEASE: f"win_end + {config.allowed_lateness_ms}L"}
+    lines = ", ".join(f"named_struct('kind', '{k}', 'line', {at[k]})" for k in kinds)
+    thresholds = windows.selectExpr("log_id", "win_start", f"inline(array({lines}))")
     both = grid_steps(judged, config, kinds).unionByName(thresholds, allowMissingColumns=True)
     # Descending lines; on one line the step comes before the threshold it meets.
-    both = both.withColumns({"down": -F.col("line"), "ask": F.col("win_start").isNotNull().cast("int")})
     found = ordered_scan(
-        both, ["log_id", "kind"], ["down", "ask"],
-        {"hit": last_known("hit", F.col("hit"), "down")}, "crossing", blocks,
-    ).rows.where("ask = 1")
+        both.selectExpr("*", "-line AS down", "win_start IS NOT NULL AS ask"), ["log_id", "kind"], ["down", "ask"],
+        {"met": last_known("met", "hit")}, "crossing", blocks,
+    ).rows.where("ask")
     if len(kinds) == 1:
-        return found.select("log_id", "win_start", F.col("hit").alias(kinds[0]))
-    return found.groupBy("log_id", "win_start").agg(*[
-        F.max(F.when(F.col("kind") == k, F.col("hit"))).alias(k) for k in kinds
-    ])
+        return found.selectExpr("log_id", "win_start", f"met AS {kinds[0]}")
+    fire, release = (found.where(f"kind = '{k}'").selectExpr("log_id", "win_start", f"met AS {k}") for k in (FIRE, RELEASE))
+    return fire.join(release, ["log_id", "win_start"])

@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneledger.config import Config
 from paneledger.functions.windows import window_end, window_start
 from paneledger.names import LATE_IN_BOUND, ON_TIME, TOO_LATE
-from paneledger.operators.arrival import event_lateness
+from paneledger.operators.arrival import EVENT_LATENESS
 
 
-def event_class(allowed_lateness_ms: int) -> Column:
+def event_class(allowed_lateness_ms: int) -> str:
     """An event is judged by its window's end against the watermark before it."""
-    released_at = F.col("win_end") + F.lit(allowed_lateness_ms).cast("bigint")
     return (
-        F.when(F.col("w_before") >= released_at, F.lit(TOO_LATE))
-        .when(F.col("w_before") >= F.col("win_end"), F.lit(LATE_IN_BOUND))
-        .otherwise(F.lit(ON_TIME))
+        f"CASE WHEN w_before >= win_end + {allowed_lateness_ms}L THEN '{TOO_LATE}' "
+        f"WHEN w_before >= win_end THEN '{LATE_IN_BOUND}' ELSE '{ON_TIME}' END"
     )
 
 
 def judge(watermarked: DataFrame, config: Config) -> DataFrame:
     """Adds ``win_start, win_end, lateness_ms, cls`` to watermarked rows."""
+    start = window_start("t", config.window_ms, config.offset_ms)
     return (
-        watermarked.withColumn("win_start", window_start("t", config.window_ms, config.offset_ms))
-        .withColumn("win_end", window_end("win_start", config.window_ms))
-        .withColumns({"lateness_ms": event_lateness(), "cls": event_class(config.allowed_lateness_ms)})
+        watermarked.selectExpr("*", f"{start} AS win_start", f"{EVENT_LATENESS} AS lateness_ms")
+        .selectExpr("*", f"{window_end('win_start', config.window_ms)} AS win_end")
+        .selectExpr("*", f"{event_class(config.allowed_lateness_ms)} AS cls")
     )
 
 
+def aggregates(**named: str) -> list[F.Column]:
+    return [F.expr(sql).alias(name) for name, sql in named.items()]
+
+
 def tally(judged: DataFrame) -> DataFrame:
     """One row per (log, window) with any event, from one pass over the events.
 
@@ -37,70 +40,58 @@ def tally(judged: DataFrame) -> DataFrame:
     the log costs one row per task. The watermark before a log's events never
     falls, so the minimum over late events is the value at the first of them.
     """
-    is_cls = lambda name: F.col("cls") == name
-    kept = F.when(~is_cls(TOO_LATE), F.col("i"))
-    over, fell = F.col("w_after") - F.col("max_seen"), F.col("w_after") - F.col("raw")
-    count_where = lambda condition: F.sum(F.when(condition, 1).otherwise(0).cast("bigint"))
-    first_late = lambda value: F.min(F.when(is_cls(LATE_IN_BOUND), F.col(value)))
-    return judged.groupBy("log_id", "win_start", "win_end").agg(
-        F.count(F.lit(1)).alias("events"),
-        count_where(is_cls(ON_TIME)).alias("on_time"),
-        count_where(is_cls(LATE_IN_BOUND)).alias("late_in_bound"),
-        count_where(is_cls(TOO_LATE)).alias("too_late"),
-        F.min(kept).alias("first_index"),
-        F.max(kept).alias("last_index"),
-        first_late("i").alias("first_late_index"),
-        first_late("w_before").alias("first_late_before"),
-        first_late("w_after").alias("first_late_after"),
-        F.max("w_after").alias("w_max"),
-        F.min("t").alias("min_t"),
-        F.max("t").alias("max_t"),
-        F.max("i").alias("max_index"),
-        F.max("lateness_ms").alias("max_lateness_ms"),
-        count_where(over > 0).alias("overshoots"),
-        F.coalesce(F.max(F.when(over > 0, over)), F.lit(0).cast("bigint")).alias("max_overshoot_ms"),
-        count_where(fell > 0).alias("regressions"),
-        F.coalesce(F.max(F.when(fell > 0, fell)), F.lit(0).cast("bigint")).alias("max_regression_ms"),
-    )
+    kept, late = f"FILTER (WHERE cls <> '{TOO_LATE}')", f"FILTER (WHERE cls = '{LATE_IN_BOUND}')"
+    return judged.groupBy("log_id", "win_start", "win_end").agg(*aggregates(
+        events="count(1)",
+        on_time=f"count_if(cls = '{ON_TIME}')",
+        late_in_bound=f"count_if(cls = '{LATE_IN_BOUND}')",
+        too_late=f"count_if(cls = '{TOO_LATE}')",
+        first_index=f"min(i) {kept}",
+        last_index=f"max(i) {kept}",
+        first_late_index=f"min(i) {late}",
+        first_late_before=f"min(w_before) {late}",
+        first_late_after=f"min(w_after) {late}",
+        w_max="max(w_after)",
+        min_t="min(t)",
+        max_t="max(t)",
+        max_lateness_ms="max(lateness_ms)",
+        overshoots="count_if(w_after > max_seen)",
+        max_overshoot_ms="coalesce(max(w_after - max_seen) FILTER (WHERE w_after > max_seen), 0L)",
+        regressions="count_if(raw < w_after)",
+        max_regression_ms="coalesce(max(w_after - raw) FILTER (WHERE raw < w_after), 0L)",
+    ))
 
 
 def log_health(tallied: DataFrame) -> DataFrame:
     """Per log: how far the watermark got, and how the strategy behaved."""
-    return tallied.groupBy("log_id").agg(
-        F.sum("events").alias("events"),
-        F.max("w_max").alias("w_last"),
-        F.sum("overshoots").alias("watermark_overshoots"),
-        F.max("max_overshoot_ms").alias("max_overshoot_ms"),
-        F.sum("regressions").alias("watermark_regressions"),
-        F.max("max_regression_ms").alias("max_regression_ms"),
-        F.max("max_lateness_ms").alias("max_lateness_ms"),
-        F.min("min_t").alias("min_event_time"),
-        F.max("max_t").alias("max_event_time"),
-    )
+    return tallied.groupBy("log_id").agg(*aggregates(
+        events="sum(events)",
+        w_last="max(w_max)",
+        watermark_overshoots="sum(overshoots)",
+        max_overshoot_ms="max(max_overshoot_ms)",
+        watermark_regressions="sum(regressions)",
+        max_regression_ms="max(max_regression_ms)",
+        max_lateness_ms="max(max_lateness_ms)",
+        min_event_time="min(min_t)",
+        max_event_time="max(max_t)",
+    ))
 
 
 def receipts(judged: DataFrame, config: Config) -> DataFrame:
     """The side output: every refused event with the reason, once."""
-    too_late = F.col("cls") == TOO_LATE
-    refused = too_late | (F.col("cls") == LATE_IN_BOUND) if config.late_policy == "side-output" else too_late
-    beyond = F.concat(
-        F.lit("beyond allowed lateness: watermark "), F.col("w_before").cast("string"),
-        F.lit(" >= windowEnd "), F.col("win_end").cast("string"),
-        F.lit(f" + allowedLateness {config.allowed_lateness_ms}"),
+    refused = f"'{TOO_LATE}', '{LATE_IN_BOUND}'" if config.late_policy == "side-output" else f"'{TOO_LATE}'"
+    beyond = (
+        "concat('beyond allowed lateness: watermark ', w_before, ' >= windowEnd ', win_end, "
+        f"' + allowedLateness {config.allowed_lateness_ms}')"
     )
-    return judged.where(refused).select(
-        "log_id", F.col("i").alias("index"), "t", "win_start", "win_end",
-        F.when(too_late, beyond)
-        .otherwise(F.lit("late but within allowed lateness; policy is side-output")).alias("reason"),
-        (F.col("w_before") - F.col("win_end")).alias("lateness_ms"),
+    return judged.where(f"cls IN ({refused})").selectExpr(
+        "log_id", "i AS index", "t", "win_start", "win_end",
+        f"CASE WHEN cls = '{TOO_LATE}' THEN {beyond} "
+        "ELSE 'late but within allowed lateness; policy is side-output' END AS reason",
+        "w_before - win_end AS lateness_ms",
     )
 
 
-def advanced() -> Column:
-    """Whether the emitted watermark moved at this event."""
-    return ~F.col("w_after").eqNullSafe(F.col("w_before"))
-
-
 def trace(judged: DataFrame) -> DataFrame:
     """The emitted watermark, on change only."""
-    return judged.where(advanced()).select("log_id", F.col("i").alias("index"), F.col("w_after").alias("watermark"))
+    return judged.where("NOT (w_after <=> w_before)").selectExpr("log_id", "i AS index", "w_after AS watermark")

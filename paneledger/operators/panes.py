@@ -2,54 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from paneledger.config import Config
 from paneledger.names import END_OF_STREAM, LATE_IN_BOUND, ON_TIME
-from paneledger.operators.scan import before
+from paneledger.operators.judge import aggregates
+from paneledger.operators.scan import BEFORE
 
 PANE_COLUMNS = [
     "log_id", "win_start", "win_end", "seq", "kind", "count", "retracts", "watermark", "at_index", "own_pane", "opened_index",
 ]
+HAS_STATE = "on_time + late_in_bound > 0"
+OPENED_LATE = "(on_time = 0 AND late_in_bound > 0)"
+SALTS = 32
 
 
-def per_log(rows: DataFrame, logs: DataFrame, columns: list[str], spread: str = "win_start", copies: int = 32) -> DataFrame:
-    """Join per-log columns to rows. A log may hold a third of the rows, so its
-    key is salted; the per-log side is repeated once per salt."""
-    salt = F.pmod(F.xxhash64(spread), F.lit(copies)).cast("int")
-    repeated = logs.select("log_id", *columns, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"))
-    return rows.withColumn("salt", salt).join(repeated, ["log_id", "salt"], "left").drop("salt")
-
-
-def opened_late() -> F.Column:
-    return (F.col("on_time") == 0) & (F.col("late_in_bound") > 0)
-
-
-def has_state() -> F.Column:
-    return F.col("on_time") + F.col("late_in_bound") > 0
+def per_log(rows: DataFrame, logs: DataFrame, spread: str = "win_start") -> DataFrame:
+    """Join the columns of ``logs`` to rows. A log may hold a third of the rows, so
+    its key is salted; the per-log side is repeated once per salt."""
+    repeated = logs.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS salt")
+    salted = rows.selectExpr("*", f"CAST(pmod(xxhash64({spread}), {SALTS}) AS INT) AS salt")
+    return salted.join(repeated, ["log_id", "salt"], "left").drop("salt")
 
 
 def window_counts(tallied: DataFrame, health: DataFrame, config: Config) -> DataFrame:
     """Every window the run kept state for: counts, panes and the emitted value.
     Needs no crossing, only how far the log's watermark got."""
-    known = per_log(tallied.where(has_state()), health.select("log_id", "w_last"), ["w_last"])
-    update, flush = config.late_policy == "update", config.termination == "flush"
-    zero = F.lit(0).cast("bigint")
-    reached = F.lit(True) if flush else F.coalesce(F.col("w_last") >= F.col("win_end"), F.lit(False))
-    revisions = F.col("late_in_bound") if update else zero
-    panes = (
-        F.when(F.col("on_time") > 0, F.when(reached, 1 + revisions).otherwise(zero))
-        .otherwise(revisions if update else zero + 1)
-    )
-    kept = F.col("on_time") + revisions
-    return known.select(
-        "log_id", "win_start", "win_end",
-        kept.alias("count"),
-        F.when(panes > 0, kept).alias("emitted"),
-        panes.alias("panes"),
-        (panes > 0).alias("fired"),
-        (opened_late() & F.lit(update)).alias("opened_after_close"),
+    known = per_log(tallied.where(HAS_STATE), health.select("log_id", "w_last"))
+    update = config.late_policy == "update"
+    reached = "true" if config.termination == "flush" else "coalesce(w_last >= win_end, false)"
+    revisions = "late_in_bound" if update else "0L"
+    unopened = revisions if update else "1L"
+    panes = f"CASE WHEN on_time > 0 THEN CASE WHEN {reached} THEN 1L + {revisions} ELSE 0L END ELSE {unopened} END"
+    return known.selectExpr("*", f"on_time + {revisions} AS count", f"{panes} AS panes").selectExpr(
+        "log_id", "win_start", "win_end", "count", "CASE WHEN panes > 0 THEN count END AS emitted", "panes",
+        "panes > 0 AS fired", f"{OPENED_LATE} AND {str(update).lower()} AS opened_after_close",
         "on_time", "late_in_bound", "too_late", "first_index", "last_index",
         "first_late_index", "first_late_before", "first_late_after",
     )
@@ -57,86 +44,80 @@ def window_counts(tallied: DataFrame, health: DataFrame, config: Config) -> Data
 
 def window_state(counts: DataFrame, crossed: DataFrame, config: Config) -> DataFrame:
     """``window_counts`` with when each window fired and was released."""
-    at_end = F.lit(END_OF_STREAM).cast("bigint") if config.termination == "flush" else F.lit(None).cast("bigint")
-    late_open = F.col("first_late_before" if config.late_policy == "update" else "first_late_after")
-    fired_at = F.when(opened_late(), late_open).otherwise(F.coalesce("fire.watermark", at_end))
-    joined = counts.join(crossed, ["log_id", "win_start"], "left")
-    return joined.select(
+    at_end = f"{END_OF_STREAM}L" if config.termination == "flush" else "CAST(NULL AS BIGINT)"
+    late_open = "first_late_before" if config.late_policy == "update" else "first_late_after"
+    return counts.join(crossed, ["log_id", "win_start"], "left").selectExpr(
         *[c for c in counts.columns if not c.startswith("first_late")],
-        F.when(F.col("fired"), fired_at).alias("fired_at_watermark"),
-        F.coalesce("release.watermark", at_end).alias("collected_at_watermark"),
-    ).withColumn("collected", F.col("collected_at_watermark").isNotNull())
+        f"CASE WHEN {OPENED_LATE} THEN {late_open} WHEN fired THEN coalesce(fire.watermark, {at_end}) END AS fired_at_watermark",
+        f"coalesce(release.watermark, {at_end}) AS collected_at_watermark",
+    ).selectExpr("*", "collected_at_watermark IS NOT NULL AS collected")
 
 
 def firing_panes(counts: DataFrame, crossed: DataFrame, health: DataFrame, config: Config) -> DataFrame:
     """The pane of each window that the watermark (or the flush) closed, with the
     event that did it in ``trigger``."""
-    flush = config.termination == "flush"
-    update = config.late_policy == "update"
     rows = counts.join(crossed, ["log_id", "win_start"], "left")
-    if flush:
-        end = F.struct(
-            F.col("events").alias("index"), F.lit(END_OF_STREAM).cast("bigint").alias("watermark"),
-            F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("string").alias("cls"),
+    fire = "fire"
+    if config.termination == "flush":
+        rows = per_log(rows, health.select("log_id", "events"))
+        fire = (
+            f"coalesce(fire, named_struct('index', events, 'watermark', {END_OF_STREAM}L, "
+            "'t', CAST(NULL AS BIGINT), 'cls', CAST(NULL AS STRING)))"
+        )
+    own = "on_time > 0" if config.late_policy == "update" else "true"
+    return (
+        rows.selectExpr("*", f"CASE WHEN on_time > 0 THEN {fire} END AS trigger")
+        .where(f"{own} AND (trigger IS NOT NULL OR on_time = 0)")
+        .selectExpr(
+            "log_id", "win_start", "win_end", "1L AS seq", "'initial' AS kind", "on_time AS count",
+            "CAST(NULL AS BIGINT) AS retracts",
+            "CASE WHEN on_time > 0 THEN trigger.watermark ELSE first_late_after END AS watermark",
+            "CASE WHEN on_time > 0 THEN trigger.index ELSE first_late_index END AS at_index",
+            "false AS own_pane", "first_index AS opened_index", "trigger",
         )
-        rows = per_log(rows, health, ["events"]).withColumn("fire", F.coalesce("fire", end))
-    own = F.col("on_time") > 0
-    rows = rows.where(own & F.col("fire").isNotNull() if update else (own & F.col("fire").isNotNull()) | ~own)
-    at_late = lambda late, fired: F.when(own, F.col(fired)).otherwise(F.col(late))
-    return rows.select(
-        "log_id", "win_start", "win_end",
-        F.lit(1).cast("bigint").alias("seq"), F.lit("initial").alias("kind"), F.col("on_time").alias("count"),
-        F.lit(None).cast("bigint").alias("retracts"),
-        at_late("first_late_after", "fire.watermark").alias("watermark"),
-        at_late("first_late_index", "fire.index").alias("at_index"),
-        F.lit(False).alias("own_pane"), F.col("first_index").alias("opened_index"),
-        F.when(own, F.col("fire")).alias("trigger"),
     )
 
 
 def late_positions(judged: DataFrame) -> DataFrame:
-    """Late events with their ordinal among the late events of their window, and
-    the window's on-time count.
+    """Late events with their ordinal ``nth`` among the late events of their window,
+    and the window's on-time count.
 
     Ordinals are counted inside (window, block), which bounds the group even when
     one window holds a third of the log, and shifted by the counts of the blocks
     before.
     """
     keys = ["log_id", "win_start", "blk"]
-    is_late, is_on_time = F.col("cls") == LATE_IN_BOUND, F.col("cls") == ON_TIME
-    parts = judged.where(is_late | is_on_time).groupBy(*keys).agg(
-        F.sum(is_on_time.cast("bigint")).alias("on"), F.sum(is_late.cast("bigint")).alias("late"), F.min("i").alias("first"))
-    window = Window.partitionBy("log_id", "win_start")
-    parts = parts.select(
-        *keys, "late",
-        F.sum("on").over(window).alias("on_time"),
-        F.min("first").over(window).alias("opened_index"),
-        F.coalesce(F.sum("late").over(before(window.orderBy("blk"))), F.lit(0)).cast("bigint").alias("late_before"),
-    ).where("late > 0").drop("late")
-    in_part = Window.partitionBy(*keys).orderBy("i")
+    window = "PARTITION BY log_id, win_start"
+    parts = judged.where(f"cls IN ('{ON_TIME}', '{LATE_IN_BOUND}')").groupBy(*keys).agg(*aggregates(
+        n_on=f"count_if(cls = '{ON_TIME}')", n_late=f"count_if(cls = '{LATE_IN_BOUND}')", first="min(i)"))
+    parts = parts.selectExpr(
+        *keys, "n_late",
+        f"sum(n_on) OVER ({window}) AS on_time",
+        f"min(first) OVER ({window}) AS opened_index",
+        f"coalesce(sum(n_late) OVER ({window} ORDER BY blk {BEFORE}), 0L) AS late_before",
+    ).where("n_late > 0").drop("n_late")
     return (
-        judged.where(is_late).withColumn("nth", F.row_number().over(in_part).cast("bigint"))
-        .join(parts, keys).withColumn("nth", F.col("nth") + F.col("late_before")).drop("late_before")
+        judged.where(f"cls = '{LATE_IN_BOUND}'")
+        .selectExpr("*", "row_number() OVER (PARTITION BY log_id, win_start, blk ORDER BY i) AS in_part")
+        .join(parts, keys).selectExpr("*", "in_part + late_before AS nth").drop("in_part", "late_before")
     )
 
 
 def late_panes(judged: DataFrame) -> DataFrame:
     """Under ``update``, the pane of every late event: a revision, or the first
     pane of a window that had no event before the watermark passed it."""
-    first = (F.col("on_time") == 0) & (F.col("nth") == 1)
-    count = F.col("on_time") + F.col("nth")
-    return late_positions(judged).select(
+    first = "on_time = 0 AND nth = 1"
+    return late_positions(judged).selectExpr(
         "log_id", "win_start", "win_end",
-        (F.col("nth") + (F.col("on_time") > 0).cast("bigint")).alias("seq"),
-        F.when(first, F.lit("initial")).otherwise(F.lit("revision")).alias("kind"),
-        count.alias("count"),
-        F.when(~first, count - 1).alias("retracts"),
-        F.col("w_before").alias("watermark"), F.col("i").alias("at_index"),
-        F.lit(True).alias("own_pane"), "opened_index",
+        "CASE WHEN on_time > 0 THEN nth + 1 ELSE nth END AS seq",
+        f"CASE WHEN {first} THEN 'initial' ELSE 'revision' END AS kind",
+        "on_time + nth AS count",
+        f"CASE WHEN {first} THEN NULL ELSE on_time + nth - 1 END AS retracts",
+        "w_before AS watermark", "i AS at_index", "true AS own_pane", "opened_index",
+        "t", "w_after",
     )
 
 
-def pane_order() -> list[F.Column]:
-    """Emission order: by index; at one index the event's own pane, then the
-    windows it closed in the order they were opened."""
-    return [F.col("log_id"), F.col("at_index"), F.col("own_pane").desc(), F.col("opened_index")]
+# Emission order: by index; at one index the event's own pane, then the windows
+# it closed in the order they were opened.
+PANE_ORDER = ["log_id", "at_index", "own_pane DESC", "opened_index"]

@@ -11,116 +11,87 @@ any data size.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneledger.workspace import keep
 
+UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+
 
 @dataclass(frozen=True)
 class Running:
-    """One running value.
+    """One running value, as SQL.
 
-    ``local`` maps a window (group, block, ordered) to the value inside a block;
-    ``block`` aggregates a block's rows to what it passes on; ``carry`` folds the
-    blocks before, given a window over them (``before``) or over all blocks of
-    the group (``all``); ``join`` combines local value and carry.
+    ``local`` is the value inside a block, over the named frames ``{up_to}`` and
+    ``{before}``; ``block`` is what a block passes on, read from its last row;
+    ``carry`` folds that (``{value}``) over ``{before}`` or ``{whole}``, the blocks
+    before or all blocks of the group; ``join`` combines ``{here}`` and ``{carried}``.
     """
 
-    local: Callable[[Window], Column]
-    block: Column
-    carry: Callable[[str, Window, Window], Column]
-    join: Callable[[Column, Column], Column]
-
-
-def up_to(w: Window) -> Window:
-    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def before(w: Window) -> Window:
-    return w.rowsBetween(Window.unboundedPreceding, -1)
+    local: str
+    block: str
+    carry: str
+    join: str
 
 
 def running_index(name: str) -> Running:
     """0-based position in the group."""
-    return Running(
-        local=lambda w: F.row_number().over(w).cast("bigint") - 1,
-        block=F.max(name) + 1,
-        carry=lambda blocks, pre, _: F.sum(blocks).over(pre),
-        join=lambda here, carried: here + F.coalesce(carried, F.lit(0).cast("bigint")),
-    )
+    return Running("CAST(row_number() {order} AS BIGINT) - 1", f"{name} + 1",
+                   "sum({value}) {before}", "{here} + coalesce({carried}, 0L)")
 
 
-def running_sum(name: str, value: Column) -> Running:
+def running_sum(name: str, value: str) -> Running:
     """Sum of non-negative values up to and including the row."""
-    return Running(
-        local=lambda w: F.sum(value).over(up_to(w)),
-        block=F.max(name),
-        carry=lambda blocks, pre, _: F.sum(blocks).over(pre),
-        join=lambda here, carried: here + F.coalesce(carried, F.lit(0)),
-    )
+    return Running(f"sum({value}) {{up_to}}", name, "sum({value}) {before}", "{here} + coalesce({carried}, 0L)")
 
 
-def running_max(name: str, value: Column) -> Running:
+def running_max(name: str, value: str) -> Running:
     """Largest value up to and including the row."""
-    return Running(
-        local=lambda w: F.max(value).over(up_to(w)),
-        block=F.max(name),
-        carry=lambda blocks, pre, _: F.max(blocks).over(pre),
-        join=F.greatest,
-    )
+    return Running(f"max({value}) {{up_to}}", name, "max({value}) {before}", "greatest({here}, {carried})")
 
 
-def running_max_before(name_up_to: str, value: Column) -> Running:
+def running_max_before(name_up_to: str, value: str) -> Running:
     """Largest value before the row; ``name_up_to`` is the column that includes it."""
-    return Running(
-        local=lambda w: F.max(value).over(before(w)),
-        block=F.max(name_up_to),
-        carry=lambda blocks, pre, _: F.max(blocks).over(pre),
-        join=F.greatest,
-    )
+    return Running(f"max({value}) {{before}}", name_up_to, "max({value}) {before}", "greatest({here}, {carried})")
 
 
-def first_of_group(name: str, value: Column, position: str) -> Running:
+def first_of_group(name: str, value: str) -> Running:
     """The value of the group's first row."""
-    return Running(
-        local=lambda w: F.first(value).over(up_to(w)),
-        block=F.min_by(name, position),
-        carry=lambda blocks, _, every: F.first(blocks).over(every),
-        join=lambda here, carried: F.coalesce(carried, here),
-    )
+    return Running(f"first({value}) {{up_to}}", name, "first({value}) {whole}", "coalesce({carried}, {here})")
 
 
-def last_known(name: str, value: Column, position: str) -> Running:
+def last_known(name: str, value: str) -> Running:
     """The latest non-null value up to and including the row."""
-    return Running(
-        local=lambda w: F.last(value, ignorenulls=True).over(up_to(w)),
-        block=F.max_by(name, F.when(F.col(name).isNotNull(), F.col(position))),
-        carry=lambda blocks, pre, _: F.last(blocks, ignorenulls=True).over(pre),
-        join=lambda here, carried: F.coalesce(here, carried),
-    )
+    return Running(f"last({value}, true) {{up_to}}", name, "last({value}, true) {before}", "coalesce({here}, {carried})")
+
+
+def frames(by: list[str], order: list[str]) -> dict[str, str]:
+    over = f"PARTITION BY {', '.join(by)} ORDER BY {', '.join(order)}"
+    return {
+        "order": f"OVER ({over})", "up_to": f"OVER ({over} {UP_TO})",
+        "before": f"OVER ({over} {BEFORE})", "whole": f"OVER ({over} {WHOLE})",
+    }
 
 
 def block_carry(blocks: DataFrame, by: list[str], running: dict[str, Running]) -> DataFrame:
-    """Carry of every block but a group's first, from one row per (group, block)
-    with the columns ``block_<name>``. Groups of one block have none."""
-    group = Window.partitionBy(*by)
-    ordered = group.orderBy("blk")
-    pre = before(ordered)
-    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cut = blocks.withColumn("n_blocks", F.count(F.lit(1)).over(group)).where("n_blocks > 1")
-    folded = [run.carry(f"block_{name}", pre, every).alias(f"carry_{name}") for name, run in running.items()]
-    return cut.select(*by, "blk", *folded)
+    """Carry of every block of the groups that were cut, from one row per (group,
+    block) with the columns ``block_<name>``."""
+    over = frames(by, ["blk"])
+    cut = blocks.selectExpr("*", f"count(1) OVER (PARTITION BY {', '.join(by)}) AS n_blocks").where("n_blocks > 1")
+    return cut.selectExpr(*by, "blk", *[
+        f"{run.carry.format(value=f'block_{name}', **over)} AS carry_{name}" for name, run in running.items()])
 
 
 def with_carry(rows: DataFrame, carry: DataFrame, by: list[str], running: dict[str, Running]) -> DataFrame:
     """Turn block-local values into values over the whole group."""
-    joined = rows.join(F.broadcast(carry), [*by, "blk"], "left")
-    resolved = {name: run.join(F.col(name), F.col(f"carry_{name}")) for name, run in running.items()}
-    return joined.withColumns(resolved).drop(*[f"carry_{name}" for name in running])
+    others = [c for c in rows.columns if c not in running]
+    return rows.join(F.broadcast(carry), [*by, "blk"], "left").selectExpr(*others, *[
+        f"{run.join.format(here=name, carried=f'carry_{name}')} AS {name}" for name, run in running.items()])
 
 
 @dataclass(frozen=True)
@@ -134,19 +105,25 @@ class Scanned:
 
 def ordered_scan(
     df: DataFrame, by: list[str], order: list[str], running: dict[str, Running],
-    label: str, blocks: int | None = None,
+    label: str, blocks: int | None = None, reused: bool = False,
 ) -> Scanned:
     """Add one column per running value.
 
     (by, order) must be unique. ``blocks`` fixes the number of blocks; by default
-    it follows ``spark.sql.shuffle.partitions`` and the adaptive coalescing.
+    it follows ``spark.sql.shuffle.partitions`` and the adaptive coalescing. With
+    ``reused`` the carry is stored too, rather than found again by every reader.
     """
     keys = [*by, *order]
     ranged = df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
-    ranged = ranged.withColumn("blk", F.spark_partition_id())
-    w = Window.partitionBy(*by, "blk").orderBy(*order)
+    ranged = ranged.selectExpr("*", "spark_partition_id() AS blk")
+    over = frames([*by, "blk"], order)
+    local = [f"{run.local.format(**over)} AS {name}" for name, run in running.items()]
     # The block numbers hold only for this one shuffle: write them down.
-    rows = keep(ranged.withColumns({name: run.local(w) for name, run in running.items()}), label)
-    summary = rows.groupBy(*by, "blk").agg(*[run.block.alias(f"block_{name}") for name, run in running.items()])
-    carry = keep(block_carry(summary, by, running), f"{label}-carry")
-    return Scanned(with_carry(rows, carry, by, running), rows)
+    written = keep(ranged.selectExpr("*", *local, f"lead(true) {over['order']} IS NULL AS ends_block"), label)
+    ends = written.where("ends_block").selectExpr(
+        *by, "blk", *[f"{run.block} AS block_{name}" for name, run in running.items()])
+    carry = block_carry(ends, by, running)
+    if reused:
+        carry = keep(carry, f"{label}-carry")
+    written = written.drop("ends_block")
+    return Scanned(with_carry(written, carry, by, running), written)

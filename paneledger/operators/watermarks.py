@@ -16,21 +16,17 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
 from paneledger.config import WatermarkSpec
-from paneledger.operators.arrival import event_lateness
-from paneledger.operators.scan import (
-    before, block_carry, last_known, running_max, running_max_before, up_to, with_carry,
-)
+from paneledger.operators.arrival import EVENT_LATENESS
+from paneledger.operators.judge import aggregates
+from paneledger.operators.scan import block_carry, frames, last_known, running_max, running_max_before, with_carry
 from paneledger.workspace import keep
 
 MIN_BLOCK_ROWS = 8_192
 
-Attach = Callable[[DataFrame, int | None, DataFrame | None], DataFrame]
-
 
 def block_rows(rows: DataFrame, multiple_of: int) -> int:
     """Rows per block: as many blocks as shuffle partitions for a large log, and
@@ -40,81 +36,58 @@ def block_rows(rows: DataFrame, multiple_of: int) -> int:
     return -(-wanted // multiple_of) * multiple_of
 
 
-def start_of(position: str, size: int) -> Column:
+def start_of(position: str, size: int) -> str:
     """First position of the fixed-size block that holds ``position``."""
-    return F.col(position) - F.col(position) % size
+    return f"({position}) - ({position}) % {size}L"
 
 
-def from_maximum(shift: int) -> Attach:
+def from_maximum(rows: DataFrame, shift: int) -> DataFrame:
     """Watermark = highest event time seen - shift."""
+    after = f"max_seen - {shift}L"
+    return rows.selectExpr("*", f"{after} AS raw", f"{after} AS w_after", f"max_before - {shift}L AS w_before")
 
-    def attach(rows: DataFrame, _: int | None, __: DataFrame | None) -> DataFrame:
-        after = F.col("max_seen") - F.lit(shift).cast("bigint")
-        return rows.withColumns(
-            {"raw": after, "w_after": after, "w_before": F.col("max_before") - F.lit(shift).cast("bigint")}
-        )
-
-    return attach
 
-
-def from_arrivals(spec: WatermarkSpec) -> Attach:
+def from_arrivals(rows: DataFrame, spec: WatermarkSpec) -> DataFrame:
     """Watermark = origin + arrivals so far * rate. Reads no event time after the
     first one; wrong on purpose, kept as a detection target."""
+    origin = "first_t" if spec.origin_ms is None else f"({spec.origin_ms}L)"
+    after = f"{origin} + i * {spec.ms_per_event}L"
+    before = f"CASE WHEN i > 0 THEN {origin} + (i - 1) * {spec.ms_per_event}L END"
+    return rows.selectExpr("*", f"{after} AS raw", f"{after} AS w_after", f"{before} AS w_before")
 
-    def attach(rows: DataFrame, _: int | None, __: DataFrame | None) -> DataFrame:
-        origin = F.col("first_t") if spec.origin_ms is None else F.lit(spec.origin_ms).cast("bigint")
-        at = lambda position: origin + position * F.lit(spec.ms_per_event).cast("bigint")
-        after = at(F.col("i"))
-        return rows.withColumns(
-            {"raw": after, "w_after": after, "w_before": F.when(F.col("i") > 0, at(F.col("i") - 1))}
-        )
-
-    return attach
 
-
-def from_punctuation(spec: WatermarkSpec) -> Attach:
+def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) -> DataFrame:
     """Watermark = lowest event time of the last complete group of N arrivals - 1.
 
     Blocks are aligned to groups, so a group lies in one block.
     """
     n = spec.every_n
-
-    def attach(rows: DataFrame, size: int | None, samples: DataFrame | None) -> DataFrame:
-        size = -(-size // n) * n if size else block_rows(rows, n)
-        rows = rows.withColumns({"grp": start_of("i", n), "blk": start_of("i", size)})
-        # A group begun in an earlier micro-batch already has a lowest event time.
-        opened = F.when(F.col("grp") == start_of("s_next_i", n), F.col("s_open_min")) if "s_next_i" in rows.columns else None
-        lowest = lambda value: value if opened is None else F.least(value, opened)
-
-        groups = rows.withColumn("low", lowest(F.col("t"))).groupBy("log_id", "blk", "grp").agg(
-            F.min("low").alias("low"), F.max("i").alias("last_i"))
-        # A block whose last group is incomplete passes on less, but needs the carry.
-        mark = F.when(F.col("last_i") % n == n - 1, F.col("low") - 1)
-        blocks = groups.withColumn("mark", mark).groupBy("log_id", "blk").agg(
-            F.max("mark").alias("block_w_after"),
-            F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("grp"))).alias("block_raw"))
-        carry_of = {"w_after": running_max("mark", F.col("mark")), "raw": last_known("mark", F.col("mark"), "grp")}
-        carry = block_carry(blocks, ["log_id"], carry_of)
-
-        in_group = Window.partitionBy("log_id", "blk", "grp").orderBy("i")
-        in_block = Window.partitionBy("log_id", "blk").orderBy("i")
-        marked = (
-            rows.withColumn("low", F.min("t").over(up_to(in_group)))
-            .withColumn("mark", F.when(F.col("i") % n == n - 1, lowest(F.col("low")) - 1))
-        )
-        local = marked.withColumns({
-            "raw": F.last("mark", ignorenulls=True).over(up_to(in_block)),
-            "w_after": F.max("mark").over(up_to(in_block)),
-            "w_before": F.max("mark").over(before(in_block)),
-        }).drop("grp", "low", "mark")
-        carry = carry.withColumn("carry_w_before", F.col("carry_w_after"))
-        joins = {**carry_of, "w_before": running_max_before("mark", F.col("mark"))}
-        return with_state(with_carry(local, carry, ["log_id"], joins))
-
-    return attach
-
-
-def from_quantile(spec: WatermarkSpec) -> Attach:
+    size = -(-size // n) * n if size else block_rows(rows, n)
+    rows = rows.drop("blk").selectExpr("*", f"{start_of('i', n)} AS grp", f"{start_of('i', size)} AS blk")
+    # A group begun in an earlier micro-batch already has a lowest event time.
+    streaming = "s_next_i" in rows.columns
+    low = f"least(t, CASE WHEN grp = {start_of('s_next_i', n)} THEN s_open_min END)" if streaming else "t"
+    rows = rows.selectExpr("*", f"{low} AS low")
+    marks = {"w_after": running_max("w_after", "mark"), "raw": last_known("raw", "mark")}
+
+    groups = rows.groupBy("log_id", "blk", "grp").agg(*aggregates(low="min(low)", last_i="max(i)"))
+    # A block whose last group is incomplete passes on less, but needs the carry.
+    complete = f"FILTER (WHERE last_i % {n} = {n - 1})"
+    blocks = groups.groupBy("log_id", "blk").agg(*aggregates(
+        block_w_after=f"max(low - 1) {complete}", block_raw=f"max_by(low - 1, grp) {complete}"))
+    carry = block_carry(blocks, ["log_id"], marks).selectExpr("*", "carry_w_after AS carry_w_before")
+
+    group, block = frames(["log_id", "blk", "grp"], ["i"]), frames(["log_id", "blk"], ["i"])
+    marks["w_before"] = running_max_before("w_after", "mark")
+    local = (
+        rows.selectExpr("*", f"CASE WHEN i % {n} = {n - 1} THEN min(low) {group['up_to']} - 1 END AS mark")
+        .selectExpr("*", *[f"{m.local.format(**block)} AS {name}" for name, m in marks.items()])
+        .drop("grp", "low", "mark")
+    )
+    return with_state(with_carry(local, carry, ["log_id"], marks))
+
+
+def from_quantile(rows: DataFrame, spec: WatermarkSpec, size: int | None, samples: DataFrame | None) -> DataFrame:
     """Watermark = highest event time - quantile of the last S lateness values - 1.
 
     Spark has no sliding exact quantile that updates as the frame moves, so each
@@ -122,42 +95,34 @@ def from_quantile(spec: WatermarkSpec) -> Attach:
     a copy of the S rows before it and needs nothing else from other blocks.
     """
     sample = spec.sample_size
-
-    def attach(rows: DataFrame, size: int | None, samples: DataFrame | None) -> DataFrame:
-        size = max(size, sample) if size else max(block_rows(rows, 1), 16 * sample)
-        lateness = F.when(F.col("max_before").isNotNull(), event_lateness())
-        schema = StructType([*rows.drop("blk").schema, *[
-            StructField(name, LongType()) for name in ("blk", "raw", "w_after", "w_before")]])
-        block = start_of("i", size)
-        near_end = F.col("i") >= block + size - sample
-        spread = (
-            rows.drop("blk").withColumn("lat", lateness)
-            .select("*", F.explode(F.when(near_end, F.array(block, block + size)).otherwise(F.array(block))).alias("blk"))
-            .withColumn("own", F.col("blk") == block)
-        )
-        if samples is not None:
-            spread = spread.unionByName(kept_sample(samples, size, sample), allowMissingColumns=True)
-        streamed = (
-            spread.repartition("log_id", "blk").sortWithinPartitions("log_id", "blk", "i")
-            .mapInArrow(sliding_quantile(spec, schema.names), schema)
-        )
-        local = keep(streamed, "quantile")
-        carry_of = {"w_after": running_max("w_after", F.col("raw")), "w_before": running_max_before("w_after", F.col("raw"))}
-        blocks = local.groupBy("log_id", "blk").agg(*[r.block.alias(f"block_{name}") for name, r in carry_of.items()])
-        return with_state(with_carry(local, block_carry(blocks, ["log_id"], carry_of), ["log_id"], carry_of))
-
-    return attach
-
-
-def kept_sample(samples: DataFrame, size: int, sample: int) -> DataFrame:
-    """The lateness values ``(log_id, next_i, lats)`` that a streaming run kept, as
-    rows before its next one."""
-    tail = samples.select("log_id", "next_i", F.size("lats").alias("kept"), F.posexplode("lats").alias("pos", "lat"))
-    tail = tail.select("log_id", "next_i", "lat", (F.col("next_i") - F.col("kept") + F.col("pos")).alias("i"))
-    block = start_of("next_i", size)
-    near_end = F.col("i") >= block + size - sample
-    copies = F.when(near_end, F.array(block, block + size)).otherwise(F.array(block))
-    return tail.select("log_id", "i", "lat", F.explode(copies).alias("blk"), F.lit(False).alias("own"))
+    size = max(size, sample) if size else max(block_rows(rows, 1), 16 * sample)
+    rows = rows.drop("blk")
+    schema = StructType([*rows.schema, *[StructField(name, LongType()) for name in ("blk", "raw", "w_after", "w_before")]])
+    spread = rows.selectExpr(
+        "*", f"CASE WHEN max_before IS NOT NULL THEN {EVENT_LATENESS} END AS lat", block_copies("i", "i", size, sample),
+    ).selectExpr("*", f"blk = {start_of('i', size)} AS own")
+    if samples is not None:
+        kept = samples.selectExpr("log_id", "next_i", "size(lats) AS kept", "posexplode(lats) AS (pos, lat)")
+        kept = kept.selectExpr("log_id", "next_i", "lat", "next_i - kept + pos AS i")
+        kept = kept.selectExpr("log_id", "i", "lat", block_copies("next_i", "i", size, sample), "false AS own")
+        spread = spread.unionByName(kept, allowMissingColumns=True)
+    streamed = (
+        spread.repartition("log_id", "blk").sortWithinPartitions("log_id", "blk", "i")
+        .mapInArrow(sliding_quantile(spec, schema.names), schema)
+    )
+    local = keep(streamed, "quantile")
+    running = {"w_after": running_max("w_after", "raw"), "w_before": running_max_before("w_after", "raw")}
+    highest = local.groupBy("log_id", "blk").agg(*aggregates(block_w_after="max(raw)", block_w_before="max(raw)"))
+    carry = block_carry(highest, ["log_id"], running)
+    return with_state(with_carry(local, carry, ["log_id"], running))
+
+
+def block_copies(home: str, position: str, size: int, sample: int) -> str:
+    """Explode a row into its block, and into the next one if it is among the last
+    ``sample`` rows before it."""
+    block = start_of(home, size)
+    near_end = f"{position} >= {block} + {size - sample}L"
+    return f"explode(CASE WHEN {near_end} THEN array({block}, {block} + {size}L) ELSE array({block}) END) AS blk"
 
 
 def sliding_quantile(spec: WatermarkSpec, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -199,23 +164,22 @@ def with_state(rows: DataFrame) -> DataFrame:
     """A streaming run starts from the watermark it had emitted."""
     if "s_w" not in rows.columns:
         return rows
-    return rows.withColumns({
-        "raw": F.coalesce("raw", "s_raw"),
-        "w_after": F.greatest("w_after", "s_w"),
-        "w_before": F.greatest("w_before", "s_w"),
-    })
+    return rows.selectExpr(
+        *[c for c in rows.columns if c not in ("raw", "w_after", "w_before")],
+        "coalesce(raw, s_raw) AS raw", "greatest(w_after, s_w) AS w_after", "greatest(w_before, s_w) AS w_before",
+    )
 
 
 def attach_watermark(
     rows: DataFrame, spec: WatermarkSpec, block_size: int | None = None, samples: DataFrame | None = None,
 ) -> DataFrame:
     """Indexed rows with ``raw``, ``w_before`` and ``w_after``. ``block_size`` sets
-    the rows per block of the punctuated and percentile strategies."""
-    strategies: dict[str, Attach] = {
-        "bounded": from_maximum(spec.bound_ms + 1),
-        "bounded-naive": from_maximum(spec.bound_ms),
-        "percentile": from_quantile(spec),
-        "punctuated": from_punctuation(spec),
-        "processing-time": from_arrivals(spec),
-    }
-    return strategies[spec.name](rows, block_size, samples)
+    the rows per block of the punctuated and percentile strategies; ``samples``
+    are the lateness values ``(log_id, next_i, lats)`` a streaming run kept."""
+    if spec.name == "percentile":
+        return from_quantile(rows, spec, block_size, samples)
+    if spec.name == "punctuated":
+        return from_punctuation(rows, spec, block_size)
+    if spec.name == "processing-time":
+        return from_arrivals(rows, spec)
+    return from_maximum(rows, spec.bound_ms + (1 if spec.name == "bounded" else 0))

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from paneledger.config import Config
 from paneledger.names import END_OF_STREAM
@@ -48,8 +47,8 @@ class Run:
     def finals(self) -> DataFrame:
         """Per log: the watermark the run ended with."""
         flushed = self.config.termination == "flush"
-        final = F.lit(END_OF_STREAM).cast("bigint") if flushed else F.col("w_last")
-        return self.health.select("log_id", "events", final.alias("final_watermark"))
+        final = f"{END_OF_STREAM}L" if flushed else "w_last"
+        return self.health.selectExpr("log_id", "events", f"{final} AS final_watermark")
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -58,12 +57,12 @@ class Run:
     @cached_property
     def fired(self) -> DataFrame:
         """Per window, the event that closed it."""
-        return crossings(self.judged, self.tally.where(panes.has_state()), self.config, [FIRE], self.blocks)
+        return crossings(self.judged, self.tally.where(panes.HAS_STATE), self.config, [FIRE], self.blocks)
 
     @cached_property
     def crossed(self) -> DataFrame:
         """Per window, the events that closed and released it."""
-        return crossings(self.judged, self.tally.where(panes.has_state()), self.config, [FIRE, RELEASE], self.blocks)
+        return crossings(self.judged, self.tally.where(panes.HAS_STATE), self.config, [FIRE, RELEASE], self.blocks)
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -88,25 +87,20 @@ class Run:
     def trace(self) -> DataFrame:
         steps = judge.trace(self.judged)
         if self.config.termination == "flush":
-            end = F.lit(END_OF_STREAM).cast("bigint").alias("watermark")
-            steps = steps.unionByName(self.finals.select("log_id", F.col("events").alias("index"), end))
+            steps = steps.unionByName(self.finals.selectExpr("log_id", "events AS index", "final_watermark AS watermark"))
         return steps
 
     @cached_property
     def counters(self) -> DataFrame:
-        policy, zero = self.config.late_policy, F.lit(0).cast("bigint")
-        opened = F.when(panes.opened_late() & F.lit(policy == "update"), 1).otherwise(0).cast("bigint")
-        late = F.col("late_in_bound")
-        return self.tally.groupBy("log_id").agg(
-            F.sum("events").alias("total"),
-            F.sum("on_time").alias("on_time"),
-            F.sum("late_in_bound").alias("late_in_bound"),
-            F.sum("too_late").alias("too_late"),
-            F.sum(late if policy == "drop" else zero).alias("dropped_in_bound"),
-            F.sum(F.col("events") - F.col("on_time") - late - F.col("too_late")).alias("discarded_without_receipt"),
-            F.sum(late - opened if policy == "update" else zero).alias("revisions_emitted"),
-            F.sum(opened).alias("opened_after_close"),
-        )
+        policy = self.config.late_policy
+        late = {p: "sum(late_in_bound)" if p == policy else "0L" for p in ("drop", "update")}
+        opened = f"count_if({panes.OPENED_LATE})" if policy == "update" else "0L"
+        return self.tally.groupBy("log_id").agg(*judge.aggregates(
+            total="sum(events)", on_time="sum(on_time)", late_in_bound="sum(late_in_bound)", too_late="sum(too_late)",
+            dropped_in_bound=late["drop"],
+            discarded_without_receipt="sum(events - on_time - late_in_bound - too_late)",
+            revisions_emitted=f"{late['update']} - {opened}", opened_after_close=opened,
+        ))
 
     @cached_property
     def truth(self) -> DataFrame:

@@ -10,24 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from paneledger.functions.times import epoch_ms
 
 
-def arrival_log(
-    df: DataFrame, t: Column, p: Column | None = None, log_id: Column | str = "log",
-    tie: Column | None = None, k: Column | None = None,
-) -> DataFrame:
+def arrival_log(df: DataFrame, t: str, tie: str, p: str | None = None, log_id: str = "'log'", k: str | None = None) -> DataFrame:
     """A log whose arrival order is a second timestamp ``p``, ties broken by
-    ``tie`` (or ``tie`` alone where no processing time was recorded)."""
-    log_id = F.lit(log_id) if isinstance(log_id, str) else log_id
-    p = F.lit(None).cast("bigint") if p is None else p
-    columns = [log_id.alias("log_id"), t.alias("t"), p.alias("p"), tie.alias("seq")]
-    if k is not None:
-        columns.append(k.alias("k"))
-    return df.select(*columns)
+    ``tie`` (or ``tie`` alone where no processing time was recorded). All SQL."""
+    columns = [f"{log_id} AS log_id", f"{t} AS t", f"{p or 'CAST(NULL AS BIGINT)'} AS p", f"{tie} AS seq"]
+    return df.selectExpr(*columns, *([f"{k} AS k"] if k else []))
 
 
 @dataclass(frozen=True)
@@ -43,49 +35,34 @@ class NamedLog:
     load: Callable[[SparkSession, str], DataFrame]
 
 
-def _events(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
-    return spark.read.parquet(f"{folder}/events.parquet"), epoch_ms("ts", ntz=True)
+def _delayed(key: str, t: str, per_step: str, steps: int) -> str:
+    """A derived processing time: one fifth of the rows come late, by key."""
+    return f"{t} + CASE WHEN ({key} * 7919) % 100 < 80 THEN 0L ELSE {per_step.format(d=f'(({key} * 104729) % {steps})')} END"
 
 
-def _delayed(spark: SparkSession, folder: str, log_id: Column | str) -> DataFrame:
-    events, t = _events(spark, folder)
-    d = (F.col("event_id") * 104729) % 720
-    delay = F.when((F.col("event_id") * 7919) % 100 < 80, F.lit(0).cast("bigint")).otherwise(d * d * 83)
-    return arrival_log(events, t, t + delay, log_id, F.col("event_id"), F.col("event_type"))
+def _events(spark: SparkSession, folder: str, log_id: str, delayed: bool) -> DataFrame:
+    t = epoch_ms("ts", ntz=True)
+    p = _delayed("event_id", t, "{d} * {d} * 83L", 720) if delayed else None
+    return arrival_log(spark.read.parquet(f"{folder}/events.parquet"), t, "event_id", p, log_id, "event_type")
 
 
-def _events_by_arrival(spark: SparkSession, folder: str) -> DataFrame:
-    return _delayed(spark, folder, "events")
-
-
-def _events_by_user(spark: SparkSession, folder: str) -> DataFrame:
-    return _delayed(spark, folder, F.col("user_id").cast("string"))
-
-
-def _events_in_order(spark: SparkSession, folder: str) -> DataFrame:
-    events, t = _events(spark, folder)
-    return arrival_log(events, t, None, "events_in_order", F.col("event_id"), F.col("event_type"))
-
-
-def _orders_by_arrival(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+def _orders(spark: SparkSession, folder: str) -> DataFrame:
     t = epoch_ms("o_orderdate", ntz=True)
-    days = F.when((F.col("o_orderkey") * 7919) % 100 < 80, F.lit(0).cast("bigint")).otherwise(
-        (F.col("o_orderkey") * 104729) % 5)
-    return arrival_log(orders, t, t + days * 86_400_000, "orders", F.col("o_orderkey"), F.col("o_orderpriority"))
+    p = _delayed("o_orderkey", t, "{d} * 86400000L", 5)
+    return arrival_log(spark.read.parquet(f"{folder}/orders.parquet"), t, "o_orderkey", p, "'orders'", "o_orderpriority")
 
 
 NAMED_LOGS = {
     log.name: log
     for log in [
         NamedLog("events", "site events, one fifth of them delayed", "ts, to the millisecond",
-                 "ts plus a delay derived from event_id", 3_600_000, ("p", "seq"), _events_by_arrival),
+                 "ts plus a delay derived from event_id", 3_600_000, ("p", "seq"), lambda spark, folder: _events(spark, folder, "'events'", True)),
         NamedLog("events_in_order", "site events in order of event_id", "ts, to the millisecond",
-                 "not recorded; arrival order is event_id", 3_600_000, ("seq",), _events_in_order),
+                 "not recorded; arrival order is event_id", 3_600_000, ("seq",), lambda spark, folder: _events(spark, folder, "'events_in_order'", False)),
         NamedLog("events_by_user", "site events, one log per user", "ts, to the millisecond",
-                 "ts plus a delay derived from event_id", 3_600_000, ("p", "seq"), _events_by_user),
+                 "ts plus a delay derived from event_id", 3_600_000, ("p", "seq"), lambda spark, folder: _events(spark, folder, "CAST(user_id AS STRING)", True)),
         NamedLog("orders", "orders, one fifth of them delayed by days", "o_orderdate, to the day",
-                 "o_orderdate plus a delay derived from o_orderkey", 86_400_000, ("p", "seq"), _orders_by_arrival),
+                 "o_orderdate plus a delay derived from o_orderkey", 86_400_000, ("p", "seq"), _orders),
     ]
 }
 
