@@ -78,13 +78,13 @@ def firing_panes(counts: DataFrame, crossed: DataFrame, health: DataFrame, confi
     )
 
 
-def late_positions(judged: DataFrame) -> DataFrame:
+def late_positions(judged: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Late events with their ordinal ``nth`` among the late events of their window,
     and the window's on-time count.
 
     Ordinals are counted inside (window, block), which bounds the group even when
     one window holds a third of the log, and shifted by the counts of the blocks
-    before.
+    before. A streaming run adds what its live windows ``prior`` had counted.
     """
     keys = ["log_id", "win_start", "blk"]
     window = "PARTITION BY log_id, win_start"
@@ -96,6 +96,11 @@ def late_positions(judged: DataFrame) -> DataFrame:
         f"min(first) OVER ({window}) AS opened_index",
         f"coalesce(sum(n_late) OVER ({window} ORDER BY blk {BEFORE}), 0L) AS late_before",
     ).where("n_late > 0").drop("n_late")
+    if prior is not None:
+        known = prior.selectExpr("log_id", "win_start", "on_time AS p_on", "late_in_bound AS p_late", "first_index AS p_first")
+        parts = parts.join(known, ["log_id", "win_start"], "left").selectExpr(
+            *keys, "on_time + coalesce(p_on, 0L) AS on_time", "coalesce(p_first, opened_index) AS opened_index",
+            "late_before + coalesce(p_late, 0L) AS late_before")
     return (
         judged.where(f"cls = '{LATE_IN_BOUND}'")
         .selectExpr("*", "row_number() OVER (PARTITION BY log_id, win_start, blk ORDER BY i) AS in_part")
@@ -103,11 +108,11 @@ def late_positions(judged: DataFrame) -> DataFrame:
     )
 
 
-def late_panes(judged: DataFrame) -> DataFrame:
+def late_panes(judged: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Under ``update``, the pane of every late event: a revision, or the first
     pane of a window that had no event before the watermark passed it."""
     first = "on_time = 0 AND nth = 1"
-    return late_positions(judged).selectExpr(
+    return late_positions(judged, prior).selectExpr(
         "log_id", "win_start", "win_end",
         "CASE WHEN on_time > 0 THEN nth + 1 ELSE nth END AS seq",
         f"CASE WHEN {first} THEN 'initial' ELSE 'revision' END AS kind",

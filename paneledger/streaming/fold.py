@@ -1,2 +1,275 @@
-def replay_in_batches(*a, **k):
-    raise NotImplementedError
+"""Exact streaming: a fold over micro-batches with carried state.
+
+The engine's watermark moves at every event, while Spark's native watermark moves
+once per micro-batch and drops late rows without a receipt. So each micro-batch is
+run through the batch operators, starting from the state that the one before left:
+
+- ``logs``     per log: position, highest event time, watermark, and what the
+  strategy needs (lowest event time of the open group; the last S lateness values)
+- ``windows``  per live window: counts, first index, whether it fired. A window
+  leaves once the watermark passes its end plus the allowed lateness, so the
+  state holds only what can still change.
+
+State and outputs of batch N lie in ``.../batch_id=N``. A batch that is retried
+reads the state of N-1 and overwrites its own folders, so the tables are exact
+under restarts. However a log is cut into batches, the tables are the same.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from paneledger.config import Config
+from paneledger.names import END_OF_STREAM
+from paneledger.operators import audit, judge, panes
+from paneledger.operators.arrival import EVENT_LATENESS, index_log
+from paneledger.operators.crossing import FIRE, crossings
+from paneledger.operators.truth import batch_windows
+from paneledger.operators.watermarks import attach_watermark, start_of
+from paneledger.workspace import keep, new_path
+
+LOG_STATE = (
+    "log_id STRING, next_i BIGINT, max_seen BIGINT, first_t BIGINT, w BIGINT, raw BIGINT, "
+    "open_min BIGINT, lats ARRAY<BIGINT>, last_key STRING"
+)
+WINDOW_STATE = (
+    "log_id STRING, win_start BIGINT, win_end BIGINT, on_time BIGINT, late_in_bound BIGINT, first_index BIGINT, fired BOOLEAN"
+)
+OUTPUTS = {
+    "panes": "log_id STRING, win_start BIGINT, win_end BIGINT, seq BIGINT, kind STRING, count BIGINT, retracts BIGINT, "
+             "watermark BIGINT, at_index BIGINT, own_pane BOOLEAN, opened_index BIGINT",
+    "side_output": "log_id STRING, index BIGINT, t BIGINT, win_start BIGINT, win_end BIGINT, reason STRING, lateness_ms BIGINT",
+    "trace": "log_id STRING, index BIGINT, watermark BIGINT",
+    "released": WINDOW_STATE,
+}
+SCALARS = ["next_i", "max_seen", "first_t", "w", "raw", "open_min"]
+
+
+def with_log_state(rows: DataFrame, logs: DataFrame) -> DataFrame:
+    """Continue positions and maxima where the state left them, and add the ``s_*`` columns."""
+    state = logs.selectExpr("log_id", *[f"{c} AS s_{c}" for c in SCALARS])
+    joined = panes.per_log(rows, state, spread="i")
+    shifted = {
+        "i": "i + coalesce(s_next_i, 0L)", "max_seen": "greatest(max_seen, s_max_seen)",
+        "max_before": "greatest(max_before, s_max_seen)", "first_t": "coalesce(s_first_t, first_t)",
+    }
+    others = [c for c in joined.columns if c not in [*shifted, "s_max_seen", "s_first_t"]]
+    return joined.selectExpr(*others, *[f"{sql} AS {name}" for name, sql in shifted.items()])
+
+
+def next_logs(logs: DataFrame, judged: DataFrame, order: list[str], config: Config) -> DataFrame:
+    """The per-log state after a batch."""
+    spec = config.watermark
+    seen = judged.groupBy("log_id").agg(*judge.aggregates(
+        b_next="max(i) + 1", b_max="max(max_seen)", b_first="min_by(first_t, i)", b_w="max(w_after)", b_raw="max_by(raw, i)",
+        b_key=f"max_by({_key(order)}, i)"))
+    if spec.name == "punctuated":
+        # The group that is open after the batch; an earlier batch may have begun it.
+        n = spec.every_n
+        groups = judged.selectExpr("log_id", f"{start_of('i', n)} AS grp", "t", "s_next_i", "s_open_min").groupBy("log_id", "grp").agg(
+            *judge.aggregates(low="min(t)", rows_to="count(1)", s_next_i="max(s_next_i)", s_open_min="max(s_open_min)"))
+        opened = groups.selectExpr(
+            "log_id", "grp", f"CASE WHEN grp = {start_of('s_next_i', n)} THEN least(low, s_open_min) ELSE low END AS low")
+        opened = seen.selectExpr("log_id", f"{start_of('b_next', n)} AS grp").join(opened, ["log_id", "grp"])
+        seen = seen.join(opened.selectExpr("log_id", "low AS b_open"), "log_id", "left")
+    else:
+        seen = seen.selectExpr("*", "CAST(NULL AS BIGINT) AS b_open")
+    if spec.name == "percentile":
+        size = spec.sample_size
+        tail = panes.per_log(judged, seen.select("log_id", "b_next"), spread="i").where(
+            f"i >= b_next - {size} AND max_before IS NOT NULL")
+        tail = tail.selectExpr("log_id", f"struct(i, {EVENT_LATENESS} AS lat) AS x").groupBy("log_id").agg(
+            *judge.aggregates(b_lats="transform(array_sort(collect_list(x)), v -> v.lat)"))
+        seen = seen.join(tail, "log_id", "left")
+        lats = f"slice(concat(array_repeat(-1L, {size}), coalesce(lats, array()), coalesce(b_lats, array())), -{size}, {size})"
+        lats = f"filter({lats}, v -> v >= 0)"
+    else:
+        seen, lats = seen.selectExpr("*", "CAST(NULL AS ARRAY<BIGINT>) AS b_lats"), "CAST(NULL AS ARRAY<BIGINT>)"
+    open_min = "CASE WHEN b_next IS NULL THEN open_min ELSE b_open END"
+    return logs.join(seen, "log_id", "full_outer").selectExpr(
+        "log_id", "coalesce(b_next, next_i) AS next_i", "coalesce(b_max, max_seen) AS max_seen",
+        "coalesce(first_t, b_first) AS first_t", "greatest(b_w, w) AS w", "coalesce(b_raw, raw) AS raw",
+        f"{open_min} AS open_min", f"{lats} AS lats", "coalesce(b_key, last_key) AS last_key")
+
+
+def _key(order: list[str]) -> str:
+    """Order columns of a row as text that sorts like them (whole numbers)."""
+    part = "CASE WHEN {c} IS NULL THEN '' WHEN {c} < 0 THEN concat('-', lpad(9223372036854775807L + {c}, 19, '0')) ELSE concat('0', lpad({c}, 19, '0')) END"
+    return f"concat_ws('/', {', '.join(part.format(c=c) for c in order)})"
+
+
+@dataclass(frozen=True)
+class Step:
+    logs: DataFrame
+    windows: DataFrame
+    outputs: dict[str, DataFrame]
+
+
+def step(logs: DataFrame, live: DataFrame, batch: DataFrame, order: list[str], config: Config) -> Step:
+    """Fold one batch into the state."""
+    update = config.late_policy == "update"
+    keys = ["log_id", "win_start"]
+    rows = with_log_state(index_log(batch, order).rows, logs)
+    samples = None
+    if config.watermark.name == "percentile":
+        samples = logs.where("size(lats) > 0").select("log_id", "next_i", "lats").join(
+            batch.select("log_id").distinct(), "log_id", "left_semi")
+    judged = keep(judge.judge(attach_watermark(rows, config.watermark, None, samples), config), "judged")
+
+    now = judge.tally(judged).where(panes.HAS_STATE).selectExpr(
+        *keys, "win_end AS b_end", "on_time AS b_on", "late_in_bound AS b_late", "first_index AS b_first",
+        "first_late_index", "first_late_after")
+    merged = keep(live.join(now, keys, "full_outer").selectExpr(
+        *keys, "coalesce(win_end, b_end) AS win_end",
+        "coalesce(on_time, 0L) + coalesce(b_on, 0L) AS on_time",
+        "coalesce(late_in_bound, 0L) + coalesce(b_late, 0L) AS late_in_bound",
+        "coalesce(first_index, b_first) AS first_index", "coalesce(fired, false) AS fired",
+        "first_late_index", "first_late_after"), "live")
+
+    waiting = merged.where("NOT fired")
+    fired = crossings(judged, waiting.where("on_time > 0"), config, [FIRE])
+    fired = waiting.join(fired, keys, "left").where(
+        "fire IS NOT NULL OR on_time = 0" if not update else "on_time > 0 AND fire IS NOT NULL")
+    closing = fired.selectExpr(
+        *keys, "win_end", "1L AS seq", "'initial' AS kind", "on_time AS count", "CAST(NULL AS BIGINT) AS retracts",
+        "coalesce(fire.watermark, first_late_after) AS watermark", "coalesce(fire.index, first_late_index) AS at_index",
+        "false AS own_pane", "first_index AS opened_index")
+    closing = keep(closing, "closing")
+    out = closing
+    if update:
+        out = out.unionByName(panes.late_panes(judged, live).select(*panes.PANE_COLUMNS))
+
+    after = keep(next_logs(logs, judged, order, config), "logs")
+    fired_now = closing.selectExpr(*keys, "true AS fired_now")
+    windows = merged.join(fired_now, keys, "left").selectExpr(
+        *keys, "win_end", "on_time", "late_in_bound", "first_index",
+        "fired OR coalesce(fired_now, false) OR on_time = 0 AS fired")
+    windows = panes.per_log(windows, after.select("log_id", "w")).selectExpr(
+        "*", f"coalesce(w >= win_end + {config.allowed_lateness_ms}L, false) AS done").drop("w")
+    return Step(after, windows.where("NOT done").drop("done"), {
+        "panes": out, "side_output": judge.receipts(judged, config), "trace": judge.trace(judged),
+        "released": windows.where("done").drop("done"),
+    })
+
+
+@dataclass(frozen=True)
+class FoldTables:
+    """The folders of a fold, and its tables."""
+
+    spark: SparkSession
+    path: str
+    config: Config
+    order: tuple[str, ...]
+
+    def folder(self, table: str, batch_id: int) -> str:
+        return f"{self.path}/{table}/batch_id={batch_id}"
+
+    def _state(self, table: str, schema: str, batch_id: int) -> DataFrame:
+        if batch_id < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.folder(f"state_{table}", batch_id))
+
+    def fold(self, batch: DataFrame, batch_id: int) -> None:
+        """The ``foreachBatch`` function."""
+        logs, live = self._state("logs", LOG_STATE, batch_id - 1), self._state("windows", WINDOW_STATE, batch_id - 1)
+        # A row at or before the last one of its log came too late to have a position.
+        placed = panes.per_log(batch.selectExpr("*", f"{_key(list(self.order))} AS row_key"), logs.select("log_id", "last_key"), "row_key")
+        placed = keep(placed.selectExpr("*", "coalesce(row_key <= last_key, false) AS stray").drop("row_key", "last_key"), "batch")
+        self._write(placed.where("stray").drop("stray"), "quarantine", batch_id)
+        result = step(logs, live, placed.where("NOT stray").drop("stray"), list(self.order), self.config)
+        for name, table in result.outputs.items():
+            self._write(table, name, batch_id)
+        self._write(result.windows, "state_windows", batch_id)
+        self._write(result.logs, "state_logs", batch_id)
+
+    def _write(self, table: DataFrame, name: str, batch_id: int) -> None:
+        table.write.mode("overwrite").parquet(self.folder(name, batch_id))
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(OUTPUTS[name]).parquet(f"{self.path}/{name}").select(
+            *[part.split()[0] for part in OUTPUTS[name].split(", ")])
+
+    def start(self, stream: DataFrame, checkpoint: str, **trigger: bool | str) -> StreamingQuery:
+        writer = stream.writeStream.foreachBatch(self.fold).option("checkpointLocation", checkpoint)
+        return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+@dataclass(frozen=True)
+class FoldResult:
+    """The tables of a fold that has ended after batch ``last``."""
+
+    tables: FoldTables
+    last: int
+
+    @property
+    def logs(self) -> DataFrame:
+        return self.tables._state("logs", LOG_STATE, self.last)
+
+    @property
+    def live(self) -> DataFrame:
+        return self.tables._state("windows", WINDOW_STATE, self.last)
+
+    @property
+    def flushed(self) -> bool:
+        return self.tables.config.termination == "flush"
+
+    @property
+    def panes(self) -> DataFrame:
+        """Every pane; a flush closes the windows that still wait."""
+        out = self.tables.read("panes")
+        if self.flushed:
+            waiting = panes.per_log(self.live.where("NOT fired AND on_time > 0"), self.logs.select("log_id", "next_i"))
+            out = out.unionByName(waiting.selectExpr(
+                "log_id", "win_start", "win_end", "1L AS seq", "'initial' AS kind", "on_time AS count",
+                "CAST(NULL AS BIGINT) AS retracts", f"{END_OF_STREAM}L AS watermark", "next_i AS at_index",
+                "false AS own_pane", "first_index AS opened_index"))
+        return out
+
+    @property
+    def side_output(self) -> DataFrame:
+        return self.tables.read("side_output")
+
+    @property
+    def trace(self) -> DataFrame:
+        out = self.tables.read("trace")
+        if self.flushed:
+            out = out.unionByName(self.logs.selectExpr("log_id", "next_i AS index", f"{END_OF_STREAM}L AS watermark"))
+        return out
+
+    @property
+    def windows(self) -> DataFrame:
+        """Released and live windows, as the audit takes them."""
+        late = "late_in_bound" if self.tables.config.late_policy == "update" else "0L"
+        every = self.tables.read("released").unionByName(self.live)
+        return every.selectExpr(
+            "*", f"fired OR {str(self.flushed).lower()} AS closed").selectExpr(
+            "log_id", "win_start", "win_end", "on_time", "late_in_bound", "closed AS fired",
+            f"CASE WHEN closed THEN on_time + {late} END AS emitted",
+            f"CASE WHEN NOT closed THEN 0L WHEN on_time > 0 THEN 1L + {late} ELSE greatest({late}, {int(late == '0L')}L) END AS panes",
+            f"on_time = 0 AND {str(late != '0L').lower()} AS opened_after_close")
+
+    def verdict(self, log: DataFrame) -> DataFrame:
+        """Audit the tables of the stream against a batch count of the whole log."""
+        config = self.tables.config
+        truth = batch_windows(log, config.window_ms, config.offset_ms)
+        return audit.verdict_windows(self.windows, truth, self.side_output, self.logs.selectExpr("log_id", "w AS w_last"), config)
+
+
+def replay_in_batches(log: DataFrame, order: list[str], config: Config, batches: int) -> FoldResult:
+    """Stream a stored log in so many micro-batches, stopping and restarting the
+    query after each one from its checkpoint."""
+    spark = log.sparkSession
+    source, target, checkpoint = (new_path(spark, name) for name in ("replay", "fold", "checkpoint"))
+    index = index_log(log, order).rows.select(*dict.fromkeys(["log_id", "t", *order, "i"]))
+    total = index.agg({"i": "max"}).first()[0] + 1
+    tables = FoldTables(spark, target, config, tuple(order))
+    columns = [c for c in index.columns if c != "i"]
+    for n in range(batches):
+        part = index.where(f"i >= {total * n // batches} AND i < {total * (n + 1) // batches}").select(*columns)
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        tables.start(stream, checkpoint, availableNow=True).awaitTermination()
+    return FoldResult(tables, batches - 1)
