@@ -24,7 +24,8 @@ class ArrivalIndex:
     events: DataFrame
 
 
-def index_log(log: DataFrame, order: list[str] = ["seq"], keep_columns: list[str] = [], blocks: int | None = None) -> ArrivalIndex:  # noqa: B006
+def index_log(log: DataFrame, order: list[str] = ["seq"], keep_columns: list[str] = [],  # noqa: B006
+              blocks: int | None = None, reused: bool = True) -> ArrivalIndex:
     """Index a log of ``(log_id, t, *order)``. (log_id, order) must be a total order."""
     columns = dict.fromkeys(["log_id", "t", *order, *keep_columns])
     running = {
@@ -33,7 +34,7 @@ def index_log(log: DataFrame, order: list[str] = ["seq"], keep_columns: list[str
         "max_before": running_max_before("max_seen", "t"),
         "first_t": first_of_group("first_t", "t"),
     }
-    scanned = ordered_scan(log.select(*columns), ["log_id"], order, running, "arrival", blocks, reused=True)
+    scanned = ordered_scan(log.select(*columns), ["log_id"], order, running, "arrival", blocks, reused)
     kept = [c for c in columns if c != "log_id"]
     return ArrivalIndex(
         scanned.rows.select("log_id", "blk", "i", "max_before", "max_seen", "first_t", *kept),

@@ -24,6 +24,7 @@ from paneledger.operators.judge import aggregates
 from paneledger.operators.panes import per_log
 
 KEYS = ["log_id", "win_start"]
+ACCUSING = "coalesce(reason IN ('no-pane-after-close', 'unexplained-shortfall'), false)"
 
 
 def _text(*parts: str) -> str:
@@ -100,8 +101,7 @@ def _detail() -> str:
 
 def window_findings(verdict: DataFrame) -> DataFrame:
     """``no-pane-after-close`` and ``unexplained-shortfall``: the reasons that accuse."""
-    accused = verdict.where("reason IN ('no-pane-after-close', 'unexplained-shortfall')")
-    return accused.selectExpr("log_id", "reason AS code", "'defect' AS severity", "win_start", "detail")
+    return verdict.where(ACCUSING).selectExpr("log_id", "reason AS code", "'defect' AS severity", "win_start", "detail")
 
 
 def overshoot_findings(health: DataFrame) -> DataFrame:
@@ -149,12 +149,19 @@ def premature_close_findings(windows: DataFrame, config: Config) -> DataFrame:
 
 
 def pane_chain_findings(panes: DataFrame) -> DataFrame:
-    """A revision must retract exactly what the pane before it emitted. Joined on
-    the pane number, so a window with very many panes is spread over all tasks."""
-    keys = [*KEYS, "seq"]
-    previous = panes.selectExpr(*KEYS, "seq + 1 AS seq", "count AS was")
-    revisions = panes.where("kind = 'revision'").select(*keys, "retracts").join(previous, keys, "left")
-    return _finding(revisions.where("was IS NULL OR NOT (retracts <=> was)"), "pane-chain-broken", _text(
+    """A revision must retract exactly what the pane before it emitted.
+
+    Each pane is sent to its own number with what it retracts, and to the next
+    number with what it emitted: one pass, grouped by (window, number), so a window
+    with very many panes is spread over all tasks.
+    """
+    own = "named_struct('seq', seq, 'revision', kind = 'revision', 'retracts', retracts, 'was', CAST(NULL AS BIGINT))"
+    following = "named_struct('seq', seq + 1, 'revision', false, 'retracts', CAST(NULL AS BIGINT), 'was', count)"
+    linked = panes.selectExpr(*KEYS, f"inline(array({own}, {following}))").groupBy(*KEYS, "seq").agg(*aggregates(
+        revisions="count_if(revision)", stated="count(retracts)",
+        retracts="max(retracts)", least="min(retracts)", was="max(was)", least_was="min(was)"))
+    broken = "stated < revisions OR was IS NULL OR retracts <> was OR least <> least_was"
+    return _finding(linked.where(f"revisions > 0 AND ({broken})"), "pane-chain-broken", _text(
         "'pane '", "seq", "' retracts '", "retracts", "' but the pane before emitted '", "was"), "win_start")
 
 
@@ -166,13 +173,17 @@ def pane_count_findings(windows: DataFrame, config: Config) -> DataFrame:
     return _finding(off, "pane-count-mismatch", _text("panes", "' pane(s) where '", owed, "' were owed'"), "win_start")
 
 
-def verdict_summary(verdict: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per log: outcome counts, windows, findings, and whether the log is clean."""
-    counts = {name: f"count_if(outcome = '{name}')" for name in ("complete", "revised", "unverifiable")}
-    summary = verdict.groupBy("log_id").agg(*aggregates(**counts, total="count(1)"))
-    found = findings.groupBy("log_id").agg(*aggregates(n="count(1)"))
-    return summary.join(found, "log_id", "left").selectExpr(
-        *summary.columns, "coalesce(n, 0L) AS findings", "coalesce(n, 0L) = 0 AS clean")
+def verdict_summary(verdict: DataFrame, run_findings: DataFrame) -> DataFrame:
+    """Per log: outcome counts, windows, findings, and whether the log is clean.
+    ``run_findings`` are those beside the accusing verdicts; ``all_receipted``
+    counts the windows without a pane whose events are all receipted."""
+    summary = verdict.groupBy("log_id").agg(*aggregates(
+        **{name: f"count_if(outcome = '{name}')" for name in ("complete", "revised", "unverifiable")},
+        total="count(1)", accused=f"count_if({ACCUSING})",
+        all_receipted="count_if(panes = 0 AND reason = 'lateness-bound-exceeded')"))
+    found = run_findings.groupBy("log_id").agg(*aggregates(n="count(1)"))
+    return summary.join(found, "log_id", "left").selectExpr("*", "accused + coalesce(n, 0L) AS findings").selectExpr(
+        "log_id", "complete", "revised", "unverifiable", "total", "findings", "findings = 0 AS clean", "all_receipted")
 
 
 def reason_counts(verdict: DataFrame) -> DataFrame:

@@ -47,13 +47,11 @@ def index_named(spark: SparkSession, folder: str, names: list[str]) -> list[Prof
 
 def matrix_rows(run: Run, config_id: str) -> DataFrame:
     """Everything a profile keeps of one run, per log."""
-    receipted = run.verdict.groupBy("log_id").agg(*aggregates(
-        windows_all_receipted="count_if(panes = 0 AND reason = 'lateness-bound-exceeded')"))
     health = run.health.select("log_id", "watermark_overshoots", "watermark_regressions")
     counters = run.counters.selectExpr("log_id", "too_late AS side_output", "revisions_emitted", "opened_after_close")
     one_pane = run.counts.groupBy("log_id").agg(*aggregates(late_with_one_pane="count_if(late_in_bound > 0 AND panes = 1)"))
-    out = run.summary
-    for part in (receipted, health, counters, one_pane):
+    out = run.outcome_counts.withColumnRenamed("all_receipted", "windows_all_receipted")
+    for part in (health, counters, one_pane):
         out = out.join(part, "log_id", "left")
     return out.selectExpr(
         "log_id", f"'{config_id}' AS config", "complete", "revised", "unverifiable", "total", "findings",

@@ -13,13 +13,12 @@ from paneledger.operators import audit, judge, panes, truth
 from paneledger.operators.arrival import ArrivalIndex, index_log
 from paneledger.operators.crossing import FIRE, RELEASE, crossings
 from paneledger.operators.watermarks import attach_watermark
-from paneledger.workspace import keep
 
 
 @dataclass(frozen=True)
 class Run:
     """The tables of a run. Each is a lazy DataFrame, built on first use; the
-    per-window tally and the crossings are kept, because several tables share them.
+    per-window and per-log ones that most others start from are persisted until ``close``.
 
     ``blocks`` and ``block_size`` fix how a log is cut (number of blocks, and rows
     per block); results do not depend on them.
@@ -37,11 +36,11 @@ class Run:
 
     @cached_property
     def tally(self) -> DataFrame:
-        return keep(judge.tally(self.judged), "tally")
+        return judge.tally(self.judged).persist()
 
     @cached_property
     def health(self) -> DataFrame:
-        return judge.log_health(self.tally)
+        return judge.log_health(self.tally).persist()
 
     @cached_property
     def finals(self) -> DataFrame:
@@ -52,7 +51,7 @@ class Run:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return panes.window_counts(self.tally, self.health, self.config)
+        return panes.window_counts(self.tally, self.health, self.config).persist()
 
     @cached_property
     def fired(self) -> DataFrame:
@@ -74,7 +73,10 @@ class Run:
 
     @cached_property
     def panes(self) -> DataFrame:
-        out = self.firing_panes.select(*panes.PANE_COLUMNS)
+        return self._with_late_panes(self.firing_panes)
+
+    def _with_late_panes(self, closing: DataFrame) -> DataFrame:
+        out = closing.select(*panes.PANE_COLUMNS)
         if self.config.late_policy == "update":
             out = out.unionByName(panes.late_panes(self.judged).select(*panes.PANE_COLUMNS))
         return out
@@ -112,33 +114,39 @@ class Run:
 
     @cached_property
     def findings(self) -> DataFrame:
-        """All eight checks, including those that need every pane and release."""
-        unaccounted = audit.unaccounted_events(self.counts, self.truth, self.side_output, self.config)
-        return reduce(DataFrame.unionByName, [
-            self.quick_findings,
-            audit.silent_drop_findings(unaccounted),
-            audit.premature_close_findings(self.windows, self.config),
-            audit.pane_chain_findings(self.panes),
-        ])
+        """All eight checks."""
+        return self.run_findings.unionByName(audit.window_findings(self.verdict))
 
     @cached_property
-    def quick_findings(self) -> DataFrame:
-        """The checks that need only the tally: watermark, pane counts, verdicts."""
+    def run_findings(self) -> DataFrame:
+        """The checks beside the verdicts: watermark, accounting, releases, panes."""
+        unaccounted = audit.unaccounted_events(self.counts, self.truth, self.side_output, self.config)
+        closing = panes.firing_panes(self.counts, self.crossed, self.health, self.config)
         return reduce(DataFrame.unionByName, [
             audit.overshoot_findings(self.health),
             audit.regression_findings(self.health, self.config),
+            audit.silent_drop_findings(unaccounted),
+            audit.premature_close_findings(self.windows, self.config),
             audit.pane_count_findings(self.counts, self.config),
-            audit.window_findings(self.verdict),
+            audit.pane_chain_findings(self._with_late_panes(closing)),
         ])
 
+    @cached_property
+    def outcome_counts(self) -> DataFrame:
+        return audit.verdict_summary(self.verdict, self.run_findings)
+
     @cached_property
     def summary(self) -> DataFrame:
-        return audit.verdict_summary(self.verdict, self.findings)
+        return self.outcome_counts.drop("all_receipted")
 
     @cached_property
     def reasons(self) -> DataFrame:
         return audit.reason_counts(self.verdict)
 
+    def close(self) -> None:
+        for name in {"tally", "health", "counts"} & set(self.__dict__):
+            getattr(self, name).unpersist()
+
     @cached_property
     def lateness(self) -> DataFrame:
         return truth.lateness_profile(self.index.rows, self.blocks)

@@ -29,7 +29,7 @@ from paneledger.operators.arrival import EVENT_LATENESS, index_log
 from paneledger.operators.crossing import FIRE, crossings
 from paneledger.operators.truth import batch_windows
 from paneledger.operators.watermarks import attach_watermark, start_of
-from paneledger.workspace import keep, new_path
+from paneledger.workspace import new_path
 
 LOG_STATE = (
     "log_id STRING, next_i BIGINT, max_seen BIGINT, first_t BIGINT, w BIGINT, raw BIGINT, "
@@ -45,6 +45,7 @@ OUTPUTS = {
     "trace": "log_id STRING, index BIGINT, watermark BIGINT",
     "released": WINDOW_STATE,
 }
+KEYS = ["log_id", "win_start"]
 SCALARS = ["next_i", "max_seen", "first_t", "w", "raw", "open_min"]
 
 
@@ -101,58 +102,50 @@ def _key(order: list[str]) -> str:
     return f"concat_ws('/', {', '.join(part.format(c=c) for c in order)})"
 
 
-@dataclass(frozen=True)
-class Step:
-    logs: DataFrame
-    windows: DataFrame
-    outputs: dict[str, DataFrame]
-
-
-def step(logs: DataFrame, live: DataFrame, batch: DataFrame, order: list[str], config: Config) -> Step:
-    """Fold one batch into the state."""
-    update = config.late_policy == "update"
-    keys = ["log_id", "win_start"]
-    rows = with_log_state(index_log(batch, order).rows, logs)
+def judge_batch(logs: DataFrame, batch: DataFrame, order: list[str], config: Config) -> DataFrame:
+    """The batch, judged as a continuation of its logs."""
+    rows = with_log_state(index_log(batch, order, reused=False).rows, logs)
     samples = None
     if config.watermark.name == "percentile":
         samples = logs.where("size(lats) > 0").select("log_id", "next_i", "lats").join(
             batch.select("log_id").distinct(), "log_id", "left_semi")
-    judged = keep(judge.judge(attach_watermark(rows, config.watermark, None, samples), config), "judged")
+    return judge.judge(attach_watermark(rows, config.watermark, None, samples), config)
+
 
+def merge_windows(live: DataFrame, judged: DataFrame) -> DataFrame:
+    """Live windows with the counts of the batch added."""
     now = judge.tally(judged).where(panes.HAS_STATE).selectExpr(
-        *keys, "win_end AS b_end", "on_time AS b_on", "late_in_bound AS b_late", "first_index AS b_first",
+        *KEYS, "win_end AS b_end", "on_time AS b_on", "late_in_bound AS b_late", "first_index AS b_first",
         "first_late_index", "first_late_after")
-    merged = keep(live.join(now, keys, "full_outer").selectExpr(
-        *keys, "coalesce(win_end, b_end) AS win_end",
+    return live.join(now, KEYS, "full_outer").selectExpr(
+        *KEYS, "coalesce(win_end, b_end) AS win_end",
         "coalesce(on_time, 0L) + coalesce(b_on, 0L) AS on_time",
         "coalesce(late_in_bound, 0L) + coalesce(b_late, 0L) AS late_in_bound",
         "coalesce(first_index, b_first) AS first_index", "coalesce(fired, false) AS fired",
-        "first_late_index", "first_late_after"), "live")
+        "first_late_index", "first_late_after")
 
+
+def batch_panes(live: DataFrame, merged: DataFrame, judged: DataFrame, config: Config) -> DataFrame:
+    """The panes that the batch caused: closes of waiting windows, and late events."""
     waiting = merged.where("NOT fired")
-    fired = crossings(judged, waiting.where("on_time > 0"), config, [FIRE])
-    fired = waiting.join(fired, keys, "left").where(
-        "fire IS NOT NULL OR on_time = 0" if not update else "on_time > 0 AND fire IS NOT NULL")
-    closing = fired.selectExpr(
-        *keys, "win_end", "1L AS seq", "'initial' AS kind", "on_time AS count", "CAST(NULL AS BIGINT) AS retracts",
+    closed = waiting.join(crossings(judged, waiting.where("on_time > 0"), config, [FIRE]), KEYS, "left")
+    update = config.late_policy == "update"
+    closed = closed.where("on_time > 0 AND fire IS NOT NULL" if update else "fire IS NOT NULL OR on_time = 0")
+    out = closed.selectExpr(
+        *KEYS, "win_end", "1L AS seq", "'initial' AS kind", "on_time AS count", "CAST(NULL AS BIGINT) AS retracts",
         "coalesce(fire.watermark, first_late_after) AS watermark", "coalesce(fire.index, first_late_index) AS at_index",
         "false AS own_pane", "first_index AS opened_index")
-    closing = keep(closing, "closing")
-    out = closing
-    if update:
-        out = out.unionByName(panes.late_panes(judged, live).select(*panes.PANE_COLUMNS))
-
-    after = keep(next_logs(logs, judged, order, config), "logs")
-    fired_now = closing.selectExpr(*keys, "true AS fired_now")
-    windows = merged.join(fired_now, keys, "left").selectExpr(
-        *keys, "win_end", "on_time", "late_in_bound", "first_index",
+    return out.unionByName(panes.late_panes(judged, live).select(*panes.PANE_COLUMNS)) if update else out
+
+
+def next_windows(merged: DataFrame, new_panes: DataFrame, logs: DataFrame, config: Config) -> DataFrame:
+    """The windows after the batch; ``done`` marks those the watermark released."""
+    fired_now = new_panes.where("NOT own_pane").selectExpr(*KEYS, "true AS fired_now")
+    windows = merged.join(fired_now, KEYS, "left").selectExpr(
+        *KEYS, "win_end", "on_time", "late_in_bound", "first_index",
         "fired OR coalesce(fired_now, false) OR on_time = 0 AS fired")
-    windows = panes.per_log(windows, after.select("log_id", "w")).selectExpr(
+    return panes.per_log(windows, logs.select("log_id", "w")).selectExpr(
         "*", f"coalesce(w >= win_end + {config.allowed_lateness_ms}L, false) AS done").drop("w")
-    return Step(after, windows.where("NOT done").drop("done"), {
-        "panes": out, "side_output": judge.receipts(judged, config), "trace": judge.trace(judged),
-        "released": windows.where("done").drop("done"),
-    })
 
 
 @dataclass(frozen=True)
@@ -174,19 +167,30 @@ class FoldTables:
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` function."""
+        config, order = self.config, list(self.order)
         logs, live = self._state("logs", LOG_STATE, batch_id - 1), self._state("windows", WINDOW_STATE, batch_id - 1)
         # A row at or before the last one of its log came too late to have a position.
-        placed = panes.per_log(batch.selectExpr("*", f"{_key(list(self.order))} AS row_key"), logs.select("log_id", "last_key"), "row_key")
-        placed = keep(placed.selectExpr("*", "coalesce(row_key <= last_key, false) AS stray").drop("row_key", "last_key"), "batch")
+        placed = panes.per_log(batch.selectExpr("*", f"{_key(order)} AS row_key"), logs.select("log_id", "last_key"), "row_key")
+        placed = placed.selectExpr("*", "coalesce(row_key <= last_key, false) AS stray").drop("row_key", "last_key").persist()
         self._write(placed.where("stray").drop("stray"), "quarantine", batch_id)
-        result = step(logs, live, placed.where("NOT stray").drop("stray"), list(self.order), self.config)
-        for name, table in result.outputs.items():
-            self._write(table, name, batch_id)
-        self._write(result.windows, "state_windows", batch_id)
-        self._write(result.logs, "state_logs", batch_id)
-
-    def _write(self, table: DataFrame, name: str, batch_id: int) -> None:
-        table.write.mode("overwrite").parquet(self.folder(name, batch_id))
+
+        judged = judge_batch(logs, placed.where("NOT stray").drop("stray"), order, config).persist()
+        merged = merge_windows(live, judged).persist()
+        after = self._write(next_logs(logs, judged, order, config), "state_logs", batch_id)
+        new_panes = self._write(batch_panes(live, merged, judged, config), "panes", batch_id)
+        self._write(judge.receipts(judged, config), "side_output", batch_id)
+        self._write(judge.trace(judged), "trace", batch_id)
+        windows = next_windows(merged, new_panes, after, config).persist()
+        self._write(windows.where("done").drop("done"), "released", batch_id)
+        self._write(windows.where("NOT done").drop("done"), "state_windows", batch_id)
+        for table in (placed, judged, merged, windows):
+            table.unpersist()
+
+    def _write(self, table: DataFrame, name: str, batch_id: int) -> DataFrame:
+        """Write one table of a batch, replacing what a failed attempt left."""
+        path = self.folder(name, batch_id)
+        table.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(table.schema).parquet(path)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(OUTPUTS[name]).parquet(f"{self.path}/{name}").select(
