@@ -12,7 +12,7 @@ from paneledger import Config, Run, WatermarkSpec, index_log
 from paneledger.functions import human_ms, parse_window_key, window_key
 from paneledger.operators import audit
 from paneledger.operators.arrival import EVENT_LATENESS, first_rows
-from paneledger.operators.truth import stream_stats
+from paneledger.operators.truth import batch_windows, stream_stats
 from paneledger.plans import compare
 from paneledger.plans.timeline import timeline
 from paneledger.sinks.reports import run_fingerprint, write_ndjson
@@ -61,7 +61,7 @@ def _panes(**options) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def tumbling_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir).truth.selectExpr(
+    return batch_windows(named_log("events").load(spark, sf_dir), HOUR).selectExpr(
         "log_id", "win_start", "win_end", f"{window_key('win_start', 'win_end')} AS window_key", "count")
 
 

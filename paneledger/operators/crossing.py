@@ -46,10 +46,12 @@ def crossings(judged: DataFrame, windows: DataFrame, config: Config, kinds: list
     thresholds = windows.selectExpr("log_id", "win_start", f"inline(array({lines}))")
     both = grid_steps(judged, config, kinds).unionByName(thresholds, allowMissingColumns=True)
     # Descending lines; on one line the step comes before the threshold it meets.
-    found = ordered_scan(
-        both.selectExpr("*", "-line AS down", "win_start IS NOT NULL AS ask"), ["log_id", "kind"], ["down", "ask"],
-        {"met": last_known("met", "hit")}, "crossing", blocks,
-    ).rows.where("ask")
+    # Held while it is range-partitioned, which reads it twice.
+    both = both.selectExpr("*", "-line AS down", "win_start IS NOT NULL AS ask").persist()
+    scanned = ordered_scan(
+        both, ["log_id", "kind"], ["down", "ask"], {"met": last_known("met", "hit")}, "crossing", blocks)
+    both.unpersist()
+    found = scanned.rows.where("ask")
     if len(kinds) == 1:
         return found.selectExpr("log_id", "win_start", f"met AS {kinds[0]}")
     fire, release = (found.where(f"kind = '{k}'").selectExpr("log_id", "win_start", f"met AS {k}") for k in (FIRE, RELEASE))

@@ -16,10 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneledger.workspace import keep
+from paneledger.workspace import fits, keep
 
 UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+ONE_BLOCK_ROWS = 250_000
 WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
@@ -105,15 +106,20 @@ class Scanned:
 
 def ordered_scan(
     df: DataFrame, by: list[str], order: list[str], running: dict[str, Running],
-    label: str, blocks: int | None = None, reused: bool = False,
+    label: str, blocks: int | None = None,
 ) -> Scanned:
     """Add one column per running value.
 
     (by, order) must be unique. ``blocks`` fixes the number of blocks; by default
-    it follows ``spark.sql.shuffle.partitions`` and the adaptive coalescing. With
-    ``reused`` the carry is stored too, rather than found again by every reader.
+    it follows ``spark.sql.shuffle.partitions`` and the adaptive coalescing, and a
+    table of at most ONE_BLOCK_ROWS rows is one block that needs no carry.
     """
     keys = [*by, *order]
+    if blocks is None and fits(df, ONE_BLOCK_ROWS):
+        over = frames(by, order)
+        local = [f"{run.local.format(**over)} AS {name}" for name, run in running.items()]
+        rows = df.selectExpr("*", "0 AS blk", *local).persist()
+        return Scanned(rows, rows)
     ranged = df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
     ranged = ranged.selectExpr("*", "spark_partition_id() AS blk")
     over = frames([*by, "blk"], order)
@@ -122,8 +128,6 @@ def ordered_scan(
     written = keep(ranged.selectExpr("*", *local, f"lead(true) {over['order']} IS NULL AS ends_block"), label)
     ends = written.where("ends_block").selectExpr(
         *by, "blk", *[f"{run.block} AS block_{name}" for name, run in running.items()])
-    carry = block_carry(ends, by, running)
-    if reused:
-        carry = keep(carry, f"{label}-carry")
+    carry = block_carry(ends, by, running).persist()
     written = written.drop("ends_block")
     return Scanned(with_carry(written, carry, by, running), written)

@@ -22,17 +22,19 @@ from pyspark.sql.types import LongType, StructField, StructType
 from paneledger.config import WatermarkSpec
 from paneledger.operators.arrival import EVENT_LATENESS
 from paneledger.operators.judge import aggregates
-from paneledger.operators.scan import block_carry, frames, last_known, running_max, running_max_before, with_carry
+from paneledger.operators.scan import (
+    ONE_BLOCK_ROWS, block_carry, frames, last_known, running_max, running_max_before, with_carry,
+)
 from paneledger.workspace import keep
 
 MIN_BLOCK_ROWS = 8_192
 
 
-def block_rows(rows: DataFrame, multiple_of: int) -> int:
+def block_rows(rows: DataFrame, total: int, multiple_of: int) -> int:
     """Rows per block: as many blocks as shuffle partitions for a large log, and
     never less than MIN_BLOCK_ROWS. Blocks start at multiples of ``multiple_of``."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(MIN_BLOCK_ROWS, -(-rows.count() // partitions))
+    wanted = max(MIN_BLOCK_ROWS, -(-total // partitions))
     return -(-wanted // multiple_of) * multiple_of
 
 
@@ -62,7 +64,7 @@ def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) ->
     Blocks are aligned to groups, so a group lies in one block.
     """
     n = spec.every_n
-    size = -(-size // n) * n if size else block_rows(rows, n)
+    size = -(-size // n) * n if size else block_rows(rows, rows.count(), n)
     rows = rows.drop("blk").selectExpr("*", f"{start_of('i', n)} AS grp", f"{start_of('i', size)} AS blk")
     # A group begun in an earlier micro-batch already has a lowest event time.
     streaming = "s_next_i" in rows.columns
@@ -95,7 +97,8 @@ def from_quantile(rows: DataFrame, spec: WatermarkSpec, size: int | None, sample
     a copy of the S rows before it and needs nothing else from other blocks.
     """
     sample = spec.sample_size
-    size = max(size, sample) if size else max(block_rows(rows, 1), 16 * sample)
+    rows_total = rows.count()
+    size = max(size, sample) if size else max(block_rows(rows, rows_total, 1), 16 * sample)
     rows = rows.drop("blk")
     schema = StructType([*rows.schema, *[StructField(name, LongType()) for name in ("blk", "raw", "w_after", "w_before")]])
     spread = rows.selectExpr(
@@ -110,7 +113,7 @@ def from_quantile(rows: DataFrame, spec: WatermarkSpec, size: int | None, sample
         spread.repartition("log_id", "blk").sortWithinPartitions("log_id", "blk", "i")
         .mapInArrow(sliding_quantile(spec, schema.names), schema)
     )
-    local = keep(streamed, "quantile")
+    local = streamed.persist() if rows_total <= ONE_BLOCK_ROWS else keep(streamed, "quantile")
     running = {"w_after": running_max("w_after", "raw"), "w_before": running_max_before("w_after", "raw")}
     highest = local.groupBy("log_id", "blk").agg(*aggregates(block_w_after="max(raw)", block_w_before="max(raw)"))
     carry = block_carry(highest, ["log_id"], running)

@@ -36,3 +36,8 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows. Reads no more than that per task."""
+    return df.limit(rows + 1).count() <= rows
