@@ -41,6 +41,12 @@ def index_log(log: DataFrame, order: list[str] = ["seq"], keep_columns: list[str
     )
 
 
+def repeated_positions(log: DataFrame, order: list[str] = ["seq"]) -> DataFrame:  # noqa: B006
+    """Positions that several rows of a log claim; an order with any is not total,
+    and a run over it would not be repeatable."""
+    return log.groupBy("log_id", *order).count().where("count > 1")
+
+
 def first_rows(index: ArrivalIndex, n: int) -> DataFrame:
     """The first ``n`` arrivals of every log, contiguous, not a sample."""
     return index.rows.where(f"i < {n}")

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from paneledger.config import Config
+from paneledger.operators.judge import aggregates
 from paneledger.operators.scan import last_known, ordered_scan
 
 FIRE, RELEASE = "fire", "release"
-HIT = "named_struct('index', i, 'watermark', w_after, 't', t, 'cls', cls)"
+HIT = "named_struct('index', i, 'watermark', w_after, 't', t)"
 
 
 def grid_line(value: str, shift: int, window_ms: int) -> str:
@@ -39,20 +40,20 @@ def grid_steps(judged: DataFrame, config: Config, kinds: list[str]) -> DataFrame
 
 def crossings(judged: DataFrame, windows: DataFrame, config: Config, kinds: list[str], blocks: int | None = None) -> DataFrame:
     """Per (log, window): ``fire`` and/or ``release``, each ``struct<index,
-    watermark, t, cls>`` of the event that first carried the watermark to the
+    watermark, t>`` of the event that first carried the watermark to the
     window's end, or to its end plus allowed lateness; NULL if none did."""
     at = {FIRE: "win_end", RELEASE: f"win_end + {config.allowed_lateness_ms}L"}
     lines = ", ".join(f"named_struct('kind', '{k}', 'line', {at[k]})" for k in kinds)
     thresholds = windows.selectExpr("log_id", "win_start", f"inline(array({lines}))")
     both = grid_steps(judged, config, kinds).unionByName(thresholds, allowMissingColumns=True)
     # Descending lines; on one line the step comes before the threshold it meets.
-    # Held while it is range-partitioned, which reads it twice.
-    both = both.selectExpr("*", "-line AS down", "win_start IS NOT NULL AS ask").persist()
-    scanned = ordered_scan(
-        both, ["log_id", "kind"], ["down", "ask"], {"met": last_known("met", "hit")}, "crossing", blocks)
-    both.unpersist()
-    found = scanned.rows.where("ask")
+    found = ordered_scan(
+        both.selectExpr("*", "-line AS down", "win_start IS NOT NULL AS ask"), ["log_id", "kind"], ["down", "ask"],
+        {"met": last_known("met", "hit")}, "crossing", blocks, derived=True,
+    ).rows.where("ask")
     if len(kinds) == 1:
         return found.selectExpr("log_id", "win_start", f"met AS {kinds[0]}")
-    fire, release = (found.where(f"kind = '{k}'").selectExpr("log_id", "win_start", f"met AS {k}") for k in (FIRE, RELEASE))
-    return fire.join(release, ["log_id", "win_start"])
+    parts = {f"{k}_{field}": f"max(met.{field}) FILTER (WHERE kind = '{k}')" for k in kinds for field in ("index", "watermark", "t")}
+    return found.groupBy("log_id", "win_start").agg(*aggregates(**parts)).selectExpr("log_id", "win_start", *[
+        f"CASE WHEN {k}_index IS NOT NULL THEN named_struct('index', {k}_index, 'watermark', {k}_watermark, 't', {k}_t) END AS {k}"
+        for k in kinds])

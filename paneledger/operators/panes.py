@@ -62,7 +62,7 @@ def firing_panes(counts: DataFrame, crossed: DataFrame, health: DataFrame, confi
         rows = per_log(rows, health.select("log_id", "events"))
         fire = (
             f"coalesce(fire, named_struct('index', events, 'watermark', {END_OF_STREAM}L, "
-            "'t', CAST(NULL AS BIGINT), 'cls', CAST(NULL AS STRING)))"
+            "'t', CAST(NULL AS BIGINT)))"
         )
     own = "on_time > 0" if config.late_policy == "update" else "true"
     return (

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneledger.workspace import fits, keep
+from paneledger.workspace import keep
 
 UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -106,16 +106,20 @@ class Scanned:
 
 def ordered_scan(
     df: DataFrame, by: list[str], order: list[str], running: dict[str, Running],
-    label: str, blocks: int | None = None,
+    label: str, blocks: int | None = None, derived: bool = False,
 ) -> Scanned:
     """Add one column per running value.
 
     (by, order) must be unique. ``blocks`` fixes the number of blocks; by default
     it follows ``spark.sql.shuffle.partitions`` and the adaptive coalescing, and a
-    table of at most ONE_BLOCK_ROWS rows is one block that needs no carry.
+    table of at most ONE_BLOCK_ROWS rows is one block that needs no carry. A
+    ``derived`` table is held while it is counted, sampled and written, so that the
+    work behind it is done once.
     """
     keys = [*by, *order]
-    if blocks is None and fits(df, ONE_BLOCK_ROWS):
+    if derived:
+        df = df.persist()
+    if blocks is None and df.count() <= ONE_BLOCK_ROWS:
         over = frames(by, order)
         local = [f"{run.local.format(**over)} AS {name}" for name, run in running.items()]
         rows = df.selectExpr("*", "0 AS blk", *local).persist()
@@ -126,6 +130,8 @@ def ordered_scan(
     local = [f"{run.local.format(**over)} AS {name}" for name, run in running.items()]
     # The block numbers hold only for this one shuffle: write them down.
     written = keep(ranged.selectExpr("*", *local, f"lead(true) {over['order']} IS NULL AS ends_block"), label)
+    if derived:
+        df.unpersist()
     ends = written.where("ends_block").selectExpr(
         *by, "blk", *[f"{run.block} AS block_{name}" for name, run in running.items()])
     carry = block_carry(ends, by, running).persist()

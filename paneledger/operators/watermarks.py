@@ -25,7 +25,7 @@ from paneledger.operators.judge import aggregates
 from paneledger.operators.scan import (
     ONE_BLOCK_ROWS, block_carry, frames, last_known, running_max, running_max_before, with_carry,
 )
-from paneledger.workspace import keep
+from paneledger.workspace import hold
 
 MIN_BLOCK_ROWS = 8_192
 
@@ -64,7 +64,8 @@ def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) ->
     Blocks are aligned to groups, so a group lies in one block.
     """
     n = spec.every_n
-    size = -(-size // n) * n if size else block_rows(rows, rows.count(), n)
+    total = rows.count()
+    size = -(-size // n) * n if size else block_rows(rows, total, n)
     rows = rows.drop("blk").selectExpr("*", f"{start_of('i', n)} AS grp", f"{start_of('i', size)} AS blk")
     # A group begun in an earlier micro-batch already has a lowest event time.
     streaming = "s_next_i" in rows.columns
@@ -77,7 +78,7 @@ def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) ->
     complete = f"FILTER (WHERE last_i % {n} = {n - 1})"
     blocks = groups.groupBy("log_id", "blk").agg(*aggregates(
         block_w_after=f"max(low - 1) {complete}", block_raw=f"max_by(low - 1, grp) {complete}"))
-    carry = block_carry(blocks, ["log_id"], marks).selectExpr("*", "carry_w_after AS carry_w_before")
+    carry = block_carry(blocks, ["log_id"], marks).selectExpr("*", "carry_w_after AS carry_w_before").persist()
 
     group, block = frames(["log_id", "blk", "grp"], ["i"]), frames(["log_id", "blk"], ["i"])
     marks["w_before"] = running_max_before("w_after", "mark")
@@ -86,6 +87,7 @@ def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) ->
         .selectExpr("*", *[f"{m.local.format(**block)} AS {name}" for name, m in marks.items()])
         .drop("grp", "low", "mark")
     )
+    local = hold(local, "punctuated", total <= ONE_BLOCK_ROWS)
     return with_state(with_carry(local, carry, ["log_id"], marks))
 
 
@@ -97,8 +99,8 @@ def from_quantile(rows: DataFrame, spec: WatermarkSpec, size: int | None, sample
     a copy of the S rows before it and needs nothing else from other blocks.
     """
     sample = spec.sample_size
-    rows_total = rows.count()
-    size = max(size, sample) if size else max(block_rows(rows, rows_total, 1), 16 * sample)
+    total = rows.count()
+    size = max(size, sample) if size else max(block_rows(rows, total, 1), 16 * sample)
     rows = rows.drop("blk")
     schema = StructType([*rows.schema, *[StructField(name, LongType()) for name in ("blk", "raw", "w_after", "w_before")]])
     spread = rows.selectExpr(
@@ -113,10 +115,10 @@ def from_quantile(rows: DataFrame, spec: WatermarkSpec, size: int | None, sample
         spread.repartition("log_id", "blk").sortWithinPartitions("log_id", "blk", "i")
         .mapInArrow(sliding_quantile(spec, schema.names), schema)
     )
-    local = streamed.persist() if rows_total <= ONE_BLOCK_ROWS else keep(streamed, "quantile")
+    local = hold(streamed, "quantile", total <= ONE_BLOCK_ROWS)
     running = {"w_after": running_max("w_after", "raw"), "w_before": running_max_before("w_after", "raw")}
     highest = local.groupBy("log_id", "blk").agg(*aggregates(block_w_after="max(raw)", block_w_before="max(raw)"))
-    carry = block_carry(highest, ["log_id"], running)
+    carry = block_carry(highest, ["log_id"], running).persist()
     return with_state(with_carry(local, carry, ["log_id"], running))
 
 

@@ -38,6 +38,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows. Reads no more than that per task."""
-    return df.limit(rows + 1).count() <= rows
+def hold(df: DataFrame, label: str, small: bool) -> DataFrame:
+    """A result that several readers share: in executor memory if it is small,
+    else as a stored table."""
+    return df.persist() if small else keep(df, label)
