@@ -51,7 +51,7 @@ def verdict_windows(
     A refused event counts once: too-late receipts, plus in-bound discards (the
     receipts of ``side-output``, the late count of ``drop``).
     """
-    engine = windows.selectExpr(*KEYS, "win_end AS engine_end", "emitted", "panes", "late_in_bound")
+    engine = windows.selectExpr(*KEYS, "win_end AS engine_end", "emitted", "panes", "on_time", "late_in_bound")
     joined = (
         truth.selectExpr(*KEYS, "win_end", "count AS expected")
         .join(engine, KEYS, "full_outer")
@@ -61,7 +61,7 @@ def verdict_windows(
     w_final = f"{END_OF_STREAM}L" if config.termination == "flush" else "w_last"
     rows = per_log(joined, health.select("log_id", "w_last")).selectExpr(
         *KEYS, "coalesce(win_end, engine_end) AS win_end", "coalesce(expected, 0L) AS expected", "emitted",
-        "coalesce(panes, 0L) AS panes", f"coalesce({discarded}, 0L) AS discarded",
+        "coalesce(panes, 0L) AS panes", f"coalesce({discarded}, 0L) AS discarded", f"coalesce({_tallied(config)}, 0L) AS tallied",
         "coalesce(too_late_receipts, 0L) AS too_late_receipts", f"{w_final} AS w_final",
     ).selectExpr(
         "*", "too_late_receipts + discarded AS receipted", "expected - coalesce(emitted, 0L) AS short",
@@ -78,10 +78,18 @@ def verdict_windows(
     return rows.selectExpr(
         *KEYS, "win_end",
         "CASE WHEN reason IS NOT NULL THEN 'unverifiable' WHEN panes > 1 THEN 'revised' ELSE 'complete' END AS outcome",
-        "reason", "expected", "emitted", "panes", "receipted", f"{_detail()} AS detail",
+        "reason", "expected", "emitted", "panes", "receipted",
+        "greatest(0L, expected - tallied - too_late_receipts) AS lost", f"{_detail()} AS detail",
     )
 
 
+def _tallied(config: Config) -> str:
+    """Events that a window counted or discarded on the record. Under
+    ``side-output`` an in-bound late event is owed a receipt, so that counts."""
+    late = "in_bound_receipts" if config.late_policy == "side-output" else "late_in_bound"
+    return f"coalesce(on_time, 0L) + coalesce({late}, 0L)"
+
+
 def _detail() -> str:
     """The sentence behind an outcome."""
     return f"""CASE
@@ -119,10 +127,8 @@ def regression_findings(health: DataFrame, config: Config) -> DataFrame:
 
 
 def unaccounted_events(windows: DataFrame, truth: DataFrame, receipts: DataFrame, config: Config) -> DataFrame:
-    """Per window: events that were neither tallied nor receipted. Under
-    ``side-output`` an in-bound late event is owed a receipt as well."""
-    in_bound = "in_bound_receipts" if config.late_policy == "side-output" else "late_in_bound"
-    lost = f"count - coalesce(on_time, 0L) - coalesce({in_bound}, 0L) - coalesce(too_late_receipts, 0L)"
+    """Per window: events that were neither tallied nor receipted."""
+    lost = f"count - ({_tallied(config)}) - coalesce(too_late_receipts, 0L)"
     return (
         truth.select(*KEYS, "count").join(windows.select(*KEYS, "on_time", "late_in_bound"), KEYS, "left")
         .join(receipt_counts(receipts, config), KEYS, "left")
@@ -131,7 +137,8 @@ def unaccounted_events(windows: DataFrame, truth: DataFrame, receipts: DataFrame
 
 
 def silent_drop_findings(unaccounted: DataFrame) -> DataFrame:
-    lost = unaccounted.groupBy("log_id").agg(*aggregates(lost="sum(lost)"))
+    """From ``unaccounted_events``, or from a verdict, which has ``lost`` as well."""
+    lost = unaccounted.where("lost > 0").groupBy("log_id").agg(*aggregates(lost="sum(lost)"))
     return _finding(lost, "silent-drop", _text("lost", "' event(s) neither counted nor receipted'"))
 
 
@@ -175,11 +182,11 @@ def pane_count_findings(windows: DataFrame, config: Config) -> DataFrame:
 
 def verdict_summary(verdict: DataFrame, run_findings: DataFrame) -> DataFrame:
     """Per log: outcome counts, windows, findings, and whether the log is clean.
-    ``run_findings`` are those beside the accusing verdicts; ``all_receipted``
+    ``run_findings`` are those that the verdict does not imply; ``all_receipted``
     counts the windows without a pane whose events are all receipted."""
     summary = verdict.groupBy("log_id").agg(*aggregates(
         **{name: f"count_if(outcome = '{name}')" for name in ("complete", "revised", "unverifiable")},
-        total="count(1)", accused=f"count_if({ACCUSING})",
+        total="count(1)", accused=f"count_if({ACCUSING}) + CAST(max(lost) > 0 AS BIGINT)",
         all_receipted="count_if(panes = 0 AND reason = 'lateness-bound-exceeded')"))
     found = run_findings.groupBy("log_id").agg(*aggregates(n="count(1)"))
     return summary.join(found, "log_id", "left").selectExpr("*", "accused + coalesce(n, 0L) AS findings").selectExpr(

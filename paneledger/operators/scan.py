@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneledger.workspace import keep
+from paneledger.workspace import keep, remember
 
 UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -118,11 +118,11 @@ def ordered_scan(
     """
     keys = [*by, *order]
     if derived:
-        df = df.persist()
+        df = remember(df)
     if blocks is None and df.count() <= ONE_BLOCK_ROWS:
         over = frames(by, order)
         local = [f"{run.local.format(**over)} AS {name}" for name, run in running.items()]
-        rows = df.selectExpr("*", "0 AS blk", *local).persist()
+        rows = remember(df.selectExpr("*", "0 AS blk", *local))
         return Scanned(rows, rows)
     ranged = df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
     ranged = ranged.selectExpr("*", "spark_partition_id() AS blk")
@@ -134,6 +134,6 @@ def ordered_scan(
         df.unpersist()
     ends = written.where("ends_block").selectExpr(
         *by, "blk", *[f"{run.block} AS block_{name}" for name, run in running.items()])
-    carry = block_carry(ends, by, running).persist()
+    carry = remember(block_carry(ends, by, running))
     written = written.drop("ends_block")
     return Scanned(with_carry(written, carry, by, running), written)

@@ -25,7 +25,7 @@ from paneledger.operators.judge import aggregates
 from paneledger.operators.scan import (
     ONE_BLOCK_ROWS, block_carry, frames, last_known, running_max, running_max_before, with_carry,
 )
-from paneledger.workspace import hold
+from paneledger.workspace import hold, remember
 
 MIN_BLOCK_ROWS = 8_192
 
@@ -78,7 +78,7 @@ def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) ->
     complete = f"FILTER (WHERE last_i % {n} = {n - 1})"
     blocks = groups.groupBy("log_id", "blk").agg(*aggregates(
         block_w_after=f"max(low - 1) {complete}", block_raw=f"max_by(low - 1, grp) {complete}"))
-    carry = block_carry(blocks, ["log_id"], marks).selectExpr("*", "carry_w_after AS carry_w_before").persist()
+    carry = remember(block_carry(blocks, ["log_id"], marks).selectExpr("*", "carry_w_after AS carry_w_before"))
 
     group, block = frames(["log_id", "blk", "grp"], ["i"]), frames(["log_id", "blk"], ["i"])
     marks["w_before"] = running_max_before("w_after", "mark")
@@ -118,7 +118,7 @@ def from_quantile(rows: DataFrame, spec: WatermarkSpec, size: int | None, sample
     local = hold(streamed, "quantile", total <= ONE_BLOCK_ROWS)
     running = {"w_after": running_max("w_after", "raw"), "w_before": running_max_before("w_after", "raw")}
     highest = local.groupBy("log_id", "blk").agg(*aggregates(block_w_after="max(raw)", block_w_before="max(raw)"))
-    carry = block_carry(highest, ["log_id"], running).persist()
+    carry = remember(block_carry(highest, ["log_id"], running))
     return with_state(with_carry(local, carry, ["log_id"], running))
 
 

@@ -13,12 +13,14 @@ from paneledger.operators import audit, judge, panes, truth
 from paneledger.operators.arrival import ArrivalIndex, index_log
 from paneledger.operators.crossing import FIRE, RELEASE, crossings
 from paneledger.operators.watermarks import attach_watermark
+from paneledger.workspace import remember
 
 
 @dataclass(frozen=True)
 class Run:
     """The tables of a run. Each is a lazy DataFrame, built on first use; the
-    per-window and per-log ones that most others start from are persisted until ``close``.
+    per-window and per-log ones that most others start from stay in memory until
+    ``workspace.release``.
 
     ``blocks`` and ``block_size`` fix how a log is cut (number of blocks, and rows
     per block); results do not depend on them.
@@ -36,11 +38,11 @@ class Run:
 
     @cached_property
     def tally(self) -> DataFrame:
-        return judge.tally(self.judged).persist()
+        return remember(judge.tally(self.judged))
 
     @cached_property
     def health(self) -> DataFrame:
-        return judge.log_health(self.tally).persist()
+        return remember(judge.log_health(self.tally))
 
     @cached_property
     def finals(self) -> DataFrame:
@@ -51,17 +53,17 @@ class Run:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return panes.window_counts(self.tally, self.health, self.config).persist()
+        return remember(panes.window_counts(self.tally, self.health, self.config))
 
     @cached_property
     def fired(self) -> DataFrame:
         """Per window, the event that closed it."""
-        return crossings(self.judged, self.tally.where(panes.HAS_STATE), self.config, [FIRE], self.blocks)
+        return crossings(self.judged, self.counts, self.config, [FIRE], self.blocks)
 
     @cached_property
     def crossed(self) -> DataFrame:
         """Per window, the events that closed and released it."""
-        return crossings(self.judged, self.tally.where(panes.HAS_STATE), self.config, [FIRE, RELEASE], self.blocks)
+        return remember(crossings(self.judged, self.counts, self.config, [FIRE, RELEASE], self.blocks))
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -115,17 +117,16 @@ class Run:
     @cached_property
     def findings(self) -> DataFrame:
         """All eight checks."""
-        return self.run_findings.unionByName(audit.window_findings(self.verdict))
+        lost = audit.silent_drop_findings(self.verdict)
+        return self.run_findings.unionByName(lost).unionByName(audit.window_findings(self.verdict))
 
     @cached_property
     def run_findings(self) -> DataFrame:
-        """The checks beside the verdicts: watermark, accounting, releases, panes."""
-        unaccounted = audit.unaccounted_events(self.counts, self.truth, self.side_output, self.config)
+        """The checks that the verdict does not imply: watermark, releases, panes."""
         closing = panes.firing_panes(self.counts, self.crossed, self.health, self.config)
         return reduce(DataFrame.unionByName, [
             audit.overshoot_findings(self.health),
             audit.regression_findings(self.health, self.config),
-            audit.silent_drop_findings(unaccounted),
             audit.premature_close_findings(self.windows, self.config),
             audit.pane_count_findings(self.counts, self.config),
             audit.pane_chain_findings(self._with_late_panes(closing)),
@@ -143,10 +144,6 @@ class Run:
     def reasons(self) -> DataFrame:
         return audit.reason_counts(self.verdict)
 
-    def close(self) -> None:
-        for name in {"tally", "health", "counts"} & set(self.__dict__):
-            getattr(self, name).unpersist()
-
     @cached_property
     def lateness(self) -> DataFrame:
         return truth.lateness_profile(self.index.rows, self.blocks)

@@ -38,7 +38,23 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_in_memory: list[DataFrame] = []
+
+
+def remember(df: DataFrame) -> DataFrame:
+    """Keep ``df`` in executor memory, spilling to disk, until ``release``."""
+    _in_memory.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Free everything that runs have kept in memory. Call it between runs over
+    files that change."""
+    while _in_memory:
+        _in_memory.pop().unpersist()
+
+
 def hold(df: DataFrame, label: str, small: bool) -> DataFrame:
     """A result that several readers share: in executor memory if it is small,
     else as a stored table."""
-    return df.persist() if small else keep(df, label)
+    return remember(df) if small else keep(df, label)

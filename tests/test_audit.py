@@ -102,7 +102,7 @@ def test_altered_tables_are_accused(make_log):
 def test_revised_windows_hidden_as_complete_change_nothing_else(make_log):
     """An altered verdict that calls revised windows complete is an exact relabel."""
     run = run_log(make_log(ONE_LATE), BASE)
-    hidden = run.verdict.selectExpr("log_id", "win_start", "panes", "reason", "CASE WHEN outcome = 'revised' THEN 'complete' ELSE outcome END AS outcome")
+    hidden = run.verdict.selectExpr("log_id", "win_start", "panes", "reason", "lost", "CASE WHEN outcome = 'revised' THEN 'complete' ELSE outcome END AS outcome")
     honest, lying = run.summary.first(), audit.verdict_summary(hidden, run.run_findings).first()
     assert honest.revised == 1 and lying.revised == 0
     assert lying.complete == honest.complete + honest.revised and lying.unverifiable == honest.unverifiable
