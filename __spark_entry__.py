@@ -73,8 +73,8 @@ def window_key_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ndjson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events log written as NDJSON in arrival order, and read back by line."""
     log, path = named_log("events"), new_path(spark, "ndjson")
-    write_ndjson(log.load(spark, sf_dir).coalesce(1), path, list(log.order))
-    return read_ndjson(spark, path).events.select("seq", "t", "p", "k")
+    write_ndjson(log.load(spark, sf_dir), path, list(log.order))
+    return read_ndjson(spark, path, one_log=True).events.select("seq", "t", "p", "k")
 
 
 def lateness_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

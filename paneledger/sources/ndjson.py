@@ -15,9 +15,10 @@ NO_TIME = 'every line needs a finite whole number "t" (event time in ms)'
 MAX_EXACT = 9007199254740992
 
 
-def numbered_lines(spark: SparkSession, path: str, blocks: int | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, blocks: int | None = None, one_log: bool = False) -> DataFrame:
     """``(path, line, value)``: every line of the text files with its 1-based
-    number in its file, however the files were split for reading."""
+    number in its file, however the files were split for reading. With ``one_log``
+    the files are one text in order of their names, and the number runs on."""
     try:
         text = spark.read.text(path)
     except AnalysisException as error:
@@ -25,47 +26,54 @@ def numbered_lines(spark: SparkSession, path: str, blocks: int | None = None) ->
     placed = text.selectExpr(
         "value", "_metadata.file_path AS path", "_metadata.file_block_start AS split",
         "monotonically_increasing_id() AS place")
-    lines = ordered_scan(placed, ["path"], ["split", "place"], {"n": running_index("n")}, "lines", blocks).rows
+    if one_log:
+        placed = placed.selectExpr("*", "'log' AS text")
+    by, order = (["text"], ["path", "split", "place"]) if one_log else (["path"], ["split", "place"])
+    lines = ordered_scan(placed, by, order, {"n": running_index("n")}, "lines", blocks).rows
     return lines.selectExpr("path", "n + 1 AS line", "value")
 
 
 @dataclass(frozen=True)
 class ParsedLog:
-    """``events`` ``(log_id, seq, t, p, k)`` and the ``bad_lines`` ``(log_id, line, reason)``."""
+    """Lines with their fields, and a ``reason`` where one was rejected."""
 
-    events: DataFrame
-    bad_lines: DataFrame
+    checked: DataFrame
+
+    @property
+    def events(self) -> DataFrame:
+        return self.checked.where("reason IS NULL").selectExpr(
+            "log_id", "line AS seq", "CAST(t AS BIGINT) AS t",
+            f"CASE WHEN abs(p) <= {MAX_EXACT} THEN CAST(p AS BIGINT) END AS p", "k")
+
+    @property
+    def bad_lines(self) -> DataFrame:
+        return self.checked.where("reason IS NOT NULL").select("log_id", "line", "reason")
 
 
 def parse_ndjson(lines: DataFrame, log_id: str = "path") -> ParsedLog:
     """Parse numbered lines of ``{"t", "p", "k"}``. Blank lines are skipped; a bad
     ``p`` is NULL, a ``k`` that is not text is empty; a bad ``t`` rejects the line."""
-    json = lines.where("trim(value) <> ''").selectExpr(f"{log_id} AS log_id", "line", "try_parse_json(value) AS v")
-    kind = lambda field: f"coalesce(schema_of_variant(try_variant_get(v, '$.{field}')), 'VOID')"
-    number = lambda field: f"CASE WHEN {kind(field)} RLIKE '^(BIGINT|DOUBLE|DECIMAL)' THEN try_variant_get(v, '$.{field}', 'double') END"
-    fields = json.selectExpr(
-        "log_id", "line", "v", f"{number('t')} AS t", f"{number('p')} AS p",
-        f"CASE WHEN {kind('k')} = 'STRING' THEN try_variant_get(v, '$.k', 'string') ELSE '' END AS k")
-    checked = fields.selectExpr(
-        "log_id", "line", "t", "p", "k",
-        f"CASE WHEN v IS NULL THEN '{NOT_JSON}' WHEN t IS NULL OR abs(t) > {MAX_EXACT} OR t <> floor(t) THEN '{NO_TIME}' END AS reason")
-    return ParsedLog(
-        checked.where("reason IS NULL").selectExpr(
-            "log_id", "line AS seq", "CAST(t AS BIGINT) AS t",
-            f"CASE WHEN abs(p) <= {MAX_EXACT} THEN CAST(p AS BIGINT) END AS p", "k"),
-        checked.where("reason IS NOT NULL").select("log_id", "line", "reason"),
-    )
+    lines = lines.where("trim(value) <> ''").selectExpr(
+        f"{log_id} AS log_id", "line", "value", "from_json(value, 't DOUBLE, p DOUBLE, k VARIANT') AS e")
+    return ParsedLog(lines.selectExpr(
+        "log_id", "line", "e.t AS t", "e.p AS p",
+        "CASE WHEN schema_of_variant(e.k) = 'STRING' THEN CAST(e.k AS STRING) ELSE '' END AS k",
+        f"CASE WHEN try_parse_json(value) IS NULL THEN '{NOT_JSON}' "
+        f"WHEN e.t IS NULL OR abs(e.t) > {MAX_EXACT} OR e.t <> floor(e.t) THEN '{NO_TIME}' END AS reason"))
 
 
-def read_ndjson(spark: SparkSession, path: str, on_bad: str = "fail") -> ParsedLog:
-    """Read a log, one file one log. ``on_bad='fail'`` raises on the first bad line
-    with its number, ``'quarantine'`` leaves bad lines to the caller."""
+def read_ndjson(spark: SparkSession, path: str, on_bad: str = "fail", one_log: bool = False) -> ParsedLog:
+    """Read a log per file, or with ``one_log`` a folder that was written in order.
+    ``on_bad='fail'`` raises on the first bad line with its number,
+    ``'quarantine'`` leaves bad lines to the caller."""
     if on_bad not in ("fail", "quarantine"):
         raise ValueError(f"unknown on_bad {on_bad!r}; known: fail, quarantine")
-    parsed = parse_ndjson(numbered_lines(spark, path))
-    if on_bad == "fail":
-        for bad in parsed.bad_lines.orderBy("log_id", "line").limit(1).collect():
-            raise ValueError(f"{bad.log_id}:{bad.line}: {bad.reason}")
-    if parsed.events.isEmpty():
+    label = path.replace("'", "")
+    parsed = parse_ndjson(numbered_lines(spark, path, one_log=one_log), f"'{label}'" if one_log else "path")
+    found = parsed.checked.selectExpr(
+        "min(struct(log_id, line, reason)) FILTER (WHERE reason IS NOT NULL) AS bad", "count_if(reason IS NULL) AS good").first()
+    if on_bad == "fail" and found.bad:
+        raise ValueError(f"{found.bad.log_id}:{found.bad.line}: {found.bad.reason}")
+    if not found.good:
         raise ValueError(f"{path}: no events found")
     return parsed
