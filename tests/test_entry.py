@@ -7,6 +7,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from paneledger import WatermarkSpec
+from paneledger.plans import compare
+from paneledger.plans.commands import run_named
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"retired_conditions", "streaming_side_output"}
@@ -45,5 +48,13 @@ def test_contract_queries(spark):
     assert all(r.left_rows == r.right_rows > 0 and r.only_left == r.only_right == 0 for r in replay)
 
 
+def test_named_run_and_profile_total(spark):
+    run = run_named(spark, FOLDER, "events_in_order")
+    assert run.counters.first().total == 1000 and run.summary.first().clean
+    matrix = compare.profile_matrix(compare.index_named(spark, FOLDER, ["orders"]), {"bounded": WatermarkSpec("bounded", bound_ms=1_000)})
+    total = compare.profile_total(matrix).first()
+    assert (total.runs, total.findings) == (1, 0)
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 531

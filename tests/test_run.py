@@ -8,6 +8,8 @@ import pytest
 
 from model import run_model
 from paneledger import Config, Run, WatermarkSpec, index_log
+from paneledger.operators.arrival import repeated_positions
+from paneledger.operators.audit import finding_counts
 
 
 def random_logs(seed: int) -> dict[str, list[int]]:
@@ -23,6 +25,8 @@ def random_logs(seed: int) -> dict[str, list[int]]:
         logs[f"log{name}"] = [t for _, _, t in sorted(rows)]
     # One event far in the future closes every later window at once.
     logs["jump"] = [0, 10, 2_000_000, *range(20, 9000, 37)]
+    # A third of all rows are late events of one window.
+    logs["hot"] = [0, 10, 20, 180, *[5 + i % 60 for i in range(300)], 190, 420, *range(430, 2_000, 50)]
     return logs
 
 
@@ -86,3 +90,15 @@ def test_run_matches_model(index, config):
     for name, times in LOGS.items():
         row = counters[name]
         assert row.on_time + row.late_in_bound + row.too_late + row.discarded_without_receipt == row.total == len(times)
+
+
+def test_repeated_positions_are_found(make_log):
+    log = make_log([1, 2, 3])
+    assert repeated_positions(log).count() == 0
+    assert [r.seq for r in repeated_positions(log.union(log.where("seq = 1"))).collect()] == [1]
+
+
+def test_finding_counts(index):
+    config = Config(100, 0, 220, "update", "idle", SPECS[4])
+    counted = finding_counts(Run(index, config).findings).where("log_id = 'hot'").collect()
+    assert [(r.code, r.findings) for r in counted] == [("watermark-overshoot", 1)]
