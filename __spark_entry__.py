@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from functools import reduce
 
@@ -148,7 +149,31 @@ def _streamed(spark: SparkSession, sf_dir: str):
     return replay_in_batches(log.load(spark, sf_dir), list(log.order), _config(), batches=4)
 
 
+def _has(module: str) -> bool:
+    return importlib.util.find_spec(module) is not None
+
+
+# The training-data operators and their pipeline may be absent.
+if _has("paneledger.llm"):
+    from paneledger.llm import registry
+else:
+    registry = None
+if _has("corpus_pipeline"):
+    import corpus_pipeline
+else:
+    corpus_pipeline = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = dict(_log_queries())
+    if registry is not None:
+        found |= registry.queries()
+    if corpus_pipeline is not None:
+        found["pipeline"] = corpus_pipeline.run
+    return found
+
+
+def _log_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "tumbling_count": tumbling_count,
         "window_key_roundtrip": window_key_roundtrip,
@@ -206,7 +231,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.statements()
+    found = dict(oracle_queries.statements())
+    if registry is not None:
+        found |= registry.oracle_sql()
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
