@@ -1,4 +1,4 @@
-"""Queries of this subpackage by name, with production parameters."""
+"""Queries of this subpackage by name, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paneledger.llm import bpe
+from paneledger.llm import bpe, quality, set_join, token_counts
 from paneledger.llm.text import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +25,46 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_byte_bpe": op2_byte_bpe,
+        "op3_token_counts": op3_token_counts,
+        "op9_jaccard_join": op9_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_jaccard_join": JACCARD_SQL}
+
+
+JACCARD_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * common >= 80 * (na + nb - common)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) r ON r.a = s.doc_id
+"""
