@@ -11,8 +11,9 @@ piece of any length is encoded by halves. Decoding is the concatenation of the
 tokens' bytes, a monoid as well.
 
 Texts are cut where the pre-token pattern always cuts (see ``cut``), so the parts
-of a text are joined by plain concatenation, and each part is encoded once per
-worker as long as it stays in a bounded cache.
+of a text are joined by plain concatenation, and a task encodes each different part
+once as long as it stays in a bounded cache. The leaves of the trees, halves of at
+most LEAF bytes, are encoded for all new parts of a slice at once, in numpy.
 
 Cases: a null text is an empty one (no ids, empty bytes); repeated rows and ids
 give repeated rows; an empty table gives an empty one; columns other than the
@@ -25,10 +26,12 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +43,8 @@ SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2
 _CUT = re.compile(f" (?=[^{SPACE}])")
 CACHED_PARTS = 1_000_000
 CACHED_WINDOWS = 300_000
-CACHED_LENGTH = 64
+LEAF = 12
+NEVER = 1 << 40
 
 
 def cut(text: str) -> list[str]:
@@ -63,6 +67,7 @@ class Encoder:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pre_tokens = regex.compile(pattern).findall
+        self.leaves = Leaves(ranks)
         self._windows: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> tuple[int, ...]:
@@ -91,15 +96,35 @@ class Encoder:
         return tuple(tokens)
 
     def window(self, data: bytes) -> tuple[int, ...]:
-        if len(data) > CACHED_LENGTH:
+        if len(data) > 2 * LEAF:
             return self.merge(data)
         found = self._windows.get(data)
         if found is None:
-            if len(self._windows) >= CACHED_WINDOWS:
-                self._windows.clear()
             found = self._windows[data] = self.merge(data)
         return found
 
+    def prepare(self, pieces: Iterable[bytes]) -> None:
+        """Encode the leaves of the pieces' trees at once."""
+        leaves, stack = set(), list(pieces)
+        while stack:
+            piece = stack.pop()
+            if piece in self.ranks or piece in self._windows:
+                continue
+            if len(piece) <= LEAF:
+                leaves.add(piece)
+            else:
+                half = len(piece) // 2
+                stack += piece[:half], piece[half:]
+        leaves.discard(b"")
+        todo = list(leaves)
+        if todo:
+            self._windows.update(zip(todo, self.leaves.encode(todo)))
+
+    def forget(self) -> None:
+        """Keep the memory of windows bounded."""
+        if len(self._windows) > CACHED_WINDOWS:
+            self._windows.clear()
+
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the concatenation, from the encodings of its halves."""
         if not a or not b:
@@ -115,56 +140,129 @@ class Encoder:
             left, right = left * (1 if firm_left else 2), right * (1 if firm_right else 2)
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """The encoding of one pre-token, by halves."""
+        """The encoding of one pre-token, by halves down to short leaves."""
         rank = self.ranks.get(piece)
         if rank is not None:
             return (rank,)
-        found = self._windows.get(piece)
-        if found is None:
-            half = len(piece) // 2
-            found = self.join(self.encode(piece[:half]), self.encode(piece[half:])) if piece else ()
-            if len(piece) <= CACHED_LENGTH and len(self._windows) < CACHED_WINDOWS:
-                self._windows[piece] = found
-        return found
+        if len(piece) <= LEAF:
+            return self.window(piece)
+        half = len(piece) // 2
+        return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
 
     def encode_text(self, text: str) -> tuple[int, ...]:
-        if text.isalpha() or (text[:1] == " " and text[1:].isalpha()):  # one pre-token
-            return self.encode(text.encode())
         return tuple(token for piece in self.pre_tokens(text) for token in self.encode(piece.encode()))
 
     def decode(self, ids: tuple[int, ...]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class Parts(dict):
-    """Part of a text -> (its ids as little-endian int32, the bytes decoded from them)."""
-
-    def __init__(self, encoder: Encoder, prefix: str) -> None:
-        super().__init__()
-        self.encoder, self.prefix = encoder, prefix
-
-    def __missing__(self, part: str) -> tuple[bytes, bytes]:
-        ids = self.encoder.encode_text(self.prefix + part)
-        value = np.array(ids, "<i4").tobytes(), self.encoder.decode(ids)
-        if len(part) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PARTS:
-                self.clear()
-            self[part] = value
-        return value
-
-
-_workers: dict[tuple, tuple[Parts, Parts]] = {}
-
-
-def _parts(shared, pattern: str) -> tuple[Parts, Parts]:
-    """The caches of this worker, which outlive a task."""
+class Leaves:
+    """Encodes many short pieces at once: each round merges, in every piece that can
+    still merge, the neighbours of lowest rank, the first among equals."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.single = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
+        pairs = sorted(
+            (ranks[token[:at]] << 32 | ranks[token[at:]], rank) for token, rank in ranks.items()
+            for at in range(1, len(token)) if token[:at] in ranks and token[at:] in ranks)
+        self.pairs = np.array([pair for pair, _ in pairs] + [np.iinfo(np.int64).max])
+        self.merged = np.array([rank for _, rank in pairs] + [NEVER])
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of two neighbours put together, NEVER if they have none."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.merged[at], NEVER)
+
+    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        tokens = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        piece = np.repeat(np.arange(len(pieces)), lengths)
+        ranks = np.full(len(tokens), NEVER)
+        ranks[:-1] = np.where(piece[1:] == piece[:-1], self.rank(tokens[:-1], tokens[1:]), NEVER)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(tokens):
+            starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+            best = np.minimum.reduceat(ranks, starts)
+            counts = np.diff(np.append(starts, len(tokens)))
+            merging = best < NEVER
+            here = np.repeat(merging, counts)
+            done.append((piece[~here], tokens[~here]))
+            tokens, piece, ranks = tokens[here], piece[here], ranks[here]
+            counts, best = counts[merging], best[merging]
+            if not len(tokens):
+                break
+            lowest = np.flatnonzero(ranks == np.repeat(best, counts))
+            lowest = lowest[np.concatenate([[True], piece[lowest[1:]] != piece[lowest[:-1]]])]
+            tokens[lowest] = best
+            left = np.ones(len(tokens), bool)
+            left[lowest + 1] = False
+            places = np.cumsum(left)[lowest] - 1
+            tokens, piece = tokens[left], piece[left]
+            ranks = ranks[left]
+            for at in (places, places[places > 0] - 1):
+                inside = at[at + 1 < len(tokens)]
+                ranks[at] = NEVER
+                same = inside[piece[inside] == piece[inside + 1]]
+                ranks[same] = self.rank(tokens[same], tokens[same + 1])
+        piece = np.concatenate([p for p, _ in done])
+        tokens = np.concatenate([t for _, t in done])[np.argsort(piece, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(piece, minlength=len(pieces))).tolist()
+        return [tuple(tokens[start:end]) for start, end in zip([0, *ends], ends)]
+
+
+class Parts:
+    """Parts of texts -> (their ids as little-endian int32, the bytes decoded from
+    them), for the parts of the texts at hand."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+        self.firsts: dict[str, tuple[bytes, bytes]] = {}
+        self.others: dict[str, tuple[bytes, bytes]] = {}
+
+    def add(self, texts: list[list[str]]) -> None:
+        """Encode what is not known yet, the leaves of all pieces at once."""
+        if len(self.others) + len(self.firsts) >= CACHED_PARTS:
+            self.firsts.clear()
+            self.others.clear()
+        others: set[str] = set()
+        for parts in texts:
+            others.update(parts[1:])
+        firsts = {parts[0] for parts in texts}
+        todo = []
+        for known, prefix, new in ((self.firsts, "", firsts), (self.others, " ", others)):
+            for part in new:
+                if part not in known:
+                    text = prefix + part
+                    pieces = [text.encode()] if part.isalpha() else [piece.encode() for piece in self.encoder.pre_tokens(text)]
+                    todo.append((known, part, pieces))
+        self.encoder.prepare(piece for _, _, pieces in todo for piece in pieces)
+        encode, bytes_of = self.encoder.encode, self.encoder.bytes_of
+        for known, part, pieces in todo:
+            ids = encode(pieces[0]) if len(pieces) == 1 else tuple(token for piece in pieces for token in encode(piece))
+            known[part] = array("i", ids).tobytes(), b"".join([bytes_of[token] for token in ids])
+        self.encoder.forget()
+
+    def encoded(self, parts: list[str]) -> tuple[bytes, bytes]:
+        """A text's ids and its bytes again: those of its parts, concatenated."""
+        others = self.others
+        pairs = [self.firsts[parts[0]]]
+        pairs += [others[part] for part in parts[1:]]
+        ids, decoded = zip(*pairs)
+        return b"".join(ids), b"".join(decoded)
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(shared, pattern: str) -> Encoder:
+    """The tables of this worker, made once. Nothing else outlives a task."""
     data = shared.value
     key = (len(data), hash(data), pattern)
-    if key not in _workers:
-        _workers.clear()
-        encoder = Encoder(load_ranks(data), pattern)
-        _workers[key] = Parts(encoder, ""), Parts(encoder, " ")
-    return _workers[key]
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(load_ranks(data), pattern)
+    return _encoders[key]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -177,33 +275,35 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     schema = T.StructType([
         *docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, others = _parts(shared, pattern)
+        known = Parts(_encoder(shared, pattern))
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for rows in slices(batch):
-                ids, decoded, offsets = [], [], [0]
-                for value in rows.column(at).to_pylist():
-                    parts = cut(value or "")
-                    pairs = [firsts[parts[0]]]
-                    pairs += [others[part] for part in parts[1:]]
-                    of_ids, of_bytes = zip(*pairs)
-                    ids.append(b"".join(of_ids))
-                    decoded.append(b"".join(of_bytes))
-                    offsets.append(offsets[-1] + len(ids[-1]) // 4)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            for rows in slices(batch, at):
+                texts = [cut(value or "") for value in rows.column(at).to_pylist()]
+                known.add(texts)
+                found = [known.encoded(parts) for parts in texts]
+                flat = pa.array(np.frombuffer(b"".join([ids for ids, _ in found]), "<i4"))
+                offsets = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, lists, pa.array(decoded, pa.binary())], [*rows.schema.names, "ids", "decoded"])
+                    [*rows.columns, lists, pa.array([decoded for _, decoded in found], pa.binary())], [*rows.schema.names, "ids", "decoded"])
 
     return docs.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """A batch in small slices, so that results of long texts stay small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, column: int, bytes_: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have about so many bytes, at least a row each."""
+    if not batch.num_rows:
+        return
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, before + bytes_, "right")))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from paneledger.llm.components import components
 from paneledger.llm.hashing import mixed, shingle_sets
+from paneledger.llm.keyed import marked
 from paneledger.llm.text import frequent, numbered
 from paneledger.workspace import keep
 
@@ -239,7 +240,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     only are shuffled: a bit table of fixed size picks their rows during the scan."""
     nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
     wanted = keep(classes.join(nodes, "node", "left_semi").select("node", "row_key"), "wanted")
-    texts = keep(_picked(docs, wanted).join(wanted, "row_key").select("node", "text"), "texts")
+    picked = marked(numbered(docs, "text"), wanted, "row_key", "maybe").where("maybe")
+    texts = keep(picked.join(wanted, "row_key").select("node", "text"), "texts")
     both = (
         pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         .join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a"))
@@ -256,29 +258,6 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-BITS = 1 << 23
-
-
-def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose key may be wanted. The bit table has one size for any
-    number of keys; where it is full, everything passes and the join decides."""
-    bit = F.pmod(F.xxhash64("row_key"), F.lit(BITS))
-    rows = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    table = np.zeros(BITS // 8, np.uint8)
-    for row in rows:
-        start = (row.bucket - 1) * 4096
-        table[start:start + len(row.bits)] |= np.frombuffer(row.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.asarray(batch.column("bit"))
-            yield batch.filter(pa.array((shared.value[bits >> 3] >> (bits & 7)) & 1 == 1)).select(["row_key", "text"])
-
-    return numbered(docs, "text").select("row_key", "text", bit.alias("bit")).mapInArrow(run, "row_key long, text string")
-
-
 def similar_sets(docs: DataFrame) -> DataFrame:
     """``(row_key, doc_id, n_shingles, node, component)`` for every row of ``docs``;
     equal components are connected by links, a row alone has its own node."""
