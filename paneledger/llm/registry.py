@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneledger.llm import bpe, quality, set_join, spaced_seeds, token_counts
+from paneledger.llm import bpe, quality, set_join, spaced_seeds, surrogates, token_counts
 from paneledger.llm.text import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+# Stands for a secret that a deployment takes from its own store.
+SURROGATE_KEY = b"surrogates of the documents table"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -30,6 +32,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(docs, SURROGATE_KEY, count="n_entities")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join_classes(table(spark, sf_dir, "documents"))
 
@@ -43,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_counts": op3_token_counts,
+        "op4_surrogates": op4_surrogates,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_decontamination": op10_decontamination,
     }
