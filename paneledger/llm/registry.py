@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneledger.llm import bpe, quality, set_join, spaced_seeds, surrogates, token_counts
+from paneledger.llm import bpe, mincut, quality, set_join, spaced_seeds, surrogates, token_counts
 from paneledger.llm.text import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +37,10 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replaced(docs, SURROGATE_KEY, count="n_entities")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join_classes(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_counts": op3_token_counts,
         "op4_surrogates": op4_surrogates,
+        "op5_main_text": op5_main_text,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_decontamination": op10_decontamination,
     }
