@@ -7,6 +7,7 @@ the difference of two prefix sums, then mixed. No word becomes a Python object.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For blocks of rows ``first, last``: the hashes of their words in order, and the
-    offsets that part them by row. A null has no words."""
+@dataclass
+class Words:
+    """The words of the rows ``first`` ... ``last`` - 1: word ``k`` is
+    ``data[starts[k]:ends[k]]``, row ``first + r`` has ``offsets[r]`` ... ``offsets[r + 1]`` - 1."""
+
+    first: int
+    last: int
+    data: np.ndarray
+    offsets: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        n = len(self.data)
+        powers, inverses = _power_tables(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_LOWERED[self.data] * powers[:n], out=sums[1:])
+        return mixed((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
+
+
+def words_of(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Words]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of the texts, in blocks of rows of about so many
+    bytes (a longer text is a block of its own). A null has no words."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -52,26 +73,27 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1)
-        yield first, last, *_block(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + block_bytes, "right")) - 1)
+        yield _block(first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
         first = last
 
 
-def _block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block(first: int, last: int, data: np.ndarray, offsets: np.ndarray) -> Words:
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     space = _SPACE[data]
     before, after = np.ones(n, bool), np.ones(n, bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     rims = offsets[(offsets > 0) & (offsets < n)]
     before[rims], after[rims - 1] = True, True
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    powers, inverses = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWERED[data] * powers[:n], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * inverses[starts])
-    return hashes, np.searchsorted(starts, offsets, "left")
+    return Words(first, last, data, np.searchsorted(starts, offsets, "left"), starts, ends)
+
+
+def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For blocks of rows ``first, last``: the hashes of their words in order, and the
+    offsets that part them by row."""
+    for words in words_of(texts):
+        yield words.first, words.last, words.hashes(), words.offsets
 
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
