@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneledger.llm import bpe, mincut, ppm, quality, set_join, spaced_seeds, surrogates, token_counts
+from paneledger.llm import bpe, brown, mincut, ppm, quality, set_join, spaced_seeds, surrogates, token_counts
 from paneledger.llm.text import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,6 +46,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(docs, ppm.learn(docs))
 
 
+def op7_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join_classes(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_surrogates": op4_surrogates,
         "op5_main_text": op5_main_text,
         "op6_language": op6_language,
+        "op7_brown_score": op7_brown_score,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_decontamination": op10_decontamination,
     }
