@@ -62,9 +62,10 @@ class Words:
         return mixed((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
 
 
-def words_of(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Words]:
+def words_of(texts: pa.Array, block_bytes: int = BLOCK_BYTES, between: np.ndarray = _SPACE) -> Iterator[Words]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of the texts, in blocks of rows of about so many
-    bytes (a longer text is a block of its own). A null has no words."""
+    bytes (a longer text is a block of its own). ``between`` says which bytes part words. A
+    null has no words."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -74,13 +75,13 @@ def words_of(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Words]
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + block_bytes, "right")) - 1)
-        yield _block(first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+        yield _block(first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first], between)
         first = last
 
 
-def _block(first: int, last: int, data: np.ndarray, offsets: np.ndarray) -> Words:
+def _block(first: int, last: int, data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> Words:
     n = len(data)
-    space = _SPACE[data]
+    space = between[data]
     before, after = np.ones(n, bool), np.ones(n, bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     rims = offsets[(offsets > 0) & (offsets < n)]

@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneledger.llm import bpe, brown, mincut, ppm, quality, set_join, spaced_seeds, surrogates, token_counts
+from paneledger.llm import bpe, brown, mincut, ppm, quality, set_join, spaced_seeds, surrogates, token_counts, url_rules
 from paneledger.llm.text import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 # Stands for a secret that a deployment takes from its own store.
 SURROGATE_KEY = b"surrogates of the documents table"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +52,10 @@ def op7_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(table(spark, sf_dir, "documents"))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join_classes(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_main_text": op5_main_text,
         "op6_language": op6_language,
         "op7_brown_score": op7_brown_score,
+        "op8_url_rules": op8_url_rules,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_decontamination": op10_decontamination,
     }
