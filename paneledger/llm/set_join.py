@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from paneledger.llm.components import components
 from paneledger.llm.hashing import mixed, shingle_sets
-from paneledger.llm.keyed import marked
+from paneledger.llm.keyed import marked, without
 from paneledger.llm.text import frequent, numbered
 from paneledger.workspace import keep
 
@@ -287,3 +287,14 @@ def join_classes(docs: DataFrame) -> DataFrame:
     least = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that are linked, directly or not, to a row of smaller
+    id (null ids last, then the first row); rows without words all stay."""
+    rows = similar_sets(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min_by("row_key", order).alias("first"))
+    gone = rows.join(first, "component").where("row_key <> first").select(F.col("row_key").alias("_row_key"))
+    numbered_rows = docs.withColumn("_row_key", F.monotonically_increasing_id())
+    return without(numbered_rows, keep(gone, "copies"), "_row_key").select(docs.columns)
