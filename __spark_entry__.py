@@ -17,6 +17,7 @@ from paneledger.operators.truth import batch_windows, stream_stats
 from paneledger.plans import compare
 from paneledger.plans.timeline import timeline
 from paneledger.sinks.reports import run_fingerprint, write_ndjson
+from paneledger.sources.feeds import archive_log
 from paneledger.sources.logs import named_log
 from paneledger.sources.ndjson import read_ndjson
 from paneledger.streaming.fold import replay_in_batches
@@ -144,6 +145,38 @@ def replay_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
         compare.same_rows(a, b).selectExpr(f"'{name}' AS table_name", "*") for name, a, b in tables])
 
 
+def fingerprints_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every table of a run, and whether a second run has the same fingerprint."""
+    first, second = run_fingerprint(_run(spark, sf_dir)), run_fingerprint(_run(spark, sf_dir))
+    return first.join(second.withColumnsRenamed({"rows": "rows_2", "fingerprint": "fingerprint_2"}), "table_name").selectExpr(
+        "table_name", "rows", "rows = rows_2 AND fingerprint = fingerprint_2 AS equal")
+
+
+def _with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events log where some rows lack their time, log or place."""
+    return named_log("events").load(spark, sf_dir).selectExpr(
+        "IF(seq % 89 = 0, NULL, log_id) AS log_id", "IF(seq % 97 = 0, NULL, t) AS t", "IF(seq % 101 = 0, NULL, p) AS p", "seq", "seq AS event")
+
+
+def rejected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_log(_with_holes(spark, sf_dir), ["p", "seq"], ["event"]).rejects.select("event", "reason")
+
+
+def verdict_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of that log, audited."""
+    return Run(index_log(_with_holes(spark, sf_dir), ["p", "seq"]), _config()).summary
+
+
+def feed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as an hourly archive, one file for every 50,000, read back in order."""
+    path = new_path(spark, "archive")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id", "concat('2026-01-15-', event_id DIV 400) AS hour",
+        "to_json(named_struct('created_at', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\"), 'type', event_type)) AS value")
+    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value", "hour").write.partitionBy("hour").text(path)
+    return archive_log(spark, path).select("seq", "t", "k")
+
+
 def _streamed(spark: SparkSession, sf_dir: str):
     log = named_log("events")
     return replay_in_batches(log.load(spark, sf_dir), list(log.order), _config(), batches=4)
@@ -223,7 +256,10 @@ def _log_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_pane_count": audit_pane_count,
         "audit_silent_drop": audit_silent_drop,
         "missing_events": missing_events,
-        "run_fingerprint": lambda s, d: run_fingerprint(_run(s, d)),
+        "run_fingerprint": fingerprints_equal,
+        "rejected_events": rejected_events,
+        "verdict_with_rejects": verdict_with_rejects,
+        "feed_archive": feed_archive,
         "replay_equal": replay_equal,
         "streaming_panes": lambda s, d: _streamed(s, d).panes.select(*PANE),
         "streaming_side_output": lambda s, d: _streamed(s, d).side_output,

@@ -24,6 +24,9 @@ LOGS = {
     "orders": f"SELECT 'orders' AS log_id, {ORDER_T} AS t, {ORDER_P} AS p, o_orderkey AS seq, o_orderpriority AS k FROM orders",
 }
 
+# The events log without the rows that lack their log, time or place.
+LOGS["events_kept"] = f"SELECT * FROM ({LOGS['events']}) WHERE seq % 89 <> 0 AND seq % 97 <> 0 AND seq % 101 <> 0"
+
 UP_TO = "(PARTITION BY log_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 BEFORE = "(PARTITION BY log_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
@@ -135,8 +138,11 @@ def big(*columns: str) -> str:
 
 PANES = f"SELECT log_id, {big('win_start', 'win_end', 'seq')}, kind, {big('count', 'retracts', 'watermark', 'at_index')} FROM panes"
 VERDICT = f"SELECT log_id, {big('win_start', 'win_end')}, outcome, reason, {big('expected', 'emitted', 'panes', 'receipted')} FROM verdict"
-SUMMARY = """SELECT log_id, count(*) FILTER (outcome = 'complete') AS complete, count(*) FILTER (outcome = 'revised') AS revised,
-    count(*) FILTER (outcome = 'unverifiable') AS unverifiable, count(*) AS total, 0::BIGINT AS findings, true AS clean
+# Windows whose verdict is an accusation, and logs that lost events: expected, but neither counted nor receipted.
+FINDINGS = """(count(*) FILTER (reason IN ('no-pane-after-close', 'unexplained-shortfall'))
+    + (sum(greatest(expected - coalesce(emitted, 0) - receipted, 0)) FILTER (panes > 0) > 0)::BIGINT)"""
+SUMMARY = f"""SELECT log_id, count(*) FILTER (outcome = 'complete') AS complete, count(*) FILTER (outcome = 'revised') AS revised,
+    count(*) FILTER (outcome = 'unverifiable') AS unverifiable, count(*) AS total, coalesce({FINDINGS}, 0)::BIGINT AS findings, coalesce({FINDINGS}, 0) = 0 AS clean
     FROM verdict GROUP BY log_id"""
 WATERMARK = f"SELECT log_id, {big('i', 'raw', 'w_before', 'w_after')} FROM wm"
 SIDE = """SELECT log_id, i::BIGINT AS index, t::BIGINT AS t, win_start::BIGINT AS win_start, win_end::BIGINT AS win_end,
@@ -267,6 +273,10 @@ def statements() -> dict[str, str]:
                 ELSE concat('revised [', win_start, ',', win_end, ') = ', on_time + nth, ' (was ', on_time + nth - 1, ')') END FROM nth
         UNION ALL SELECT log_id, fire_index, fire_t, fire_watermark, '|', win_start, 1, on_time,
             concat('closed [', win_start, ',', win_end, ') = ', on_time) FROM fire WHERE on_time > 0 AND fire_index IS NOT NULL"""
+    row_counts = {name: f"{bounded}{pane_ctes('update', LATE)} SELECT count(*) AS n FROM {rows}" for name, rows in {
+        "counters": "(SELECT DISTINCT log_id FROM tal)", "windows": "fire", "panes": "panes", "side_output": "j WHERE cls = 'too_late'",
+        "trace": "steps", "verdict": "verdict", "findings": "verdict WHERE reason IN ('no-pane-after-close', 'unexplained-shortfall')",
+        "lateness": "(SELECT DISTINCT log_id FROM idx)"}.items()}
     finding = "SELECT log_id, '{code}' AS code, 'defect' AS severity, {window}::BIGINT AS win_start, {detail} AS detail FROM {rows}"
     return {
         "tumbling_count": f"{index} SELECT log_id, (t - t % {HOUR})::BIGINT AS win_start, (t - t % {HOUR} + {HOUR})::BIGINT AS win_end, concat(t - t % {HOUR}, '-', t - t % {HOUR} + {HOUR}) AS window_key, count(*) AS count FROM ord GROUP BY ALL",
@@ -332,5 +342,15 @@ def statements() -> dict[str, str]:
         "audit_silent_drop": f"{bounded} " + finding.format(
             code="silent-drop", window="NULL", rows="(SELECT log_id, count(*) AS n FROM j WHERE cls = 'too_late' AND i % 3 = 0 GROUP BY log_id)",
             detail="concat(n, ' event(s) neither counted nor receipted')"),
+        "rejected_events": """SELECT event_id::BIGINT AS event, CASE WHEN event_id % 89 = 0 THEN 'no log' WHEN event_id % 97 = 0 THEN 'no event time'
+            ELSE 'no place in the arrival order' END AS reason FROM events
+            WHERE event_id % 89 = 0 OR event_id % 97 = 0 OR event_id % 101 = 0""",
+        "verdict_with_rejects": f"{run_ctes('events_kept', B10M, HOUR, LATE)} {SUMMARY}",
+        "feed_archive": f"SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS seq, ({EVENT_T})::BIGINT AS t, event_type AS k FROM events",
+        "replay_equal": " UNION ALL ".join(
+            f"SELECT '{name}' AS table_name, n AS left_rows, n AS right_rows, 0::BIGINT AS only_left, 0::BIGINT AS only_right FROM ({counted})"
+            for name, counted in row_counts.items() if name in ("panes", "side_output", "trace", "verdict")),
+        "run_fingerprint": " UNION ALL ".join(
+            f"SELECT '{name}' AS table_name, n AS rows, true AS equal FROM ({counted})" for name, counted in row_counts.items()),
         "missing_events": f"{bounded} SELECT log_id, {big('i', 't')} FROM j WHERE cls = 'too_late' AND i % 3 = 0",
     }

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from paneledger.operators.scan import first_of_group, ordered_scan, running_index, running_max, running_max_before
 
 
+NO_LOG, NO_TIME, NO_PLACE = "no log", "no event time", "no place in the arrival order"
+
+
 @dataclass(frozen=True)
 class ArrivalIndex:
     """Rows ``(log_id, blk, i, t, max_before, max_seen, first_t, ...)``.
@@ -16,28 +19,53 @@ class ArrivalIndex:
     ``i`` is the 0-based arrival position in the log, ``max_seen`` the highest
     event time up to and including the row, ``max_before`` the same without the
     row (NULL for the first), ``first_t`` the event time of the first arrival.
-    ``events`` has the stored input columns only. Independent of any
-    configuration: build once, run many.
+    ``events`` has the input columns only, ``rejects`` the rows that are in neither,
+    with a ``reason``. Independent of any configuration: build once, run many.
     """
 
     rows: DataFrame
     events: DataFrame
+    rejects: DataFrame
+
 
+def reject_reason(order: list[str]) -> str:
+    """SQL of why a row cannot be an event, NULL if it can."""
+    missing = " OR ".join(f"{c} IS NULL" for c in order)
+    return f"CASE WHEN log_id IS NULL THEN '{NO_LOG}' WHEN t IS NULL THEN '{NO_TIME}' WHEN {missing} THEN '{NO_PLACE}' END"
 
-def index_log(log: DataFrame, order: list[str] = ["seq"], keep_columns: list[str] = [], blocks: int | None = None) -> ArrivalIndex:  # noqa: B006
-    """Index a log of ``(log_id, t, *order)``. (log_id, order) must be a total order."""
+
+def index_log(
+    log: DataFrame, order: list[str] = ["seq"], keep_columns: list[str] = [], blocks: int | None = None,  # noqa: B006
+    on_bad: str = "quarantine",
+) -> ArrivalIndex:
+    """Index a log of ``(log_id, t, *order)``.
+
+    Rows without a log, a time or a place go to ``rejects``; with ``on_bad='fail'``
+    they raise, and so does an order that is not total (several rows of a log at one
+    place), without which a run would not be repeatable.
+    """
+    if on_bad not in ("fail", "quarantine"):
+        raise ValueError(f"unknown on_bad {on_bad!r}; known: fail, quarantine")
     columns = dict.fromkeys(["log_id", "t", *order, *keep_columns])
+    checked = log.selectExpr(*columns, f"{reject_reason(order)} AS reason")
+    rejects, log = checked.where("reason IS NOT NULL"), checked.where("reason IS NULL").drop("reason")
+    if on_bad == "fail":
+        if (bad := rejects.first()) is not None:
+            raise ValueError(f"log {bad.log_id!r}: {bad.reason}")
+        if (bad := repeated_positions(log, order).first()) is not None:
+            raise ValueError(f"log {bad.log_id!r}: {bad['count']} rows at {[bad[c] for c in order]}")
     running = {
         "i": running_index("i"),
         "max_seen": running_max("max_seen", "t"),
         "max_before": running_max_before("max_seen", "t"),
         "first_t": first_of_group("first_t", "t"),
     }
-    scanned = ordered_scan(log.select(*columns), ["log_id"], order, running, "arrival", blocks)
+    scanned = ordered_scan(log.select(*columns), ["log_id"], order, running, blocks)
     kept = [c for c in columns if c != "log_id"]
     return ArrivalIndex(
         scanned.rows.select("log_id", "blk", "i", "max_before", "max_seen", "first_t", *kept),
-        scanned.written.select("log_id", *kept),
+        scanned.events.select("log_id", *kept),
+        rejects,
     )
 
 

@@ -49,7 +49,7 @@ def crossings(judged: DataFrame, windows: DataFrame, config: Config, kinds: list
     # Descending lines; on one line the step comes before the threshold it meets.
     found = ordered_scan(
         both.selectExpr("*", "-line AS down", "win_start IS NOT NULL AS ask"), ["log_id", "kind"], ["down", "ask"],
-        {"met": last_known("met", "hit")}, "crossing", blocks, derived=True,
+        {"met": last_known("met", "hit")}, blocks, derived=True,
     ).rows.where("ask")
     if len(kinds) == 1:
         return found.selectExpr("log_id", "win_start", f"met AS {kinds[0]}")

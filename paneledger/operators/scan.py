@@ -1,12 +1,15 @@
 """Running values over one ordered sequence of any length.
 
 ``Window.partitionBy(log_id).orderBy(seq)`` puts a whole log into one task, so
-running values are computed in two levels. The rows are range-partitioned by
-(group, order), which cuts even a single group into blocks of even size; a
-window inside each (group, block) gives local running values; the last values of
-the blocks before, the *carry*, are added on read. The carry has rows only for
-groups that were cut, at most two per partition, so broadcasting it is safe at
-any data size.
+running values are computed in two levels. Rows are cut into blocks along (group,
+order), which cuts even a single group; a window inside each (group, block) gives
+local running values; the last values of the blocks before, the *carry*, are added
+on read. The block is a pure expression of the row's keys over a bounded list of
+split points, so it is the same whenever a task runs again, one shuffle by (group,
+block) suffices, and inputs of every size take the same path. The carry has rows
+only for groups that were cut, and each of the ``blocks - 1`` cuts is inside one
+group at most: no more than two rows per block, whatever the data, so it may be
+broadcast.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneledger.workspace import keep, remember
+from paneledger.workspace import remember
 
 UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-ONE_BLOCK_ROWS = 250_000
+# Rows per block if there are partitions enough, and rows sampled per split point.
+ROWS_PER_BLOCK, SAMPLES_PER_BLOCK = 4_096, 64
 WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
@@ -97,43 +101,69 @@ def with_carry(rows: DataFrame, carry: DataFrame, by: list[str], running: dict[s
 
 @dataclass(frozen=True)
 class Scanned:
-    """``rows`` has the running values and the block number ``blk``; ``written`` is
-    the stored table below it, for readers that need only the input columns."""
+    """``rows`` has the running values and the block number ``blk``; ``events`` is the
+    table below it, for readers that need only the input columns."""
 
     rows: DataFrame
-    written: DataFrame
+    events: DataFrame
+
+
+def split_points(df: DataFrame, keys: list[str], blocks: int | None) -> list[tuple[str | None, ...]]:
+    """Ascending keys, as text, that cut ``df`` into ``blocks`` parts of about even
+    size: every so many-th row of a sample by hash, whose size depends on the number of
+    blocks only. By default there are twice as many blocks as shuffle partitions, or
+    one per ROWS_PER_BLOCK rows if that is less."""
+    total = df.count()
+    if blocks is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = min(2 * partitions, -(-total // ROWS_PER_BLOCK))
+    if blocks < 2 or not total:
+        return []
+    share = min(1.0, SAMPLES_PER_BLOCK * blocks / total)
+    chosen = df.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    rows = chosen.repartition(1).sortWithinPartitions(*keys).selectExpr(*[f"CAST({k} AS STRING) AS {k}" for k in keys]).collect()
+    cuts = [tuple(rows[len(rows) * at // blocks]) for at in range(1, blocks)] if rows else []
+    return list(dict.fromkeys(cuts))
+
+
+def block_number(df: DataFrame, keys: list[str], points: list[tuple[str | None, ...]]) -> str:
+    """SQL of the number of split points at or below the row: a binary decision."""
+    kinds = {field.name: field.dataType.simpleString() for field in df.schema}
+
+    def literal(value: str | None, key: str) -> str:
+        text = "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"'{key}', CAST({text} AS {kinds[key]})"
+
+    def decide(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        point = ", ".join(literal(value, key) for value, key in zip(points[middle], keys))
+        return f"IF(sort_key < named_struct({point}), {decide(low, middle)}, {decide(middle + 1, high)})"
+
+    return decide(0, len(points))
 
 
 def ordered_scan(
-    df: DataFrame, by: list[str], order: list[str], running: dict[str, Running],
-    label: str, blocks: int | None = None, derived: bool = False,
+    df: DataFrame, by: list[str], order: list[str], running: dict[str, Running], blocks: int | None = None, derived: bool = False,
 ) -> Scanned:
     """Add one column per running value.
 
-    (by, order) must be unique. ``blocks`` fixes the number of blocks; by default
-    it follows ``spark.sql.shuffle.partitions`` and the adaptive coalescing, and a
-    table of at most ONE_BLOCK_ROWS rows is one block that needs no carry. A
-    ``derived`` table is held while it is counted, sampled and written, so that the
-    work behind it is done once.
+    (by, order) must be unique, of types that turn into text and back. ``blocks``
+    fixes the number of blocks. A ``derived`` table is held, as the split points and
+    the scan both read it.
     """
     keys = [*by, *order]
     if derived:
         df = remember(df)
-    if blocks is None and df.count() <= ONE_BLOCK_ROWS:
-        over = frames(by, order)
-        local = [f"{run.local.format(**over)} AS {name}" for name, run in running.items()]
-        rows = remember(df.selectExpr("*", "0 AS blk", *local))
-        return Scanned(rows, rows)
-    ranged = df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
-    ranged = ranged.selectExpr("*", "spark_partition_id() AS blk")
+    sort_key = ", ".join(f"'{key}', {key}" for key in keys)
+    placed = df.selectExpr("*", f"named_struct({sort_key}) AS sort_key").selectExpr(
+        "*", f"{block_number(df, keys, split_points(df, keys, blocks))} AS blk").drop("sort_key")
     over = frames([*by, "blk"], order)
     local = [f"{run.local.format(**over)} AS {name}" for name, run in running.items()]
-    # The block numbers hold only for this one shuffle: write them down.
-    written = keep(ranged.selectExpr("*", *local, f"lead(true) {over['order']} IS NULL AS ends_block"), label)
-    if derived:
-        df.unpersist()
-    ends = written.where("ends_block").selectExpr(
+    scanned = remember(placed.selectExpr("*", *local, f"lead(true) {over['order']} IS NULL AS ends_block"))
+    ends = scanned.where("ends_block").selectExpr(
         *by, "blk", *[f"{run.block} AS block_{name}" for name, run in running.items()])
     carry = remember(block_carry(ends, by, running))
-    written = written.drop("ends_block")
-    return Scanned(with_carry(written, carry, by, running), written)
+    scanned = scanned.drop("ends_block")
+    return Scanned(with_carry(scanned, carry, by, running), scanned)

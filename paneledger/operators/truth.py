@@ -31,7 +31,7 @@ def lateness_profile(indexed: DataFrame, blocks: int | None = None) -> DataFrame
     """
     counted = indexed.selectExpr("log_id", f"{EVENT_LATENESS} AS late_ms").groupBy("log_id", "late_ms").agg(
         *aggregates(n="count(1)"))
-    ranked = ordered_scan(counted, ["log_id"], ["late_ms"], {"rank_end": running_sum("rank_end", "n")}, "lateness", blocks, derived=True).rows
+    ranked = ordered_scan(counted, ["log_id"], ["late_ms"], {"rank_end": running_sum("rank_end", "n")}, blocks, derived=True).rows
     totals = ranked.groupBy("log_id").agg(*aggregates(total="sum(n)"))
     quantiles = {
         name: f"max(late_ms) FILTER (WHERE rank_end - n <= least(total - 1, floor({p} * total)) "

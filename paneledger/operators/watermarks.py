@@ -23,9 +23,9 @@ from paneledger.config import WatermarkSpec
 from paneledger.operators.arrival import EVENT_LATENESS
 from paneledger.operators.judge import aggregates
 from paneledger.operators.scan import (
-    ONE_BLOCK_ROWS, block_carry, frames, last_known, running_max, running_max_before, with_carry,
+    block_carry, frames, last_known, running_max, running_max_before, with_carry,
 )
-from paneledger.workspace import hold, remember
+from paneledger.workspace import remember
 
 MIN_BLOCK_ROWS = 8_192
 
@@ -43,6 +43,11 @@ def start_of(position: str, size: int) -> str:
     return f"({position}) - ({position}) % {size}L"
 
 
+def block_of(position: str, first: str, size: int) -> str:
+    """The same, with blocks counted from the position ``first``."""
+    return f"{first} + {start_of(f'{position} - ({first})', size)}"
+
+
 def from_maximum(rows: DataFrame, shift: int) -> DataFrame:
     """Watermark = highest event time seen - shift."""
     after = f"max_seen - {shift}L"
@@ -66,9 +71,12 @@ def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) ->
     n = spec.every_n
     total = rows.count()
     size = -(-size // n) * n if size else block_rows(rows, total, n)
-    rows = rows.drop("blk").selectExpr("*", f"{start_of('i', n)} AS grp", f"{start_of('i', size)} AS blk")
-    # A group begun in an earlier micro-batch already has a lowest event time.
+    # A group begun in an earlier micro-batch already has a lowest event time. Blocks
+    # are counted from the batch's first group, so only logs with many events in the
+    # batch are cut, however far all of them have come.
     streaming = "s_next_i" in rows.columns
+    first = start_of("coalesce(s_next_i, 0L)", n) if streaming else "0L"
+    rows = rows.drop("blk").selectExpr("*", f"{start_of('i', n)} AS grp", f"{block_of('i', first, size)} AS blk")
     low = f"least(t, CASE WHEN grp = {start_of('s_next_i', n)} THEN s_open_min END)" if streaming else "t"
     rows = rows.selectExpr("*", f"{low} AS low")
     marks = {"w_after": running_max("w_after", "mark"), "raw": last_known("raw", "mark")}
@@ -87,7 +95,7 @@ def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) ->
         .selectExpr("*", *[f"{m.local.format(**block)} AS {name}" for name, m in marks.items()])
         .drop("grp", "low", "mark")
     )
-    local = hold(local, "punctuated", total <= ONE_BLOCK_ROWS)
+    local = remember(local)
     return with_state(with_carry(local, carry, ["log_id"], marks))
 
 
@@ -103,29 +111,30 @@ def from_quantile(rows: DataFrame, spec: WatermarkSpec, size: int | None, sample
     size = max(size, sample) if size else max(block_rows(rows, total, 1), 16 * sample)
     rows = rows.drop("blk")
     schema = StructType([*rows.schema, *[StructField(name, LongType()) for name in ("blk", "raw", "w_after", "w_before")]])
+    # Blocks are counted from the first event of a micro-batch, as in from_punctuation.
+    block = block_of("i", "coalesce(s_next_i, 0L)" if "s_next_i" in rows.columns else "0L", size)
     spread = rows.selectExpr(
-        "*", f"CASE WHEN max_before IS NOT NULL THEN {EVENT_LATENESS} END AS lat", block_copies("i", "i", size, sample),
-    ).selectExpr("*", f"blk = {start_of('i', size)} AS own")
+        "*", f"CASE WHEN max_before IS NOT NULL THEN {EVENT_LATENESS} END AS lat", block_copies(block, "i", size, sample),
+    ).selectExpr("*", f"blk = {block} AS own")
     if samples is not None:
         kept = samples.selectExpr("log_id", "next_i", "size(lats) AS kept", "posexplode(lats) AS (pos, lat)")
         kept = kept.selectExpr("log_id", "next_i", "lat", "next_i - kept + pos AS i")
-        kept = kept.selectExpr("log_id", "i", "lat", block_copies("next_i", "i", size, sample), "false AS own")
+        kept = kept.selectExpr("log_id", "i", "lat", "next_i AS blk", "false AS own")
         spread = spread.unionByName(kept, allowMissingColumns=True)
     streamed = (
         spread.repartition("log_id", "blk").sortWithinPartitions("log_id", "blk", "i")
         .mapInArrow(sliding_quantile(spec, schema.names), schema)
     )
-    local = hold(streamed, "quantile", total <= ONE_BLOCK_ROWS)
+    local = remember(streamed)
     running = {"w_after": running_max("w_after", "raw"), "w_before": running_max_before("w_after", "raw")}
     highest = local.groupBy("log_id", "blk").agg(*aggregates(block_w_after="max(raw)", block_w_before="max(raw)"))
     carry = remember(block_carry(highest, ["log_id"], running))
     return with_state(with_carry(local, carry, ["log_id"], running))
 
 
-def block_copies(home: str, position: str, size: int, sample: int) -> str:
+def block_copies(block: str, position: str, size: int, sample: int) -> str:
     """Explode a row into its block, and into the next one if it is among the last
     ``sample`` rows before it."""
-    block = start_of(home, size)
     near_end = f"{position} >= {block} + {size - sample}L"
     return f"explode(CASE WHEN {near_end} THEN array({block}, {block} + {size}L) ELSE array({block}) END) AS blk"
 

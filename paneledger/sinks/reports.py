@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paneledger.functions.text import human_ms, lateness_text
 from paneledger.names import END_OF_STREAM
@@ -48,16 +51,15 @@ def _sort(table: DataFrame, column: str):
 
 
 def run_fingerprint(run: Run) -> DataFrame:
-    """Rows and an order-free hash of every table: equal for equal runs."""
+    """Rows and an order-free hash of every table, empty ones too: equal for equal
+    runs. A row is hashed with its nulls in place."""
     parts = []
     for name in RUN_TABLES:
-        hashed = getattr(run, name).selectExpr("CAST(xxhash64(*) AS DECIMAL(38, 0)) AS h")
-        parts.append(hashed.selectExpr(f"'{name}' AS table_name", "h").groupBy("table_name").agg({"h": "sum", "*": "count"})
-                     .selectExpr("table_name", "`count(1)` AS rows", "CAST(`sum(h)` AS STRING) AS fingerprint"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        row = "xxhash64(to_json(struct(*), map('ignoreNullFields', 'false')))"
+        hashed = getattr(run, name).selectExpr(f"CAST({row} AS DECIMAL(38, 0)) AS h")
+        parts.append(hashed.agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("fingerprint"))
+                     .selectExpr(f"'{name}' AS table_name", "rows", "fingerprint"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def report_json(table: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def seeded_logs(
         f"CASE WHEN id = 0 THEN 0L WHEN {in_burst} THEN {burst_step}L ELSE {gap} END AS gap",
         f"id + CASE WHEN {draw('late')} < {late_prob} THEN {delay} ELSE 0L END AS arrival",
         f"concat('k', id % {keys}) AS key")
-    timed = ordered_scan(drawn, ["log_id"], ["seq"], {"total": running_sum("total", "gap")}, "seeded").rows
+    timed = ordered_scan(drawn, ["log_id"], ["seq"], {"total": running_sum("total", "gap")}).rows
     return timed.selectExpr("log_id", "arrival", "seq", f"{start_ms}L + total AS t", "key")
 
 

@@ -15,22 +15,31 @@ NO_TIME = 'every line needs a finite whole number "t" (event time in ms)'
 MAX_EXACT = 9007199254740992
 
 
+def file_order(path: str) -> str:
+    """SQL of a text that sorts file names by the numbers in them: every run of digits
+    is led by its length, so that hour 3 comes before hour 10."""
+    plain = f"regexp_replace({path}, '(?<![0-9])0+(?=[0-9])', '')"
+    return (
+        f"array_join(transform(split({plain}, '(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])'), "
+        "x -> IF(x RLIKE '^[0-9]', concat(lpad(length(x), 4, '0'), x), x)), '')")
+
+
 def numbered_lines(spark: SparkSession, path: str, blocks: int | None = None, one_log: bool = False) -> DataFrame:
-    """``(path, line, value)``: every line of the text files with its 1-based
-    number in its file, however the files were split for reading. With ``one_log``
+    """``(path, file, line, value)``: every line of the text files with its 1-based
+    number in its file, however the files were split for reading; ``file`` sorts the files. With ``one_log``
     the files are one text in order of their names, and the number runs on."""
     try:
         text = spark.read.text(path)
     except AnalysisException as error:
         raise ValueError(f"cannot read {path}: {error.getCondition() or error}") from None
     placed = text.selectExpr(
-        "value", "_metadata.file_path AS path", "_metadata.file_block_start AS split",
+        "value", "_metadata.file_path AS path", f"{file_order('_metadata.file_path')} AS file", "_metadata.file_block_start AS split",
         "monotonically_increasing_id() AS place")
     if one_log:
         placed = placed.selectExpr("*", "'log' AS text")
-    by, order = (["text"], ["path", "split", "place"]) if one_log else (["path"], ["split", "place"])
-    lines = ordered_scan(placed, by, order, {"n": running_index("n")}, "lines", blocks).rows
-    return lines.selectExpr("path", "n + 1 AS line", "value")
+    by, order = (["text"], ["file", "path", "split", "place"]) if one_log else (["path"], ["split", "place"])
+    lines = ordered_scan(placed, by, order, {"n": running_index("n")}, blocks).rows
+    return lines.selectExpr("path", "file", "n + 1 AS line", "value")
 
 
 @dataclass(frozen=True)
@@ -53,13 +62,19 @@ class ParsedLog:
 def parse_ndjson(lines: DataFrame, log_id: str = "path") -> ParsedLog:
     """Parse numbered lines of ``{"t", "p", "k"}``. Blank lines are skipped; a bad
     ``p`` is NULL, a ``k`` that is not text is empty; a bad ``t`` rejects the line."""
-    lines = lines.where("trim(value) <> ''").selectExpr(
-        f"{log_id} AS log_id", "line", "value", "from_json(value, 't DOUBLE, p DOUBLE, k VARIANT') AS e")
-    return ParsedLog(lines.selectExpr(
-        "log_id", "line", "e.t AS t", "e.p AS p",
-        "CASE WHEN schema_of_variant(e.k) = 'STRING' THEN CAST(e.k AS STRING) ELSE '' END AS k",
-        f"CASE WHEN try_parse_json(value) IS NULL THEN '{NOT_JSON}' "
-        f"WHEN e.t IS NULL OR abs(e.t) > {MAX_EXACT} OR e.t <> floor(e.t) THEN '{NO_TIME}' END AS reason"))
+    lines = lines.where("trim(value) <> ''").selectExpr(f"{log_id} AS log_id", "line", "try_parse_json(value) AS v")
+    fields = lines.selectExpr(
+        "log_id", "line", "v IS NULL AS broken", "schema_of_variant(try_variant_get(v, '$.k')) = 'STRING' AS named",
+        *[_number(name) for name in ("t", "p")], "try_variant_get(v, '$.k', 'STRING') AS k")
+    return ParsedLog(fields.selectExpr(
+        "log_id", "line", "t", "p", "IF(named, k, '') AS k",
+        f"CASE WHEN broken THEN '{NOT_JSON}' WHEN t IS NULL OR abs(t) > {MAX_EXACT} OR t <> floor(t) THEN '{NO_TIME}' END AS reason"))
+
+
+def _number(name: str) -> str:
+    """A number field as DOUBLE; NULL if it is a text, or none."""
+    field = f"try_variant_get(v, '$.{name}')"
+    return f"IF(schema_of_variant({field}) RLIKE 'STRING|BOOLEAN|OBJECT|ARRAY|VOID', NULL, try_variant_get(v, '$.{name}', 'DOUBLE')) AS {name}"
 
 
 def read_ndjson(spark: SparkSession, path: str, on_bad: str = "fail", one_log: bool = False) -> ParsedLog:

@@ -12,7 +12,10 @@ run through the batch operators, starting from the state that the one before lef
 
 State and outputs of batch N lie in ``.../batch_id=N``. A batch that is retried
 reads the state of N-1 and overwrites its own folders, so the tables are exact
-under restarts. However a log is cut into batches, the tables are the same.
+under restarts; older states are deleted, and readers see ended batches only. Rows
+without a log, a time or a place in the order go to the quarantine table, and so do
+rows behind the last position of their log. What a batch keeps in memory is freed
+when it ends, also by an error. However a log is cut into batches, the tables are the same.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from pyspark.sql.streaming import StreamingQuery
 from paneledger.config import Config
 from paneledger.names import END_OF_STREAM
 from paneledger.operators import audit, judge, panes
-from paneledger.operators.arrival import EVENT_LATENESS, index_log
+from paneledger.operators.arrival import EVENT_LATENESS, index_log, reject_reason
 from paneledger.operators.crossing import FIRE, crossings
 from paneledger.operators.truth import batch_windows
 from paneledger.operators.watermarks import attach_watermark, start_of
-from paneledger.workspace import new_path
+from paneledger.workspace import delete, new_path, remember, scope
 
 LOG_STATE = (
     "log_id STRING, next_i BIGINT, max_seen BIGINT, first_t BIGINT, w BIGINT, raw BIGINT, "
@@ -97,8 +100,11 @@ def next_logs(logs: DataFrame, judged: DataFrame, order: list[str], config: Conf
 
 
 def _key(order: list[str]) -> str:
-    """Order columns of a row as text that sorts like them (whole numbers)."""
-    part = "CASE WHEN {c} IS NULL THEN '' WHEN {c} < 0 THEN concat('-', lpad(9223372036854775807L + {c}, 19, '0')) ELSE concat('0', lpad({c}, 19, '0')) END"
+    """Order columns of a row as text that sorts like them (whole numbers of up to 38 digits)."""
+    number = "CAST({c} AS DECIMAL(38, 0))"
+    digits = "lpad(CAST({v} AS STRING), 38, '0')"
+    below, above = digits.replace("{v}", f"{'9' * 38}BD + {number}"), digits.replace("{v}", number)
+    part = f"CASE WHEN {{c}} IS NULL THEN '' WHEN {{c}} < 0 THEN concat('-', {below}) ELSE concat('0', {above}) END"
     return f"concat_ws('/', {', '.join(part.format(c=c) for c in order)})"
 
 
@@ -167,24 +173,30 @@ class FoldTables:
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` function."""
+        with scope():
+            self._fold(batch, batch_id)
+        for table in ("state_logs", "state_windows"):  # a retry of this batch needs the one before it
+            delete(self.spark, self.folder(table, batch_id - 2))
+
+    def _fold(self, batch: DataFrame, batch_id: int) -> None:
         config, order = self.config, list(self.order)
         logs, live = self._state("logs", LOG_STATE, batch_id - 1), self._state("windows", WINDOW_STATE, batch_id - 1)
         # A row at or before the last one of its log came too late to have a position.
         placed = panes.per_log(batch.selectExpr("*", f"{_key(order)} AS row_key"), logs.select("log_id", "last_key"), "row_key")
-        placed = placed.selectExpr("*", "coalesce(row_key <= last_key, false) AS stray").drop("row_key", "last_key").persist()
+        stray = f"({reject_reason(order)}) IS NOT NULL OR coalesce(row_key <= last_key, false)"
+        placed = remember(placed.selectExpr("*", f"{stray} AS stray").drop("row_key", "last_key"))
         self._write(placed.where("stray").drop("stray"), "quarantine", batch_id)
 
-        judged = judge_batch(logs, placed.where("NOT stray").drop("stray"), order, config).persist()
-        merged = merge_windows(live, judged).persist()
+        judged = judge_batch(logs, placed.where("NOT stray").drop("stray"), order, config)
+        judged = remember(judged)
+        merged = remember(merge_windows(live, judged))
         after = self._write(next_logs(logs, judged, order, config), "state_logs", batch_id)
         new_panes = self._write(batch_panes(live, merged, judged, config), "panes", batch_id)
         self._write(judge.receipts(judged, config), "side_output", batch_id)
         self._write(judge.trace(judged), "trace", batch_id)
-        windows = next_windows(merged, new_panes, after, config).persist()
+        windows = remember(next_windows(merged, new_panes, after, config))
         self._write(windows.where("done").drop("done"), "released", batch_id)
         self._write(windows.where("NOT done").drop("done"), "state_windows", batch_id)
-        for table in (placed, judged, merged, windows):
-            table.unpersist()
 
     def _write(self, table: DataFrame, name: str, batch_id: int) -> DataFrame:
         """Write one table of a batch, replacing what a failed attempt left."""
@@ -192,8 +204,9 @@ class FoldTables:
         table.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(table.schema).parquet(path)
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(OUTPUTS[name]).parquet(f"{self.path}/{name}").select(
+    def read(self, name: str, last: int) -> DataFrame:
+        """An output up to batch ``last``, the last one that has ended."""
+        return self.spark.read.schema(OUTPUTS[name] + ", batch_id BIGINT").parquet(f"{self.path}/{name}").where(f"batch_id <= {last}").select(
             *[part.split()[0] for part in OUTPUTS[name].split(", ")])
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger: bool | str) -> StreamingQuery:
@@ -203,7 +216,7 @@ class FoldTables:
 
 @dataclass(frozen=True)
 class FoldResult:
-    """The tables of a fold that has ended after batch ``last``."""
+    """The tables of a fold after batch ``last`` (of a live stream, the last committed one)."""
 
     tables: FoldTables
     last: int
@@ -223,7 +236,7 @@ class FoldResult:
     @property
     def panes(self) -> DataFrame:
         """Every pane; a flush closes the windows that still wait."""
-        out = self.tables.read("panes")
+        out = self.tables.read("panes", self.last)
         if self.flushed:
             waiting = panes.per_log(self.live.where("NOT fired AND on_time > 0"), self.logs.select("log_id", "next_i"))
             out = out.unionByName(waiting.selectExpr(
@@ -234,11 +247,11 @@ class FoldResult:
 
     @property
     def side_output(self) -> DataFrame:
-        return self.tables.read("side_output")
+        return self.tables.read("side_output", self.last)
 
     @property
     def trace(self) -> DataFrame:
-        out = self.tables.read("trace")
+        out = self.tables.read("trace", self.last)
         if self.flushed:
             out = out.unionByName(self.logs.selectExpr("log_id", "next_i AS index", f"{END_OF_STREAM}L AS watermark"))
         return out
@@ -247,7 +260,7 @@ class FoldResult:
     def windows(self) -> DataFrame:
         """Released and live windows, as the audit takes them."""
         late = "late_in_bound" if self.tables.config.late_policy == "update" else "0L"
-        every = self.tables.read("released").unionByName(self.live)
+        every = self.tables.read("released", self.last).unionByName(self.live)
         return every.selectExpr(
             "*", f"fired OR {str(self.flushed).lower()} AS closed").selectExpr(
             "log_id", "win_start", "win_end", "on_time", "late_in_bound", "closed AS fired",

@@ -9,7 +9,10 @@ step scans only the columns it needs.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,27 +37,51 @@ def new_path(spark: SparkSession, label: str) -> str:
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     path = new_path(df.sparkSession, label)
+    _held.stored[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_in_memory: list[DataFrame] = []
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class _Held(threading.local):
+    """Tables in memory and stored folders, by scope, of one thread."""
+
+    def __init__(self) -> None:
+        self.memory: list[list[DataFrame]] = [[]]
+        self.stored: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+_held = _Held()
 
 
 def remember(df: DataFrame) -> DataFrame:
-    """Keep ``df`` in executor memory, spilling to disk, until ``release``."""
-    _in_memory.append(df.persist())
+    """Keep ``df`` in executor memory, spilling to disk, until its scope ends."""
+    _held.memory[-1].append(df.persist())
     return df
 
 
 def release() -> None:
-    """Free everything that runs have kept in memory. Call it between runs over
-    files that change."""
-    while _in_memory:
-        _in_memory.pop().unpersist()
-
-
-def hold(df: DataFrame, label: str, small: bool) -> DataFrame:
-    """A result that several readers share: in executor memory if it is small,
-    else as a stored table."""
-    return remember(df) if small else keep(df, label)
+    """Free what the current scope has kept: tables in memory, and stored folders,
+    its own only. Call it between runs over files that change."""
+    while _held.memory[-1]:
+        _held.memory[-1].pop().unpersist()
+    while _held.stored[-1]:
+        delete(*_held.stored[-1].pop())
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is kept inside is freed at the end, also after an error."""
+    _held.memory.append([])
+    _held.stored.append([])
+    try:
+        yield
+    finally:
+        release()
+        _held.memory.pop()
+        _held.stored.pop()
