@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import expr
 
 import oracle_queries
 from paneledger import Config, Run, WatermarkSpec, index_log
@@ -137,6 +138,24 @@ def missing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing_events(run.index.rows, accounted).select("log_id", "i", "t")
 
 
+def _audited(run: Run, panes):
+    return audit.audit_panes(panes, run.index.rows, run.side_output, run.trace, run.config)
+
+
+def verdict_from_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict from what the run emitted, not from its own counts."""
+    run = _run(spark, sf_dir)
+    return _audited(run, run.panes).select(*VERDICT)
+
+
+def findings_from_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit says of a job that loses every fifth window's panes and counts
+    one event too few in the window after it."""
+    run = _run(spark, sf_dir)
+    altered = run.panes.where(f"win_start % {5 * HOUR} <> 0").withColumn("count", expr(f"count - CAST(win_start % {5 * HOUR} = {HOUR} AS BIGINT)"))
+    return audit.window_findings(_audited(run, altered))
+
+
 def replay_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log indexed and run twice: rows of both, and rows only in one."""
     first, second = _run(spark, sf_dir), _run(spark, sf_dir)
@@ -257,6 +276,8 @@ def _log_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_silent_drop": audit_silent_drop,
         "missing_events": missing_events,
         "run_fingerprint": fingerprints_equal,
+        "verdict_from_panes": verdict_from_panes,
+        "findings_from_panes": findings_from_panes,
         "rejected_events": rejected_events,
         "verdict_with_rejects": verdict_with_rejects,
         "feed_archive": feed_archive,

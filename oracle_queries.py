@@ -342,6 +342,12 @@ def statements() -> dict[str, str]:
         "audit_silent_drop": f"{bounded} " + finding.format(
             code="silent-drop", window="NULL", rows="(SELECT log_id, count(*) AS n FROM j WHERE cls = 'too_late' AND i % 3 = 0 GROUP BY log_id)",
             detail="concat(n, ' event(s) neither counted nor receipted')"),
+        "verdict_from_panes": f"{bounded} {VERDICT}",
+        "findings_from_panes": f"""{bounded} SELECT log_id, CASE WHEN win_start % {5 * HOUR} = 0 THEN 'no-pane-after-close' ELSE 'unexplained-shortfall' END AS code,
+            'defect' AS severity, win_start::BIGINT AS win_start, CASE WHEN win_start % {5 * HOUR} = 0
+            THEN concat('closed without a pane; ', expected - receipted, ' event(s) unaccounted for')
+            ELSE concat('emitted ', emitted - 1, ' of ', expected, ', only ', receipted, ' receipted') END AS detail
+            FROM verdict WHERE panes > 0 AND win_start % {5 * HOUR} IN (0, {HOUR})""",
         "rejected_events": """SELECT event_id::BIGINT AS event, CASE WHEN event_id % 89 = 0 THEN 'no log' WHEN event_id % 97 = 0 THEN 'no event time'
             ELSE 'no place in the arrival order' END AS reason FROM events
             WHERE event_id % 89 = 0 OR event_id % 97 = 0 OR event_id % 101 = 0""",

@@ -1,7 +1,8 @@
 """The audit: what panes, receipts and watermarks can be shown to be worth.
 
 Every function takes plain tables, so the tables of any streaming job can be
-audited, not only those of ``plans.run``:
+audited, not only those of ``plans.run``; ``audit_panes`` starts from what a job
+emits:
 
 - windows   ``(log_id, win_start, win_end, emitted, panes, fired, on_time,
   late_in_bound, opened_after_close, collected_at_watermark?)``
@@ -19,9 +20,12 @@ from pyspark.sql import DataFrame
 
 from paneledger.config import Config
 from paneledger.functions.text import watermark_text
-from paneledger.names import END_OF_STREAM
-from paneledger.operators.judge import aggregates
+from paneledger.functions.windows import window_end, window_start
+from paneledger.names import END_OF_STREAM, LATE_IN_BOUND, ON_TIME
+from paneledger.operators.judge import aggregates, event_class
 from paneledger.operators.panes import per_log
+from paneledger.operators.scan import last_known, ordered_scan
+from paneledger.operators.truth import batch_windows
 
 KEYS = ["log_id", "win_start"]
 ACCUSING = "coalesce(reason IN ('no-pane-after-close', 'unexplained-shortfall'), false)"
@@ -36,6 +40,40 @@ def _finding(rows: DataFrame, code: str, detail: str, window: str = "CAST(NULL A
     return rows.selectExpr("log_id", f"'{code}' AS code", "'defect' AS severity", f"{window} AS win_start", f"{detail} AS detail")
 
 
+def windows_from_panes(panes: DataFrame, log: DataFrame, trace: DataFrame, config: Config) -> DataFrame:
+    """The windows of any streaming job, from what it emitted: ``panes`` (log_id,
+    win_start, win_end, seq, count), the indexed ``log`` (log_id, i, t) and the
+    ``trace`` of its watermark (log_id, index, watermark; on change is enough).
+
+    What a window emitted is its last pane. How its events were to be judged follows
+    from the watermark before each of them: the latest step of the trace at a smaller
+    index, a running value over both tables in arrival order.
+    """
+    asked = log.selectExpr("log_id", "i AS at", "t", "CAST(NULL AS BIGINT) AS watermark", "false AS step")
+    steps = trace.selectExpr("log_id", "index AS at", "CAST(NULL AS BIGINT) AS t", "watermark", "true AS step")
+    seen = ordered_scan(
+        asked.unionByName(steps), ["log_id"], ["at", "step"], {"w_before": last_known("w_before", "watermark")}, derived=True,
+    ).rows.where("NOT step")
+    start = window_start("t", config.window_ms, config.offset_ms)
+    judged = seen.selectExpr("log_id", "w_before", f"{start} AS win_start").selectExpr(
+        "*", f"{window_end('win_start', config.window_ms)} AS win_end").selectExpr("*", f"{event_class(config.allowed_lateness_ms)} AS cls")
+    owed = judged.groupBy(*KEYS, "win_end").agg(*aggregates(
+        on_time=f"count_if(cls = '{ON_TIME}')", late_in_bound=f"count_if(cls = '{LATE_IN_BOUND}')"))
+    emitted = panes.groupBy(*KEYS).agg(*aggregates(pane_end="max(win_end)", emitted="max_by(count, seq)", panes="count(1)"))
+    update = str(config.late_policy == "update").lower()
+    return owed.join(emitted, KEYS, "full_outer").selectExpr(
+        *KEYS, "coalesce(win_end, pane_end) AS win_end", "emitted", "coalesce(panes, 0L) AS panes", "coalesce(panes, 0L) > 0 AS fired",
+        "coalesce(on_time, 0L) AS on_time", "coalesce(late_in_bound, 0L) AS late_in_bound",
+        f"coalesce(on_time = 0 AND late_in_bound > 0, false) AND {update} AS opened_after_close")
+
+
+def audit_panes(panes: DataFrame, log: DataFrame, receipts: DataFrame, trace: DataFrame, config: Config) -> DataFrame:
+    """The verdict on a job's windows, from its own tables only."""
+    health = trace.groupBy("log_id").agg(*aggregates(w_last="max(watermark)"))
+    truth = batch_windows(log, config.window_ms, config.offset_ms)
+    return verdict_windows(windows_from_panes(panes, log, trace, config), truth, receipts, health, config)
+
+
 def receipt_counts(receipts: DataFrame, config: Config) -> DataFrame:
     """Receipts per window, split by whether the event was within the bound."""
     in_bound = f"lateness_ms < {config.allowed_lateness_ms}"

@@ -14,15 +14,13 @@ PANE_COLUMNS = [
 ]
 HAS_STATE = "on_time + late_in_bound > 0"
 OPENED_LATE = "(on_time = 0 AND late_in_bound > 0)"
-SALTS = 32
 
 
-def per_log(rows: DataFrame, logs: DataFrame, spread: str = "win_start") -> DataFrame:
-    """Join the columns of ``logs`` to rows. A log may hold a third of the rows, so
-    its key is salted; the per-log side is repeated once per salt."""
-    repeated = logs.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS salt")
-    salted = rows.selectExpr("*", f"CAST(pmod(xxhash64({spread}), {SALTS}) AS INT) AS salt")
-    return salted.join(repeated, ["log_id", "salt"], "left").drop("salt")
+def per_log(rows: DataFrame, logs: DataFrame) -> DataFrame:
+    """Join the columns of ``logs``, one row each, to rows. A plain left join, so the
+    engine picks at run time: few logs are sent to the rows; else both are shuffled,
+    and the rows of a log that holds too many are split over as many tasks as needed."""
+    return rows.join(logs, "log_id", "left")
 
 
 def window_counts(tallied: DataFrame, health: DataFrame, config: Config) -> DataFrame:

@@ -39,7 +39,7 @@ def lateness_profile(indexed: DataFrame, blocks: int | None = None) -> DataFrame
         for name, p in PROFILE_QUANTILES.items()
     }
     late = "coalesce(sum(n) FILTER (WHERE late_ms > 0), 0L)"
-    return per_log(ranked, totals, spread="late_ms").groupBy("log_id").agg(*aggregates(
+    return per_log(ranked, totals).groupBy("log_id").agg(*aggregates(
         events="sum(n)", out_of_order=late, out_of_order_pct=f"{late} * 100D / sum(n)", **quantiles,
         max_lateness="max(late_ms)",
     ))

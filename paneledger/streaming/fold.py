@@ -55,7 +55,7 @@ SCALARS = ["next_i", "max_seen", "first_t", "w", "raw", "open_min"]
 def with_log_state(rows: DataFrame, logs: DataFrame) -> DataFrame:
     """Continue positions and maxima where the state left them, and add the ``s_*`` columns."""
     state = logs.selectExpr("log_id", *[f"{c} AS s_{c}" for c in SCALARS])
-    joined = panes.per_log(rows, state, spread="i")
+    joined = panes.per_log(rows, state)
     shifted = {
         "i": "i + coalesce(s_next_i, 0L)", "max_seen": "greatest(max_seen, s_max_seen)",
         "max_before": "greatest(max_before, s_max_seen)", "first_t": "coalesce(s_first_t, first_t)",
@@ -83,7 +83,7 @@ def next_logs(logs: DataFrame, judged: DataFrame, order: list[str], config: Conf
         seen = seen.selectExpr("*", "CAST(NULL AS BIGINT) AS b_open")
     if spec.name == "percentile":
         size = spec.sample_size
-        tail = panes.per_log(judged, seen.select("log_id", "b_next"), spread="i").where(
+        tail = panes.per_log(judged, seen.select("log_id", "b_next")).where(
             f"i >= b_next - {size} AND max_before IS NOT NULL")
         tail = tail.selectExpr("log_id", f"struct(i, {EVENT_LATENESS} AS lat) AS x").groupBy("log_id").agg(
             *judge.aggregates(b_lats="transform(array_sort(collect_list(x)), v -> v.lat)"))
@@ -182,7 +182,7 @@ class FoldTables:
         config, order = self.config, list(self.order)
         logs, live = self._state("logs", LOG_STATE, batch_id - 1), self._state("windows", WINDOW_STATE, batch_id - 1)
         # A row at or before the last one of its log came too late to have a position.
-        placed = panes.per_log(batch.selectExpr("*", f"{_key(order)} AS row_key"), logs.select("log_id", "last_key"), "row_key")
+        placed = panes.per_log(batch.selectExpr("*", f"{_key(order)} AS row_key"), logs.select("log_id", "last_key"))
         stray = f"({reject_reason(order)}) IS NOT NULL OR coalesce(row_key <= last_key, false)"
         placed = remember(placed.selectExpr("*", f"{stray} AS stray").drop("row_key", "last_key"))
         self._write(placed.where("stray").drop("stray"), "quarantine", batch_id)
