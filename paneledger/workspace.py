@@ -60,14 +60,20 @@ _held = _Held()
 
 
 def remember(df: DataFrame) -> DataFrame:
-    """Keep ``df`` in executor memory, spilling to disk, until its scope ends."""
-    _held.memory[-1].append(df.persist())
-    return df
+    """Keep ``df`` in executor memory, spilling to disk, until its scope ends.
+
+    The engine finds kept tables by their plan, and two reads of one path have equal
+    plans even if the files have changed; a mark of its own keeps this table for the
+    frames that are derived from it.
+    """
+    own = df.selectExpr("*", f"'{uuid.uuid4().hex}' AS kept_as").drop("kept_as")
+    _held.memory[-1].append(own.persist())
+    return own
 
 
 def release() -> None:
     """Free what the current scope has kept: tables in memory, and stored folders,
-    its own only. Call it between runs over files that change."""
+    its own only. Results never depend on it; memory does."""
     while _held.memory[-1]:
         _held.memory[-1].pop().unpersist()
     while _held.stored[-1]:
