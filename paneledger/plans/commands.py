@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from paneledger.config import Config, WatermarkSpec
-from paneledger.operators.arrival import index_log
-from paneledger.plans.compare import control_sweep
 from paneledger.plans.run import Run, run_log
 from paneledger.sources.logs import named_log
-from paneledger.sources.made import DEMO_CONFIG, demo_log, ordered_logs, seeded_logs
 from paneledger.sources.ndjson import read_ndjson
 
 CHECK_CONFIG = Config(10_000, 0, 5_000, "update", "idle", WatermarkSpec("bounded", bound_ms=2_000))
@@ -25,17 +22,3 @@ def run_named(spark: SparkSession, folder: str, name: str, config: Config | None
 def check_ndjson(spark: SparkSession, path: str, config: Config = CHECK_CONFIG) -> Run:
     """Audit an event log in NDJSON; a bad line fails with its number."""
     return run_log(read_ndjson(spark, path).events, config)
-
-
-def demo(spark: SparkSession) -> Run:
-    return run_log(demo_log(spark), DEMO_CONFIG)
-
-
-def run_seeded(spark: SparkSession, seeds: range, events: int, config: Config = CHECK_CONFIG, **spec: float) -> Run:
-    """Run seeded out-of-order logs, all seeds in one job."""
-    return run_log(seeded_logs(spark, seeds, events, **spec), config, ["arrival", "seq"])
-
-
-def control(spark: SparkSession, seeds: range, events: int, step_ms: int = 700, config: Config = CHECK_CONFIG) -> DataFrame:
-    """The negative control over seeded ordered logs."""
-    return control_sweep(index_log(ordered_logs(spark, seeds, events, step_ms=step_ms), ["seq"]), config)

@@ -6,8 +6,8 @@ import pytest
 
 from paneledger import Config, WatermarkSpec, run_log
 from paneledger.operators import audit
-from paneledger.plans.commands import demo
 from paneledger.sinks.reports import verdict_text
+from made import demo
 
 BASE = Config(4_000, 0, 4_000, "update", "idle", WatermarkSpec("bounded", bound_ms=0))
 ONE_LATE = [*range(0, 8_000, 1_000), 500]

@@ -6,13 +6,13 @@ import json
 import pytest
 
 from paneledger import Config, WatermarkSpec, run_log
-from paneledger.plans.commands import check_ndjson, control, run_seeded
+from paneledger.plans.commands import check_ndjson
 from paneledger.plans.compare import same_rows
 from paneledger.sinks.reports import lateness_lines, report_json, run_fingerprint, stale, write_ndjson, write_run
 from paneledger.sources.feeds import archive_log, change_log, earthquake_log
 from paneledger.sources.logs import named_log
-from paneledger.sources.made import ordered_logs, seeded_logs
 from paneledger.sources.ndjson import NO_TIME, NOT_JSON, numbered_lines, read_ndjson
+from made import control, ordered_logs, run_seeded, seeded_logs
 
 
 def test_ndjson_reports_bad_lines_by_number(spark, tmp_path):
