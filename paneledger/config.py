@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from paneledger.names import LATE_POLICIES, STRATEGY_NAMES, TERMINATIONS
 
 
@@ -77,6 +80,29 @@ class WatermarkSpec:
         }[self.name]
 
 
+@dataclass(frozen=True)
+class CustomWatermark:
+    """A strategy of the user's own.
+
+    ``raw`` takes the indexed rows (log_id, i, t, max_seen, max_before, first_t, ...)
+    and returns them with ``raw``, what the strategy says after the event; the engine
+    makes the emitted watermark of it, its running maximum. ``monotonic`` promises
+    that it never falls, which the audit holds it to.
+    """
+
+    name: str
+    raw: Callable[[DataFrame], DataFrame]
+    monotonic: bool = False
+    text: str = ""
+
+    def __post_init__(self) -> None:
+        if self.name in STRATEGY_NAMES or not callable(self.raw):
+            raise ValueError(f"a watermark of one's own needs a new name and a function, got {self.name!r}, {self.raw!r}")
+
+    def describe(self) -> str:
+        return self.text or self.name
+
+
 @dataclass(frozen=True)
 class Config:
     window_ms: int = 60_000
@@ -84,7 +110,7 @@ class Config:
     allowed_lateness_ms: int = 0
     late_policy: str = "update"
     termination: str = "idle"
-    watermark: WatermarkSpec = field(default_factory=WatermarkSpec)
+    watermark: WatermarkSpec | CustomWatermark = field(default_factory=WatermarkSpec)
 
     def __post_init__(self) -> None:
         require_int("window_ms", self.window_ms, 1)
@@ -92,7 +118,7 @@ class Config:
         require_int("allowed_lateness_ms", self.allowed_lateness_ms, 0)
         require_choice("late policy", self.late_policy, LATE_POLICIES)
         require_choice("termination", self.termination, TERMINATIONS)
-        if not isinstance(self.watermark, WatermarkSpec):
+        if not isinstance(self.watermark, (WatermarkSpec, CustomWatermark)):
             raise ValueError(f"watermark must be a WatermarkSpec, got {self.watermark!r}")
 
     @classmethod

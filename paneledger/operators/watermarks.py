@@ -1,4 +1,4 @@
-"""The five watermark strategies.
+"""The five watermark strategies, and those of the user's own.
 
 Each takes an arrival index and adds ``raw`` (what the strategy says after the
 event), ``w_after`` (the emitted watermark after the event: the running maximum
@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
-from paneledger.config import WatermarkSpec
+from paneledger.config import CustomWatermark, WatermarkSpec
 from paneledger.operators.arrival import EVENT_LATENESS
 from paneledger.operators.judge import aggregates
 from paneledger.operators.scan import (
-    block_carry, frames, last_known, running_max, running_max_before, with_carry,
+    block_carry, frames, last_known, ordered_scan, running_max, running_max_before, with_carry,
 )
 from paneledger.workspace import remember
 
@@ -132,6 +132,12 @@ def from_quantile(rows: DataFrame, spec: WatermarkSpec, size: int | None, sample
     return with_state(with_carry(local, carry, ["log_id"], running))
 
 
+def from_function(rows: DataFrame, spec: CustomWatermark) -> DataFrame:
+    """A strategy of the user's own: any set-based rule for ``raw``."""
+    running = {"w_after": running_max("w_after", "raw"), "w_before": running_max_before("w_after", "raw")}
+    return with_state(ordered_scan(spec.raw(rows.drop("blk")), ["log_id"], ["i"], running, derived=True).rows)
+
+
 def block_copies(block: str, position: str, size: int, sample: int) -> str:
     """Explode a row into its block, and into the next one if it is among the last
     ``sample`` rows before it."""
@@ -185,11 +191,13 @@ def with_state(rows: DataFrame) -> DataFrame:
 
 
 def attach_watermark(
-    rows: DataFrame, spec: WatermarkSpec, block_size: int | None = None, samples: DataFrame | None = None,
+    rows: DataFrame, spec: WatermarkSpec | CustomWatermark, block_size: int | None = None, samples: DataFrame | None = None,
 ) -> DataFrame:
     """Indexed rows with ``raw``, ``w_before`` and ``w_after``. ``block_size`` sets
     the rows per block of the punctuated and percentile strategies; ``samples``
     are the lateness values ``(log_id, next_i, lats)`` a streaming run kept."""
+    if isinstance(spec, CustomWatermark):
+        return from_function(rows, spec)
     if spec.name == "percentile":
         return from_quantile(rows, spec, block_size, samples)
     if spec.name == "punctuated":

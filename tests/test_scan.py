@@ -9,7 +9,7 @@ import random
 
 import pytest
 
-from paneledger import Config, Run, WatermarkSpec, index_log
+from paneledger import Config, CustomWatermark, Run, WatermarkSpec, index_log
 from paneledger.operators import scan
 from paneledger.operators.audit import audit_panes
 from paneledger.operators.scan import block_number, ordered_scan, running_index, running_sum, split_points
@@ -119,3 +119,19 @@ def test_a_scope_frees_its_own(spark):
         assert os.path.exists(path)
         raise RuntimeError
     assert not os.path.exists(path) and outer.count() == 3
+
+
+def test_a_strategy_of_ones_own(make_log):
+    """Half way between the first and the highest event time."""
+    half = CustomWatermark("half-way", lambda rows: rows.selectExpr("*", "first_t + (max_seen - first_t) DIV 2 AS raw"), True, "half way")
+    wild = CustomWatermark("last-time", lambda rows: rows.selectExpr("*", "t AS raw"), True)
+    times = [0, 200, 90, 500, 320, 1000, 40]
+    run = Run(index_log(make_log(times)), Config(100, 0, 0, watermark=half))
+    got = [(r.i, r.w_before, r.w_after) for r in run.judged.orderBy("i").collect()]
+    marks = [max(times[:k + 1]) // 2 for k in range(len(times))]
+    assert got == [(k, marks[k - 1] if k else None, marks[k]) for k in range(len(times))]
+    assert run.findings.isEmpty() and half.describe() == "half way"
+    fallen = Run(index_log(make_log(times)), Config(100, 0, 0, watermark=wild)).findings.collect()
+    assert [r.code for r in fallen] == ["watermark-regression"]
+    with pytest.raises(ValueError):
+        CustomWatermark("bounded", lambda rows: rows)
