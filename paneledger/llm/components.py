@@ -1,4 +1,4 @@
-"""Connected components of a graph of any size, by label propagation over tables."""
+"""Connected components of a graph of any size, by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -14,37 +14,41 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links`` (a, b): the smallest node that
     it reaches. Nodes without a link are not in the result.
 
-    Large-star and small-star rounds in turn: every node hands the smallest node of
-    its neighbourhood to its larger neighbours, then to its smaller ones, so that each
-    component ends as a star around its smallest node; the number of rounds grows
-    with the logarithm of the longest path. Each round is a grouping and a join on
-    the node, and its result is written to the shared folder.
+    Every node points to the smallest node around it; following the pointers, twice as
+    far each time, leads to the roots of a forest; links are moved to the roots, and
+    those inside one tree go. That is repeated with what is left until no link is.
+    A step is a grouping or a join by node, written to the shared folder.
     """
-    edges = keep(_toward_smaller(links), "links")
+    edges = keep(_between(links.select("a", "b")), "links")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = keep(nodes.withColumn("component", F.col("node")), "labels")
     for _ in range(MOST_ROUNDS):
-        large = _star(edges.union(edges.select("b", "a").toDF("a", "b")), larger_only=True)
-        following = keep(_star(large, larger_only=False), "links")
-        same = following.count() == edges.count() and following.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = following
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(edges.select("b", "b").distinct()).distinct()
-
-
-def _toward_smaller(links: DataFrame) -> DataFrame:
+        if edges.isEmpty():
+            return labels
+        roots = _roots(edges)
+        labels = keep(_moved(labels, roots, "component"), "labels")
+        edges = keep(_between(_moved(_moved(edges, roots, "a"), roots, "b")), "links")
+    raise RuntimeError("components did not settle")
+
+
+def _between(links: DataFrame) -> DataFrame:
     return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """Connect neighbours ``b`` of each ``a`` to the smallest node around it, itself
-    included; the large star moves the neighbours above ``a`` only."""
-    smallest = edges.groupBy("a").agg(F.min("b").alias("b0")).select("a", F.least("a", "b0").alias("least"))
-    joined = edges.join(smallest, "a")
-    moved = joined.where("b > a") if larger_only else joined
-    pairs = moved.select(F.col("b").alias("x"), F.col("least").alias("y"))
-    if not larger_only:
-        pairs = pairs.union(smallest.select("a", "least"))
-    return pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _moved(table: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """``column`` replaced by its root, where it has one."""
+    named = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
+    return table.join(named, column, "left").withColumn(column, F.coalesce("_root", column)).select(table.columns)
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` of every node that is not a root itself."""
+    both = edges.union(edges.select("b", "a"))
+    pointers = keep(both.groupBy("a").agg(F.min("b").alias("root")).where("root < a").withColumnRenamed("a", "node"), "pointers")
+    for _ in range(MOST_ROUNDS):
+        following = keep(_moved(pointers, pointers, "root"), "pointers")
+        changed = not following.join(pointers, ["node", "root"], "left_anti").isEmpty()
+        pointers = following
+        if not changed:
+            return pointers
+    raise RuntimeError("pointers did not settle")

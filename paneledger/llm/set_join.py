@@ -36,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneledger.llm.components import components
@@ -52,7 +52,9 @@ LARGEST_BOUNDARY = 16
 POSTING_COST = 4
 # Elements are ordered last if so many classes of a batch, and of the corpus, have them.
 COMMON_IN_BATCH, COMMON_IN_CORPUS, MOST_COMMON = 8, 32, 100_000
-STAR_PREFIX = 3
+STAR_PREFIX, STAR_TURNS = 8, 3
+# Texts compared with one hub in one task.
+GROUP = 500
 
 
 def least_overlap(j: int, k: int) -> int:
@@ -123,30 +125,33 @@ def _common(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def handed_out(docs: DataFrame, boundary: int, common: np.ndarray) -> DataFrame:
-    """What every document hands out: subsets (``element`` with the sizes ``j, k`` that
-    link by it) if its set is small, prefix elements with ``position`` if it is large
-    or may link to a large one."""
+    """What every document hands out: subsets (``element``, with the two sizes that
+    link by it as ``pair``) if its set is small, prefix elements with their
+    ``position`` (and no ``pair``) if it is large or may link to a large one."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))
     smallest_in_lists = -(-SIMILARITY[0] * (boundary + 1) // SIMILARITY[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shared.value
         for batch in batches:
-            at, rows, held = 0, [], 0
+            rows, held = [], 0
             for elements in shingle_sets(batch.column("text"), SHINGLE):
-                k, node = len(elements), _node(elements)
+                k = len(elements)
+                if not k:
+                    continue
+                node = _node(elements)
                 if 1 < k <= boundary:
                     rows.append(_subsets(elements, node, boundary))
-                if k >= smallest_in_lists and k > 0:
+                    held += len(rows[-1][0])
+                if k >= smallest_in_lists:
                     rows.append(_prefix(elements, node, late))
-                at += 1
-                held += len(rows[-1][0]) if rows else 0
+                    held += len(rows[-1][0])
                 if held > 200_000:
                     yield _rows(rows)
                     rows, held = [], 0
             yield _rows(rows)
 
-    return docs.select("text").mapInArrow(run, "element long, node long, size int, position int, j int, k int")
+    return docs.select("text").mapInArrow(run, "element long, node long, size int, position int, pair int")
 
 
 def _prefix(elements: np.ndarray, node: int, late: np.ndarray) -> tuple:
@@ -156,50 +161,50 @@ def _prefix(elements: np.ndarray, node: int, late: np.ndarray) -> tuple:
         elements = np.concatenate([elements[~found], elements[found]])
     first = elements[:prefix_length(k)]
     n = len(first)
-    return first, np.full(n, node), np.full(n, k), np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    return first, np.full(n, node), np.full(n, k), np.arange(n), np.zeros(n, np.int64)
 
 
 def _subsets(elements: np.ndarray, node: int, boundary: int) -> tuple:
     size, own = len(elements), mixed(elements)
-    found, low, high = [], [], []
+    found, pairs = [], []
     for partner in partner_sizes(size, boundary):
         overlap = least_overlap(size, partner)
         chosen = np.array(list(combinations(range(size), overlap)))
-        hashes = mixed(own[chosen].sum(axis=1, dtype=np.uint64) + np.uint64(overlap))
-        found.append(hashes)
-        low.append(np.full(len(hashes), min(size, partner)))
-        high.append(np.full(len(hashes), max(size, partner)))
+        found.append(mixed(own[chosen].sum(axis=1, dtype=np.uint64) + np.uint64(overlap)))
+        pairs.append(np.full(len(chosen), min(size, partner) * 256 + max(size, partner)))
     n = sum(map(len, found))
-    return np.concatenate(found), np.full(n, node), np.full(n, size), np.full(n, -1), np.concatenate(low), np.concatenate(high)
+    return np.concatenate(found), np.full(n, node), np.full(n, size), np.zeros(n, np.int64), np.concatenate(pairs)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    names, kinds = ["element", "node", "size", "position", "j", "k"], [np.int64] * 2 + [np.int32] * 4
-    columns = [np.concatenate(column) for column in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 6
+    names, kinds = ["element", "node", "size", "position", "pair"], [np.int64] * 2 + [np.int32] * 3
+    columns = [np.concatenate(column) for column in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 5
     columns[0] = columns[0].view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(c.astype(kind, copy=False)) for c, kind in zip(columns, kinds)], names)
 
 
+def listed(out: DataFrame) -> DataFrame:
+    """What at least two classes hand out, copies put together: one shuffle by element."""
+    once = out.repartition("element").dropDuplicates(["element", "pair", "node"])
+    return _several(once, "node", ["element", "pair"])
+
+
+def _several(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """The rows of the groups that hold at least two values of ``column``."""
+    group = Window.partitionBy(*by)
+    ends = rows.withColumn("least", F.min(column).over(group)).withColumn("most", F.max(column).over(group))
+    return ends.where("least <> most").drop("least", "most")
+
+
 def subset_links(subsets: DataFrame) -> DataFrame:
     """Links of sets that share a subset: a star per subset and pair of sizes. Every
     set of one size links to every set of the other, so the star around the smallest
     of one size, and the one around the smallest of the other, lose nothing."""
-    key = ["element", "j", "k"]
+    key, low, high = ["element", "pair"], "size = pair DIV 256", "size = pair % 256"
     ends = subsets.groupBy(*key).agg(
-        F.min(F.when(F.col("size") == F.col("j"), F.col("node"))).alias("low"),
-        F.min(F.when(F.col("size") == F.col("k"), F.col("node"))).alias("high"),
-        F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most AND low IS NOT NULL AND high IS NOT NULL")
-    return (
-        subsets.join(ends, key)
-        .select(F.col("node").alias("a"), F.when(F.col("size") == F.col("j"), F.col("high")).otherwise(F.col("low")).alias("b"))
-        .where("a <> b").distinct())
-
-
-def listed(postings: DataFrame) -> DataFrame:
-    """Postings in lists of at least two classes, copies put together."""
-    once = postings.groupBy("element", "node").agg(F.first("size").alias("size"), F.first("position").alias("position"))
-    ends = once.groupBy("element").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    return once.join(ends.select("element"), "element", "left_semi")
+        F.min(F.expr(f"IF({low}, node, NULL)")).alias("low"), F.min(F.expr(f"IF({high}, node, NULL)")).alias("high")
+    ).where("low IS NOT NULL AND high IS NOT NULL")
+    return subsets.join(ends, key).selectExpr("node AS a", f"IF({low}, high, low) AS b").where("a <> b").distinct()
 
 
 # Sizes a link allows, and the overlap still possible before and from the shared element on.
@@ -207,55 +212,72 @@ _ALLOWED = "5 * least(size, other_size) >= 4 * greatest(size, other_size) AND "
     "9 * (least(position, other_position) + least(size - position, other_size - other_position)) >= 4 * (size + other_size)"
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """The first elements of every set, paired with the smallest set that has them."""
+def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """Every set with one hub of another group: of each list the set first in an order
+    that changes with the turn, of these hubs the one that shares most first elements,
+    two at least. What a set does not link to there, a later turn or the scan across
+    groups finds."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
     near = lists.where(f"position < {STAR_PREFIX}")
-    hubs = near.groupBy("element").agg(F.min_by(F.struct("node", "size", "position"), "node").alias("hub"))
-    return (
-        near.join(hubs, "element").where("hub.node <> node")
+    hubs = near.groupBy("element").agg(F.min_by(F.struct("node", "size", "position", "own"), order).alias("hub"))
+    shared = (
+        near.join(hubs, "element").where("hub.node <> node AND hub.own <> own")
         .selectExpr("hub.node AS a", "node AS b", "size", "position", "hub.size AS other_size", "hub.position AS other_position")
-        .where(_ALLOWED).select("a", "b").distinct())
+        .where(_ALLOWED).groupBy("b", "a").count().where("count >= 2"))
+    return shared.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+
+
+def across(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists that hold several groups, with the group of each set as ``own``."""
+    grouped = lists.drop("own").join(groups.withColumnRenamed("component", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    return _several(grouped.repartition("element"), "own", ["element"]).select("element", "node", "size", "position", "own")
 
 
-def cross_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
+def cross_pairs(lists: DataFrame) -> DataFrame:
     """Pairs of different groups that share as many prefix elements as a link must:
     of its prefix a set can miss only what it may lack of the overlap, and the set
     whose prefix ends first in the order shares the rest within the other's prefix."""
-    grouped = lists.join(groups.withColumnRenamed("component", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
-    mixed_lists = grouped.groupBy("element").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most")
-    left = grouped.join(mixed_lists.select("element"), "element", "left_semi")
-    right = left.selectExpr("element", "node AS other", "size AS other_size", "position AS other_position", "own AS other_own")
-    size = "ceil(4 * (size + other_size) / 9)"
+    right = lists.selectExpr("element", "node AS other", "size AS other_size", "position AS other_position", "own AS other_own")
+    overlap = "ceil(4 * (size + other_size) / 9)"
+
     def needed(k: str) -> str:
-        return f"({k} - ceil(4 * {k} / 5) + 1 - ({k} - {size}))"
+        return f"({k} - ceil(4 * {k} / 5) + 1 - ({k} - {overlap}))"
+
     return (
-        left.join(right, "element").where("node < other AND own <> other_own").where(_ALLOWED)
+        lists.join(right, "element").where("node < other AND own <> other_own").where(_ALLOWED)
         .groupBy("node", "other", "size", "other_size").count()
         .where(f"count >= least({needed('size')}, {needed('other_size')})")
         .selectExpr("node AS a", "other AS b"))
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the similarity. The texts of the classes in question
-    only are shuffled: a bit table of fixed size picks their rows during the scan."""
-    nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    wanted = keep(classes.join(nodes, "node", "left_semi").select("node", "row_key"), "wanted")
-    picked = marked(numbered(docs, "text"), wanted, "row_key", "maybe").where("maybe")
-    texts = keep(picked.join(wanted, "row_key").select("node", "text"), "texts")
-    both = (
-        pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        .join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a"))
+    """The ``pairs`` (a, b) whose sets reach the similarity. Only the texts in question
+    are shuffled (a bit table of fixed size picks them during the scan): those of the
+    ``b`` of one ``a``, in groups of at most about GROUP, behind a copy of ``a``."""
+    pairs = keep(pairs, "pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    members = pairs.join(parts, "a").select(
+        F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"), F.lit(True).alias("member"))
+    hubs = parts.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                        F.col("a").alias("node"), F.lit(False).alias("member"))
+    wanted = keep(members.unionByName(hubs).join(classes, "node"), "wanted")
+    texts = marked(numbered(docs, "text"), wanted, "row_key", "maybe").where("maybe").join(wanted, "row_key")
+    ordered = texts.select("hub", "part", "member", "node", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        elements = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                linked = [
-                    (4 + 5) * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
-                    for x, y in zip(shingle_sets(some.column("text_a"), SHINGLE), shingle_sets(some.column("text_b"), SHINGLE))]
-                yield some.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            hubs, nodes, linked = batch.column("hub").to_pylist(), batch.column("node").to_pylist(), []
+            members = batch.column("member").to_pylist()
+            for at, own in enumerate(shingle_sets(batch.column("text"), SHINGLE)):
+                if not members[at]:
+                    elements = own
+                elif 9 * len(np.intersect1d(elements, own, assume_unique=True)) >= 4 * (len(elements) + len(own)):
+                    linked.append(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hubs[at] for at in linked], pa.int64()), pa.array([nodes[at] for at in linked], pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
@@ -268,13 +290,15 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     often = rows.select(F.explode(F.arrays_zip("common", "times")).alias("x")).groupBy("x.common").agg(F.sum("x.times").alias("n"))
     top = frequent(often.where(f"n >= {COMMON_IN_CORPUS}"), MOST_COMMON).select("common").collect()
     common = np.array([row.common for row in top], np.int64).view(np.uint64)
-    out = keep(handed_out(docs, boundary, common), "postings")
-    lists = keep(listed(out.where("position >= 0").select("element", "node", "size", "position")), "lists")
+    out = keep(listed(handed_out(docs, boundary, common)), "lists")
+    lists = out.where("pair = 0").drop("pair").withColumn("own", F.col("node"))
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    links = verified(docs, classes, star_pairs(lists)).unionByName(subset_links(out.where("position < 0")))
-    links = keep(links, "links")
-    groups = components(links)
-    more = keep(verified(docs, classes, cross_pairs(lists, groups)), "links")
+    links = keep(subset_links(out.where("pair > 0")), "links")
+    for turn in range(STAR_TURNS):
+        links = links.unionByName(keep(verified(docs, classes, star_pairs(lists, turn)), "links"))
+        groups = components(links)
+        lists = keep(across(lists, groups), "lists")
+    more = keep(verified(docs, classes, cross_pairs(lists)), "links")
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     found = rows.select("row_key", "doc_id", "n_shingles", "node").join(groups, "node", "left")
