@@ -35,12 +35,15 @@ class Profiled:
 
 
 def index_named(spark: SparkSession, folder: str, names: list[str]) -> list[Profiled]:
-    """Index named logs, one index per window size."""
+    """Index named logs, one index per window size. Where no processing time was
+    recorded, the rest of the order decides."""
     by_size: dict[int, list] = {}
     for name in names:
         by_size.setdefault(named_log(name).window_ms, []).append(named_log(name))
     return [
-        Profiled(size, index_log(reduce(DataFrame.unionByName, [log.load(spark, folder) for log in logs]), ["p", "seq"]))
+        Profiled(size, index_log(
+            reduce(DataFrame.unionByName, [log.load(spark, folder) for log in logs]).selectExpr("*", "coalesce(p, 0L) AS place"),
+            ["place", "seq"], ["p"]))
         for size, logs in by_size.items()
     ]
 
