@@ -10,9 +10,10 @@ trouble, as their subsets are as rare as themselves.
 Large sets are joined by inverted lists over a prefix: with the elements of all sets
 in one order, two linked sets share one of the first ``k - ceil(0.8 k) + 1`` elements
 of each. Frequent elements come last in the order, so lists are short. A list is
-scanned against its smallest set first (a star, not all pairs); the sets so linked
-form components, and only lists that still hold several components are scanned for
-pairs across components. Such a pair is verified if its sizes, its positions and the
+scanned against one set of it first (a star, not all pairs), the one nearest to the
+middle of its family; the sets so linked form components, and what still holds several
+components is scanned around other sets once more. Only the lists left after that are
+scanned for all pairs across components. Such a pair is verified if its sizes, its positions and the
 number of prefix elements it shares allow the similarity; each of these tests is a
 bound, so no link is lost. The boundary is the size at which handing out subsets
 becomes dearer than handing out a prefix, over the sizes that the corpus has.
@@ -36,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneledger.llm.components import components
@@ -52,7 +53,6 @@ LARGEST_BOUNDARY = 16
 POSTING_COST = 4
 # Elements are ordered last if so many classes of a batch, and of the corpus, have them.
 COMMON_IN_BATCH, COMMON_IN_CORPUS, MOST_COMMON = 8, 32, 100_000
-STAR_PREFIX, STAR_TURNS = 8, 3
 # Texts compared with one hub in one task.
 GROUP = 500
 
@@ -212,16 +212,20 @@ _ALLOWED = "5 * least(size, other_size) >= 4 * greatest(size, other_size) AND "
     "9 * (least(position, other_position) + least(size - position, other_size - other_position)) >= 4 * (size + other_size)"
 
 
-def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Every set with one hub of another group: of each list the set first in an order
-    that changes with the turn, of these hubs the one that shares most first elements,
-    two at least. What a set does not link to there, a later turn or the scan across
-    groups finds."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-    near = lists.where(f"position < {STAR_PREFIX}")
-    hubs = near.groupBy("element").agg(F.min_by(F.struct("node", "size", "position", "own"), order).alias("hub"))
+def with_share(lists: DataFrame) -> DataFrame:
+    """``lists`` with the ``share`` of its prefix that each set has in lists: the sets
+    in the middle of a family, which link to most of it, have the largest."""
+    shares = lists.groupBy("node").agg(F.count("*").alias("listed"))
+    return lists.join(shares, "node").withColumn("share", F.expr("listed / (size - ceil(4 * size / 5) + 1)")).drop("listed")
+
+
+def star_pairs(lists: DataFrame, order: Column) -> DataFrame:
+    """Every set with one hub of another group: of each list the set that is first in
+    ``order``, of these hubs the one with which it has most lists, two at least. What a
+    set does not link to there, a later turn or the scan across groups finds."""
+    hubs = lists.groupBy("element").agg(F.min_by(F.struct("node", "size", "position", "own"), F.struct(order, "node")).alias("hub"))
     shared = (
-        near.join(hubs, "element").where("hub.node <> node AND hub.own <> own")
+        lists.join(hubs, "element").where("hub.node <> node AND hub.own <> own")
         .selectExpr("hub.node AS a", "node AS b", "size", "position", "hub.size AS other_size", "hub.position AS other_position")
         .where(_ALLOWED).groupBy("b", "a").count().where("count >= 2"))
     return shared.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
@@ -291,11 +295,11 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     top = frequent(often.where(f"n >= {COMMON_IN_CORPUS}"), MOST_COMMON).select("common").collect()
     common = np.array([row.common for row in top], np.int64).view(np.uint64)
     out = keep(listed(handed_out(docs, boundary, common)), "lists")
-    lists = out.where("pair = 0").drop("pair").withColumn("own", F.col("node"))
+    lists = with_share(out.where("pair = 0").drop("pair").withColumn("own", F.col("node")))
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row_key").alias("row_key"))
     links = keep(subset_links(out.where("pair > 0")), "links")
-    for turn in range(STAR_TURNS):
-        links = links.unionByName(keep(verified(docs, classes, star_pairs(lists, turn)), "links"))
+    for order in (-F.col("share"), F.xxhash64("node")):
+        links = links.unionByName(keep(verified(docs, classes, star_pairs(lists, order)), "links"))
         groups = components(links)
         lists = keep(across(lists, groups), "lists")
     more = keep(verified(docs, classes, cross_pairs(lists)), "links")
