@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 # A space before anything but white space always begins a pre-token.
 _CUT = re.compile(f" (?=[^{SPACE}])")
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 250_000
 CACHED_WINDOWS = 300_000
 LEAF = 12
 NEVER = 1 << 40
@@ -293,7 +293,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     return docs.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int, bytes_: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, bytes_: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices whose texts have about so many bytes, at least a row each."""
     if not batch.num_rows:
         return

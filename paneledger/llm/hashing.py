@@ -26,7 +26,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, for at least ``n`` positions."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * BLOCK_BYTES)
+        size = max(1 << n.bit_length(), 2 * BLOCK_BYTES)
         _powers.clear()
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
