@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paneledger.llm.text import batches_of
+
 # White space as the pattern's \s sees it.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 # A space before anything but white space always begins a pre-token.
@@ -271,6 +273,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     The rank file is read by the driver and broadcast; its size is the size of the
     vocabulary, whatever the corpus.
     """
+    batches_of(docs.sparkSession)
     with open(ranks_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     schema = T.StructType([

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneledger.llm.text import sampled, texts_of
+from paneledger.llm.text import batches_of, sampled, texts_of
 
 SAMPLE = 8_000
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -175,6 +175,7 @@ def _split(binned, slope, bend, cuts, monotone, low, high, penalty, least):
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and qualities of at most ``sample`` labelled documents."""
+    batches_of(docs.sparkSession)
     usable = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").distinct()
     chosen = sampled(usable, ["doc_id", "quality"], sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

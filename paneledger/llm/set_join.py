@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from paneledger.llm.components import components
 from paneledger.llm.hashing import mixed, shingle_sets
 from paneledger.llm.keyed import marked, without
-from paneledger.llm.text import frequent, numbered
+from paneledger.llm.text import batches_of, frequent, numbered
 from paneledger.workspace import keep
 
 SIMILARITY = (4, 5)
@@ -52,7 +52,7 @@ LARGEST_BOUNDARY = 16
 # What a posting of a prefix costs against a subset: it is grouped, joined and verified.
 POSTING_COST = 4
 # Elements are ordered last if so many classes of a batch, and of the corpus, have them.
-COMMON_IN_BATCH, COMMON_IN_CORPUS, MOST_COMMON = 8, 32, 100_000
+BATCH, COMMON_IN_BATCH, COMMON_IN_CORPUS, MOST_COMMON = 10_000, 8, 32, 100_000
 # Texts compared with one hub in one task.
 GROUP = 500
 
@@ -287,6 +287,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 def similar_sets(docs: DataFrame) -> DataFrame:
     """``(row_key, doc_id, n_shingles, node, component)`` for every row of ``docs``;
     equal components are connected by links, a row alone has its own node."""
+    batches_of(docs.sparkSession, BATCH)
     rows = keep(described(docs.select("doc_id", "text")), "sets")
     sizes = {row.n_shingles: row.n for row in rows.where(f"n_shingles BETWEEN 1 AND {LARGEST_BOUNDARY * 2}")
              .groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from paneledger.llm.hashing import mixed, word_hashes
 from paneledger.llm.keyed import without
-from paneledger.llm.text import numbered
+from paneledger.llm.text import batches_of, numbered
 from paneledger.workspace import keep
 
 MASKS = ("111011", "1100001011", "110111")
@@ -168,6 +168,7 @@ def agreement(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(row_key, doc_id, item_id, start, n_words, n_same)``: the longest overlap of
     each row of ``docs`` (doc_id, text) with each row of ``benchmark`` (item_id, text)."""
+    batches_of(docs.sparkSession)
     items = keep(benchmark_words(benchmark), "items")
     seed_rows = keep(benchmark_seeds(items), "seeds")
     found = keep(regions(docs, _bit_table(seed_rows)), "regions")

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneledger.llm.keyed import marked
+from paneledger.llm.text import batches_of
 from paneledger.workspace import keep
 
 MOST_ATTEMPTS, GROWS_AFTER = 24, 8
@@ -328,6 +329,7 @@ def attempts(values: DataFrame, key: bytes) -> DataFrame:
 def replaced(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced, and their number per row as
     ``count`` if a name is given."""
+    batches_of(docs.sparkSession)
     found = keep(_found(docs, text), "entities")
     other = attempts(found.select("kind", "value").distinct(), key)
     columns = docs.columns

@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 PIECES_IN_MEMORY = 400_000
 
 
+# Rows per Arrow batch, for operators that hold results of whole texts.
+ROWS_PER_BATCH = 1_000
+
+
+def batches_of(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
+    """From here on the session hands tasks batches of at most so many rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
