@@ -206,7 +206,7 @@ def _has(module: str) -> bool:
 
 
 # The training-data operators and their pipeline may be absent.
-if _has("paneledger.llm"):
+if _has("paneledger.llm") and _has("paneledger.llm.registry"):
     from paneledger.llm import registry
 else:
     registry = None
