@@ -64,12 +64,17 @@ _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9
 _CARD = re.compile(r"(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _PHONE = re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)")
+_LOCAL = re.compile(r"(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\w)")
 _IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])")
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _SECRET = re.compile(
     r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*(?P<quote>[\"']?)(?P<value>[A-Za-z0-9+/_.~!@#$%^&*-]{4,}[A-Za-z0-9+/_~=-])(?P=quote)")
 _ASSIGNED = re.compile(r"(?i)(?:passw|pwd|secret|token|key)[a-z]*[\"']?\s*[=:]")
+# What stands between the groups of a kind that is written in groups.
+_BETWEEN = {"iban": " ", "phone": " .-"}
+# Most digits of a phone number after these calling codes; else 15 with the code.
+_NATIONAL = {code: most for most, codes in ((8, "45 47"), (9, "31 32 33 34 41 46 48 61 351 380 420"), (10, "1 7 44 52 81 90 91"), (11, "39 49 55 86")) for code in codes.split()}
 
 
 def luhn(digits: str) -> int:
@@ -105,6 +110,30 @@ def _canonical(kind: str, found: str) -> str | None:
     return plain
 
 
+def _most_digits(phone: str) -> int:
+    """How many digits a phone number that starts like this has at most."""
+    if not phone.startswith("+"):
+        return 10
+    plain = re.sub(r"[^0-9]", "", phone)
+    return next((n + _NATIONAL[plain[:n]] for n in (1, 2, 3) if plain[:n] in _NATIONAL), 15)
+
+
+def _stops(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where an entity that starts here may end, the best first. Groups may run on into
+    digits that follow, so each end of a group is one; for a phone number first those
+    that its calling code allows and that leave an address or number after it whole."""
+    stops = [end, *(at for at in range(end - 1, start, -1) if text[at] in _BETWEEN.get(kind, "") and text[at - 1] not in " .-(+")]
+    if kind != "phone" or len(stops) == 1:
+        return stops
+    most = _most_digits(text[start:end])
+    inner = [match.start() for pattern in (_IP, _LOCAL) for match in pattern.finditer(text, start + 1, end + 15)]
+
+    def worse(stop: int) -> tuple[bool, bool]:
+        return sum(c in _SETS[0] for c in text[start:stop]) > most, any(at < stop for at in inner)
+
+    return sorted(stops, key=worse)
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, canonical)`` in order, without overlaps; where two kinds
     overlap the one named first below counts."""
@@ -112,12 +141,19 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     taken: list[tuple[int, int]] = []
 
     def add(kind: str, pattern: re.Pattern, group: str | int = 0) -> None:
-        for match in pattern.finditer(text):
+        at = 0
+        while match := pattern.search(text, at):
             start, end = match.span(group)
-            canonical = _canonical(kind, match[group])
-            if canonical is not None and all(end <= a or start >= b for a, b in taken):
-                taken.append((start, end))
-                found.append((start, end, kind, canonical))
+            at = match.start() + 1
+            for stop in _stops(kind, text, start, end):
+                if stop < end and not pattern.fullmatch(text, start, stop):
+                    continue
+                canonical = _canonical(kind, text[start:stop])
+                if canonical is not None and all(stop <= a or start >= b for a, b in taken):
+                    taken.append((start, stop))
+                    found.append((start, stop, kind, canonical))
+                    at = max(at, stop)
+                    break
 
     digits = _DIGIT.search(text) is not None
     if ("=" in text or ":" in text) and _ASSIGNED.search(text):

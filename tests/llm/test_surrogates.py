@@ -38,6 +38,34 @@ def test_clean_texts(spark, documents, text):
     assert replaced(documents([(1, text)]), KEY).collect()[0].text == text
 
 
+PHONE, PHONE_DE = "+1 (826) 555-4081", "+49 30 1234567"
+
+
+@pytest.mark.parametrize("kind, first, second", [
+    *(("ip", phone, "190.137.223.204") for phone in (PHONE, PHONE_DE, "826-555-4081", "(826) 555-4081")),
+    *(("card", phone, card) for phone in (PHONE, PHONE_DE, "+1 826 555 4081") for card in ("4207 0512 7910 8084", "4207-0512-7910-8084", "4207051279108084")),
+    *(("phone", phone, "826-555-4082") for phone in (PHONE, PHONE_DE, "+351 212 345 678")), ("ssn", PHONE, "123-45-6789"), ("phone", PHONE, "+1 (826) 555-4082"),
+    *((None, phone, digits) for phone in (PHONE, "+33 12 34 56 789", "+7 495 123-45-67") for digits in ("12", "2024", "12 34", "2024-01-15", "1234 5678 9012")),
+    ("phone", "ES91 2100 0418 4502 0005 1332", PHONE), (None, "ES91 2100 0418 4502 0005 1332", "USD"), ("iban", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"),
+])
+def test_adjacent(kind, first, second):
+    """What stands after an entity changes neither its end nor its key."""
+    (_, stop, _, alone), = detected(first)
+    text = f"x {first} {second} y"
+    got = [(text[start:end], canonical) for start, end, _, canonical in detected(text)]
+    assert stop == len(first)
+    assert got == [(first, alone), *((second, canonical) for *_, canonical in detected(second) if kind)]
+
+
+def test_no_phone_stays():
+    """Found by a pattern of its own, next to all kinds of digits."""
+    after = ["190.137.223.204", "4207 0512 7910 8084", "12", "555", "2024-01-15", "10:30", "826 555 4082", "+1 (826) 555-4082", "1234 5678 1234 5678"]
+    for one in after:
+        text = f"{PHONE} {one}"
+        parts = [(start, end) for start, end, kind, _ in detected(text) if kind == "phone"]
+        assert [text[start:end] for start, end in parts] == re.findall(r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", text), one
+
+
 def test_permutation():
     make = Surrogates(KEY)
     for size in (1, 2, 3, 10, 97, 1000):
