@@ -3,10 +3,15 @@
 P(word | word before) = P(class | class before) * P(word | class). Classes come from
 exchange clustering: every unit in turn goes to the class that raises the likelihood
 of the class bigrams most, given how often each class stands before and after it.
-Units are the UNITS most frequent words, and one for each of SUFFIXES groups of all
-other words, seen or not, that end alike; so any word has a class and the clustering
-has a fixed size, while the counts behind it are taken over all training text, anew
-after each round. Class transitions are smoothed by ALPHA. Within a class a word has
+Units are all words seen LEAST times or more, the UNITS most frequent in any case, and
+one for each of SUFFIXES groups of the other words, seen or not, that end alike; so any
+word has a class. The number of classes grows with the fourth root of the number of
+words. Counts are taken over all training text, anew after each round.
+
+The UNITS most frequent words and the groups (the head) are exchanged first, one by one
+on the driver, over a table of fixed size; all other words (the tail) follow the group
+they end like. Then the tail is exchanged too, in tasks: each word's neighbours are
+gathered once, keyed by word, and every round counts their classes anew. Class transitions are smoothed by ALPHA. Within a class a word has
 (n + DELTA) / (N + DELTA * (V + 1)), for the class's N tokens and V different words;
 the one more is a word not seen.
 
@@ -37,11 +42,15 @@ from paneledger.llm.hashing import Words, mixed, words_of
 from paneledger.llm.text import frequent, numbered
 from paneledger.workspace import keep
 
-CLASSES, UNITS, SUFFIXES = 32, 8_192, 1_024
-ROUNDS = 6
+CLASSES, UNITS, SUFFIXES = 32, 8_192, 1_024  # CLASSES: the least number
+LEAST = 3
+ROUNDS, TAIL_ROUNDS = 6, 4
 MOST_FREQUENT = 200_000
 ALPHA, DELTA = 0.5, 0.5
 _WORDS_AT_ONCE = 4_000_000
+_CELLS_AT_ONCE = 2_000_000
+_TIMES_AT_HAND = 16
+_STEPS = 64
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -52,56 +61,70 @@ def _int64(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
-def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[starts], np.diff(np.append(starts, len(values)))
+def class_number(words: int) -> int:
+    return max(CLASSES, int(2 * words ** 0.25))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``(word, n)`` over all ``texts``, words as hashes; counted in tasks, then summed."""
+def suffix_of(words: Words, suffixes: int) -> np.ndarray:
+    """The group of every word, from its last three bytes."""
+    ends = words.ends - 1
+    code = words.data[ends].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
+    for back in (1, 2):
+        at = ends - back
+        code = code << np.uint64(8) | np.where(at >= words.starts, words.data[np.maximum(at, 0)], 0).astype(np.uint64)
+    return (mixed(code) % np.uint64(suffixes)).astype(np.int64)
+
+
+def word_counts(texts: DataFrame, suffixes: int) -> DataFrame:
+    """``(word, suffix, n)`` over all ``texts``, words as hashes; counted in tasks, then
+    summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for words in words_of(batch.column("text")):
-                held.append(words.hashes())
-                n += len(held[-1])
+                held.append((words.hashes(), suffix_of(words, suffixes)))
+                n += len(held[-1][0])
                 if n > _WORDS_AT_ONCE:
                     yield _counts(held)
                     held, n = [], 0
         yield _counts(held)
 
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "word long, suffix int, n long").groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
 
 
-def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
-    words, n = _counted(np.concatenate(held) if held else np.zeros(0, np.uint64))
-    return pa.RecordBatch.from_arrays([_int64(words), _int64(n)], ["word", "n"])
+def _counts(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    hashes, suffixes = map(np.concatenate, zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    words, first, n = np.unique(hashes, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([_int64(words), pa.array(suffixes[first].astype(np.int32)), _int64(n)], ["word", "suffix", "n"])
 
 
 @dataclass
 class Units:
-    """Words -> units: a frequent word's is its place in ``words``, any other's comes
-    from its last three bytes; the last unit is the end of a text."""
+    """Words -> units: a frequent word's is its place in ``words``, then come the groups
+    of words that end alike, the end of a text, and the words of ``tail``."""
 
     words: np.ndarray
     suffixes: int
+    tail: np.ndarray
 
     @property
     def end(self) -> int:
         return len(self.words) + self.suffixes
 
+    @property
+    def size(self) -> int:
+        return self.end + 1 + len(self.tail)
+
     def of(self, words: Words, hashes: np.ndarray) -> np.ndarray:
-        ends = words.ends - 1
-        code = words.data[ends].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
-        for back in (1, 2):
-            at = ends - back
-            code = code << np.uint64(8) | np.where(at >= words.starts, words.data[np.maximum(at, 0)], 0).astype(np.uint64)
-        units = len(self.words) + (mixed(code) % np.uint64(self.suffixes)).astype(np.int64)
-        if len(self.words):
-            place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            units = np.where(self.words[place] == hashes, place, units)
+        units = len(self.words) + suffix_of(words, self.suffixes)
+        rest = np.arange(len(hashes))
+        for known, first in ((self.words, 0), (self.tail, self.end + 1)):
+            if len(known):
+                place = np.minimum(np.searchsorted(known, hashes[rest]), len(known) - 1)
+                found = known[place] == hashes[rest]
+                units[rest[found]] = first + place[found]
+                rest = rest[~found]
         return units
 
 
@@ -127,36 +150,179 @@ def with_ends(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarra
     return tokens, before
 
 
-def neighbours(ids: DataFrame, units: Units, classes: np.ndarray) -> np.ndarray:
-    """``[0, u, c]``: how often class ``c`` stands before unit ``u``; ``[1, u, c]``: after
-    it. Counted in tasks and summed by cell: the result has a fixed size."""
-    n_classes = CLASSES + 1
-    shape = (2, units.end + 1, n_classes)
-    shared = ids.sparkSession.sparkContext.broadcast(classes)
+def tokens_of(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray]:
+    column = batch.column("ids")
+    offsets = np.asarray(column.offsets) - (column.offsets[0].as_py() if len(column) else 0)
+    return with_ends(np.asarray(column.flatten()).astype(np.int64), offsets, end)
+
+
+def neighbours(ids: DataFrame, end: int, rows: np.ndarray, classes: np.ndarray, n_rows: int, n_classes: int) -> np.ndarray:
+    """``[0, r, c]``: how often class ``c`` stands before a unit of row ``r``; ``[1, r, c]``:
+    after it. Counted in tasks and summed by cell: the result does not grow with the words."""
+    shape = (2, n_rows, n_classes)
+    shared = ids.sparkSession.sparkContext.broadcast((rows.astype(np.int32), classes.astype(np.int16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, end = shared.value, units_end
-        cells = np.zeros(shape[0] * shape[1] * shape[2], np.int64)
+        row_of, of = shared.value
         half = shape[1] * shape[2]
+        cells = np.zeros(2 * half, np.int64)
         for batch in batches:
-            column = batch.column("ids")
-            offsets = np.asarray(column.offsets) - (column.offsets[0].as_py() if len(column) else 0)
-            tokens, before = with_ends(np.asarray(column.flatten()).astype(np.int64), offsets, end)
-            cells[:half] += np.bincount(tokens * n_classes + of[before], minlength=half)
-            cells[half:] += np.bincount(before * n_classes + of[tokens], minlength=half)
+            tokens, before = tokens_of(batch, end)
+            cells[:half] += np.bincount(row_of[tokens].astype(np.int64) * n_classes + of[before], minlength=half)
+            cells[half:] += np.bincount(row_of[before].astype(np.int64) * n_classes + of[tokens], minlength=half)
         found = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([_int64(found), _int64(cells[found])], ["cell", "n"])
 
-    units_end = units.end
-    rows = ids.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    summed = ids.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     cells = np.zeros(shape[0] * shape[1] * shape[2])
-    cells[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    cells[summed["cell"].to_numpy()] = summed["n"].to_numpy()
     return cells.reshape(shape)
 
 
+def near_tail(ids: DataFrame, units: Units) -> DataFrame:
+    """``(unit, near)`` of the tail's words: the units before them, and those after them
+    plus ``units.size``. A word has rows from several tasks, together in one partition
+    and in order."""
+    end, size = units.end, units.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            tokens, before = tokens_of(batch, end)
+            for own, near in ((tokens, before), (before, tokens + size)):
+                some = own > end
+                held.append((own[some].astype(np.int32), near[some]))
+                n += len(held[-1][0])
+            if n > _WORDS_AT_ONCE:
+                yield _lists(held)
+                held, n = [], 0
+        yield _lists(held)
+
+    return ids.mapInArrow(run, "unit int, near array<long>").repartition(F.col("unit")).sortWithinPartitions("unit")
+
+
+def _lists(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    own, near = map(np.concatenate, zip(*held)) if held else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    order = np.argsort(own, kind="stable")
+    units, starts = np.unique(own[order], return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(own)), pa.int32()), pa.array(near[order]))
+    return pa.RecordBatch.from_arrays([pa.array(units), lists], ["unit", "near"])
+
+
+def tail_moves(near: DataFrame, units: Units, classes: np.ndarray, bigrams: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the tail that move this round, every second one, and their classes."""
+    size = units.size
+    shared = near.sparkSession.sparkContext.broadcast((classes.astype(np.int16), bigrams))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, n = shared.value
+        n, width = n.copy(), len(n)
+        for unit, entries in _words_of_tail(batches, turn):
+            new = np.concatenate([[True], unit[1:] != unit[:-1]])
+            starts, after = np.append(np.flatnonzero(new), len(unit)), entries >= size
+            own = of[unit[starts[:-1]]].astype(np.int64)
+            key = ((np.cumsum(new) - 1) * 2 + after) * width + of[entries - size * after]
+            to = own.copy()
+            # Some words at a time; counts follow this task's own moves.
+            cuts = np.linspace(0, len(own), min(_STEPS, len(own)) + 1).astype(np.int64)
+            for first, last in zip(cuts, cuts[1:]):
+                part = key[starts[first]:starts[last]] - first * 2 * width
+                best, gain = best_classes(part, own[first:last], n, _at_hand(n))
+                moved = gain > 1e-9
+                beside = np.bincount(part, minlength=(last - first) * 2 * width).reshape(-1, 2, width)[moved]
+                for table, side in ((n, 1), (n.T, 0)):
+                    np.subtract.at(table, own[first:last][moved], beside[:, side])
+                    np.add.at(table, best[moved], beside[:, side])
+                np.maximum(n, 0, out=n)
+                to[first:last][moved] = best[moved]
+            moved = to != own
+            yield pa.RecordBatch.from_arrays([pa.array(unit[starts[:-1]][moved].astype(np.int32)), pa.array(to[moved].astype(np.int32))], ["unit", "class"])
+
+    moves = near.mapInArrow(run, "unit int, class int").toArrow()
+    shared.destroy()
+    return moves["unit"].to_numpy(), moves["class"].to_numpy()
+
+
+def _words_of_tail(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of whole words: the unit of every entry, and the entry."""
+    held, n = [], 0
+    for batch in batches:
+        column = batch.column("near")
+        unit = np.repeat(np.asarray(batch.column("unit")), np.diff(np.asarray(column.offsets)))
+        some = unit % 2 == turn % 2
+        held.append((unit[some], np.asarray(column.flatten())[some]))
+        n += int(some.sum())
+        if n > _CELLS_AT_ONCE // 8:
+            unit, near = map(np.concatenate, zip(*held))
+            cut = int(np.searchsorted(unit, unit[-1]))  # the last word may go on
+            if cut:
+                yield unit[:cut], near[:cut]
+            held, n = [(unit[cut:], near[cut:])], len(unit) - cut
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _at_hand(n: np.ndarray) -> np.ndarray:
+    """``[0, k, d, c]``: what k more of class ``d`` after class ``c`` add; ``[1, ...]``: before it."""
+    more = np.arange(_TIMES_AT_HAND)[:, None, None]
+    return np.stack([_f(n.T + more) - _f(n.T), _f(n + more) - _f(n)])
+
+
+def best_classes(key: np.ndarray, own: np.ndarray, n: np.ndarray, at_hand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class with the largest of ``gains`` for each of many words at once, and that
+    gain. ``key`` is (word * 2 + side) * classes + class, one for every neighbour; only
+    classes that a word stands beside cost time."""
+    width, every = len(n), np.arange(len(n))
+    cells, times = np.unique(key, return_counts=True)
+    best, most = np.empty(len(own), np.int64), np.empty(len(own))
+    row = cells // (2 * width)
+    f, sums = _f(n), (n.sum(axis=1), n.sum(axis=0))
+    step = max(1, _CELLS_AT_ONCE // width)
+    first = 0
+    while first < len(own):
+        # As many words as fit; their cells are few, or one word's own.
+        start = int(np.searchsorted(row, first))
+        last = min(len(own), max(first + 1, int(row[min(start + step, len(row)) - 1])))
+        if start + step >= len(row):
+            last = len(own)
+        some = slice(start, int(np.searchsorted(row, last)))
+        o, r, k = own[first:last], row[some] - first, times[some]
+        side, d = cells[some] // width % 2, cells[some] % width
+        near = np.zeros((2, last - first, width))  # before, after
+        near[side, r, d] = k
+        total = np.zeros((last - first, width))
+        which = 1 - side  # after: the first of at_hand
+        added = at_hand[which, np.minimum(k, _TIMES_AT_HAND - 1), d]
+        for at in np.flatnonzero(k >= _TIMES_AT_HAND):
+            line = n[:, d[at]] if side[at] else n[d[at]]
+            added[at] = _f(line + k[at]) - _f(line)
+        before_own = np.where(side == 1, n[o[r], d], n[d, o[r]])
+        taken = _f(before_own - k) - _f(before_own)
+        added += taken[:, None]
+        added[np.arange(len(d)), d] = 0
+        added[d == o[r]] = 0
+        total[np.unique(r)] = np.add.reduceat(added, np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), axis=0)
+        b, a = near
+        w = np.arange(last - first)
+        a_own, b_own = a[w, o], b[w, o]
+        total += (_f(n[o, o] - a_own - b_own) - f[o, o])[:, None]
+        total += _f(n[o] - a + b_own[:, None]) - f[o]
+        total += _f(n[:, o].T + a_own[:, None] - b) - f[:, o].T
+        total += _f(n[every, every] + a + b) - f[every, every]
+        for s, m in ((sums[0], a.sum(axis=1)), (sums[1], b.sum(axis=1))):
+            total -= (_f(s[o] - m) - _f(s[o]))[:, None] + _f(s + m[:, None]) - _f(s)
+        total[w, o] = 0
+        total[:, width - 1] = -np.inf  # the class of the end
+        best[first:last] = total.argmax(axis=1)
+        most[first:last] = total.max(axis=1)
+        first = last
+    return best, most
+
+
 def class_bigrams(cells: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """``[c, d]``: how often class ``d`` follows class ``c``."""
-    out = np.zeros((CLASSES + 1, CLASSES + 1))
+    out = np.zeros((cells.shape[2], cells.shape[2]))
     np.add.at(out, classes, cells[1])
     return out
 
@@ -188,18 +354,18 @@ def gains(bigrams: np.ndarray, before: np.ndarray, after: np.ndarray, own: int)
     return total
 
 
-def exchanged(cells: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
-    """One round: every second unit, frequent ones first, moves to its best class. Class
-    counts follow each move; a unit's own neighbours are those at the round's start,
-    so the other half of the units stays where it is until the next round."""
+def exchanged(cells: np.ndarray, classes: np.ndarray, end: int, turn: int) -> np.ndarray:
+    """One round: every second unit before ``end``, frequent ones first, moves to its best
+    class. Class counts follow each move; a unit's own neighbours are those at the round's
+    start, so the other half of the units stays where it is until the next round."""
     classes, bigrams = classes.copy(), class_bigrams(cells, classes)
-    order = np.argsort(-cells[0].sum(axis=1), kind="stable")
+    order = np.argsort(-cells[0, :end].sum(axis=1), kind="stable")
     for unit in order[turn % 2::2]:
         before, after, own = cells[0, unit], cells[1, unit], classes[unit]
-        if own == CLASSES or not before.any():
+        if not before.any():
             continue
         gain = gains(bigrams, before, after, own)
-        gain[CLASSES] = -np.inf  # the class of the end
+        gain[-1] = -np.inf  # the class of the end
         best = int(gain.argmax())
         if gain[best] > 1e-9:
             bigrams[own] -= after
@@ -211,23 +377,51 @@ def exchanged(cells: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
     return classes
 
 
-def cluster(ids: DataFrame, units: Units, order: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The class of every unit, and the class bigrams. A round that lowers the
-    likelihood is not kept. ``order`` lists the units by frequency, to start from."""
-    classes = np.empty(units.end + 1, np.int64)
-    classes[order] = np.arange(len(order)) % CLASSES
-    classes[units.end] = CLASSES
-    cells = neighbours(ids, units, classes)
+def cluster(ids: DataFrame, units: Units, order: np.ndarray, groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of every unit, and the class bigrams, for ``n`` classes and the end's. A
+    round that lowers the likelihood is not kept. ``order`` lists the units of the head by
+    frequency, to start from, ``groups`` the group of every word of the tail."""
+    end, head = units.end, np.arange(units.end + 1)
+    classes = np.empty(end + 1, np.int64)
+    classes[order] = np.arange(len(order)) % n
+    classes[end] = n
+    rows = np.concatenate([head, len(units.words) + groups])  # the tail follows its groups
+    cells = neighbours(ids, end, rows, classes[rows], end + 1, n + 1)
     best = (likelihood(class_bigrams(cells, classes)), classes, cells)
-    for turn in range(rounds):
-        classes = exchanged(cells, best[1], turn)
-        cells = neighbours(ids, units, classes)
+    for turn in range(ROUNDS):
+        classes = exchanged(cells, best[1], end, turn)
+        cells = neighbours(ids, end, rows, classes[rows], end + 1, n + 1)
         value = likelihood(class_bigrams(cells, classes))
         if value <= best[0]:
             cells = best[2]
             continue
         best = (value, classes, cells)
-    return best[1], class_bigrams(best[2], best[1])
+    if not len(units.tail):
+        return best[1], class_bigrams(best[2], best[1])
+
+    # From here on the tail's words are rows by class: they have moves of their own.
+    def counted(classes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.concatenate([head, end + 1 + classes[end + 1:]])
+        cells = neighbours(ids, end, rows, classes, end + n + 2, n + 1)
+        bigrams = class_bigrams(cells, np.concatenate([classes[:end + 1], np.arange(n + 1)]))
+        return likelihood(bigrams), classes, cells, bigrams
+
+    near = keep(near_tail(ids, units), "near")
+    now = counted(best[1][rows])
+    for turn in range(TAIL_ROUNDS):
+        classes = now[1].copy()
+        moved, to = tail_moves(near, units, classes, now[3], turn)
+        classes[moved] = to
+        tried = counted(classes)
+        if tried[0] > now[0]:
+            now = tried
+        fixed = np.concatenate([now[1][:end + 1], np.arange(n + 1)])
+        classes = now[1].copy()
+        classes[:end + 1] = exchanged(now[2], fixed, end, turn)[:end + 1]
+        tried = counted(classes)
+        if tried[0] > now[0]:
+            now = tried
+    return now[1], now[3]
 
 
 @dataclass
@@ -249,26 +443,30 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the table of all word counts, from the rows not held out."""
     texts = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("text")
     n_texts = texts.count()
-    counts = keep(word_counts(texts), "words")
+    counts = keep(word_counts(texts, SUFFIXES), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    known = frequent(counts, MOST_FREQUENT).toArrow()
+    known = frequent(counts.select("word", "n"), MOST_FREQUENT).toArrow()
     known_words = known["word"].to_numpy().view(np.uint64)
     order = np.argsort(known_words)
     known_words, times = known_words[order], known["n"].to_numpy()[order]
     chosen = np.sort(np.argsort(-times, kind="stable")[:UNITS])
-    units = Units(known_words[chosen], SUFFIXES)
+    rest = counts.where(F.col("n") >= LEAST).select("word", "suffix").toArrow()
+    tail, groups = rest["word"].to_numpy().view(np.uint64), rest["suffix"].to_numpy()
+    order = np.argsort(tail)
+    order = order[~np.isin(tail[order], known_words[chosen])]
+    units = Units(known_words[chosen], SUFFIXES, tail[order])
     ids = keep(unit_rows(texts, units), "units")
     by_frequency = np.concatenate([np.argsort(-times[chosen], kind="stable"), len(chosen) + np.arange(SUFFIXES)])
-    classes, bigrams = cluster(ids, units, by_frequency)
+    classes, bigrams = cluster(ids, units, by_frequency, groups[order], class_number(len(chosen) + len(order)))
     smoothed = bigrams + ALPHA
     transitions = np.log10(smoothed / smoothed.sum(axis=1, keepdims=True))
-    sums = _class_sums(texts, units, classes)
+    sums = _class_sums(texts, units, classes, len(bigrams))
     shares = -np.log10(sums[:, 0] + DELTA * (sums[:, 1] + 1))
-    shares[CLASSES] = 0.0
+    shares[-1] = 0.0
     return Model(units, classes, transitions, shares, known_words, times, total.n + n_texts, total.v + (n_texts > 0), n_texts), counts
 
 
-def _class_sums(texts: DataFrame, units: Units, classes: np.ndarray) -> np.ndarray:
+def _class_sums(texts: DataFrame, units: Units, classes: np.ndarray, n_classes: int) -> np.ndarray:
     """``[c] = (N, V)``: tokens and different words of each class."""
     shared = texts.sparkSession.sparkContext.broadcast((units, classes))
 
@@ -282,7 +480,7 @@ def _class_sums(texts: DataFrame, units: Units, classes: np.ndarray) -> np.ndarr
                 yield pa.RecordBatch.from_arrays([_int64(found), _int64(of[own.of(some, found)]), _int64(n)], ["word", "class", "n"])
 
     words = texts.mapInArrow(run, "word long, class long, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
-    sums = np.zeros((CLASSES + 1, 2))
+    sums = np.zeros((n_classes, 2))
     for row in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         sums[row["class"]] = row.n, row.v
     return sums
@@ -338,7 +536,7 @@ def parts(docs: DataFrame, model: Model) -> DataFrame:
 def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``."""
     n = F.coalesce(F.col("n"), F.lit(0))
-    joined = parts(docs, model).join(counts.hint("shuffle_hash"), "word", "left")
+    joined = parts(docs, model).join(counts.select("word", "n").hint("shuffle_hash"), "word", "left")
     sums = joined.groupBy("row_key", "doc_id", "held_out").agg(
         F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.col("times") * F.log10(n + 1.0)).alias("base_score"),

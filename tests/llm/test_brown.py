@@ -99,6 +99,42 @@ def test_classes_help(spark, documents):
     assert len(unseen) > 20
 
 
+def test_gains_of_many_words():
+    rng = np.random.default_rng(1)
+    bigrams = rng.integers(60, 200, (7, 7)).astype(float)
+    near = rng.integers(0, 4, (40, 2, 7)) * rng.integers(0, 2, (40, 2, 7))
+    near[0, 1, 3], near[:, 0, 0] = 30, 1
+    key = np.repeat(np.arange(near.size), near.ravel())
+    own = rng.integers(0, 6, 40)
+    best, gain = brown.best_classes(key, own, bigrams, brown._at_hand(bigrams))
+    for k in range(40):
+        expected = brown.gains(bigrams, near[k, 0], near[k, 1], own[k])
+        expected[-1] = -np.inf
+        assert abs(gain[k] - expected.max()) < 1e-8 and abs(expected[best[k]] - expected.max()) < 1e-8
+
+
+@pytest.mark.parametrize("at_once", [40, 4_000_000])
+def test_words_outside_the_head_are_exchanged(spark, documents, monkeypatch, at_once):
+    """Words of three kinds that all end alike, so that their group says nothing."""
+    monkeypatch.setattr(brown, "UNITS", 30)
+    monkeypatch.setattr(brown, "_WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(brown, "_CELLS_AT_ONCE", at_once * 8)
+    rows = [(k, " ".join(word + "end" for word in text.split())) for k, text in made(4, 400)]
+    model, counts = brown.learn(documents(rows))
+    words = sorted({word.decode() for doc_id, text in rows if not held(doc_id) for word in words_of(text)})
+    block, = brown.words_of(__import__("pyarrow").array(words))
+    classes = model.classes[model.units.of(block, block.hashes())]
+    kinds = {kind: Counter(c for word, c in zip(words, classes) if word.startswith(kind)) for kind in ("noun", "verb", "adj")}
+    alone = sum(n for kind, own in kinds.items() for c, n in own.items() if not any(c in other for name, other in kinds.items() if name != kind))
+    assert len(words) == 75 and len(model.units.tail) == 45 and alone >= 70
+    got = [row for row in brown.scored(documents(rows), model, counts).collect() if row.held_out]
+    assert sum(row.score - row.base_score for row in got) > 0.3 * sum(row.n_tokens for row in got)
+
+
+def test_classes_grow_with_words():
+    assert brown.class_number(75) == 32 and brown.class_number(10 ** 6) == 63 and brown.class_number(10 ** 8) == 200
+
+
 def test_odd_rows(spark, documents):
     rows = [(1, None), (2, ""), (3, "same text"), (3, "same text"), (None, "a b c"), (4, "Same  TEXT\n\xa0 é"), (5, "x y " * 60_000)]
     frame = documents(rows).selectExpr("*", "1 AS row_key", "2 AS score", "3 AS n")
