@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paneledger.llm.text import free_names
+
 BITS = 1 << 23
 _BUCKET = 1 << 15
 
@@ -37,11 +39,13 @@ def marked(rows: DataFrame, keys: DataFrame, key: str, mark: str) -> DataFrame:
 
 def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among ``keys``."""
-    return marked(rows, keys, key, "_maybe").where("_maybe").drop("_maybe").join(keys.select(key).distinct(), key, "left_semi")
+    [mark] = free_names(rows.columns, "maybe")
+    return marked(rows, keys, key, mark).where(mark).drop(mark).join(keys.select(key).distinct(), key, "left_semi")
 
 
 def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not among ``keys``."""
-    tested = marked(rows, keys, key, "_maybe")
-    doubtful = tested.where("_maybe").drop("_maybe").join(keys.select(key).distinct(), key, "left_anti")
-    return tested.where("NOT _maybe").drop("_maybe").unionByName(doubtful.select(rows.columns))
+    [mark] = free_names(rows.columns, "maybe")
+    tested = marked(rows, keys, key, mark)
+    doubtful = tested.where(mark).drop(mark).join(keys.select(key).distinct(), key, "left_anti")
+    return tested.where(f"NOT {mark}").drop(mark).unionByName(doubtful.select(rows.columns))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneledger.llm import bpe, brown, mincut, ppm, quality, set_join, spaced_seeds, surrogates, token_counts, url_rules
+from paneledger.llm import bpe, brown, exact_dedup, mincut, ppm, quality, set_join, spaced_seeds, surrogates, token_counts, url_rules
 from paneledger.llm.text import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -64,6 +64,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -76,11 +80,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": op8_url_rules,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_decontamination": op10_decontamination,
+        "op11_exact_dedup": op11_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": JACCARD_SQL}
+    return {"op9_jaccard_join": JACCARD_SQL, "op11_exact_dedup": COPIES_SQL}
+
+
+COPIES_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
 
 
 JACCARD_SQL = """

@@ -31,6 +31,16 @@ def lowered_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def free_names(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, made longer until no column's name begins like them."""
+    taken, found = [c.lower() for c in columns], []
+    for name in wanted:
+        while any(c.startswith(name.lower()) for c in taken):
+            name += "_"
+        found.append(name)
+    return found
+
+
 def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and ``row_key``, which is unique even where ids repeat or
     are null. It depends on the split and the position in it only, so a task that
