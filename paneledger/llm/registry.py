@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneledger.llm import bpe, brown, exact_dedup, mincut, ppm, quality, set_join, spaced_seeds, surrogates, token_counts, url_rules
+from paneledger.llm import bpe, brown, exact_dedup, merkle, mincut, periodic, ppm, quality, set_join, spaced_seeds, surrogates, token_counts, url_rules
 from paneledger.llm.text import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +68,32 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(table(spark, sf_dir, "documents"))
 
 
+def with_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where a tenth of the texts, told by a hash of their id, repeats a
+    period from one of its words on: the case that the query's contract plants."""
+    words = docs.selectExpr("doc_id", "text", "crc32(string(doc_id)) AS h", "filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '') AS words")
+    sized = words.selectExpr("*", "coalesce(size(words), 0) AS n", "h DIV 10 AS g").selectExpr("*", "int(g % greatest(n, 1)) AS a").selectExpr(
+        "*", "int(1 + (n - a) DIV (3 + g % 8)) AS p")
+    tail = "slice(flatten(array_repeat(slice(words, a + 1, p), int((n - a) DIV p + 1))), 1, n - a)"
+    return sized.selectExpr("doc_id", f"IF(h % 10 = 0 AND n > 0, array_join(concat(slice(words, 1, a), {tail}), ' '), text) AS text")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs_of(with_tails(table(spark, sf_dir, "documents")), "doc_id")
+    best = "reduce(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>), " \
+        "(a, r) -> IF(a IS NULL OR r.length * a.period > a.length * r.period, r, a))"
+    return found.selectExpr("doc_id", "bigint(size(runs)) AS n_runs", f"{best} AS best", "runs", "collapsed", "n_words").selectExpr(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", "1000 * best.length DIV best.period AS exponent_milli",
+        "sha2(array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), ''), 256) AS runs_sha256",
+        "sha2(collapsed, 256) AS collapsed_sha256", "n_words")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document, told by a hash of its id, is tampered with: it loses its line ends."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.build(merkle.leaves(table(spark, sf_dir, "documents"), {"text": tampered})).versions()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -81,11 +107,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_decontamination": op10_decontamination,
         "op11_exact_dedup": op11_exact_dedup,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": JACCARD_SQL, "op11_exact_dedup": COPIES_SQL}
+    return {"op9_jaccard_join": JACCARD_SQL, "op11_exact_dedup": COPIES_SQL, "op13_merkle_manifest": manifest_sql()}
+
+
+def manifest_sql(in_group: int = 13, above: int = 6) -> str:
+    """The tree level by level: enough levels for 3 ** in_group rows of one source, and
+    3 ** above sources. ``w`` has, for every document, its place in the level, the nodes
+    beside its way so far and what its tampered leaf has become."""
+    def counted(text: str) -> str:
+        return f"coalesce(octet_length(encode({text}::VARCHAR)) || ':' || {text}::VARCHAR, '-')"
+
+    def row(text: str) -> str:
+        return "sha256(" + " || ".join(map(counted, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+    bits = "flatten([[(ascii(c) >> b) & 1 FOR b IN range(8)] FOR c IN string_split(doc_id::VARCHAR, '')])"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+    steps = [f"""
+rows AS MATERIALIZED (SELECT doc_id, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, {row("text")} AS leaf,
+  CASE WHEN {crc} % 2 = 0 THEN {row("replace(text, chr(10), '')")} ELSE {row("text")} END AS f FROM documents),
+n0 AS (SELECT g, pos, leaf AS d FROM rows), w0 AS (SELECT doc_id, g, pos, leaf, f, '' AS beside, CAST(0 AS BIGINT) AS copied FROM rows)"""]
+    for k in range(in_group + above + 1):
+        if k == in_group:
+            steps.append(f"""
+places AS MATERIALIZED (SELECT g, d, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos FROM n{k}),
+n{k + 1} AS (SELECT 'all' AS g, pos, d FROM places),
+w{k + 1} AS (SELECT doc_id, 'all' AS g, p.pos, leaf, f, beside, copied, p.d AS subroot FROM w{k} w JOIN places p ON p.g IS NOT DISTINCT FROM w.g)""")
+            continue
+        last = ", subroot" if k > in_group else ""
+        steps.append(f"""
+r{k} AS MATERIALIZED (SELECT g, pos // 3 AS up, list(d ORDER BY pos) AS run, any_value(n) AS n
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM n{k}) GROUP BY ALL),
+n{k + 1} AS (SELECT g, up AS pos, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS d FROM r{k}),
+w{k + 1} AS MATERIALIZED (SELECT doc_id, w.g, up AS pos, leaf, copied + (n > 1)::INT AS copied,
+  CASE WHEN n = 1 THEN f ELSE sha256(array_to_string(run[:pos % 3] || [f] || run[pos % 3 + 2:], '')) END AS f,
+  beside || array_to_string(run[:pos % 3] || run[pos % 3 + 2:], '') AS beside{last}
+  FROM w{k} w JOIN r{k} r ON r.g IS NOT DISTINCT FROM w.g AND r.up = w.pos // 3)""")
+    end = in_group + above + 1
+    return f"""WITH {",".join(steps)}
+SELECT w.doc_id, w.leaf, subroot, d AS root, sha256(beside) AS proof_sha256, w.f AS folded_root, w.f = d AS verified,
+  CASE WHEN rows.f = rows.leaf THEN 0 ELSE copied + 1 END AS n_copied
+FROM w{end} w CROSS JOIN n{end} JOIN rows ON rows.doc_id = w.doc_id
+"""
 
 
 COPIES_SQL = """
