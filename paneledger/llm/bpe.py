@@ -17,8 +17,8 @@ most LEAF bytes, are encoded for all new parts of a slice at once, in numpy.
 
 Cases: a null text is an empty one (no ids, empty bytes); repeated rows and ids
 give repeated rows; an empty table gives an empty one; columns other than the
-named text column are carried as they are (an input column called ``ids`` or
-``decoded`` is an error).
+named text column are carried as they are (columns called ``ids`` or
+``decoded`` too, see ``encode``).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneledger.llm.text import batches_of
+from paneledger.llm.text import batches_of, new_name
 
 # White space as the pattern's \s sees it.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -268,7 +268,8 @@ def _encoder(shared, pattern: str) -> Encoder:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``decoded`` (binary, from the ids).
+    """``docs`` with ``ids`` (array of int) and ``decoded`` (binary, from the ids), the last
+    two columns; a name that ``docs`` has already gets underscores until it is new.
 
     The rank file is read by the driver and broadcast; its size is the size of the
     vocabulary, whatever the corpus.
@@ -276,8 +277,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     batches_of(docs.sparkSession)
     with open(ranks_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    own = [new_name(docs.columns, name) for name in ("ids", "decoded")]
     schema = T.StructType([
-        *docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
+        *docs.schema.fields, T.StructField(own[0], T.ArrayType(T.IntegerType(), False)), T.StructField(own[1], T.BinaryType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +293,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
                 offsets = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, lists, pa.array([decoded for _, decoded in found], pa.binary())], [*rows.schema.names, "ids", "decoded"])
+                    [*rows.columns, lists, pa.array([decoded for _, decoded in found], pa.binary())], [*rows.schema.names, *own])
 
     return docs.mapInArrow(run, schema)
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from paneledger.llm.components import components
 from paneledger.llm.hashing import mixed, shingle_sets
 from paneledger.llm.keyed import marked, without
-from paneledger.llm.text import batches_of, frequent, numbered
+from paneledger.llm.text import batches_of, free_names, frequent, numbered
 from paneledger.workspace import keep
 
 SIMILARITY = (4, 5)
@@ -53,8 +53,10 @@ LARGEST_BOUNDARY = 16
 POSTING_COST = 4
 # Elements are ordered last if so many classes of a batch, and of the corpus, have them.
 BATCH, COMMON_IN_BATCH, COMMON_IN_CORPUS, MOST_COMMON = 10_000, 8, 32, 100_000
-# Texts compared with one hub in one task.
+# Texts compared with one hub in one task, and sets of one list compared with all others in one.
 GROUP = 500
+# Words of 64 parities in a sketch.
+SKETCH = 16
 
 
 def least_overlap(j: int, k: int) -> int:
@@ -237,18 +239,50 @@ def across(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return _several(grouped.repartition("element"), "own", ["element"]).select("element", "node", "size", "position", "own")
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """``(node, s0, s1, ...)`` for the sets in ``lists``: the parity of the number of
+    elements in each bucket. The sketches of two sets differ in no more places than
+    the sets have elements that are not in both. Only their texts are read by Python."""
+    wanted = keep(lists.select("node").distinct().join(classes, "node"), "wanted")
+    texts = marked(numbered(docs, "text"), wanted, "row_key", "maybe").where("maybe").select("row_key", "text")
+    names = [f"s{k}" for k in range(SKETCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.zeros((batch.num_rows, SKETCH), np.int64)
+            for at, elements in enumerate(shingle_sets(batch.column("text"), SHINGLE)):
+                buckets = (mixed(elements + np.uint64(SKETCH)) % np.uint64(64 * SKETCH)).astype(np.int64)
+                odd = np.bincount(buckets, minlength=64 * SKETCH).astype(np.uint8) & 1
+                words[at] = np.packbits(odd).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), *[pa.array(words[:, k]) for k in range(SKETCH)]], ["row_key", *names])
+
+    drawn = texts.mapInArrow(run, f"row_key long, {', '.join(f'{name} long' for name in names)}")
+    return keep(drawn.join(wanted, "row_key").select("node", *names), "sketches")
+
+
+def cross_pairs(lists: DataFrame, drawn: DataFrame) -> DataFrame:
     """Pairs of different groups that share as many prefix elements as a link must:
     of its prefix a set can miss only what it may lack of the overlap, and the set
-    whose prefix ends first in the order shares the rest within the other's prefix."""
-    right = lists.selectExpr("element", "node AS other", "size AS other_size", "position AS other_position", "own AS other_own")
+    whose prefix ends first in the order shares the rest within the other's prefix.
+
+    Each set of a list is compared with all others in one of the list's parts, of about
+    GROUP sets. Sizes, positions and sketches are tested where rows meet.
+    """
+    names = [f"s{k}" for k in range(SKETCH)]
+    parts = lists.groupBy("element").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    rows = lists.join(parts, "element").join(drawn, "node")
+    left = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).selectExpr(
+        "element", "part", "node AS other", "size AS other_size", "position AS other_position", "own AS other_own", *[f"{name} AS other_{name}" for name in names])
     overlap = "ceil(4 * (size + other_size) / 9)"
+    differ = " + ".join(f"bit_count({name} ^ other_{name})" for name in names)
 
     def needed(k: str) -> str:
         return f"({k} - ceil(4 * {k} / 5) + 1 - ({k} - {overlap}))"
 
     return (
-        lists.join(right, "element").where("node < other AND own <> other_own").where(_ALLOWED)
+        left.join(right, ["element", "part"]).where("node < other AND own <> other_own").where(_ALLOWED)
+        .where(f"{differ} <= size + other_size - 2 * {overlap}")
         .groupBy("node", "other", "size", "other_size").count()
         .where(f"count >= least({needed('size')}, {needed('other_size')})")
         .selectExpr("node AS a", "other AS b"))
@@ -303,7 +337,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
         links = links.unionByName(keep(verified(docs, classes, star_pairs(lists, order)), "links"))
         groups = components(links)
         lists = keep(across(lists, groups), "lists")
-    more = keep(verified(docs, classes, cross_pairs(lists)), "links")
+    more = keep(verified(docs, classes, cross_pairs(lists, sketches(docs, classes, lists))), "links")
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     found = rows.select("row_key", "doc_id", "n_shingles", "node").join(groups, "node", "left")
@@ -322,8 +356,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are linked, directly or not, to a row of smaller
     id (null ids last, then the first row); rows without words all stay."""
     rows = similar_sets(docs)
+    [own] = free_names(docs.columns, "row_key")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min_by("row_key", order).alias("first"))
-    gone = rows.join(first, "component").where("row_key <> first").select(F.col("row_key").alias("_row_key"))
-    numbered_rows = docs.withColumn("_row_key", F.monotonically_increasing_id())
-    return without(numbered_rows, keep(gone, "copies"), "_row_key").select(docs.columns)
+    gone = rows.join(first, "component").where("row_key <> first").select(F.col("row_key").alias(own))
+    numbered_rows = docs.withColumn(own, F.monotonically_increasing_id())
+    return without(numbered_rows, keep(gone, "copies"), own).select([F.col(f"`{c}`") for c in docs.columns])

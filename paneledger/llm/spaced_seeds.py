@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from paneledger.llm.hashing import mixed, word_hashes
 from paneledger.llm.keyed import without
-from paneledger.llm.text import batches_of, numbered
+from paneledger.llm.text import batches_of, free_names, numbered
 from paneledger.workspace import keep
 
 MASKS = ("111011", "1100001011", "110111")
@@ -201,6 +201,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item of the benchmark overlaps, all columns."""
-    gone = keep(overlaps(docs, benchmark).select("row_key").distinct(), "overlaps").withColumnRenamed("row_key", "_row_key")
-    rows = docs.withColumn("_row_key", F.monotonically_increasing_id())
-    return without(rows, gone, "_row_key").select(docs.columns)
+    [own] = free_names(docs.columns, "row_key")
+    gone = keep(overlaps(docs, benchmark).select(F.col("row_key").alias(own)).distinct(), "overlaps")
+    rows = docs.withColumn(own, F.monotonically_increasing_id())
+    return without(rows, gone, own).select([F.col(f"`{c}`") for c in docs.columns])

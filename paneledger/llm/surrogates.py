@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneledger.llm.keyed import marked
-from paneledger.llm.text import batches_of
+from paneledger.llm.text import batches_of, free_names
 from paneledger.workspace import keep
 
 MOST_ATTEMPTS, GROWS_AFTER = 24, 8
@@ -396,9 +396,11 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text", count: str | None
 
     if other.isEmpty():
         return docs.mapInArrow(rewrite, schema)
-    per_row = keep(found.join(other, ["kind", "value"]).groupBy("row_key").agg(
-        F.collect_list(F.struct("kind", "value", "attempt")).alias("_tried")), "attempts").withColumnRenamed("row_key", "_row_key")
-    rows = marked(docs.withColumn("_row_key", F.monotonically_increasing_id()), per_row, "_row_key", "_maybe")
-    plain = rows.where("NOT _maybe").select(columns).mapInArrow(rewrite, schema)
-    joined = rows.where("_maybe").join(per_row, "_row_key", "left").select(*columns, "_tried").mapInArrow(rewrite, schema)
+    own, tried, maybe = free_names(columns, "row_key", "tried", "maybe")
+    per_row = keep(found.join(other, ["kind", "value"]).groupBy(F.col("row_key").alias(own)).agg(
+        F.collect_list(F.struct("kind", "value", "attempt")).alias(tried)), "attempts")
+    rows = marked(docs.withColumn(own, F.monotonically_increasing_id()), per_row, own, maybe)
+    given = [F.col(f"`{c}`") for c in columns]
+    plain = rows.where(f"NOT {maybe}").select(given).mapInArrow(rewrite, schema)
+    joined = rows.where(maybe).join(per_row, own, "left").select(*given, tried).mapInArrow(rewrite, schema)
     return plain.unionByName(joined)

@@ -41,6 +41,14 @@ def free_names(columns: Iterable[str], *wanted: str) -> list[str]:
     return found
 
 
+def new_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and ``row_key``, which is unique even where ids repeat or
     are null. It depends on the split and the position in it only, so a task that
