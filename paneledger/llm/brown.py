@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,16 +130,18 @@ class Units:
 
 
 def unit_rows(texts: DataFrame, units: Units) -> DataFrame:
-    """``ids``: the units of every text in order, without its end."""
+    """``ids``: the units of every text in order, its end included, 4 bytes each."""
     shared = texts.sparkSession.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in words_of(batch.column("text")):
-                ids = pa.array(shared.value.of(words, words.hashes()).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(words.offsets, pa.int32()), ids)], ["ids"])
+                tokens, _ = with_ends(shared.value.of(words, words.hashes()), words.offsets, shared.value.end)
+                offsets = 4 * (words.offsets + np.arange(len(words.offsets))).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(tokens.astype("<i4"))])
+                yield pa.RecordBatch.from_arrays([ids], ["ids"])
 
-    return texts.select("text").mapInArrow(run, "ids array<int>")
+    return texts.select("text").mapInArrow(run, "ids binary")
 
 
 def with_ends(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +153,21 @@ def with_ends(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarra
     return tokens, before
 
 
+def _int32(column: pa.Array) -> np.ndarray:
+    """The numbers of a binary column, all rows in a row."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.int32)
+    offsets = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].view("<i4")
+
+
 def tokens_of(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column("ids")
-    offsets = np.asarray(column.offsets) - (column.offsets[0].as_py() if len(column) else 0)
-    return with_ends(np.asarray(column.flatten()).astype(np.int64), offsets, end)
+    """Every token, and the one before it: before a text stands the end of another."""
+    tokens = _int32(batch.column("ids"))
+    before = np.empty_like(tokens)
+    before[1:], before[:1] = tokens[:-1], end
+    return tokens, before
 
 
 def neighbours(ids: DataFrame, end: int, rows: np.ndarray, classes: np.ndarray, n_rows: int, n_classes: int) -> np.ndarray:
@@ -166,10 +180,16 @@ def neighbours(ids: DataFrame, end: int, rows: np.ndarray, classes: np.ndarray,
         row_of, of = shared.value
         half = shape[1] * shape[2]
         cells = np.zeros(2 * half, np.int64)
+        line = row_of * np.int64(n_classes)
         for batch in batches:
-            tokens, before = tokens_of(batch, end)
-            cells[:half] += np.bincount(row_of[tokens].astype(np.int64) * n_classes + of[before], minlength=half)
-            cells[half:] += np.bincount(row_of[before].astype(np.int64) * n_classes + of[tokens], minlength=half)
+            tokens, _ = tokens_of(batch, end)
+            for first in range(0, len(tokens), _WORDS_AT_ONCE):
+                # The token before the first is the end of a text, or the last one done.
+                some = tokens[max(0, first - 1):first + _WORDS_AT_ONCE]
+                some = some if first else np.concatenate([[end], some])
+                at, c = line[some], of[some]
+                cells[:half] += np.bincount(at[1:] + c[:-1], minlength=half)
+                cells[half:] += np.bincount(at[:-1] + c[1:], minlength=half)
         found = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([_int64(found), _int64(cells[found])], ["cell", "n"])
 
@@ -190,23 +210,24 @@ def near_tail(ids: DataFrame, units: Units) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             tokens, before = tokens_of(batch, end)
-            for own, near in ((tokens, before), (before, tokens + size)):
+            for own, near in ((tokens, before), (before, tokens + np.int32(size))):
                 some = own > end
-                held.append((own[some].astype(np.int32), near[some]))
+                held.append((own[some], near[some]))
                 n += len(held[-1][0])
             if n > _WORDS_AT_ONCE:
                 yield _lists(held)
                 held, n = [], 0
         yield _lists(held)
 
-    return ids.mapInArrow(run, "unit int, near array<long>").repartition(F.col("unit")).sortWithinPartitions("unit")
+    return ids.mapInArrow(run, "unit int, near binary").repartition(F.col("unit")).sortWithinPartitions("unit")
 
 
 def _lists(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    own, near = map(np.concatenate, zip(*held)) if held else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    own, near = map(np.concatenate, zip(*held)) if held else (np.zeros(0, np.int32), np.zeros(0, np.int32))
     order = np.argsort(own, kind="stable")
     units, starts = np.unique(own[order], return_index=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(own)), pa.int32()), pa.array(near[order]))
+    offsets = (4 * np.append(starts, len(own))).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(offsets), pa.py_buffer(near[order].astype("<i4"))])
     return pa.RecordBatch.from_arrays([pa.array(units), lists], ["unit", "near"])
 
 
@@ -249,9 +270,9 @@ def _words_of_tail(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[tup
     held, n = [], 0
     for batch in batches:
         column = batch.column("near")
-        unit = np.repeat(np.asarray(batch.column("unit")), np.diff(np.asarray(column.offsets)))
+        unit = np.repeat(np.asarray(batch.column("unit")), np.asarray(pc.binary_length(column)) // 4)
         some = unit % 2 == turn % 2
-        held.append((unit[some], np.asarray(column.flatten())[some]))
+        held.append((unit[some], _int32(column)[some]))
         n += int(some.sum())
         if n > _CELLS_AT_ONCE // 8:
             unit, near = map(np.concatenate, zip(*held))
