@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,15 +17,17 @@ from paneledger.operators.truth import batch_windows, stream_stats
 from paneledger.plans import compare
 from paneledger.plans.timeline import timeline
 from paneledger.sinks.reports import run_fingerprint, write_ndjson
-from paneledger.sources.feeds import archive_log
+from paneledger.sources.feeds import archive_log, change_log
 from paneledger.sources.logs import named_log
 from paneledger.sources.ndjson import read_ndjson
 from paneledger.streaming.fold import replay_in_batches
 from paneledger.workspace import new_path
 
 HOUR = 3_600_000
+BEFORE_1970 = 4_000_000_000_000
 BOUNDED = WatermarkSpec("bounded", bound_ms=600_000)
 PERCENTILE = WatermarkSpec("percentile", percentile=0.99, sample_size=512)
+PUNCTUATED = WatermarkSpec("punctuated", every_n=64)
 
 PANE = ["log_id", "win_start", "win_end", "seq", "kind", "count", "retracts", "watermark", "at_index"]
 VERDICT = ["log_id", "win_start", "win_end", "outcome", "reason", "expected", "emitted", "panes", "receipted"]
@@ -156,6 +157,24 @@ def findings_from_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.window_findings(_audited(run, altered))
 
 
+def foreign_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tables of a job show whose watermark leaps three hours ahead at some events
+    and falls back, and which gives up every fifth window as soon as it closes."""
+    run = _run(spark, sf_dir)
+    trace = run.trace.selectExpr("log_id", "index", f"watermark + IF(index % 50 = 7, {3 * HOUR}, 0) AS watermark")
+    releases = run.crossed.selectExpr(
+        "log_id", "win_start", f"IF(win_start % {5 * HOUR} = 0, fire.index, release.index) AS index").where("index IS NOT NULL")
+    found = audit.audit_job(run.panes, run.index.rows, run.side_output, trace, run.config, releases).findings
+    return found.where("code IN ('watermark-overshoot', 'watermark-regression', 'premature-close')")
+
+
+def _opened_late(spark: SparkSession, sf_dir: str, policy: str) -> Run:
+    """Windows of a minute, off the grid and before 1970: most have one event, and many
+    get it only after they should have closed."""
+    log = named_log("events").load(spark, sf_dir).selectExpr("log_id", f"t - {BEFORE_1970} AS t", "p", "seq")
+    return Run(index_log(log, ["p", "seq"]), Config(60_000, 17_000, 2 * HOUR, policy, "idle", BOUNDED))
+
+
 def replay_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log indexed and run twice: rows of both, and rows only in one."""
     first, second = _run(spark, sf_dir), _run(spark, sf_dir)
@@ -164,6 +183,20 @@ def replay_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
         compare.same_rows(a, b).selectExpr(f"'{name}' AS table_name", "*") for name, a, b in tables])
 
 
+def changed_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panes in which a run differs from a job that counts one event too many at
+    every 97th index, named by both sides' hash trees."""
+    panes = _run(spark, sf_dir).panes.select(*PANE)
+    altered = panes.withColumn("count", expr("count + IF(at_index % 97 = 5, 1L, 0L)"))
+    return compare.changed_rows(panes, altered)
+
+
+def observed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the write of the judged events tells of the run, as its metrics."""
+    metrics = _run(spark, sf_dir, PERCENTILE).write_judged(new_path(spark, "judged"))
+    return spark.createDataFrame([metrics], ", ".join(f"{name} bigint" for name in metrics))
+
+
 def fingerprints_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every table of a run, and whether a second run has the same fingerprint."""
     first, second = run_fingerprint(_run(spark, sf_dir)), run_fingerprint(_run(spark, sf_dir))
@@ -186,42 +219,59 @@ def verdict_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Run(index_log(_with_holes(spark, sf_dir), ["p", "seq"]), _config()).summary
 
 
+def ndjson_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events log with its times in seconds and fractions of them, read back to the millisecond."""
+    log, path = named_log("events"), new_path(spark, "ndjson")
+    write_ndjson(log.load(spark, sf_dir).selectExpr("log_id", "t / 1000 AS t", "p / 1000 AS p", "seq", "k"), path, list(log.order))
+    return read_ndjson(spark, path, one_log=True, unit_ms=1_000, fraction="round").events.select("seq", "t", "p", "k")
+
+
+def _written_in_order(rows: DataFrame, path: str, *folders: str) -> str:
+    """Lines ``value`` in order of ``event_id``, in files that sort like them."""
+    ordered = rows.repartitionByRange("event_id").sortWithinPartitions("event_id").select("value", *folders)
+    (ordered.write.partitionBy(*folders) if folders else ordered.write).text(path)
+    return path
+
+
 def feed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as an hourly archive, one file for every 50,000, read back in order."""
-    path = new_path(spark, "archive")
+    """The events as an hourly archive, one folder for every 50,000, read back in order."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
-        "event_id", "concat('2026-01-15-', event_id DIV 400) AS hour",
+        "event_id", "concat('2026-01-15-', event_id DIV 50000) AS hour",
         "to_json(named_struct('created_at', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\"), 'type', event_type)) AS value")
-    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value", "hour").write.partitionBy("hour").text(path)
-    return archive_log(spark, path).select("seq", "t", "k")
+    return archive_log(spark, _written_in_order(rows, new_path(spark, "archive"), "hour")).select("seq", "t", "k")
 
 
-def _streamed(spark: SparkSession, sf_dir: str):
+def feed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a captured stream of server-sent events, with broken lines and other
+    fields between them, read back in order."""
+    log = named_log("events").load(spark, sf_dir)
+    dt = "date_format(timestamp_millis(p), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+    data = f"concat('data: ', to_json(named_struct('timestamp', t DIV 1000, 'meta', named_struct('dt', {dt}), 'server_name', k)))"
+    rows = log.selectExpr("seq AS event_id", f"CASE seq % 50 WHEN 7 THEN 'data: {{broken' WHEN 8 THEN 'event: message' ELSE {data} END AS value")
+    return change_log(spark, _written_in_order(rows, new_path(spark, "changes"))).select("seq", "t", "p", "k")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, spec: WatermarkSpec = BOUNDED, policy: str = "update", termination: str = "idle"):
     log = named_log("events")
-    return replay_in_batches(log.load(spark, sf_dir), list(log.order), _config(), batches=4)
+    return replay_in_batches(log.load(spark, sf_dir), list(log.order), _config(spec, policy, termination), batches=4)
 
 
-def _has(module: str) -> bool:
-    return importlib.util.find_spec(module) is not None
+def _streamed_panes(**options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _streamed(spark, sf_dir, **options).panes.select(*PANE)
 
 
 # The training-data operators and their pipeline may be absent.
-if _has("paneledger.llm") and _has("paneledger.llm.registry"):
-    from paneledger.llm import registry
-else:
-    registry = None
-if _has("corpus_pipeline"):
+try:
     import corpus_pipeline
-else:
-    corpus_pipeline = None
+    from paneledger.llm import registry
+except ImportError:
+    registry = corpus_pipeline = None
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = dict(_log_queries())
     if registry is not None:
-        found |= registry.queries()
-    if corpus_pipeline is not None:
-        found["pipeline"] = corpus_pipeline.run
+        found |= registry.queries() | {"pipeline": corpus_pipeline.run}
     return found
 
 
@@ -241,7 +291,7 @@ def _log_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wm_bounded": _watermark(BOUNDED),
         "wm_bounded_naive": _watermark(WatermarkSpec("bounded-naive", bound_ms=600_000)),
         "wm_percentile": _watermark(PERCENTILE),
-        "wm_punctuated": _watermark(WatermarkSpec("punctuated", every_n=64)),
+        "wm_punctuated": _watermark(PUNCTUATED),
         "wm_processing_time": _watermark(WatermarkSpec("processing-time", ms_per_event=HOUR)),
         "watermark_trace": lambda s, d: _run(s, d, termination="flush").trace,
         "watermark_health": lambda s, d: _run(s, d, PERCENTILE).health,
@@ -281,8 +331,23 @@ def _log_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rejected_events": rejected_events,
         "verdict_with_rejects": verdict_with_rejects,
         "feed_archive": feed_archive,
+        "feed_changes": feed_changes,
+        "ndjson_seconds": ndjson_seconds,
         "replay_equal": replay_equal,
-        "streaming_panes": lambda s, d: _streamed(s, d).panes.select(*PANE),
+        "foreign_findings": foreign_findings,
+        "pane_stream": lambda s, d: _run(s, d).emitted.select("pos", *PANE),
+        "pane_stream_flush": lambda s, d: _run(s, d, termination="flush").emitted.select("pos", *PANE),
+        "changed_panes": changed_panes,
+        "observed_counters": observed_counters,
+        "window_state_opened_late": lambda s, d: _opened_late(s, d, "update").windows,
+        "panes_opened_late": lambda s, d: _opened_late(s, d, "update").panes.select(*PANE),
+        "panes_drop_opened_late": lambda s, d: _opened_late(s, d, "drop").panes.select(*PANE),
+        "streaming_panes": _streamed_panes(),
+        "streaming_percentile": _streamed_panes(spec=PERCENTILE),
+        "streaming_punctuated": _streamed_panes(spec=PUNCTUATED),
+        "streaming_drop": _streamed_panes(policy="drop"),
+        "streaming_flush": _streamed_panes(termination="flush"),
+        "streaming_receipts": lambda s, d: _streamed(s, d, policy="side-output").side_output,
         "streaming_side_output": lambda s, d: _streamed(s, d).side_output,
     }
 
@@ -291,8 +356,7 @@ def oracle_sql() -> dict[str, str]:
     found = dict(oracle_queries.statements())
     if registry is not None:
         found |= registry.oracle_sql()
-    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL is not None:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+        found |= {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     return found
 
 

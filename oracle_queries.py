@@ -24,6 +24,8 @@ LOGS = {
     "orders": f"SELECT 'orders' AS log_id, {ORDER_T} AS t, {ORDER_P} AS p, o_orderkey AS seq, o_orderpriority AS k FROM orders",
 }
 
+# The events log moved to before 1970.
+LOGS["events_early"] = f"SELECT log_id, t - 4000000000000 AS t, p, seq, k FROM ({LOGS['events']})"
 # The events log without the rows that lack their log, time or place.
 LOGS["events_kept"] = f"SELECT * FROM ({LOGS['events']}) WHERE seq % 89 <> 0 AND seq % 97 <> 0 AND seq % 101 <> 0"
 
@@ -61,7 +63,7 @@ raws AS (SELECT * EXCLUDE (l), m - greatest({floor}, CASE WHEN len(l) = 0 THEN 0
     ELSE l[least(len(l), floor({p}::DOUBLE * len(l))::BIGINT + 1)] END) - 1 AS raw FROM lat1)"""
 
 
-def run_ctes(log: str, spec: dict, size: int, bound: int, policy: str = "update", flush: bool = False) -> str:
+def run_ctes(log: str, spec: dict, size: int, bound: int, policy: str = "update", flush: bool = False, offset: int = 0) -> str:
     """Log to judged events, windows, and what became of each window."""
     update = policy == "update"
     w_final = "NULL" if flush else "max(w_after)"
@@ -72,7 +74,7 @@ def run_ctes(log: str, spec: dict, size: int, bound: int, policy: str = "update"
     return f"""WITH {index_ctes(log)}, {raw_ctes(spec)},
 wm0 AS (SELECT *, max(raw) OVER {UP_TO} AS w_after FROM raws),
 wm AS (SELECT *, lag(w_after) OVER (PARTITION BY log_id ORDER BY i) AS w_before FROM wm0),
-j0 AS (SELECT *, t - ((t % {size}) + {size}) % {size} AS win_start FROM wm),
+j0 AS (SELECT *, t - (((t - {offset}) % {size}) + {size}) % {size} AS win_start FROM wm),
 j AS (SELECT *, win_start + {size} AS win_end, CASE WHEN w_before >= win_start + {size} + {bound} THEN 'too_late'
     WHEN w_before >= win_start + {size} THEN 'late_in_bound' ELSE 'on_time' END AS cls FROM j0),
 fin AS (SELECT log_id, {w_final} AS w_final, count(*) AS n FROM j GROUP BY log_id),
@@ -119,16 +121,16 @@ def pane_ctes(policy: str, bound: int, flush: bool = False) -> str:
     late_rows = """
     UNION ALL SELECT log_id, win_start, win_end,
         CASE WHEN on_time > 0 THEN nth + 1 ELSE nth END, CASE WHEN on_time = 0 AND nth = 1 THEN 'initial' ELSE 'revision' END,
-        on_time + nth, CASE WHEN on_time = 0 AND nth = 1 THEN NULL ELSE on_time + nth - 1 END, w_before, i
+        on_time + nth, CASE WHEN on_time = 0 AND nth = 1 THEN NULL ELSE on_time + nth - 1 END, w_before, i, 0, 0
     FROM nth""" if update else """
-    UNION ALL SELECT f.log_id, f.win_start, f.win_end, 1, 'initial', 0, NULL, j.w_after, f.first_late
+    UNION ALL SELECT f.log_id, f.win_start, f.win_end, 1, 'initial', 0, NULL, j.w_after, f.first_late, 1, f.first_index
     FROM fire f JOIN j ON j.log_id = f.log_id AND j.i = f.first_late WHERE on_time = 0"""
     return f"""{fire_ctes(bound, flush)},
 nth AS (SELECT j.log_id, j.win_start, j.win_end, j.t, j.i, j.w_before, j.w_after, win.on_time,
     row_number() OVER (PARTITION BY j.log_id, j.win_start ORDER BY j.i) AS nth
     FROM j JOIN win USING (log_id, win_start) WHERE cls = 'late_in_bound'),
 panes AS (SELECT log_id, win_start, win_end, 1 AS seq, 'initial' AS kind, on_time AS count, NULL::BIGINT AS retracts,
-        fire_watermark AS watermark, fire_index AS at_index
+        fire_watermark AS watermark, fire_index AS at_index, 1 AS turn, first_index AS opened
     FROM fire WHERE on_time > 0 AND fire_index IS NOT NULL {late_rows})"""
 
 
@@ -137,6 +139,7 @@ def big(*columns: str) -> str:
 
 
 PANES = f"SELECT log_id, {big('win_start', 'win_end', 'seq')}, kind, {big('count', 'retracts', 'watermark', 'at_index')} FROM panes"
+PANES_AT_5 = PANES.replace(" FROM", ", {left}::BIGINT AS only_left, {right}::BIGINT AS only_right FROM") + " WHERE at_index % 97 = 5"
 VERDICT = f"SELECT log_id, {big('win_start', 'win_end')}, outcome, reason, {big('expected', 'emitted', 'panes', 'receipted')} FROM verdict"
 # Windows whose verdict is an accusation, and logs that lost events: expected, but neither counted nor receipted.
 FINDINGS = """(count(*) FILTER (reason IN ('no-pane-after-close', 'unexplained-shortfall'))
@@ -251,6 +254,9 @@ def statements() -> dict[str, str]:
     quantile = run_ctes("events", P99, HOUR, LATE)
     users = run_ctes("events_by_user", B10M, HOUR, LATE)
     rate = run_ctes("events", RATE, HOUR, LATE)
+    opened, opened_drop = (run_ctes("events_early", B10M, 60_000, LATE, policy, offset=17_000) for policy in ("update", "drop"))
+    ordered = PANES.replace("SELECT", "SELECT row_number() OVER (PARTITION BY log_id ORDER BY at_index, turn, opened) - 1 AS pos,", 1)
+    punctuated = run_ctes("events", PUNCT, HOUR, LATE)
     index = f"WITH {index_ctes('events')}"
     too_late = SIDE.format(bound=LATE, classes="'too_late'")
     refused = SIDE.format(bound=LATE, classes="'too_late', 'late_in_bound'")
@@ -308,6 +314,36 @@ def statements() -> dict[str, str]:
         "panes": f"{bounded}{pane_ctes('update', LATE)} {PANES}",
         "panes_drop": f"{drop}{pane_ctes('drop', LATE)} {PANES}",
         "panes_flush": f"{flushed}{pane_ctes('update', LATE, True)} {PANES}",
+        "pane_stream": f"{bounded}{pane_ctes('update', LATE)} {ordered}",
+        "pane_stream_flush": f"{flushed}{pane_ctes('update', LATE, True)} {ordered}",
+        "changed_panes": f"{bounded}{pane_ctes('update', LATE)} {PANES_AT_5.format(left=1, right=0)} UNION ALL "
+            + PANES_AT_5.format(left=0, right=1).replace("count::BIGINT", "(count + 1)::BIGINT"),
+        "observed_counters": f"""{quantile} SELECT count(*) AS total, count(*) FILTER (cls = 'on_time') AS on_time,
+            count(*) FILTER (cls = 'late_in_bound') AS late_in_bound, count(*) FILTER (cls = 'too_late') AS too_late,
+            count(*) FILTER (w_after > m) AS watermark_overshoots, count(*) FILTER (raw < w_after) AS watermark_regressions,
+            max(w_after)::BIGINT AS w_last, max(lateness_ms)::BIGINT AS max_lateness_ms FROM j""",
+        "foreign_findings": f"""{bounded}{fire_ctes(LATE)},
+alt AS (SELECT log_id, i, w_after + CASE WHEN i % 50 = 7 THEN {3 * HOUR} ELSE 0 END AS w FROM steps),
+now AS (SELECT j.log_id, j.i, j.m, last_value(alt.w IGNORE NULLS) OVER (PARTITION BY j.log_id ORDER BY j.i) AS w
+    FROM j LEFT JOIN alt ON alt.log_id = j.log_id AND alt.i = j.i),
+falls AS (SELECT log_id, lag(w) OVER (PARTITION BY log_id ORDER BY i) - w AS fall FROM alt),
+gone AS (SELECT f.log_id, win_start, win_end + {LATE} AS owed, w FROM fire f JOIN now
+    ON now.log_id = f.log_id AND now.i = CASE WHEN win_start % {5 * HOUR} = 0 THEN fire_index ELSE release_index END)
+SELECT log_id, 'watermark-overshoot' AS code, 'defect' AS severity, NULL::BIGINT AS win_start,
+    concat(count(*), ' event(s) with the watermark above the highest event time, by up to ', max(w - m), ' ms') AS detail
+FROM now WHERE w > m GROUP BY log_id
+UNION ALL SELECT log_id, 'watermark-regression', 'defect', NULL,
+    concat(count(*), ' fall(s) of a raw watermark that cannot fall, by up to ', max(fall), ' ms') FROM falls WHERE fall > 0 GROUP BY log_id
+UNION ALL SELECT log_id, 'premature-close', 'defect', win_start::BIGINT, concat('released at watermark ', w, ', ', owed - w, ' ms too early')
+FROM gone WHERE w < owed""",
+        "window_state_opened_late": f"{opened} {state}",
+        "panes_opened_late": f"{opened}{pane_ctes('update', LATE)} {PANES}",
+        "panes_drop_opened_late": f"{opened_drop}{pane_ctes('drop', LATE)} {PANES}",
+        "streaming_percentile": f"{quantile}{pane_ctes('update', LATE)} {PANES}",
+        "streaming_punctuated": f"{punctuated}{pane_ctes('update', LATE)} {PANES}",
+        "streaming_drop": f"{drop}{pane_ctes('drop', LATE)} {PANES}",
+        "streaming_flush": f"{flushed}{pane_ctes('update', LATE, True)} {PANES}",
+        "streaming_receipts": f"{side} {refused}",
         "streaming_panes": f"{bounded}{pane_ctes('update', LATE)} {PANES}",
         "side_output": f"{side} {refused}",
         "streaming_side_output": f"{bounded} {too_late}",
@@ -353,6 +389,9 @@ def statements() -> dict[str, str]:
             WHERE event_id % 89 = 0 OR event_id % 97 = 0 OR event_id % 101 = 0""",
         "verdict_with_rejects": f"{run_ctes('events_kept', B10M, HOUR, LATE)} {SUMMARY}",
         "feed_archive": f"SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS seq, ({EVENT_T})::BIGINT AS t, event_type AS k FROM events",
+        "feed_changes": f"""SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS seq, (({EVENT_T}) // 1000 * 1000)::BIGINT AS t,
+            ({EVENT_P})::BIGINT AS p, event_type AS k FROM events WHERE event_id % 50 NOT IN (7, 8)""",
+        "ndjson_seconds": f"{index} SELECT (i + 1)::BIGINT AS seq, {big('t', 'p')}, k FROM ord",
         "replay_equal": " UNION ALL ".join(
             f"SELECT '{name}' AS table_name, n AS left_rows, n AS right_rows, 0::BIGINT AS only_left, 0::BIGINT AS only_right FROM ({counted})"
             for name, counted in row_counts.items() if name in ("panes", "side_output", "trace", "verdict")),

@@ -20,12 +20,14 @@ class ArrivalIndex:
     event time up to and including the row, ``max_before`` the same without the
     row (NULL for the first), ``first_t`` the event time of the first arrival.
     ``events`` has the input columns only, ``rejects`` the rows that are in neither,
-    with a ``reason``. Independent of any configuration: build once, run many.
+    with a ``reason``; ``total`` counts the rows. Independent of any configuration: build
+    once, run many.
     """
 
     rows: DataFrame
     events: DataFrame
     rejects: DataFrame
+    total: int
 
 
 def reject_reason(order: list[str]) -> str:
@@ -65,7 +67,7 @@ def index_log(
     return ArrivalIndex(
         scanned.rows.select("log_id", "blk", "i", "max_before", "max_seen", "first_t", *kept),
         scanned.events.select("log_id", *kept),
-        rejects,
+        rejects, scanned.total,
     )
 
 

@@ -16,6 +16,9 @@ An *outcome* is about a window; a *finding* accuses the engine.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from paneledger.config import Config
@@ -24,7 +27,7 @@ from paneledger.functions.windows import window_end, window_start
 from paneledger.names import END_OF_STREAM, LATE_IN_BOUND, ON_TIME
 from paneledger.operators.judge import aggregates, event_class
 from paneledger.operators.panes import per_log
-from paneledger.operators.scan import last_known, ordered_scan
+from paneledger.operators.scan import last_known, last_known_before, ordered_scan, running_max
 from paneledger.operators.truth import batch_windows
 
 KEYS = ["log_id", "win_start"]
@@ -40,38 +43,113 @@ def _finding(rows: DataFrame, code: str, detail: str, window: str = "CAST(NULL A
     return rows.selectExpr("log_id", f"'{code}' AS code", "'defect' AS severity", f"{window} AS win_start", f"{detail} AS detail")
 
 
-def windows_from_panes(panes: DataFrame, log: DataFrame, trace: DataFrame, config: Config) -> DataFrame:
+def follow(log: DataFrame, trace: DataFrame, releases: DataFrame | None = None) -> DataFrame:
+    """A job's tables merged in arrival order, in one scan: the indexed ``log`` (log_id,
+    i, t), the steps of its watermark in ``trace`` (log_id, index, watermark; on change is
+    enough) and, if it tells, when it gave up the state of a window in ``releases``
+    (log_id, win_start, index). At one index the event comes first, then the steps, then
+    the releases.
+
+    Every row knows the highest event time so far ``max_seen``, the index of the last
+    event ``last_i``, and the watermark before it ``w_before`` and with it ``w_now``.
+    """
+    merged = log.selectExpr("log_id", "i AS at", "0 AS kind", "t", "CAST(NULL AS BIGINT) AS watermark", "CAST(NULL AS BIGINT) AS win_start").unionByName(
+        trace.selectExpr("log_id", "index AS at", "1 AS kind", "CAST(NULL AS BIGINT) AS t", "watermark", "CAST(NULL AS BIGINT) AS win_start"))
+    if releases is not None:
+        merged = merged.unionByName(releases.selectExpr(
+            "log_id", "index AS at", "2 AS kind", "CAST(NULL AS BIGINT) AS t", "CAST(NULL AS BIGINT) AS watermark", "win_start"))
+    running = {
+        "max_seen": running_max("max_seen", "t"),
+        "last_i": running_max("last_i", "IF(kind = 0, at, NULL)"),
+        "w_now": last_known("w_now", "watermark"),
+        "w_before": last_known_before("w_now", "watermark"),
+    }
+    # A row that is repeated, or steps at one index, must not share a place in the order.
+    order = ["at", "kind", "watermark", "win_start"]
+    return ordered_scan(merged, ["log_id"], order, running, derived=True).rows
+
+
+def health_from_trace(followed: DataFrame) -> DataFrame:
+    """How a job's watermark behaved, per log: the columns of ``judge.log_health`` that
+    the audit needs.
+
+    An event counts as overshot if the watermark stands above the highest event time
+    once it has been taken in: as it stood before the event, put right by every step
+    that the event caused. A step that falls counts as a regression. The flush, which
+    comes after all events, is neither.
+    """
+    def over(watermark: str) -> str:
+        return f"({watermark} < {END_OF_STREAM} AND {watermark} > max_seen)"
+
+    own_step = "kind = 1 AND at = last_i"
+    return followed.groupBy("log_id").agg(*aggregates(
+        events="count_if(kind = 0)",
+        w_last="max(watermark)",
+        watermark_overshoots=f"count_if(kind = 0 AND {over('w_before')}) + count_if({own_step} AND {over('watermark')})"
+                             f" - count_if({own_step} AND {over('w_before')})",
+        max_overshoot_ms=f"greatest(0L, max(w_before - max_seen) FILTER (WHERE kind = 0 AND {over('w_before')}),"
+                         f" max(watermark - max_seen) FILTER (WHERE {own_step} AND {over('watermark')}))",
+        watermark_regressions="count_if(kind = 1 AND watermark < w_before)",
+        max_regression_ms="coalesce(max(w_before - watermark) FILTER (WHERE kind = 1 AND watermark < w_before), 0L)",
+    ))
+
+
+def windows_from_panes(
+    panes: DataFrame, log: DataFrame, trace: DataFrame, config: Config, followed: DataFrame | None = None,
+) -> DataFrame:
     """The windows of any streaming job, from what it emitted: ``panes`` (log_id,
-    win_start, win_end, seq, count), the indexed ``log`` (log_id, i, t) and the
-    ``trace`` of its watermark (log_id, index, watermark; on change is enough).
+    win_start, win_end, seq, count), the indexed ``log`` and the ``trace`` of its
+    watermark, see ``follow``.
 
     What a window emitted is its last pane. How its events were to be judged follows
-    from the watermark before each of them: the latest step of the trace at a smaller
-    index, a running value over both tables in arrival order.
+    from the watermark before each of them. A window that the job released has the
+    watermark of that moment in ``collected_at_watermark``.
     """
-    asked = log.selectExpr("log_id", "i AS at", "t", "CAST(NULL AS BIGINT) AS watermark", "false AS step")
-    steps = trace.selectExpr("log_id", "index AS at", "CAST(NULL AS BIGINT) AS t", "watermark", "true AS step")
-    seen = ordered_scan(
-        asked.unionByName(steps), ["log_id"], ["at", "step"], {"w_before": last_known("w_before", "watermark")}, derived=True,
-    ).rows.where("NOT step")
+    followed = follow(log, trace) if followed is None else followed
     start = window_start("t", config.window_ms, config.offset_ms)
-    judged = seen.selectExpr("log_id", "w_before", f"{start} AS win_start").selectExpr(
+    judged = followed.where("kind = 0").selectExpr("log_id", "w_before", f"{start} AS win_start").selectExpr(
         "*", f"{window_end('win_start', config.window_ms)} AS win_end").selectExpr("*", f"{event_class(config.allowed_lateness_ms)} AS cls")
     owed = judged.groupBy(*KEYS, "win_end").agg(*aggregates(
         on_time=f"count_if(cls = '{ON_TIME}')", late_in_bound=f"count_if(cls = '{LATE_IN_BOUND}')"))
     emitted = panes.groupBy(*KEYS).agg(*aggregates(pane_end="max(win_end)", emitted="max_by(count, seq)", panes="count(1)"))
+    released = followed.where("kind = 2").groupBy(*KEYS).agg(*aggregates(collected_at_watermark="min_by(w_now, at)"))
     update = str(config.late_policy == "update").lower()
-    return owed.join(emitted, KEYS, "full_outer").selectExpr(
-        *KEYS, "coalesce(win_end, pane_end) AS win_end", "emitted", "coalesce(panes, 0L) AS panes", "coalesce(panes, 0L) > 0 AS fired",
+    return owed.join(emitted, KEYS, "full_outer").join(released, KEYS, "left").selectExpr(
+        *KEYS, f"coalesce(win_end, pane_end, {window_end('win_start', config.window_ms)}) AS win_end", "emitted", "coalesce(panes, 0L) AS panes",
+        "coalesce(panes, 0L) > 0 AS fired",
         "coalesce(on_time, 0L) AS on_time", "coalesce(late_in_bound, 0L) AS late_in_bound",
-        f"coalesce(on_time = 0 AND late_in_bound > 0, false) AND {update} AS opened_after_close")
+        f"coalesce(on_time = 0 AND late_in_bound > 0, false) AND {update} AS opened_after_close", "collected_at_watermark")
 
 
 def audit_panes(panes: DataFrame, log: DataFrame, receipts: DataFrame, trace: DataFrame, config: Config) -> DataFrame:
     """The verdict on a job's windows, from its own tables only."""
-    health = trace.groupBy("log_id").agg(*aggregates(w_last="max(watermark)"))
+    return audit_job(panes, log, receipts, trace, config).verdict
+
+
+@dataclass(frozen=True)
+class Audit:
+    """What a job's own tables show: an outcome per window, and all that accuses it."""
+
+    verdict: DataFrame
+    findings: DataFrame
+    health: DataFrame
+    windows: DataFrame
+
+
+def audit_job(
+    panes: DataFrame, log: DataFrame, receipts: DataFrame, trace: DataFrame, config: Config, releases: DataFrame | None = None,
+) -> Audit:
+    """All eight checks on a job that this library did not run, from what it leaves
+    behind; ``log`` is indexed. Its tables are merged once, and everything is read from that."""
+    followed = follow(log, trace, releases)
+    health = health_from_trace(followed)
+    windows = windows_from_panes(panes, log, trace, config, followed)
     truth = batch_windows(log, config.window_ms, config.offset_ms)
-    return verdict_windows(windows_from_panes(panes, log, trace, config), truth, receipts, health, config)
+    verdict = verdict_windows(windows, truth, receipts, health, config)
+    findings = reduce(DataFrame.unionByName, [
+        overshoot_findings(health), regression_findings(health, config), premature_close_findings(windows, config),
+        pane_count_findings(windows, config), pane_chain_findings(panes), silent_drop_findings(verdict), window_findings(verdict)])
+    return Audit(verdict, findings, health, windows)
 
 
 def receipt_counts(receipts: DataFrame, config: Config) -> DataFrame:
@@ -95,9 +173,23 @@ def verdict_windows(
         .join(engine, KEYS, "full_outer")
         .join(receipt_counts(receipts, config), KEYS, "left")
     )
+    return _outcomes(per_log(joined, health.select("log_id", "w_last")), config)
+
+
+def verdict_of_run(counted: DataFrame, config: Config) -> DataFrame:
+    """The same for a run of this library, from ``panes.window_counts``: its tally is a
+    batch count over all events, and of those it refused, so nothing is read again."""
+    return _outcomes(counted.selectExpr(
+        *KEYS, "win_end", "win_end AS engine_end", "events AS expected", "IF(kept, emitted, NULL) AS emitted", "panes", "on_time", "late_in_bound",
+        "too_late AS too_late_receipts", "late_in_bound AS in_bound_receipts", "w_last"), config)
+
+
+def _outcomes(windows: DataFrame, config: Config) -> DataFrame:
+    """Outcomes from one row per window: what was expected, emitted and receipted, and
+    the watermark its log ended with."""
     discarded = {"update": "0L", "drop": "late_in_bound", "side-output": "in_bound_receipts"}[config.late_policy]
     w_final = f"{END_OF_STREAM}L" if config.termination == "flush" else "w_last"
-    rows = per_log(joined, health.select("log_id", "w_last")).selectExpr(
+    rows = windows.selectExpr(
         *KEYS, "coalesce(win_end, engine_end) AS win_end", "coalesce(expected, 0L) AS expected", "emitted",
         "coalesce(panes, 0L) AS panes", f"coalesce({discarded}, 0L) AS discarded", f"coalesce({_tallied(config)}, 0L) AS tallied",
         "coalesce(too_late_receipts, 0L) AS too_late_receipts", f"{w_final} AS w_final",

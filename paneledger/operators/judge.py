@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from paneledger.config import Config
@@ -95,3 +95,20 @@ def receipts(judged: DataFrame, config: Config) -> DataFrame:
 def trace(judged: DataFrame) -> DataFrame:
     """The emitted watermark, on change only."""
     return judged.where("NOT (w_after <=> w_before)").selectExpr("log_id", "i AS index", "w_after AS watermark")
+
+
+def observed(judged: DataFrame) -> tuple[DataFrame, Observation]:
+    """``judged``, and its counters and the watermark's health over all logs as metrics
+    of whatever job reads it whole: they cost no pass of their own. Every event is on
+    time, late or refused, so the first is the sum of the next three."""
+    metrics = Observation()
+    return judged.observe(metrics, *aggregates(
+        total="count(1)",
+        on_time=f"count_if(cls = '{ON_TIME}')",
+        late_in_bound=f"count_if(cls = '{LATE_IN_BOUND}')",
+        too_late=f"count_if(cls = '{TOO_LATE}')",
+        watermark_overshoots="count_if(w_after > max_seen)",
+        watermark_regressions="count_if(raw < w_after)",
+        w_last="max(w_after)",
+        max_lateness_ms="max(lateness_ms)",
+    )), metrics

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from paneledger.config import Config
 from paneledger.names import END_OF_STREAM, LATE_IN_BOUND, ON_TIME
 from paneledger.operators.judge import aggregates
-from paneledger.operators.scan import BEFORE
+from paneledger.operators.scan import BEFORE, ordered_scan, running_index
 
 PANE_COLUMNS = [
     "log_id", "win_start", "win_end", "seq", "kind", "count", "retracts", "watermark", "at_index", "own_pane", "opened_index",
@@ -16,6 +16,10 @@ HAS_STATE = "on_time + late_in_bound > 0"
 OPENED_LATE = "(on_time = 0 AND late_in_bound > 0)"
 
 
+# Columns of ``window_counts`` that are not part of a window's state.
+NOT_STATE = ["first_late_index", "first_late_before", "first_late_after", "events", "w_last", "kept"]
+
+
 def per_log(rows: DataFrame, logs: DataFrame) -> DataFrame:
     """Join the columns of ``logs``, one row each, to rows. A plain left join, so the
     engine picks at run time: few logs are sent to the rows; else both are shuffled,
@@ -24,19 +28,21 @@ def per_log(rows: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 def window_counts(tallied: DataFrame, health: DataFrame, config: Config) -> DataFrame:
-    """Every window the run kept state for: counts, panes and the emitted value.
-    Needs no crossing, only how far the log's watermark got."""
-    known = per_log(tallied.where(HAS_STATE), health.select("log_id", "w_last"))
+    """Every window with any event: its events, and what the run made of them, the
+    panes and the emitted value. ``kept`` says whether the run had state for it, that
+    is, any event was not too late. Needs no crossing, only how far the log's watermark
+    got, ``w_last``."""
+    known = per_log(tallied, health.select("log_id", "w_last"))
     update = config.late_policy == "update"
     reached = "true" if config.termination == "flush" else "coalesce(w_last >= win_end, false)"
     revisions = "late_in_bound" if update else "0L"
     unopened = revisions if update else "1L"
-    panes = f"CASE WHEN on_time > 0 THEN CASE WHEN {reached} THEN 1L + {revisions} ELSE 0L END ELSE {unopened} END"
+    panes = f"CASE WHEN on_time > 0 THEN CASE WHEN {reached} THEN 1L + {revisions} ELSE 0L END WHEN late_in_bound > 0 THEN {unopened} ELSE 0L END"
     return known.selectExpr("*", f"on_time + {revisions} AS count", f"{panes} AS panes").selectExpr(
         "log_id", "win_start", "win_end", "count", "CASE WHEN panes > 0 THEN count END AS emitted", "panes",
         "panes > 0 AS fired", f"{OPENED_LATE} AND {str(update).lower()} AS opened_after_close",
         "on_time", "late_in_bound", "too_late", "first_index", "last_index",
-        "first_late_index", "first_late_before", "first_late_after",
+        "first_late_index", "first_late_before", "first_late_after", "events", "w_last", f"{HAS_STATE} AS kept",
     )
 
 
@@ -45,7 +51,7 @@ def window_state(counts: DataFrame, crossed: DataFrame, config: Config) -> DataF
     at_end = f"{END_OF_STREAM}L" if config.termination == "flush" else "CAST(NULL AS BIGINT)"
     late_open = "first_late_before" if config.late_policy == "update" else "first_late_after"
     return counts.join(crossed, ["log_id", "win_start"], "left").selectExpr(
-        *[c for c in counts.columns if not c.startswith("first_late")],
+        *[c for c in counts.columns if c not in NOT_STATE],
         f"CASE WHEN {OPENED_LATE} THEN {late_open} WHEN fired THEN coalesce(fire.watermark, {at_end}) END AS fired_at_watermark",
         f"coalesce(release.watermark, {at_end}) AS collected_at_watermark",
     ).selectExpr("*", "collected_at_watermark IS NOT NULL AS collected")
@@ -57,9 +63,9 @@ def firing_panes(counts: DataFrame, crossed: DataFrame, health: DataFrame, confi
     rows = counts.join(crossed, ["log_id", "win_start"], "left")
     fire = "fire"
     if config.termination == "flush":
-        rows = per_log(rows, health.select("log_id", "events"))
+        rows = per_log(rows, health.selectExpr("log_id", "events AS n"))
         fire = (
-            f"coalesce(fire, named_struct('index', events, 'watermark', {END_OF_STREAM}L, "
+            f"coalesce(fire, named_struct('index', n, 'watermark', {END_OF_STREAM}L, "
             "'t', CAST(NULL AS BIGINT)))"
         )
     own = "on_time > 0" if config.late_policy == "update" else "true"
@@ -76,41 +82,35 @@ def firing_panes(counts: DataFrame, crossed: DataFrame, health: DataFrame, confi
     )
 
 
-def late_positions(judged: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """Late events with their ordinal ``nth`` among the late events of their window,
-    and the window's on-time count.
+def late_positions(judged: DataFrame, counts: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Late events with their ordinal ``nth`` among the late events of their window, and
+    of the window, from ``counts``, the on-time count and the index that opened it.
 
     Ordinals are counted inside (window, block), which bounds the group even when
     one window holds a third of the log, and shifted by the counts of the blocks
-    before. A streaming run adds what its live windows ``prior`` had counted.
+    before; only late events are read. A streaming run, whose ``counts`` include what
+    its live windows ``prior`` had counted, goes on from there.
     """
     keys = ["log_id", "win_start", "blk"]
-    window = "PARTITION BY log_id, win_start"
-    parts = judged.where(f"cls IN ('{ON_TIME}', '{LATE_IN_BOUND}')").groupBy(*keys).agg(*aggregates(
-        n_on=f"count_if(cls = '{ON_TIME}')", n_late=f"count_if(cls = '{LATE_IN_BOUND}')", first="min(i)"))
-    parts = parts.selectExpr(
-        *keys, "n_late",
-        f"sum(n_on) OVER ({window}) AS on_time",
-        f"min(first) OVER ({window}) AS opened_index",
-        f"coalesce(sum(n_late) OVER ({window} ORDER BY blk {BEFORE}), 0L) AS late_before",
-    ).where("n_late > 0").drop("n_late")
+    late = judged.where(f"cls = '{LATE_IN_BOUND}'")
+    before = f"coalesce(sum(n_late) OVER (PARTITION BY log_id, win_start ORDER BY blk {BEFORE}), 0L)"
+    parts = late.groupBy(*keys).agg(*aggregates(n_late="count(1)")).selectExpr(*keys, f"{before} AS late_before")
+    parts = parts.join(counts.selectExpr("log_id", "win_start", "on_time", "first_index AS opened_index"), ["log_id", "win_start"])
     if prior is not None:
-        known = prior.selectExpr("log_id", "win_start", "on_time AS p_on", "late_in_bound AS p_late", "first_index AS p_first")
+        known = prior.selectExpr("log_id", "win_start", "late_in_bound AS p_late")
         parts = parts.join(known, ["log_id", "win_start"], "left").selectExpr(
-            *keys, "on_time + coalesce(p_on, 0L) AS on_time", "coalesce(p_first, opened_index) AS opened_index",
-            "late_before + coalesce(p_late, 0L) AS late_before")
+            *keys, "on_time", "opened_index", "late_before + coalesce(p_late, 0L) AS late_before")
     return (
-        judged.where(f"cls = '{LATE_IN_BOUND}'")
-        .selectExpr("*", "row_number() OVER (PARTITION BY log_id, win_start, blk ORDER BY i) AS in_part")
+        late.selectExpr("*", "row_number() OVER (PARTITION BY log_id, win_start, blk ORDER BY i) AS in_part")
         .join(parts, keys).selectExpr("*", "in_part + late_before AS nth").drop("in_part", "late_before")
     )
 
 
-def late_panes(judged: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def late_panes(judged: DataFrame, counts: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Under ``update``, the pane of every late event: a revision, or the first
     pane of a window that had no event before the watermark passed it."""
     first = "on_time = 0 AND nth = 1"
-    return late_positions(judged, prior).selectExpr(
+    return late_positions(judged, counts, prior).selectExpr(
         "log_id", "win_start", "win_end",
         "CASE WHEN on_time > 0 THEN nth + 1 ELSE nth END AS seq",
         f"CASE WHEN {first} THEN 'initial' ELSE 'revision' END AS kind",
@@ -124,3 +124,11 @@ def late_panes(judged: DataFrame, prior: DataFrame | None = None) -> DataFrame:
 # Emission order: by index; at one index the event's own pane, then the windows
 # it closed in the order they were opened.
 PANE_ORDER = ["log_id", "at_index", "own_pane DESC", "opened_index"]
+
+
+def emission_order(panes: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``panes`` with ``pos``, their place in the order in which their log emitted them.
+    One event may close any number of windows: the panes at one index are cut like any
+    other stretch of the log, by the windows' opening."""
+    ordered = panes.selectExpr("*", "IF(own_pane, 0, 1) AS turn")
+    return ordered_scan(ordered, ["log_id"], ["at_index", "turn", "opened_index"], {"pos": running_index("pos")}, blocks, derived=True).rows.drop("turn", "blk")

@@ -4,8 +4,8 @@
 running values are computed in two levels. Rows are cut into blocks along (group,
 order), which cuts even a single group; a window inside each (group, block) gives
 local running values; the last values of the blocks before, the *carry*, are added
-on read. The block is a pure expression of the row's keys over a bounded list of
-split points, so it is the same whenever a task runs again, one shuffle by (group,
+on read. The block is a pure expression of the row's keys over a bounded array of
+split points, which one job samples, so it is the same whenever a task runs again, one shuffle by (group,
 block) suffices, and inputs of every size take the same path. The carry has rows
 only for groups that were cut, and each of the ``blocks - 1`` cuts is inside one
 group at most: no more than two rows per block, whatever the data, so it may be
@@ -15,16 +15,18 @@ broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from paneledger.workspace import remember
+from paneledger.workspace import keep, remember
 
 UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 # Rows per block if there are partitions enough, and rows sampled per split point.
-ROWS_PER_BLOCK, SAMPLES_PER_BLOCK = 4_096, 64
+ROWS_PER_BLOCK, SAMPLES_PER_BLOCK = 4_096, 8
 WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
@@ -75,6 +77,11 @@ def last_known(name: str, value: str) -> Running:
     return Running(f"last({value}, true) {{up_to}}", name, "last({value}, true) {before}", "coalesce({here}, {carried})")
 
 
+def last_known_before(name_up_to: str, value: str) -> Running:
+    """The latest non-null value before the row; ``name_up_to`` is the column that includes it."""
+    return Running(f"last({value}, true) {{before}}", name_up_to, "last({value}, true) {before}", "coalesce({here}, {carried})")
+
+
 def frames(by: list[str], order: list[str]) -> dict[str, str]:
     over = f"PARTITION BY {', '.join(by)} ORDER BY {', '.join(order)}"
     return {
@@ -102,46 +109,66 @@ def with_carry(rows: DataFrame, carry: DataFrame, by: list[str], running: dict[s
 @dataclass(frozen=True)
 class Scanned:
     """``rows`` has the running values and the block number ``blk``; ``events`` is the
-    table below it, for readers that need only the input columns."""
+    table below it, for readers that need only the input columns; ``total`` counts them."""
 
     rows: DataFrame
     events: DataFrame
-
-
-def split_points(df: DataFrame, keys: list[str], blocks: int | None) -> list[tuple[str | None, ...]]:
-    """Ascending keys, as text, that cut ``df`` into ``blocks`` parts of about even
-    size: every so many-th row of a sample by hash, whose size depends on the number of
-    blocks only. By default there are twice as many blocks as shuffle partitions, or
-    one per ROWS_PER_BLOCK rows if that is less."""
-    total = df.count()
+    total: int
+
+
+def _expected_rows(df: DataFrame) -> int:
+    """How many rows the engine expects, from the sizes of files and of rows."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return max(1, int(str(plan.stats().sizeInBytes())) // max(1, plan.schema().defaultSize() + 8))
+
+
+def _sampled(df: DataFrame, keys: list[str], share: float, most: int) -> tuple[int, list[str]]:
+    """The rows of ``df`` and, in ascending order, the keys of a ``share`` of them, told
+    by hash, as JSON: one job of one stage. No more than ``most`` are taken, the least
+    ones; if there are as many, they are of no use."""
+    seen = Observation()
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) <= int(share * (1 << 30))
+    chosen = df.select(*keys).observe(seen, F.count(F.lit(1)).alias("n")).where(hashed).orderBy(*keys).limit(most)
+    found = [row.key for row in chosen.select(F.to_json(F.struct(*keys)).alias("key")).collect()]
+    return seen.get["n"], found
+
+
+def split_points(df: DataFrame, keys: list[str], blocks: int | None) -> tuple[int, list[str]]:
+    """The rows of ``df``, and ascending keys, as JSON, that cut it into ``blocks`` parts
+    of about even size. By default there are twice as many blocks as shuffle partitions,
+    or one per ROWS_PER_BLOCK rows if that is less. The share to sample comes from the
+    size that the engine expects; where that was far off, a second job mends it."""
+    most = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if blocks is None else blocks
+    limit = 16 * SAMPLES_PER_BLOCK * most
+    total, found = _sampled(df, keys, min(1.0, SAMPLES_PER_BLOCK * most / _expected_rows(df)), limit)
+    if not total:
+        return 0, []
     if blocks is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        blocks = min(2 * partitions, -(-total // ROWS_PER_BLOCK))
-    if blocks < 2 or not total:
-        return []
-    share = min(1.0, SAMPLES_PER_BLOCK * blocks / total)
-    chosen = df.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    rows = chosen.repartition(1).sortWithinPartitions(*keys).selectExpr(*[f"CAST({k} AS STRING) AS {k}" for k in keys]).collect()
-    cuts = [tuple(rows[len(rows) * at // blocks]) for at in range(1, blocks)] if rows else []
-    return list(dict.fromkeys(cuts))
-
+        most = min(most, -(-total // ROWS_PER_BLOCK))
+    enough = min(total, SAMPLES_PER_BLOCK * most)
+    if most > 1 and (len(found) < enough // 4 or len(found) == limit):
+        _, found = _sampled(df, keys, min(1.0, 2 * enough / total), limit)
+    cuts = [found[len(found) * at // most] for at in range(1, most)] if found else []
+    return total, list(dict.fromkeys(cuts))
 
-def block_number(df: DataFrame, keys: list[str], points: list[tuple[str | None, ...]]) -> str:
-    """SQL of the number of split points at or below the row: a binary decision."""
-    kinds = {field.name: field.dataType.simpleString() for field in df.schema}
 
-    def literal(value: str | None, key: str) -> str:
-        text = "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        return f"'{key}', CAST({text} AS {kinds[key]})"
+def _as_array(df: DataFrame, keys: list[str], points: list[str]) -> Column:
+    """The split points as one constant of the plan."""
+    return F.from_json(F.lit(f"[{','.join(points)}]"), ArrayType(StructType([df.schema[key] for key in keys])))
 
-    def decide(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        middle = (low + high) // 2
-        point = ", ".join(literal(value, key) for value, key in zip(points[middle], keys))
-        return f"IF(sort_key < named_struct({point}), {decide(low, middle)}, {decide(middle + 1, high)})"
 
-    return decide(0, len(points))
+def with_blocks(df: DataFrame, keys: list[str], points: list[str]) -> DataFrame:
+    """``df`` with ``blk``, the number of split points at or below the row: a binary
+    search in a constant array, one step per bit of their number."""
+    if not points:
+        return df.selectExpr("*", "0 AS blk")
+    ascending = _as_array(df, keys, points)
+    found = df.select("*", F.struct(*keys).alias("sort_key"), F.lit(0).alias("blk"))
+    others = [c for c in found.columns if c != "blk"]
+    for bit in reversed(range(len(points).bit_length())):
+        below = F.get(ascending, F.col("blk") + F.lit((1 << bit) - 1)) <= F.col("sort_key")
+        found = found.select(*others, (F.col("blk") + F.when(below, F.lit(1 << bit)).otherwise(F.lit(0))).alias("blk"))
+    return found.drop("sort_key")
 
 
 def ordered_scan(
@@ -149,21 +176,28 @@ def ordered_scan(
 ) -> Scanned:
     """Add one column per running value.
 
-    (by, order) must be unique, of types that turn into text and back. ``blocks``
+    (by, order) must be unique, of types that turn into JSON and back. ``blocks``
     fixes the number of blocks. A ``derived`` table is held, as the split points and
     the scan both read it.
     """
     keys = [*by, *order]
     if derived:
         df = remember(df)
-    sort_key = ", ".join(f"'{key}', {key}" for key in keys)
-    placed = df.selectExpr("*", f"named_struct({sort_key}) AS sort_key").selectExpr(
-        "*", f"{block_number(df, keys, split_points(df, keys, blocks))} AS blk").drop("sort_key")
+    total, points = split_points(df, keys, blocks)
+    placed = with_blocks(df, keys, points)
     over = frames([*by, "blk"], order)
     local = [f"{run.local.format(**over)} AS {name}" for name, run in running.items()]
-    scanned = remember(placed.selectExpr("*", *local, f"lead(true) {over['order']} IS NULL AS ends_block"))
-    ends = scanned.where("ends_block").selectExpr(
+    if not points:
+        scanned = keep(placed.selectExpr("*", *local), "scan")
+        return Scanned(scanned, scanned, total)
+    scanned = keep(placed.selectExpr("*", *local, f"lead(true) {over['order']} IS NULL AS ends_block"), "scan")
+    # A group is cut if the split point before or after one of its blocks lies in it.
+    ascending = _as_array(df, keys, points)
+    before, after = (F.get(ascending, F.col("blk") - 1), F.get(ascending, F.col("blk")))
+    cut = (reduce(Column.__and__, [before[c].eqNullSafe(F.col(c)) for c in by], F.col("blk") > 0)
+           | reduce(Column.__and__, [after[c].eqNullSafe(F.col(c)) for c in by], F.col("blk") < len(points)))
+    ends = scanned.where(F.col("ends_block") & cut).selectExpr(
         *by, "blk", *[f"{run.block} AS block_{name}" for name, run in running.items()])
-    carry = remember(block_carry(ends, by, running))
+    carry = block_carry(ends, by, running)
     scanned = scanned.drop("ends_block")
-    return Scanned(with_carry(scanned, carry, by, running), scanned)
+    return Scanned(with_carry(scanned, carry, by, running), scanned, total)

@@ -11,11 +11,11 @@ In a streaming run the rows also carry the state of their log, the scalar column
 
 from __future__ import annotations
 
-import bisect
-from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -63,13 +63,12 @@ def from_arrivals(rows: DataFrame, spec: WatermarkSpec) -> DataFrame:
     return rows.selectExpr("*", f"{after} AS raw", f"{after} AS w_after", f"{before} AS w_before")
 
 
-def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) -> DataFrame:
+def from_punctuation(rows: DataFrame, spec: WatermarkSpec, total: int, size: int | None) -> DataFrame:
     """Watermark = lowest event time of the last complete group of N arrivals - 1.
 
     Blocks are aligned to groups, so a group lies in one block.
     """
     n = spec.every_n
-    total = rows.count()
     size = -(-size // n) * n if size else block_rows(rows, total, n)
     # A group begun in an earlier micro-batch already has a lowest event time. Blocks
     # are counted from the batch's first group, so only logs with many events in the
@@ -99,15 +98,14 @@ def from_punctuation(rows: DataFrame, spec: WatermarkSpec, size: int | None) ->
     return with_state(with_carry(local, carry, ["log_id"], marks))
 
 
-def from_quantile(rows: DataFrame, spec: WatermarkSpec, size: int | None, samples: DataFrame | None) -> DataFrame:
+def from_quantile(rows: DataFrame, spec: WatermarkSpec, total: int, size: int | None, samples: DataFrame | None) -> DataFrame:
     """Watermark = highest event time - quantile of the last S lateness values - 1.
 
     Spark has no sliding exact quantile that updates as the frame moves, so each
-    block is streamed once through a sorted list of S values. A block starts with
-    a copy of the S rows before it and needs nothing else from other blocks.
+    block is streamed once through numpy. A block starts with a copy of the S rows
+    before it and needs nothing else from other blocks.
     """
     sample = spec.sample_size
-    total = rows.count()
     size = max(size, sample) if size else max(block_rows(rows, total, 1), 16 * sample)
     rows = rows.drop("blk")
     schema = StructType([*rows.schema, *[StructField(name, LongType()) for name in ("blk", "raw", "w_after", "w_before")]])
@@ -145,41 +143,116 @@ def block_copies(block: str, position: str, size: int, sample: int) -> str:
     return f"explode(CASE WHEN {near_end} THEN array({block}, {block} + {size}L) ELSE array({block}) END) AS blk"
 
 
+def sliding_ranks(values: np.ndarray, ranks: np.ndarray, size: int) -> np.ndarray:
+    """For every window of ``size`` values the one at its rank, from 0.
+
+    Windows go in groups of about the square root of ``size``. What all windows of a
+    group share is sorted once; a window differs from it by fewer values than the group
+    has windows, so its answer is among these and a short stretch of the sorted ones.
+    """
+    n = len(values) - size + 1
+    group = min(size, max(2, 2 * int(size ** 0.5)))
+    found = np.empty(n, values.dtype)
+    for first in range(0, n, group):
+        last = min(first + group, n)
+        shared = np.sort(values[last - 1:first + size])
+        others = np.concatenate([values[first:last - 1], values[first + size:last - 1 + size]])
+        own = ranks[first:last]
+        low = max(0, int(own.min()) - (last - first - 1))
+        near = shared[low:int(own.max()) + 1]
+        rows = np.empty((last - first, last - first - 1 + len(near)), values.dtype)
+        rows[:, last - first - 1:] = near
+        if last - first > 1:
+            rows[:, :last - first - 1] = np.lib.stride_tricks.sliding_window_view(others, last - first - 1)
+        if own[0] == own[-1]:
+            rows.partition(own[0] - low, axis=1)
+        else:
+            rows.sort(axis=1)
+        found[first:last] = rows[np.arange(last - first), own - low]
+    return found
+
+
+class SlidingBound:
+    """The watermark's distance from the highest event time, along one block of a log:
+    the quantile of the last S lateness values, ``floor_ms`` at least."""
+
+    _NONE = np.iinfo(np.int64).max
+
+    def __init__(self, spec: WatermarkSpec) -> None:
+        self.spec, self.recent, self.held = spec, np.zeros(0, np.int64), None
+
+    def bounds(self, late: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """For each row the bound after it; ``known`` says which rows have a lateness."""
+        size, values = self.spec.sample_size, np.concatenate([self.recent, late[known]])
+        out = np.zeros(len(late), np.int64)
+        if len(values):
+            # Places before the first value count as very large, so that all windows are full.
+            filled = np.arange(1 + len(self.recent), len(values) + 1)
+            held = np.minimum(np.concatenate([[len(self.recent)], filled]), size)
+            ranks = np.minimum(np.maximum(held - 1, 0), (self.spec.percentile * held).astype(np.int64))
+            padded = np.concatenate([np.full(max(0, size - len(self.recent)), self._NONE), values])
+            at = sliding_ranks(padded, ranks, size)
+            at[held == 0] = 0
+            out = at[np.cumsum(known)]
+        self.recent = values[-size:]
+        return np.maximum(out, self.spec.floor_ms)
+
+    def marks(self, late: np.ndarray, known: np.ndarray, own: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Raw watermarks of the ``own`` rows, their running maximum, and the maximum
+        before each, masked where there is none."""
+        raws = (seen - self.bounds(late, known) - 1)[own]
+        if not len(raws):
+            return raws, raws, np.ma.array(raws)
+        afters = np.maximum.accumulate(raws if self.held is None else np.maximum(raws, self.held))
+        first = self.held is None
+        befores = np.concatenate([[0 if first else self.held], afters[:-1]])
+        self.held = int(afters[-1])
+        none = np.zeros(len(raws), bool)
+        none[0] = first
+        return raws, afters, np.ma.array(befores, mask=none)
+
+
 def sliding_quantile(spec: WatermarkSpec, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stream rows sorted by (log_id, blk, i); memory is one sample of S values."""
-    sample, percentile, floor_ms = spec.sample_size, spec.percentile, spec.floor_ms
+    """Stream rows sorted by (log_id, blk, i); memory is a batch and one sample of S values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, recent, ordered, held = None, deque(), [], None
+        block, bound = None, SlidingBound(spec)
         for batch in batches:
-            raws, afters, befores = [], [], []
-            for log_id, blk, own, lat, seen in zip(
-                *[batch.column(name).to_pylist() for name in ("log_id", "blk", "own", "lat", "max_seen")]
-            ):
-                if (log_id, blk) != block:
-                    block, recent, ordered, held = (log_id, blk), deque(), [], None
-                if lat is not None:
-                    recent.append(lat)
-                    bisect.insort(ordered, lat)
-                    if len(recent) > sample:
-                        del ordered[bisect.bisect_left(ordered, recent.popleft())]
-                if not own:
-                    continue
-                size = len(ordered)
-                bound = max(floor_ms, ordered[min(size - 1, int(percentile * size))]) if size else floor_ms
-                raws.append(seen - bound - 1)
-                befores.append(held)
-                held = raws[-1] if held is None else max(held, raws[-1])
-                afters.append(held)
+            if not batch.num_rows:
+                continue
+            late = batch.column("lat")
+            known = late.is_valid().to_numpy(zero_copy_only=False)
+            late, seen = late.fill_null(0).to_numpy(), batch.column("max_seen").fill_null(0).to_numpy()
+            own = batch.column("own").to_numpy(zero_copy_only=False)
+            parts = []
+            for start, end in _stretches(batch, ["log_id", "blk"]):
+                name = (batch.column("log_id")[start].as_py(), batch.column("blk")[start].as_py())
+                if name != block:
+                    block, bound = name, SlidingBound(spec)
+                parts.append(bound.marks(late[start:end], known[start:end], own[start:end], seen[start:end]))
             mine = batch.filter(batch.column("own"))
             if mine.num_rows:
+                raws, afters = (np.concatenate([part[k] for part in parts]) for k in (0, 1))
+                befores = np.ma.concatenate([part[2] for part in parts if len(part[0])])
                 arrays = [mine.column(name) for name in columns[:-3]]
-                arrays += [pa.array(values, pa.int64()) for values in (raws, afters, befores)]
+                arrays += [pa.array(raws), pa.array(afters), pa.array(befores.data, mask=np.ma.getmaskarray(befores))]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return run
 
 
+def _stretches(batch: pa.RecordBatch, by: list[str]) -> list[tuple[int, int]]:
+    """Where rows with equal ``by`` begin and end."""
+    if batch.num_rows == 1:
+        return [(0, 1)]
+    new = np.zeros(batch.num_rows - 1, bool)
+    for name in by:
+        column = batch.column(name)
+        new |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    cuts = (np.flatnonzero(new) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, batch.num_rows]))
+
+
 def with_state(rows: DataFrame) -> DataFrame:
     """A streaming run starts from the watermark it had emitted."""
     if "s_w" not in rows.columns:
@@ -191,17 +264,18 @@ def with_state(rows: DataFrame) -> DataFrame:
 
 
 def attach_watermark(
-    rows: DataFrame, spec: WatermarkSpec | CustomWatermark, block_size: int | None = None, samples: DataFrame | None = None,
+    rows: DataFrame, spec: WatermarkSpec | CustomWatermark, total: int, block_size: int | None = None, samples: DataFrame | None = None,
 ) -> DataFrame:
-    """Indexed rows with ``raw``, ``w_before`` and ``w_after``. ``block_size`` sets
-    the rows per block of the punctuated and percentile strategies; ``samples``
+    """Indexed rows, ``total`` in number, with ``raw``, ``w_before`` and ``w_after``.
+    ``block_size`` sets the rows per block of the punctuated and percentile strategies,
+    which follows from ``total`` otherwise; ``samples``
     are the lateness values ``(log_id, next_i, lats)`` a streaming run kept."""
     if isinstance(spec, CustomWatermark):
         return from_function(rows, spec)
     if spec.name == "percentile":
-        return from_quantile(rows, spec, block_size, samples)
+        return from_quantile(rows, spec, total, block_size, samples)
     if spec.name == "punctuated":
-        return from_punctuation(rows, spec, block_size)
+        return from_punctuation(rows, spec, total, block_size)
     if spec.name == "processing-time":
         return from_arrivals(rows, spec)
     return from_maximum(rows, spec.bound_ms + (1 if spec.name == "bounded" else 0))

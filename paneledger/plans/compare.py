@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paneledger.config import Config, WatermarkSpec
 from paneledger.operators.arrival import ArrivalIndex, index_log
@@ -98,11 +99,11 @@ def boundary_experiment(logs: list[Profiled], bound_ms: int = 0) -> DataFrame:
 def control_sweep(index: ArrivalIndex, config: Config) -> DataFrame:
     """The negative control over many ordered logs in one job: flushed, nothing may
     be revised, unverifiable or accused; idle, only the tail is unverified."""
-    flushed = Run(index, replace(config, termination="flush")).summary
+    flushed = Run(index, replace(config, termination="flush")).outcome_counts
     idle = Run(index, replace(config, termination="idle"))
     tail = idle.reasons.groupBy("log_id").agg(*aggregates(only_tail="every(reason = 'watermark-never-reached')"))
     sides = flushed.selectExpr("log_id", "revised", "unverifiable", "findings").join(
-        idle.summary.join(tail, "log_id", "left").selectExpr(
+        idle.outcome_counts.join(tail, "log_id", "left").selectExpr(
             "log_id", "findings AS idle_findings", "revised = 0 AND unverifiable >= 1 AND only_tail AS tail_only"), "log_id")
     return sides.agg(*aggregates(
         logs="count(1)", revised="sum(revised)", unverifiable="sum(unverifiable)", findings="sum(findings)",
@@ -118,11 +119,58 @@ def profile_streams(spark: SparkSession, folder: str, names: list[str] | None =
     return reduce(DataFrame.unionByName, parts)
 
 
+# Buckets of rows that two tables are compared by.
+BUCKETS = 4_096
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """``df`` with two independent hashes of its rows; a null is hashed as one."""
+    cells = ", ".join(f"`{c}` IS NULL, `{c}`" for c in df.columns)
+    return df.selectExpr("*", f"xxhash64({cells}) AS row_hash", f"xxhash64(7, {cells}) AS row_check")
+
+
+def fingerprints(df: DataFrame) -> DataFrame:
+    """``(bucket, rows, total, check)``: the upper level of a hash tree over the rows, BUCKETS
+    rows at most, whatever their order. Sums tell repeated rows; tasks sum before they shuffle."""
+    part = "CAST({h} AS DECIMAL(20, 0))"
+    return _hashed(df).groupBy(F.expr(f"pmod(row_hash, {BUCKETS})").alias("bucket")).agg(*aggregates(
+        rows="count(1)", total=f"sum({part.format(h='row_hash')})", check=f"sum({part.format(h='row_check')})"))
+
+
+def _compared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Buckets of both sides, and whether they hold the same rows."""
+    sides = fingerprints(left).join(
+        fingerprints(right).withColumnsRenamed({"rows": "other_rows", "total": "other_total", "check": "other_check"}), "bucket", "full_outer")
+    return sides.selectExpr(
+        "bucket", "coalesce(rows, 0L) AS left_rows", "coalesce(other_rows, 0L) AS right_rows",
+        "rows <=> other_rows AND total <=> other_total AND check <=> other_check AS equal")
+
+
+def changed_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows that one table has more often than the other, with ``only_left`` and
+    ``only_right`` times. Buckets that agree are never read again by row, so nothing but
+    their sums is shuffled for equal tables."""
+    columns = [f"`{c}`" for c in left.columns]
+    return _differing(left, right, F.broadcast(_compared(left, right).where("NOT equal").select("bucket"))).selectExpr(
+        *columns, "greatest(l - r, 0L) AS only_left", "greatest(r - l, 0L) AS only_right").where("only_left + only_right > 0")
+
+
+def _differing(left: DataFrame, right: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows of these buckets, at most BUCKETS in number, with their times on each side."""
+    columns = [f"`{c}`" for c in left.columns]
+
+    def rows(df: DataFrame, l: int, r: int) -> DataFrame:  # noqa: E741
+        held = _hashed(df).selectExpr(*columns, f"pmod(row_hash, {BUCKETS}) AS bucket").join(buckets, "bucket", "left_semi")
+        return held.selectExpr(*columns, f"{l}L AS l", f"{r}L AS r")
+
+    both = rows(left, 1, 0).unionAll(rows(right.select(*left.columns), 0, 1))
+    return both.groupBy(*left.columns).agg(*aggregates(l="sum(l)", r="sum(r)"))
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Replay and staleness check: rows on each side, and rows only on one."""
-    columns = left.columns
-    sides = left.selectExpr(*columns, "1L AS l", "0L AS r").unionAll(right.selectExpr(*columns, "0L AS l", "1L AS r"))
-    counted = sides.groupBy(*columns).agg(*aggregates(l="sum(l)", r="sum(r)"))
-    return counted.agg(*aggregates(
-        left_rows="coalesce(sum(l), 0L)", right_rows="coalesce(sum(r), 0L)",
-        only_left="coalesce(sum(greatest(l - r, 0L)), 0L)", only_right="coalesce(sum(greatest(r - l, 0L)), 0L)"))
+    sides = _compared(left, right)
+    totals = sides.agg(*aggregates(left_rows="coalesce(sum(left_rows), 0L)", right_rows="coalesce(sum(right_rows), 0L)"))
+    changed = changed_rows(left, right).agg(*aggregates(
+        only_left="coalesce(sum(only_left), 0L)", only_right="coalesce(sum(only_right), 0L)"))
+    return totals.withColumn("one", F.lit(1)).join(changed.withColumn("one", F.lit(1)), "one").drop("one")

@@ -34,7 +34,7 @@ class Run:
     @cached_property
     def judged(self) -> DataFrame:
         """Every event with its watermark, window, lateness and class."""
-        return judge.judge(attach_watermark(self.index.rows, self.config.watermark, self.block_size), self.config)
+        return judge.judge(attach_watermark(self.index.rows, self.config.watermark, self.index.total, self.block_size), self.config)
 
     @cached_property
     def tally(self) -> DataFrame:
@@ -42,7 +42,7 @@ class Run:
 
     @cached_property
     def health(self) -> DataFrame:
-        return remember(judge.log_health(self.tally))
+        return judge.log_health(self.tally)
 
     @cached_property
     def finals(self) -> DataFrame:
@@ -52,18 +52,24 @@ class Run:
         return self.health.selectExpr("log_id", "events", f"{final} AS final_watermark")
 
     @cached_property
-    def counts(self) -> DataFrame:
+    def counted(self) -> DataFrame:
+        """Every window with any event, and what the run made of it."""
         return remember(panes.window_counts(self.tally, self.health, self.config))
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """The windows that the run kept state for."""
+        return self.counted.where("kept")
+
     @cached_property
     def fired(self) -> DataFrame:
         """Per window, the event that closed it."""
-        return crossings(self.judged, self.counts, self.config, [FIRE], self.blocks)
+        return crossings(self.judged, self.counts, self.config, [FIRE])
 
     @cached_property
     def crossed(self) -> DataFrame:
         """Per window, the events that closed and released it."""
-        return remember(crossings(self.judged, self.counts, self.config, [FIRE, RELEASE], self.blocks))
+        return remember(crossings(self.judged, self.counts, self.config, [FIRE, RELEASE]))
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -80,7 +86,7 @@ class Run:
     def _with_late_panes(self, closing: DataFrame) -> DataFrame:
         out = closing.select(*panes.PANE_COLUMNS)
         if self.config.late_policy == "update":
-            out = out.unionByName(panes.late_panes(self.judged).select(*panes.PANE_COLUMNS))
+            out = out.unionByName(panes.late_panes(self.judged, self.counts).select(*panes.PANE_COLUMNS))
         return out
 
     @cached_property
@@ -106,13 +112,25 @@ class Run:
             revisions_emitted=f"{late['update']} - {opened}", opened_after_close=opened,
         ))
 
+    @cached_property
+    def emitted(self) -> DataFrame:
+        """The panes with their place ``pos`` in the order of emission."""
+        return panes.emission_order(self.panes, self.blocks)
+
+    def write_judged(self, path: str) -> dict[str, int]:
+        """Write every judged event, and return the run's counters and the watermark's
+        health over all logs, observed by the same job."""
+        table, metrics = judge.observed(self.judged)
+        table.write.parquet(path)
+        return metrics.get
+
     @cached_property
     def truth(self) -> DataFrame:
         return truth.batch_windows(self.index.events, self.config.window_ms, self.config.offset_ms)
 
     @cached_property
     def verdict(self) -> DataFrame:
-        return audit.verdict_windows(self.counts, self.truth, self.side_output, self.health, self.config)
+        return audit.verdict_of_run(self.counted, self.config)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -120,13 +138,16 @@ class Run:
         lost = audit.silent_drop_findings(self.verdict)
         return self.run_findings.unionByName(lost).unionByName(audit.window_findings(self.verdict))
 
+    @cached_property
+    def health_findings(self) -> DataFrame:
+        return audit.overshoot_findings(self.health).unionByName(audit.regression_findings(self.health, self.config))
+
     @cached_property
     def run_findings(self) -> DataFrame:
         """The checks that the verdict does not imply: watermark, releases, panes."""
         closing = panes.firing_panes(self.counts, self.crossed, self.health, self.config)
         return reduce(DataFrame.unionByName, [
-            audit.overshoot_findings(self.health),
-            audit.regression_findings(self.health, self.config),
+            self.health_findings,
             audit.premature_close_findings(self.windows, self.config),
             audit.pane_count_findings(self.counts, self.config),
             audit.pane_chain_findings(self._with_late_panes(closing)),
@@ -134,11 +155,16 @@ class Run:
 
     @cached_property
     def outcome_counts(self) -> DataFrame:
+        """Per log: outcomes, and the findings of all eight checks."""
         return audit.verdict_summary(self.verdict, self.run_findings)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return self.outcome_counts.drop("all_receipted")
+        """Per log: outcomes, and the findings that the verdict, the watermark and the
+        window counts show, from the tally alone. The checks that read every pane and
+        every release again are in ``findings`` and ``outcome_counts``."""
+        shown = self.health_findings.unionByName(audit.pane_count_findings(self.counts, self.config))
+        return audit.verdict_summary(self.verdict, shown).drop("all_receipted")
 
     @cached_property
     def reasons(self) -> DataFrame:

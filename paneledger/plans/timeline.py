@@ -38,7 +38,7 @@ def timeline(run: Run) -> DataFrame:
         f"CASE WHEN {refused} THEN concat('refused, ', {human_ms('(w_before - win_end)')}, ' after the close') ELSE '' END AS note",
     )
     if policy == "update":
-        rows = rows.unionByName(panes.late_panes(run.judged).selectExpr(
+        rows = rows.unionByName(panes.late_panes(run.judged, run.counts).selectExpr(
             "log_id", "at_index AS index", "t", "w_after AS watermark",
             "CASE WHEN kind = 'revision' THEN '*' ELSE 'o' END AS mark", "win_start", "seq AS pane_seq", "count",
             f"CASE WHEN kind = 'revision' THEN {_pane_note('revised', 'retracts')} ELSE {_pane_note('closed', 'retracts')} END AS note",

@@ -71,7 +71,7 @@ def verdict_text(run: Run, log_id: str, shown: int = 8) -> list[str]:
     """The one-screen verdict of one log: counts, reasons, the first findings."""
     mine = lambda df: df.where(df["log_id"] == log_id)
     size = run.judged.sparkSession.range(1).selectExpr(f"{human_ms(f'{run.config.window_ms}L')} AS size").first().size
-    row = mine(run.summary).first()
+    row = mine(run.outcome_counts).first()
     if row is None:
         return ["(no events)"]
     lines = [f"{row.complete} complete   {row.revised} revised   {row.unverifiable} unverifiable   ({row.total} windows of {size})"]

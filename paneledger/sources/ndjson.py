@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import expr
 
 from paneledger.operators.scan import ordered_scan, running_index
 
@@ -59,13 +60,21 @@ class ParsedLog:
         return self.checked.where("reason IS NOT NULL").select("log_id", "line", "reason")
 
 
-def parse_ndjson(lines: DataFrame, log_id: str = "path") -> ParsedLog:
+def parse_ndjson(lines: DataFrame, log_id: str = "path", unit_ms: int = 1, fraction: str = "reject") -> ParsedLog:
     """Parse numbered lines of ``{"t", "p", "k"}``. Blank lines are skipped; a bad
-    ``p`` is NULL, a ``k`` that is not text is empty; a bad ``t`` rejects the line."""
+    ``p`` is NULL, a ``k`` that is not text is empty; a bad ``t`` rejects the line.
+
+    ``t`` and ``p`` are in units of ``unit_ms``. Times inside the library are whole
+    milliseconds: what is none after that is a bad ``t`` by default, or goes down
+    (``floor``) or to the nearest one (``round``, halves up)."""
+    whole = {"reject": "{}", "floor": "floor({})", "round": "floor({} + 0.5D)"}.get(fraction)
+    if whole is None:
+        raise ValueError(f"unknown fraction {fraction!r}; known: reject, floor, round")
     lines = lines.where("trim(value) <> ''").selectExpr(f"{log_id} AS log_id", "line", "try_parse_json(value) AS v")
     fields = lines.selectExpr(
         "log_id", "line", "v IS NULL AS broken", "schema_of_variant(try_variant_get(v, '$.k')) = 'STRING' AS named",
         *[_number(name) for name in ("t", "p")], "try_variant_get(v, '$.k', 'STRING') AS k")
+    fields = fields.withColumns({name: expr(whole.format(f"{name} * {unit_ms}")) for name in ("t", "p")})
     return ParsedLog(fields.selectExpr(
         "log_id", "line", "t", "p", "IF(named, k, '') AS k",
         f"CASE WHEN broken THEN '{NOT_JSON}' WHEN t IS NULL OR abs(t) > {MAX_EXACT} OR t <> floor(t) THEN '{NO_TIME}' END AS reason"))
@@ -77,14 +86,17 @@ def _number(name: str) -> str:
     return f"IF(schema_of_variant({field}) RLIKE 'STRING|BOOLEAN|OBJECT|ARRAY|VOID', NULL, try_variant_get(v, '$.{name}', 'DOUBLE')) AS {name}"
 
 
-def read_ndjson(spark: SparkSession, path: str, on_bad: str = "fail", one_log: bool = False) -> ParsedLog:
+def read_ndjson(
+    spark: SparkSession, path: str, on_bad: str = "fail", one_log: bool = False, unit_ms: int = 1, fraction: str = "reject",
+) -> ParsedLog:
     """Read a log per file, or with ``one_log`` a folder that was written in order.
     ``on_bad='fail'`` raises on the first bad line with its number,
-    ``'quarantine'`` leaves bad lines to the caller."""
+    ``'quarantine'`` leaves bad lines to the caller; ``unit_ms`` and ``fraction`` are
+    those of ``parse_ndjson``."""
     if on_bad not in ("fail", "quarantine"):
         raise ValueError(f"unknown on_bad {on_bad!r}; known: fail, quarantine")
     label = path.replace("'", "")
-    parsed = parse_ndjson(numbered_lines(spark, path, one_log=one_log), f"'{label}'" if one_log else "path")
+    parsed = parse_ndjson(numbered_lines(spark, path, one_log=one_log), f"'{label}'" if one_log else "path", unit_ms, fraction)
     found = parsed.checked.selectExpr(
         "min(struct(log_id, line, reason)) FILTER (WHERE reason IS NOT NULL) AS bad", "count_if(reason IS NULL) AS good").first()
     if on_bad == "fail" and found.bad:

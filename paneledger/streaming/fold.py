@@ -10,9 +10,13 @@ run through the batch operators, starting from the state that the one before lef
   leaves once the watermark passes its end plus the allowed lateness, so the
   state holds only what can still change.
 
-State and outputs of batch N lie in ``.../batch_id=N``. A batch that is retried
-reads the state of N-1 and overwrites its own folders, so the tables are exact
-under restarts; older states are deleted, and readers see ended batches only. Rows
+State and outputs of batch N lie in ``.../batch_id=N``. The state is a log of changes:
+a batch reads what concerns its own logs, the latest row of each from the last whole
+state and the changes since, and writes only the logs and windows that it changed, so
+what it writes follows the batch and not the number of logs. Every ``whole_every``-th
+batch writes a whole state instead. A batch that is retried reads the state of N-1 and
+overwrites its own folders, so the tables are exact under restarts; states that no
+retry needs are deleted, and readers see ended batches only. Rows
 without a log, a time or a place in the order go to the quarantine table, and so do
 rows behind the last position of their log. What a batch keeps in memory is freed
 when it ends, also by an error. However a log is cut into batches, the tables are the same.
@@ -49,6 +53,9 @@ OUTPUTS = {
     "released": WINDOW_STATE,
 }
 KEYS = ["log_id", "win_start"]
+# What the state's rows have besides: the batch that wrote them, and whether the window has left.
+LOGGED = ", at BIGINT, gone BOOLEAN"
+STATES = {"logs": (LOG_STATE, ["log_id"]), "windows": (WINDOW_STATE, KEYS)}
 SCALARS = ["next_i", "max_seen", "first_t", "w", "raw", "open_min"]
 
 
@@ -110,12 +117,13 @@ def _key(order: list[str]) -> str:
 
 def judge_batch(logs: DataFrame, batch: DataFrame, order: list[str], config: Config) -> DataFrame:
     """The batch, judged as a continuation of its logs."""
-    rows = with_log_state(index_log(batch, order).rows, logs)
+    index = index_log(batch, order)
+    rows = with_log_state(index.rows, logs)
     samples = None
     if config.watermark.name == "percentile":
         samples = logs.where("size(lats) > 0").select("log_id", "next_i", "lats").join(
             batch.select("log_id").distinct(), "log_id", "left_semi")
-    return judge.judge(attach_watermark(rows, config.watermark, None, samples), config)
+    return judge.judge(attach_watermark(rows, config.watermark, index.total, None, samples), config)
 
 
 def merge_windows(live: DataFrame, judged: DataFrame) -> DataFrame:
@@ -128,7 +136,7 @@ def merge_windows(live: DataFrame, judged: DataFrame) -> DataFrame:
         "coalesce(on_time, 0L) + coalesce(b_on, 0L) AS on_time",
         "coalesce(late_in_bound, 0L) + coalesce(b_late, 0L) AS late_in_bound",
         "coalesce(first_index, b_first) AS first_index", "coalesce(fired, false) AS fired",
-        "first_late_index", "first_late_after")
+        "first_late_index", "first_late_after", "b_on IS NOT NULL AS counted")
 
 
 def batch_panes(live: DataFrame, merged: DataFrame, judged: DataFrame, config: Config) -> DataFrame:
@@ -141,15 +149,16 @@ def batch_panes(live: DataFrame, merged: DataFrame, judged: DataFrame, config: C
         *KEYS, "win_end", "1L AS seq", "'initial' AS kind", "on_time AS count", "CAST(NULL AS BIGINT) AS retracts",
         "coalesce(fire.watermark, first_late_after) AS watermark", "coalesce(fire.index, first_late_index) AS at_index",
         "false AS own_pane", "first_index AS opened_index")
-    return out.unionByName(panes.late_panes(judged, live).select(*panes.PANE_COLUMNS)) if update else out
+    return out.unionByName(panes.late_panes(judged, merged, live).select(*panes.PANE_COLUMNS)) if update else out
 
 
 def next_windows(merged: DataFrame, new_panes: DataFrame, logs: DataFrame, config: Config) -> DataFrame:
-    """The windows after the batch; ``done`` marks those the watermark released."""
+    """The windows after the batch; ``done`` marks those the watermark released, ``changed``
+    those that are not as they were, for another reason."""
     fired_now = new_panes.where("NOT own_pane").selectExpr(*KEYS, "true AS fired_now")
     windows = merged.join(fired_now, KEYS, "left").selectExpr(
         *KEYS, "win_end", "on_time", "late_in_bound", "first_index",
-        "fired OR coalesce(fired_now, false) OR on_time = 0 AS fired")
+        "fired OR coalesce(fired_now, false) OR on_time = 0 AS fired", "counted OR coalesce(fired_now, false) AS changed")
     return panes.per_log(windows, logs.select("log_id", "w")).selectExpr(
         "*", f"coalesce(w >= win_end + {config.allowed_lateness_ms}L, false) AS done").drop("w")
 
@@ -162,25 +171,52 @@ class FoldTables:
     path: str
     config: Config
     order: tuple[str, ...]
+    whole_every: int = 16
 
     def folder(self, table: str, batch_id: int) -> str:
         return f"{self.path}/{table}/batch_id={batch_id}"
 
-    def _state(self, table: str, schema: str, batch_id: int) -> DataFrame:
+    def _whole(self, batch_id: int) -> int:
+        """The last batch up to this one that wrote a whole state."""
+        return batch_id - batch_id % self.whole_every
+
+    def state(self, table: str, batch_id: int, logs: DataFrame | None = None) -> DataFrame:
+        """The state after a batch, of all logs or of some: the latest row of each key."""
+        schema, keys = STATES[table]
         if batch_id < 0:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.folder(f"state_{table}", batch_id))
+        folders = [self.folder(f"state_{table}", n) for n in range(self._whole(batch_id), batch_id + 1)]
+        rows = self.spark.read.schema(schema + LOGGED).parquet(*folders)
+        if logs is not None:
+            rows = rows.join(logs, "log_id", "left_semi")
+        if len(folders) > 1:
+            values = [c for c in rows.columns if c not in keys]
+            rows = rows.groupBy(*keys).agg(*judge.aggregates(x=f"max_by(struct({', '.join(values)}), at)")).selectExpr(*keys, "x.*")
+        return rows.where("NOT gone").drop("at", "gone")
+
+    def _log_state(self, table: str, batch_id: int, changed: DataFrame, logs: DataFrame) -> None:
+        """Write what a batch changed, or the whole state if it is its turn: ``changed``
+        and the rows of all other logs."""
+        if batch_id and self._whole(batch_id) == batch_id:
+            others = self.state(table, batch_id - 1).join(logs, "log_id", "left_anti").selectExpr("*", "false AS gone")
+            changed = changed.where("NOT gone").unionByName(others)
+        self._write(changed.selectExpr("*", f"{batch_id}L AS at"), f"state_{table}", batch_id)
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` function."""
         with scope():
             self._fold(batch, batch_id)
-        for table in ("state_logs", "state_windows"):  # a retry of this batch needs the one before it
-            delete(self.spark, self.folder(table, batch_id - 2))
+        # A retry of this batch needs the state of the one before it.
+        last = self._whole(batch_id - 1) if batch_id else 0
+        for table in ("state_logs", "state_windows"):
+            for n in range(max(0, last - self.whole_every), last):
+                delete(self.spark, self.folder(table, n))
 
     def _fold(self, batch: DataFrame, batch_id: int) -> None:
         config, order = self.config, list(self.order)
-        logs, live = self._state("logs", LOG_STATE, batch_id - 1), self._state("windows", WINDOW_STATE, batch_id - 1)
+        here = remember(batch.where("log_id IS NOT NULL").select("log_id").distinct())
+        logs = remember(self.state("logs", batch_id - 1, here))
+        live = remember(self.state("windows", batch_id - 1, here))
         # A row at or before the last one of its log came too late to have a position.
         placed = panes.per_log(batch.selectExpr("*", f"{_key(order)} AS row_key"), logs.select("log_id", "last_key"))
         stray = f"({reject_reason(order)}) IS NOT NULL OR coalesce(row_key <= last_key, false)"
@@ -190,13 +226,16 @@ class FoldTables:
         judged = judge_batch(logs, placed.where("NOT stray").drop("stray"), order, config)
         judged = remember(judged)
         merged = remember(merge_windows(live, judged))
-        after = self._write(next_logs(logs, judged, order, config), "state_logs", batch_id)
+        after = remember(next_logs(logs, judged, order, config))
+        self._log_state("logs", batch_id, after.selectExpr("*", "false AS gone"), here)
         new_panes = self._write(batch_panes(live, merged, judged, config), "panes", batch_id)
         self._write(judge.receipts(judged, config), "side_output", batch_id)
         self._write(judge.trace(judged), "trace", batch_id)
         windows = remember(next_windows(merged, new_panes, after, config))
-        self._write(windows.where("done").drop("done"), "released", batch_id)
-        self._write(windows.where("NOT done").drop("done"), "state_windows", batch_id)
+        self._write(windows.where("done").drop("done", "changed"), "released", batch_id)
+        whole = batch_id and self._whole(batch_id) == batch_id
+        kept = windows if whole else windows.where("changed OR done")
+        self._log_state("windows", batch_id, kept.withColumnRenamed("done", "gone").drop("changed"), here)
 
     def _write(self, table: DataFrame, name: str, batch_id: int) -> DataFrame:
         """Write one table of a batch, replacing what a failed attempt left."""
@@ -223,11 +262,11 @@ class FoldResult:
 
     @property
     def logs(self) -> DataFrame:
-        return self.tables._state("logs", LOG_STATE, self.last)
+        return self.tables.state("logs", self.last)
 
     @property
     def live(self) -> DataFrame:
-        return self.tables._state("windows", WINDOW_STATE, self.last)
+        return self.tables.state("windows", self.last)
 
     @property
     def flushed(self) -> bool:
@@ -275,14 +314,14 @@ class FoldResult:
         return audit.verdict_windows(self.windows, truth, self.side_output, self.logs.selectExpr("log_id", "w AS w_last"), config)
 
 
-def replay_in_batches(log: DataFrame, order: list[str], config: Config, batches: int) -> FoldResult:
+def replay_in_batches(log: DataFrame, order: list[str], config: Config, batches: int, whole_every: int = 16) -> FoldResult:
     """Stream a stored log in so many micro-batches, stopping and restarting the
     query after each one from its checkpoint."""
     spark = log.sparkSession
     source, target, checkpoint = (new_path(spark, name) for name in ("replay", "fold", "checkpoint"))
     index = index_log(log, order).rows.select(*dict.fromkeys(["log_id", "t", *order, "i"]))
     total = index.agg({"i": "max"}).first()[0] + 1
-    tables = FoldTables(spark, target, config, tuple(order))
+    tables = FoldTables(spark, target, config, tuple(order), whole_every)
     columns = [c for c in index.columns if c != "i"]
     for n in range(batches):
         part = index.where(f"i >= {total * n // batches} AND i < {total * (n + 1) // batches}").select(*columns)

@@ -12,7 +12,7 @@ import pytest
 from paneledger import Config, CustomWatermark, Run, WatermarkSpec, index_log
 from paneledger.operators import scan
 from paneledger.operators.audit import audit_panes
-from paneledger.operators.scan import block_number, ordered_scan, running_index, running_sum, split_points
+from paneledger.operators.scan import ordered_scan, running_index, running_sum, split_points, with_blocks
 from paneledger.sources.feeds import archive_log
 from paneledger.sources.ndjson import file_order
 from paneledger.streaming.fold import FoldTables, _key
@@ -24,9 +24,9 @@ def test_block_numbers_follow_the_keys(spark):
     values = [None, -5, 0, 3, 7, 99, 12345678901]
     rows = [(rng.choice([None, "a", "b'c", "d\\e", "z"]), rng.choice(values), datetime.datetime(2024, 1, 1 + rng.randrange(9), 3, 4, 5, 678)) for _ in range(500)]
     frame = spark.createDataFrame(rows, "g string, n long, at timestamp_ntz")
-    points = split_points(frame, ["g", "n", "at"], 9)
-    assert 2 < len(points) < 9
-    got = frame.selectExpr("*", f"named_struct('g', g, 'n', n, 'at', at) AS sort_key").selectExpr("*", f"{block_number(frame, ['g', 'n', 'at'], points)} AS blk").collect()
+    total, points = split_points(frame, ["g", "n", "at"], 9)
+    assert total == 500 and 2 < len(points) < 9
+    got = with_blocks(frame, ["g", "n", "at"], points).collect()
     order = sorted(got, key=lambda r: (r.g is not None, r.g or "", r.n is not None, r.n or 0, r.at))
     blocks = [row.blk for row in order]
     assert blocks == sorted(blocks) and set(blocks) == set(range(len(points) + 1))
@@ -100,7 +100,7 @@ def test_order_keys_sort_like_numbers(spark):
 
 def test_a_long_stream_keeps_nothing(spark, make_log):
     config = Config(100, 0, 50, "update", "idle", WatermarkSpec("percentile", percentile=0.9, sample_size=4))
-    tables = FoldTables(spark, new_path(spark, "fold"), config, ("seq",))
+    tables = FoldTables(spark, new_path(spark, "fold"), config, ("seq",), whole_every=2)
     cached, folders = [], []
     for batch in range(4):
         rows = [("log", 10 * batch + k, 90 * (10 * batch + k) % 700 + 40 * batch) for k in range(10)]

@@ -27,7 +27,7 @@ def rows(df, *columns):
 def test_micro_batches_equal_one_run(make_log, config):
     log = make_log(LOGS)
     whole = run_log(log, config)
-    folded = replay_in_batches(log, ["seq"], config, batches=3)
+    folded = replay_in_batches(log, ["seq"], config, batches=3, whole_every=2)
     pane = ["win_start", "win_end", "seq", "kind", "count", "retracts", "watermark", "at_index", "own_pane", "opened_index"]
     assert rows(folded.panes, *pane) == rows(whole.panes, *pane)
     assert rows(folded.side_output, "index", "t", "win_start", "reason", "lateness_ms") == rows(
@@ -54,6 +54,26 @@ def test_rows_behind_their_log_are_quarantined_and_retries_are_idempotent(spark,
     assert once == rows(whole.panes, "win_start", "count", "at_index")
 
 
+def test_state_follows_the_batch(spark, make_log):
+    """Three hundred logs, of which a batch touches one: it writes that log and the windows
+    it changed; a whole state comes in turn, and the result is that of one run."""
+    config = Config(100, 0, 50, "update", "idle", WatermarkSpec("bounded", bound_ms=10))
+    tables = FoldTables(spark, new_path(spark, "fold"), config, ("seq",), whole_every=3)
+    logs = {f"log{k}": [0, 50, 130, 260] for k in range(300)}
+    tables.fold(make_log(logs), 0)
+    schema = make_log([0]).schema
+    for batch, t in ((1, 290), (2, 300), (3, 420), (4, 430)):
+        tables.fold(spark.createDataFrame([("log7", 3 + batch, t)], schema), batch)
+    rows_of = lambda table, batch: spark.read.parquet(tables.folder(f"state_{table}", batch)).count()
+    assert rows_of("logs", 4) == 1 and rows_of("windows", 4) <= 2
+    assert rows_of("logs", 3) == 300
+    result = FoldResult(tables, 4)
+    whole = run_log(make_log({**logs, "log7": [0, 50, 130, 260, 290, 300, 420, 430]}), config)
+    assert rows(result.panes, "win_start", "seq", "count", "at_index") == rows(whole.panes, "win_start", "seq", "count", "at_index")
+    assert result.logs.count() == 300
+    assert rows(result.windows.where("log_id = 'log7'"), "win_start", "emitted") == rows(whole.counts.where("log_id = 'log7'"), "win_start", "emitted")
+
+
 def test_native_tumbling_runs(spark, make_log):
     path, config = new_path(spark, "native"), Config(100, 0, 0, watermark=WatermarkSpec("bounded", bound_ms=10))
     log = make_log([0, 50, 130, 260])
