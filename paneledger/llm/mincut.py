@@ -47,14 +47,14 @@ _STICKY = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies)(?:$|[\s_
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|post|story|entry|content|main|body|text|prose|page-?content)(?:$|[\s_-])", re.I)
 _ROLES = {"navigation": False, "banner": False, "contentinfo": False, "complementary": False, "search": False, "dialog": False, "alert": False,
           "alertdialog": False, "form": False, "main": True, "article": True}
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z))", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 @dataclass
 class Block:
-    """One stretch of text with its place in the page."""
+    """One stretch of text with its place in the page: the two innermost containers."""
 
     text: str
     path: tuple[int, ...]
@@ -66,49 +66,73 @@ class Block:
 
 @dataclass
 class _Element:
+    """An open element, with what it and all around it say of the text inside."""
+
     name: str
     number: int
-    bad: bool
-    good: bool
+    any_good: bool
     skipped: bool
     sticky: bool  # nothing inside can be content
+    verdict: tuple[bool, bool]  # good, bad: the innermost that says something decides
+    linked: bool
+    heading: bool
+    containers: tuple[int, ...]  # the two innermost
+
+
+_OUTSIDE = _Element("", 0, False, False, False, (False, False), False, False, ())
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 @dataclass
 class _Reader:
-    """Walks over the tags of one page and cuts its text into blocks."""
+    """Walks over the tags of one page and cuts its text into blocks. What a tag costs
+    does not depend on how many elements are open."""
 
-    stack: list[_Element] = field(default_factory=list)
+    stack: list[_Element] = field(default_factory=lambda: [_OUTSIDE])
+    places: dict[str, list[int]] = field(default_factory=dict)  # of open elements, by name
     out: list[Block] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     count: int = 0
 
     def text(self, raw: str) -> None:
-        if raw and not any(e.skipped for e in self.stack):
+        if raw and not self.stack[-1].skipped:
             value = references.unescape(raw) if "&" in raw else raw
             self.pieces.append(value)
-            if any(e.name == "a" for e in self.stack):
+            if self.stack[-1].linked:
                 self.linked += len(value)
 
     def cut(self) -> None:
         joined = "".join(self.pieces)
         text = " ".join(joined.split())
         if text:
-            good = bad = False
-            for element in self.stack:  # the innermost that says something decides
-                if element.bad or element.good:
-                    good, bad = element.good, element.bad
-                if element.sticky:
-                    good, bad = False, True
-                    break
-            names = {element.name for element in self.stack}
-            heading = not names.isdisjoint(("h1", "h2", "h3", "h4", "h5", "h6"))
-            containers = tuple(e.number for e in self.stack if e.name in BLOCK and e.name not in ("p", "br"))
-            self.out.append(Block(text, containers, bad, good, heading, self.linked / max(1, len(joined))))
+            inside = self.stack[-1]
+            good, bad = inside.verdict
+            self.out.append(Block(text, inside.containers, bad, good, inside.heading, self.linked / max(1, len(joined))))
         self.pieces.clear()
         self.linked = 0
 
+    def _push(self, name: str, good: bool, bad: bool, skipped: bool, sticky: bool) -> None:
+        around, self.count = self.stack[-1], self.count + 1
+        verdict = around.verdict
+        if not around.sticky:
+            verdict = (False, True) if sticky else (good, bad) if good or bad else verdict
+        container = name in BLOCK and name not in ("p", "br")
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append(_Element(
+            name, self.count, around.any_good or good, around.skipped or skipped, around.sticky or sticky, verdict,
+            around.linked or name == "a", around.heading or name in _HEADINGS,
+            (*around.containers, self.count)[-2:] if container else around.containers))
+
+    def _innermost(self, name: str) -> int:
+        """Where the innermost open element of this name is, 0 if none is open."""
+        return self.places[name][-1] if self.places.get(name) else 0
+
+    def _drop(self, at: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().name].pop()
+
     def open(self, name: str, attributes: str) -> None:
         if name in CLOSES_P:
             self.cut()
@@ -120,13 +144,13 @@ class _Reader:
         if name in VOID:
             return
         good, bad, skipped = name in CONTENT, name in BOILERPLATE, name in SKIPPED
-        inside = any(e.good for e in self.stack)
+        inside = self.stack[-1].any_good
         if name == "header" and inside:
             bad = False  # the head of an article holds its title
         sticky = bad
         if attributes:
             for key, value in _ATTRIBUTE.findall(attributes):
-                key, value = key.lower(), value.strip("\"'")
+                key, value = key.lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] else value
                 if key in ("class", "id"):
                     bad = bad or _BAD.search(value) is not None or (not inside and _HEAD.search(value) is not None)
                     sticky = sticky or _STICKY.search(value) is not None
@@ -137,24 +161,19 @@ class _Reader:
                     skipped = True
         if name in ("body", "html"):
             bad = sticky = False
-        self.count += 1
-        self.stack.append(_Element(name, self.count, bad, good and not bad, skipped, sticky))
+        self._push(name, good and not bad, bad, skipped, sticky)
 
     def close_until(self, name: str, stop: tuple[str, ...]) -> None:
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at].name == name:
-                del self.stack[at:]
-                return
-            if self.stack[at].name in stop:
-                return
+        """Close the innermost ``name`` unless one of ``stop`` is open inside it."""
+        at = self._innermost(name)
+        if at and at > max(map(self._innermost, stop)):
+            self._drop(at)
 
     def close(self, name: str) -> None:
         if name in BLOCK:
             self.cut()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at].name == name:
-                del self.stack[at:]
-                return
+        if at := self._innermost(name):
+            self._drop(at)
 
 
 def blocks(page: str) -> list[Block]:
@@ -222,8 +241,8 @@ def edges(page: list[Block]) -> dict[tuple[int, int], float]:
         if at:
             tie(at - 1, at, NEXT)
         for levels, price in ((0, SAME_PARENT), (1, SAME_GRANDPARENT)):
-            place = (levels, *block.path[:len(block.path) - levels])
-            if len(place) > 1:
+            if len(block.path) > levels:
+                place = (levels, block.path[-1 - levels])
                 if place in last:
                     tie(last[place], at, price)
                 last[place] = at

@@ -8,12 +8,14 @@ or a known given name, before a capitalised word).
 A surrogate is a keyed permutation of the entity's canonical form, within the forms
 of the same shape: digits stay digits, letters stay letters, check digits are right
 again, private addresses stay private, names keep gender and script. So the same
-entity has the same surrogate in every document and spelling (coreference), and two
-entities of one shape cannot share one. What a permutation cannot exclude is checked
+entity has the same surrogate in every document and spelling (coreference; a family name
+the same one beside any given name or title), and two entities of one shape cannot share
+one. What a permutation cannot exclude is checked
 over the whole corpus: two entities with one surrogate, a surrogate that is an
 entity of the corpus, a surrogate that is the entity itself. Such entities get the
 permutation of the next attempt, until the check finds nothing; after some attempts
-the form may grow, so that small spaces do not run out.
+the form may grow, so that small spaces do not run out: secrets, addresses and names
+become longer, a private network address may move to another private range.
 
 Documents need no join for that: a surrogate is computed where the entity stands.
 Only rows with an entity that needed another attempt are joined with its attempts.
@@ -26,6 +28,7 @@ the same rows in the same order when read again, as a stored table does.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -138,7 +141,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, canonical)`` in order, without overlaps; where two kinds
     overlap the one named first below counts."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of what is found, in order, and where each ends
+    ends: list[int] = []
 
     def add(kind: str, pattern: re.Pattern, group: str | int = 0) -> None:
         at = 0
@@ -149,8 +153,10 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 if stop < end and not pattern.fullmatch(text, start, stop):
                     continue
                 canonical = _canonical(kind, text[start:stop])
-                if canonical is not None and all(stop <= a or start >= b for a, b in taken):
-                    taken.append((start, stop))
+                place = bisect.bisect_left(starts, stop)  # what begins before the stop must end before the start
+                if canonical is not None and (not place or ends[place - 1] <= start):
+                    starts.insert(place, start)
+                    ends.insert(place, stop)
                     found.append((start, stop, kind, canonical))
                     at = max(at, stop)
                     break
@@ -230,6 +236,8 @@ class Surrogates:
 
     def _ip(self, value: str, tweak: str, grow: int) -> str:
         a, b, c, d = map(int, value.split("."))
+        if grow and any(first <= (a << 24 | b << 16 | c << 8 | d) < first + size for first, size in _PRIVATE):
+            return self._private(a << 24 | b << 16 | c << 8 | d, tweak)
         fixed = 1 if a in (0, 10, 127) or a > 223 else 2 if (a, b) == (192, 168) or (a == 172 and 16 <= b < 32) else 0
         number, size = (a << 24 | b << 16 | c << 8 | d), 1 << 32 - 8 * fixed
         head = number - number % size
@@ -239,6 +247,19 @@ class Surrogates:
             if fixed or not (a in (0, 10, 127) or a > 223 or (a, b) == (192, 168) or (a == 172 and 16 <= b < 32)):
                 return ".".join(str(number >> shift & 255) for shift in (24, 16, 8, 0))
 
+    def _private(self, number: int, tweak: str) -> str:
+        """Where the addresses of one private range run out, one of any private range."""
+        before = 0
+        for first, size in _PRIVATE:
+            if first <= number < first + size:
+                at = self.permuted(before + number - first, sum(size for _, size in _PRIVATE), tweak, "private")
+            before += size
+        for first, size in _PRIVATE:
+            if at < size:
+                return ".".join(str(first + at >> shift & 255) for shift in (24, 16, 8, 0))
+            at -= size
+        raise AssertionError("not private")
+
     def _iban(self, value: str, tweak: str, grow: int) -> str:
         account = self.shaped(value[4:], _classes, tweak, value[:2])
         return value[:2] + iban_check(value[:2], account) + account
@@ -256,21 +277,36 @@ class Surrogates:
             return self.shaped(longer, lambda c: _HEX, tweak)
         return self.shaped(longer, _classes, tweak)
 
+    def _given(self, name: str, names: list[str], script: str) -> int:
+        """The place of the given name that stands for ``name``: known ones change places
+        under the key, so that two never share one."""
+        if name in names:
+            return self.permuted(list(names).index(name), len(names), "given", script)
+        return self._number("given", name) % len(names)
+
     def _name(self, value: str, tweak: str, grow: int) -> str:
         """A given name of the same gender and script, the family name permuted letter
         class by letter class; ``value`` starts with its gender."""
         gender, _, rest = value.partition("|")
         *given, family = rest.split(" ")
         script = "cyrillic" if re.search("[А-Яа-яЁё]", rest) else "latin"
-        names = GIVEN[script, gender or "mf"[self._number(tweak, rest, "gender") % 2]]
-        out = [names[self._number(tweak, name) % len(names)] for name in given]
+        names = GIVEN[script, gender or "mf"[self._number("name", rest, "gender") % 2]]
+        attempt = int(tweak.partition(":")[2])
+        out = [names[self._given(name, names, script) + attempt - len(names)] if attempt < len(names)
+               else names[self._number(tweak, name) % len(names)] for name in given]
+        # The family name has a key of its own, the same beside any given name or title;
+        # another attempt changes the given name first, as long as there are any.
+        turn = f"family:{attempt // len(names) if given else attempt}"
+        grow = max(0, attempt - len(names)) if given else grow
         end = len(family) - 3 if script == "cyrillic" and len(family) > 4 else len(family)  # endings show gender
         body = family[:end].lower() + ("ona" if script == "latin" else "ова")[:3] * grow
-        new = self.shaped(body, _letters, tweak, " ".join(given)) + family[end:]
+        new = self.shaped(body, _letters, turn, script) + family[end:]
         cased = "".join(n.upper() if o.isupper() else n for o, n in zip(family[:end], new)) + new[min(end, len(new)):]
         return gender + "|" + " ".join([*out, cased])
 
 
+# The private ranges of IPv4: first address, and how many.
+_PRIVATE = ((10 << 24, 1 << 24), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16))
 _ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HEX = "0123456789abcdef"
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")

@@ -3,11 +3,12 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 from itertools import product
 
 import pytest
 
-from paneledger.llm.mincut import extract, main_text, minimum_cut
+from paneledger.llm.mincut import blocks, extract, main_text, minimum_cut
 from paneledger.llm.registry import queries
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
@@ -80,3 +81,21 @@ def test_query(spark, small):
     pages = {row.page_id: row.html for row in spark.read.parquet(f"{small}/pages.parquet").collect()}
     rows = queries()["op5_main_text"](spark, small).collect()
     assert len(rows) == len(pages) and all(row.text == articles(pages[row.page_id]) for row in rows)
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p data-x=it's>Hello it's me and this is the long main text of a page.</p>", "Hello it's me and this is the long main text of a page."),
+    ('<p title="5" tall">First paragraph of a text that is long enough.</p>', "First paragraph of a text that is long enough."),
+    ("<p title='a > b' class=\"x\">Quoted signs do not end a tag, as everyone knows.</p>", "Quoted signs do not end a tag, as everyone knows."),
+    ('<p data-y="class=ad">Values are not attributes of their own, of course.</p>', "Values are not attributes of their own, of course."),
+    ("<p a = 'x>y' b>Blanks may stand around the sign between name and value.</p>", "Blanks may stand around the sign between name and value."),
+])
+def test_tags_are_read_as_html_does(html, text):
+    assert main_text(html) == text
+
+
+def test_deep_pages_take_no_square_time():
+    start = time.perf_counter()
+    assert len(blocks("<div>x " * 50_000)) == 50_000
+    main_text("<span>" * 50_000 + "<p>y</x>" * 50_000)
+    assert time.perf_counter() - start < 10

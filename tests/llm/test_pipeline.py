@@ -90,3 +90,15 @@ def test_odd_rows(spark, small):
         assert stage(spark, docs.where(F.lit(False)), small).collect() == []
     assert sorted(row.doc_id or 0 for row in corpus_pipeline.distinct(spark, docs, small).collect()) == [1, 2, 3, 4]
     assert "a@b.org" not in str(corpus_pipeline.private(spark, docs, small).collect())
+
+
+def test_columns_named_like_helpers_stay(spark, small):
+    """No stage overwrites a user's column, whatever its name."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    names = ["_row_key", "row_key", "maybe", "tried", "ids", "decoded", "node"]
+    named = docs.selectExpr("*", *[f"doc_id * 10 + {k} AS {name}" for k, name in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, named, small)
+        found = out.select("doc_id", *names).collect()
+        assert found and all(row[n] == row.doc_id * 10 + k for row in found for k, n in enumerate(names)), name
+        assert out.columns[:len(named.columns)] == named.columns

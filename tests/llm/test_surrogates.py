@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter
 
 import pytest
 
 from paneledger.llm import surrogates
 from paneledger.llm.registry import queries
-from paneledger.llm.surrogates import Surrogates, detected, iban_check, luhn, replaced
+from paneledger.llm.surrogates import GIVEN, Surrogates, detected, entities, iban_check, luhn, replaced
 
 KEY = b"test key"
 KINDS = {
@@ -120,3 +121,34 @@ def test_query(spark, small):
         spans = detected(old)
         assert row.n_entities == len(spans) and (row.text == old) == (not spans)
         assert all(old[start:end] not in row.text for start, end, kind, _ in spans)
+
+
+def test_a_family_name_has_one_surrogate_beside_any_title():
+    make = Surrogates(KEY)
+    family = {make.of("name", value).rsplit(" ", 1)[-1].rpartition("|")[2] for value in ("m|Hans Müller", "m|Müller", "|Müller", "f|Müller", "m|Peter Müller")}
+    assert len(family) == 1
+    given = {make.of("name", f"m|{name} Müller") for name in GIVEN["latin", "m"]}
+    assert len(given) == len(GIVEN["latin", "m"])  # two known given names never share one
+
+
+def test_a_full_private_range_moves_to_the_others():
+    make = Surrogates(KEY)
+    later = [make.of("ip", f"192.168.{k >> 8}.{k & 255}", 12) for k in range(0, 65_536, 13)]
+    assert len(set(later)) == len(later)
+    assert any(not x.startswith("192.168.") for x in later)
+    assert all(x.startswith(("10.", "192.168.")) or x.startswith("172.") and 16 <= int(x.split(".")[1]) < 32 for x in later)
+
+
+def test_columns_named_like_helpers_stay(spark):
+    rows = [(1, "mail a@x.org and b@x.org", 7, "t", True), (2, "no data", 8, None, False), (3, "a@x.org", 9, "u", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_key int, tried string, maybe boolean")
+    left = replaced(docs, KEY)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r._row_key, r.tried, r.maybe) for r in left.collect()) == [(1, 7, "t", True), (2, 8, None, False), (3, 9, "u", None)]
+
+
+def test_many_entities_take_no_square_time():
+    text = " ".join(f"a{k}@x.org" for k in range(30_000))
+    start = time.perf_counter()
+    assert len(entities(text)) == 30_000
+    assert time.perf_counter() - start < 5
