@@ -249,9 +249,11 @@ def overshoot_findings(health: DataFrame) -> DataFrame:
         "max_overshoot_ms", "' ms'"))
 
 
-def regression_findings(health: DataFrame, config: Config) -> DataFrame:
-    """The raw watermark fell although the strategy promises that it cannot."""
-    fell = health.where(f"watermark_regressions > 0 AND {str(config.watermark.monotonic).lower()}")
+def regression_findings(health: DataFrame, config: Config | None = None) -> DataFrame:
+    """The raw watermark fell although the strategy, that of ``config`` or else of all
+    given logs, promises that it cannot."""
+    promised = str(config is None or config.watermark.monotonic).lower()
+    fell = health.where(f"watermark_regressions > 0 AND {promised}")
     return _finding(fell, "watermark-regression", _text(
         "watermark_regressions", "' fall(s) of a raw watermark that cannot fall, by up to '", "max_regression_ms", "' ms'"))
 

@@ -3,16 +3,19 @@ inclusive-boundary experiment, and the ordered control."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneledger.config import Config, WatermarkSpec
+from paneledger.operators import audit
 from paneledger.operators.arrival import ArrivalIndex, index_log
-from paneledger.operators.judge import aggregates
+from paneledger.operators.judge import aggregates, judge
 from paneledger.operators.truth import lateness_profile, stream_stats
+from paneledger.operators.watermarks import attach_watermark
 from paneledger.plans.run import Run
 from paneledger.sources.logs import NAMED_LOGS, named_log
 
@@ -49,26 +52,61 @@ def index_named(spark: SparkSession, folder: str, names: list[str]) -> list[Prof
     ]
 
 
-def matrix_rows(run: Run, config_id: str) -> DataFrame:
-    """Everything a profile keeps of one run, per log."""
+# Between a log's name and a configuration's, in the name of a log under that configuration.
+UNDER = "\u241f"
+
+
+class SideBySide(Run):
+    """A run of the same logs under several watermarks at once: each log once under each,
+    as a log of its own. Whatever follows the watermark is planned and run once for all."""
+
+    def __init__(self, index: ArrivalIndex, config: Config, specs: dict[str, WatermarkSpec]) -> None:
+        super().__init__(index, config)
+        object.__setattr__(self, "specs", specs)
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        sides = []
+        for name, spec in self.specs.items():
+            rows = judge(attach_watermark(self.index.rows, spec, self.index.total), self.config)
+            sides.append(rows.selectExpr(f"concat(log_id, '{UNDER}{name}') AS log_id", *[c for c in rows.columns if c != "log_id"]))
+        return reduce(DataFrame.unionByName, sides)
+
+    @cached_property
+    def health_findings(self) -> DataFrame:
+        """A raw watermark that falls accuses only where it is promised not to."""
+        return audit.overshoot_findings(self.health).unionByName(
+            audit.regression_findings(self.health.where(self._named(lambda spec: spec.monotonic))))
+
+    def _named(self, chosen: Callable[[WatermarkSpec], bool]) -> str:
+        names = [f"'{name}'" for name, spec in self.specs.items() if chosen(spec)]
+        return f"{CONFIG} IN ({', '.join([*names, 'NULL'])})"
+
+
+CONFIG, PLAIN = f"substring_index(log_id, '{UNDER}', -1)", f"substring_index(log_id, '{UNDER}', 1)"
+
+
+def matrix_rows(run: SideBySide) -> DataFrame:
+    """Everything a profile keeps of runs side by side, per log and configuration."""
     health = run.health.select("log_id", "watermark_overshoots", "watermark_regressions")
     counters = run.counters.selectExpr("log_id", "too_late AS side_output", "revisions_emitted", "opened_after_close")
     one_pane = run.counts.groupBy("log_id").agg(*aggregates(late_with_one_pane="count_if(late_in_bound > 0 AND panes = 1)"))
     out = run.outcome_counts.withColumnRenamed("all_receipted", "windows_all_receipted")
     for part in (health, counters, one_pane):
         out = out.join(part, "log_id", "left")
+    adaptive = run._named(lambda spec: not spec.monotonic)
     return out.selectExpr(
-        "log_id", f"'{config_id}' AS config", "complete", "revised", "unverifiable", "total", "findings",
+        f"{PLAIN} AS log_id", f"{CONFIG} AS config", "complete", "revised", "unverifiable", "total", "findings",
         "watermark_overshoots", "watermark_regressions", "side_output", "revisions_emitted", "opened_after_close",
         "windows_all_receipted", "coalesce(late_with_one_pane, 0L) AS late_with_one_pane",
-        f"watermark_regressions > 0 AND {str(not run.config.watermark.monotonic).lower()} AS adaptive_regression",
+        f"watermark_regressions > 0 AND coalesce({adaptive}, false) AS adaptive_regression",
     )
 
 
 def profile_matrix(logs: list[Profiled], specs: dict[str, WatermarkSpec] = PROFILE_CONFIGS) -> DataFrame:
     """Every log under every configuration."""
-    return reduce(DataFrame.unionByName, [
-        matrix_rows(Run(log.index, log.config(spec)), name) for log in logs for name, spec in specs.items()])
+    first = next(iter(specs.values()))
+    return reduce(DataFrame.unionByName, [matrix_rows(SideBySide(log.index, log.config(first), specs)) for log in logs])
 
 
 def profile_total(matrix: DataFrame) -> DataFrame:
@@ -86,14 +124,13 @@ def retired_conditions(matrix: DataFrame) -> DataFrame:
 
 def boundary_experiment(logs: list[Profiled], bound_ms: int = 0) -> DataFrame:
     """Late events with and without the inclusive-boundary correction, per log."""
-    sides = []
-    for log in logs:
-        counts = []
-        for name, column in (("bounded", "late_bounded"), ("bounded-naive", "late_naive")):
-            run = Run(log.index, log.config(WatermarkSpec(name, bound_ms=bound_ms)))
-            counts.append(run.counters.selectExpr("log_id", f"late_in_bound + too_late AS {column}"))
-        sides.append(counts[0].join(counts[1], "log_id"))
-    return reduce(DataFrame.unionByName, sides).selectExpr("*", "late_naive - late_bounded AS extra_late")
+    specs = {name: WatermarkSpec(name, bound_ms=bound_ms) for name in ("bounded", "bounded-naive")}
+    late = reduce(DataFrame.unionByName, [
+        SideBySide(log.index, log.config(specs["bounded"]), specs).counters.selectExpr(
+            f"{PLAIN} AS log_id", f"{CONFIG} AS config", "late_in_bound + too_late AS late") for log in logs])
+    return late.groupBy("log_id").agg(*aggregates(
+        late_bounded="max(late) FILTER (WHERE config = 'bounded')", late_naive="max(late) FILTER (WHERE config = 'bounded-naive')",
+    )).selectExpr("*", "late_naive - late_bounded AS extra_late")
 
 
 def control_sweep(index: ArrivalIndex, config: Config) -> DataFrame:
