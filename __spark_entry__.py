@@ -21,6 +21,7 @@ from paneledger.sources.feeds import archive_log, change_log
 from paneledger.sources.logs import named_log
 from paneledger.sources.ndjson import read_ndjson
 from paneledger.streaming.fold import replay_in_batches
+from paneledger.streaming.keyed import replay_by_log
 from paneledger.workspace import new_path
 
 HOUR = 3_600_000
@@ -343,6 +344,8 @@ def _log_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "panes_opened_late": lambda s, d: _opened_late(s, d, "update").panes.select(*PANE),
         "panes_drop_opened_late": lambda s, d: _opened_late(s, d, "drop").panes.select(*PANE),
         "streaming_panes": _streamed_panes(),
+        "streaming_by_log": lambda s, d: replay_by_log(
+            named_log("events_by_user").load(s, d), ["p", "seq"], _config(), batches=3).select(*PANE),
         "streaming_percentile": _streamed_panes(spec=PERCENTILE),
         "streaming_punctuated": _streamed_panes(spec=PUNCTUATED),
         "streaming_drop": _streamed_panes(policy="drop"),

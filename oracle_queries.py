@@ -339,6 +339,7 @@ FROM gone WHERE w < owed""",
         "window_state_opened_late": f"{opened} {state}",
         "panes_opened_late": f"{opened}{pane_ctes('update', LATE)} {PANES}",
         "panes_drop_opened_late": f"{opened_drop}{pane_ctes('drop', LATE)} {PANES}",
+        "streaming_by_log": f"{users}{pane_ctes('update', LATE)} {PANES}",
         "streaming_percentile": f"{quantile}{pane_ctes('update', LATE)} {PANES}",
         "streaming_punctuated": f"{punctuated}{pane_ctes('update', LATE)} {PANES}",
         "streaming_drop": f"{drop}{pane_ctes('drop', LATE)} {PANES}",

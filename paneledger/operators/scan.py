@@ -124,12 +124,12 @@ def _expected_rows(df: DataFrame) -> int:
 
 def _sampled(df: DataFrame, keys: list[str], share: float, most: int) -> tuple[int, list[str]]:
     """The rows of ``df`` and, in ascending order, the keys of a ``share`` of them, told
-    by hash, as JSON: one job of one stage. No more than ``most`` are taken, the least
-    ones; if there are as many, they are of no use."""
+    by hash, as JSON: one job. No more than ``most`` are taken; if there are as many, the
+    count is of no use."""
     seen = Observation()
     hashed = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) <= int(share * (1 << 30))
-    chosen = df.select(*keys).observe(seen, F.count(F.lit(1)).alias("n")).where(hashed).orderBy(*keys).limit(most)
-    found = [row.key for row in chosen.select(F.to_json(F.struct(*keys)).alias("key")).collect()]
+    chosen = df.select(*keys).observe(seen, F.count(F.lit(1)).alias("n")).where(hashed).limit(most)
+    found = chosen.agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("x")).select(F.transform("x", lambda key: F.to_json(key)).alias("x")).first().x
     return seen.get["n"], found
 
 
@@ -141,6 +141,7 @@ def split_points(df: DataFrame, keys: list[str], blocks: int | None) -> tuple[in
     most = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if blocks is None else blocks
     limit = 16 * SAMPLES_PER_BLOCK * most
     total, found = _sampled(df, keys, min(1.0, SAMPLES_PER_BLOCK * most / _expected_rows(df)), limit)
+    total = df.count() if len(found) == limit else total
     if not total:
         return 0, []
     if blocks is None:

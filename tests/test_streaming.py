@@ -6,6 +6,7 @@ import pytest
 
 from paneledger import Config, WatermarkSpec, run_log
 from paneledger.streaming.fold import FoldResult, FoldTables, replay_in_batches
+from paneledger.streaming.keyed import panes_by_log, replay_by_log
 from paneledger.streaming.native import native_tumbling
 from paneledger.workspace import new_path
 from test_run import random_logs
@@ -82,3 +83,12 @@ def test_native_tumbling_runs(spark, make_log):
              .format("memory").queryName("native").trigger(availableNow=True).start())
     query.awaitTermination()
     assert rows(spark.table("native"), "win_start", "count") == [("log", 0, 2), ("log", 100, 1)]
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_keyed_state_equals_one_run(make_log, batches):
+    log, config = make_log(LOGS), Config(100, 17, 130, "update", "idle", WatermarkSpec("bounded", bound_ms=70))
+    pane = ["win_start", "win_end", "seq", "kind", "count", "retracts", "watermark", "at_index", "own_pane", "opened_index"]
+    assert rows(replay_by_log(log, ["seq"], config, batches), *pane) == rows(run_log(log, config).panes, *pane)
+    with pytest.raises(ValueError, match="fold"):
+        panes_by_log(log, ["seq"], Config(100, 0, 0, "drop", "idle", WatermarkSpec("bounded", bound_ms=1)))
