@@ -141,8 +141,12 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, sample: int = SAMPLE, most_contexts: int = MOST_CONTEXTS) -> Trees:
     """Trees from the rows of ``docs`` (doc_id, text, lang) that are not held out."""
     usable = numbered(docs, "doc_id", "lang", "text").where(~held_out() & F.expr("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "row_key")
-    chosen = usable.select("row_key", "lang", "doc_id").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample)
+    hashed = usable.select("row_key", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("hash"))
+    # About twice as many as are wanted have a hash in this share of the range, whatever the table.
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.count("*")) * (1 << 30)
+    near = hashed.join(F.broadcast(hashed.groupBy("lang").agg(share.alias("most"))), "lang").where("hash <= most")
+    by_hash = Window.partitionBy("lang").orderBy("hash", "row_key")
+    chosen = near.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample)
     texts = only(numbered(docs, "lang", "text"), keep(chosen.select("row_key"), "sample"), "row_key")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,7 +160,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)`` of every row of ``pages``
     (page_id, url, html); ``score`` is the classifier's log odds of allow."""
     urls = keep(ruled(pages, rules), "urls")
-    top = frequent(page_words(pages), VOCABULARY).collect()
+    top = frequent(keep(page_words(pages), "words"), VOCABULARY).collect()
     words = Segmenter({row.piece.decode(): row.n for row in top})
     odds = learnt(urls, words)
     shared = pages.sparkSession.sparkContext.broadcast((words, odds))
