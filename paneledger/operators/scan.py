@@ -5,11 +5,12 @@ running values are computed in two levels. Rows are cut into blocks along (group
 order), which cuts even a single group; a window inside each (group, block) gives
 local running values; the last values of the blocks before, the *carry*, are added
 on read. The block is a pure expression of the row's keys over a bounded array of
-split points, which one job samples, so it is the same whenever a task runs again, one shuffle by (group,
-block) suffices, and inputs of every size take the same path. The carry has rows
-only for groups that were cut, and each of the ``blocks - 1`` cuts is inside one
-group at most: no more than two rows per block, whatever the data, so it may be
-broadcast.
+split points, which one job samples, so it is the same whenever a task runs again,
+one shuffle by (group, block) suffices, and inputs of every size take the same path.
+The ordered rows are stored, which ends their lineage: readers scan the columns they
+need. The carry has rows only for groups that were cut, and each of the ``blocks - 1``
+cuts is inside one group at most: no more than two rows per block, whatever the data,
+so it may be broadcast.
 """
 
 from __future__ import annotations
@@ -178,20 +179,22 @@ def ordered_scan(
     """Add one column per running value.
 
     (by, order) must be unique, of types that turn into JSON and back. ``blocks``
-    fixes the number of blocks. A ``derived`` table is held, as the split points and
-    the scan both read it.
+    fixes the number of blocks. A ``derived`` table is held until the scan is stored,
+    as the split points and the scan both read it.
     """
     keys = [*by, *order]
-    if derived:
-        df = remember(df)
+    df = remember(df) if derived else df
     total, points = split_points(df, keys, blocks)
     placed = with_blocks(df, keys, points)
     over = frames([*by, "blk"], order)
     local = [f"{run.local.format(**over)} AS {name}" for name, run in running.items()]
+    ends_block = f"lead(true) {over['order']} IS NULL AS ends_block"
+    scanned = keep(placed.selectExpr("*", *local, ends_block), "scan")
+    if derived:
+        df.unpersist()
     if not points:
-        scanned = keep(placed.selectExpr("*", *local), "scan")
+        scanned = scanned.drop("ends_block")
         return Scanned(scanned, scanned, total)
-    scanned = keep(placed.selectExpr("*", *local, f"lead(true) {over['order']} IS NULL AS ends_block"), "scan")
     # A group is cut if the split point before or after one of its blocks lies in it.
     ascending = _as_array(df, keys, points)
     before, after = (F.get(ascending, F.col("blk") - 1), F.get(ascending, F.col("blk")))

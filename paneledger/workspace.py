@@ -73,7 +73,7 @@ def remember(df: DataFrame) -> DataFrame:
 
 def release() -> None:
     """Free what the current scope has kept: tables in memory, and stored folders,
-    its own only. Results never depend on it; memory does."""
+    its own only. Frames that were built on them end with it; build them anew."""
     while _held.memory[-1]:
         _held.memory[-1].pop().unpersist()
     while _held.stored[-1]:
