@@ -50,7 +50,7 @@ MOST_FREQUENT = 200_000
 ALPHA, DELTA = 0.5, 0.5
 _WORDS_AT_ONCE = 4_000_000
 _CELLS_AT_ONCE = 2_000_000
-_TIMES_AT_HAND = 16
+_TIMES_AT_HAND = 4
 _STEPS = 64
 
 
@@ -201,9 +201,9 @@ def neighbours(ids: DataFrame, end: int, rows: np.ndarray, classes: np.ndarray,
 
 
 def near_tail(ids: DataFrame, units: Units) -> DataFrame:
-    """``(unit, near)`` of the tail's words: the units before them, and those after them
-    plus ``units.size``. A word has rows from several tasks, together in one partition
-    and in order."""
+    """``(units, sizes, near)`` of the tail's words: the units before them, and those after
+    them plus ``units.size``, as many as ``sizes`` say for each. What several tasks found of
+    a word is together in one partition, and in order."""
     end, size = units.end, units.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,22 @@ def near_tail(ids: DataFrame, units: Units) -> DataFrame:
                 held, n = [], 0
         yield _lists(held)
 
-    return ids.mapInArrow(run, "unit int, near binary").repartition(F.col("unit")).sortWithinPartitions("unit")
+    return ids.mapInArrow(run, "unit int, near binary").repartition(F.col("unit")).sortWithinPartitions("unit").mapInArrow(
+        _packed, "units binary, sizes binary, near binary")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Many rows (unit, near) as one, still in order: every round reads few of them."""
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pc.binary_length(batch.column("near"))) // 4)
+        first = 0
+        while first < batch.num_rows:
+            before = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, before + _CELLS_AT_ONCE // 2, "right")))
+            rows = batch.slice(first, last - first)
+            columns = np.asarray(rows.column("unit")), np.diff(sizes[first:last], prepend=before).astype("<i4"), _int32(rows.column("near"))
+            yield pa.RecordBatch.from_arrays([pa.array([column.astype("<i4").tobytes()], pa.binary()) for column in columns], ["units", "sizes", "near"])
+            first = last
 
 
 def _lists(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -269,10 +284,9 @@ def _words_of_tail(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[tup
     """Blocks of whole words: the unit of every entry, and the entry."""
     held, n = [], 0
     for batch in batches:
-        column = batch.column("near")
-        unit = np.repeat(np.asarray(batch.column("unit")), np.asarray(pc.binary_length(column)) // 4)
+        unit = np.repeat(_int32(batch.column("units")), _int32(batch.column("sizes")))
         some = unit % 2 == turn % 2
-        held.append((unit[some], _int32(column)[some]))
+        held.append((unit[some], _int32(batch.column("near"))[some]))
         n += int(some.sum())
         if n > _CELLS_AT_ONCE // 8:
             unit, near = map(np.concatenate, zip(*held))
@@ -285,48 +299,45 @@ def _words_of_tail(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[tup
 
 
 def _at_hand(n: np.ndarray) -> np.ndarray:
-    """``[0, k, d, c]``: what k more of class ``d`` after class ``c`` add; ``[1, ...]``: before it."""
+    """``[0, k, d, c]``: what k more of class ``d`` after class ``c`` add; ``[1, ...]``:
+    before it. Nothing for a class and itself, which are counted apart."""
     more = np.arange(_TIMES_AT_HAND)[:, None, None]
-    return np.stack([_f(n.T + more) - _f(n.T), _f(n + more) - _f(n)])
+    table = np.stack([_f(n.T + more) - _f(n.T), _f(n + more) - _f(n)])
+    table[..., np.arange(len(n)), np.arange(len(n))] = 0
+    return table
 
 
 def best_classes(key: np.ndarray, own: np.ndarray, n: np.ndarray, at_hand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class with the largest of ``gains`` for each of many words at once, and that
-    gain. ``key`` is (word * 2 + side) * classes + class, one for every neighbour; only
-    classes that a word stands beside cost time."""
+    gain. ``key`` is (word * 2 + side) * classes + class, one for every neighbour, by
+    word. Words that have a class few times beside them, nearly all, share one product of
+    matrices for each number of times."""
     width, every = len(n), np.arange(len(n))
-    cells, times = np.unique(key, return_counts=True)
     best, most = np.empty(len(own), np.int64), np.empty(len(own))
-    row = cells // (2 * width)
-    f, sums = _f(n), (n.sum(axis=1), n.sum(axis=0))
-    step = max(1, _CELLS_AT_ONCE // width)
-    first = 0
-    while first < len(own):
-        # As many words as fit; their cells are few, or one word's own.
-        start = int(np.searchsorted(row, first))
-        last = min(len(own), max(first + 1, int(row[min(start + step, len(row)) - 1])))
-        if start + step >= len(row):
-            last = len(own)
-        some = slice(start, int(np.searchsorted(row, last)))
-        o, r, k = own[first:last], row[some] - first, times[some]
-        side, d = cells[some] // width % 2, cells[some] % width
-        near = np.zeros((2, last - first, width))  # before, after
-        near[side, r, d] = k
-        total = np.zeros((last - first, width))
-        which = 1 - side  # after: the first of at_hand
-        added = at_hand[which, np.minimum(k, _TIMES_AT_HAND - 1), d]
-        for at in np.flatnonzero(k >= _TIMES_AT_HAND):
-            line = n[:, d[at]] if side[at] else n[d[at]]
-            added[at] = _f(line + k[at]) - _f(line)
-        before_own = np.where(side == 1, n[o[r], d], n[d, o[r]])
-        taken = _f(before_own - k) - _f(before_own)
-        added += taken[:, None]
-        added[np.arange(len(d)), d] = 0
-        added[d == o[r]] = 0
-        total[np.unique(r)] = np.add.reduceat(added, np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), axis=0)
-        b, a = near
-        w = np.arange(last - first)
+    row, f, sums = key // (2 * width), _f(n), (n.sum(axis=1), n.sum(axis=0))
+    step = max(1, _CELLS_AT_ONCE // (2 * width))
+    for first in range(0, len(own), step):
+        last = min(first + step, len(own))
+        part = key[np.searchsorted(row, first):np.searchsorted(row, last)] - first * 2 * width
+        near = np.bincount(part, minlength=(last - first) * 2 * width).reshape(-1, 2, width).transpose(1, 0, 2).astype(float)
+        o, w, (b, a) = own[first:last], np.arange(last - first), near  # before, after
         a_own, b_own = a[w, o], b[w, o]
+        total = np.zeros((last - first, width))
+        for side, (beside, of_own, lines) in enumerate(((b, n[:, o].T, n.T), (a, n[o], n))):
+            beside = beside.copy()
+            beside[w, o] = 0
+            for k in range(1, _TIMES_AT_HAND):
+                if (some := beside == k).any():
+                    total += some.astype(float) @ at_hand[1 - side, k]
+            r, d = np.nonzero(beside >= _TIMES_AT_HAND)
+            if len(r):
+                # ``lines`` of class c hold its counts beside each d: what k more of d add to them.
+                line, k = lines[:, d].T, beside[r, d][:, None]
+                added = _f(line + k) - _f(line)
+                added[np.arange(len(d)), d] = 0
+                total[np.unique(r)] += np.add.reduceat(added, np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])))
+            taken = np.where(beside > 0, _f(of_own - beside) - _f(of_own), 0.0)
+            total += taken.sum(axis=1, keepdims=True) - taken
         total += (_f(n[o, o] - a_own - b_own) - f[o, o])[:, None]
         total += _f(n[o] - a + b_own[:, None]) - f[o]
         total += _f(n[:, o].T + a_own[:, None] - b) - f[:, o].T
@@ -337,7 +348,6 @@ def best_classes(key: np.ndarray, own: np.ndarray, n: np.ndarray, at_hand: np.nd
         total[:, width - 1] = -np.inf  # the class of the end
         best[first:last] = total.argmax(axis=1)
         most[first:last] = total.max(axis=1)
-        first = last
     return best, most
 
 
