@@ -55,5 +55,16 @@ def test_named_run_and_profile_total(spark):
     assert (total.runs, total.findings) == (1, 0)
 
 
+def test_archive_keeps_its_order_whatever_files_the_events_lie_in(spark, duck, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    far = "IF(event_id < 400, event_id, event_id + 50000) AS event_id"
+    events = spark.read.parquet(f"{FOLDER}/events.parquet").selectExpr(far, "ts", "event_type")
+    events.orderBy("event_type").repartition(4, "event_type").write.parquet(path)
+    duck.execute(f"CREATE TEMP VIEW scattered AS SELECT * FROM '{path}/*.parquet'")
+    expected = duck.execute(entry_module.oracle_sql()["feed_archive"].replace("FROM events", "FROM scattered")).fetchall()
+    found = [tuple(r) for r in entry_module.feed_archive(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(expected)
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 531
