@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from paneledger import Config, WatermarkSpec, run_log
+from paneledger.streaming import fold
 from paneledger.streaming.fold import FoldResult, FoldTables, replay_in_batches
 from paneledger.streaming.keyed import panes_by_log, replay_by_log
 from paneledger.streaming.native import native_tumbling
@@ -55,6 +56,26 @@ def test_rows_behind_their_log_are_quarantined_and_retries_are_idempotent(spark,
     assert once == rows(whole.panes, "win_start", "count", "at_index")
 
 
+def test_rows_of_one_log_stay_in_their_tasks(spark, monkeypatch):
+    tasks, remember = [], fold.remember
+
+    def watched(df):
+        held = remember(df)
+        if "stray" in held.columns:
+            tasks.append(held.selectExpr("spark_partition_id() AS n").distinct().count())
+        return held
+
+    monkeypatch.setattr(fold, "remember", watched)
+    config = Config(100, 0, 50, "update", "idle", WatermarkSpec("bounded", bound_ms=10))
+    tables = FoldTables(spark, new_path(spark, "fold"), config, ("p", "seq"))
+    for batch in range(2):
+        rows_ = spark.range(2_000 * batch, 2_000 * batch + 2_000, 1, 4).selectExpr("'log' AS log_id", "id DIV 7 - 9 AS p", "id AS seq", "id AS t")
+        tables.fold(rows_.unionByName(rows_.where(f"seq = {2_000 * batch + 5}").selectExpr("log_id", "p - 400 AS p", "seq", "t")), batch)
+    assert min(tasks) > 3
+    # The first of the added rows opens its log, the second lies behind it.
+    assert [spark.read.parquet(tables.folder("quarantine", n)).count() for n in range(2)] == [0, 1]
+
+
 def test_state_follows_the_batch(spark, make_log):
     """Three hundred logs, of which a batch touches one: it writes that log and the windows
     it changed; a whole state comes in turn, and the result is that of one run."""
