@@ -122,9 +122,9 @@ class Encoder:
         if todo:
             self._windows.update(zip(todo, self.leaves.encode(todo)))
 
-    def forget(self) -> None:
+    def forget(self, most: int = CACHED_WINDOWS) -> None:
         """Keep the memory of windows bounded."""
-        if len(self._windows) > CACHED_WINDOWS:
+        if len(self._windows) > most:
             self._windows.clear()
 
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
@@ -215,10 +215,10 @@ class Leaves:
 
 class Parts:
     """Parts of texts -> (their ids as little-endian int32, the bytes decoded from
-    them), for the parts of the texts at hand."""
+    them, if they are wanted), for the parts of the texts at hand."""
 
-    def __init__(self, encoder: Encoder) -> None:
-        self.encoder = encoder
+    def __init__(self, encoder: Encoder, decoded: bool = True) -> None:
+        self.encoder, self.decoded = encoder, decoded
         self.firsts: dict[str, tuple[bytes, bytes]] = {}
         self.others: dict[str, tuple[bytes, bytes]] = {}
 
@@ -242,7 +242,7 @@ class Parts:
         encode, bytes_of = self.encoder.encode, self.encoder.bytes_of
         for known, part, pieces in todo:
             ids = encode(pieces[0]) if len(pieces) == 1 else tuple(token for piece in pieces for token in encode(piece))
-            known[part] = array("i", ids).tobytes(), b"".join([bytes_of[token] for token in ids])
+            known[part] = array("i", ids).tobytes(), b"".join([bytes_of[token] for token in ids]) if self.decoded else b""
         self.encoder.forget()
 
     def encoded(self, parts: list[str]) -> tuple[bytes, bytes]:
@@ -267,9 +267,9 @@ def _encoder(shared, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``decoded`` (binary, from the ids), the last
-    two columns; a name that ``docs`` has already gets underscores until it is new.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", decoded: bool = True) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) and, if wanted, ``decoded`` (binary, from the ids),
+    the last columns; a name that ``docs`` has already gets underscores until it is new.
 
     The rank file is read by the driver and broadcast; its size is the size of the
     vocabulary, whatever the corpus.
@@ -277,13 +277,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     batches_of(docs.sparkSession)
     with open(ranks_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
-    own = [new_name(docs.columns, name) for name in ("ids", "decoded")]
-    schema = T.StructType([
-        *docs.schema.fields, T.StructField(own[0], T.ArrayType(T.IntegerType(), False)), T.StructField(own[1], T.BinaryType())])
-    at = docs.columns.index(text)
+    kinds = {"ids": T.ArrayType(T.IntegerType(), False), **({"decoded": T.BinaryType()} if decoded else {})}
+    added = [T.StructField(new_name(docs.columns, name), kind) for name, kind in kinds.items()]
+    schema = T.StructType([*docs.schema.fields, *added])
+    at, own = docs.columns.index(text), [field.name for field in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Parts(_encoder(shared, pattern))
+        encoder = _encoder(shared, pattern)
+        known = Parts(encoder, decoded)
         for batch in batches:
             for rows in slices(batch, at):
                 texts = [cut(value or "") for value in rows.column(at).to_pylist()]
@@ -292,13 +293,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
                 flat = pa.array(np.frombuffer(b"".join([ids for ids, _ in found]), "<i4"))
                 offsets = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, lists, pa.array([decoded for _, decoded in found], pa.binary())], [*rows.schema.names, *own])
+                again = [pa.array([data for _, data in found], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*rows.columns, lists, *again], [*rows.schema.names, *own])
+        # The worker lives on, and so would what it has learnt of these texts.
+        encoder.forget(0)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int, bytes_: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, bytes_: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices whose texts have about so many bytes, at least a row each."""
     if not batch.num_rows:
         return

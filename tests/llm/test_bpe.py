@@ -59,6 +59,19 @@ def test_odd_rows(spark, documents, library):
     assert empty.collect() == [] and empty.columns == ["doc_id", "text", "ids", "decoded"]
 
 
+def test_ids_alone(spark, documents, library):
+    """Without the decoded bytes, parts hold none; and a task's windows end with it."""
+    rows = [(1, "one two  two\u00a0three"), (2, None)]
+    got = bpe.encode(documents(rows), RANKS, public_tokenizers.PATTERN, decoded=False)
+    assert got.columns[-1] == "ids" and "decoded" not in got.columns
+    assert sorted((r.doc_id, r.ids) for r in got.collect()) == [(1, library.encode_ordinary(rows[0][1])), (2, [])]
+    parts = bpe.Parts(bpe.Encoder(bpe.load_ranks(open(RANKS, "rb").read()), public_tokenizers.PATTERN), decoded=False)
+    parts.add([bpe.cut("xqzvkw jjqqxzv")])
+    assert {data for _, data in [*parts.firsts.values(), *parts.others.values()]} == {b""}
+    parts.encoder.forget(0)
+    assert not parts.encoder._windows
+
+
 def test_query(spark, small, library):
     texts = {row.doc_id: row.text for row in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = queries()["op2_byte_bpe"](spark, small).collect()
