@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paneledger.config import Config
 from paneledger.operators.arrival import index_log, reject_reason
+from paneledger.streaming.fold import in_parts
 from paneledger.workspace import new_path
 
 PANES = (
@@ -87,14 +88,15 @@ def panes_by_log(stream: DataFrame, order: list[str], config: Config) -> DataFra
     if config.watermark.name not in ("bounded", "bounded-naive") or (config.late_policy, config.termination) != ("update", "idle"):
         raise ValueError("keyed state serves bounded watermarks under update and idle; use streaming.fold")
     columns = PANES.replace(" STRING", "").replace(" BIGINT", "").replace(" BOOLEAN", "").split(", ")
-    whole = {c: "Int64" for c in columns if c not in ("log_id", "kind", "own_pane")}
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         log = _Log(key[0], config, state.get if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values([*order, "t"], kind="stable")
-        panes = [pane for t in rows["t"].tolist() for pane in log.add(t)]
+        arrivals = [row for part in batches for row in zip(*[part[c].tolist() for c in (*order, "t")])]
+        panes = [pane for *_, t in sorted(arrivals) for pane in log.add(t)]
         state.update(log.state())
-        yield pd.DataFrame(panes, columns=columns).astype(whole)
+        if panes:
+            # Objects, as a column of its own type for each would cost more than the log.
+            yield pd.DataFrame(panes, columns=columns, dtype=object)
 
     valid = stream.select("log_id", "t", *order).where(f"({reject_reason(order)}) IS NULL")
     return valid.groupBy("log_id").applyInPandasWithState(run, PANES, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -105,11 +107,9 @@ def replay_by_log(log: DataFrame, order: list[str], config: Config, batches: int
     starts again from its checkpoint after each."""
     spark = log.sparkSession
     source, target, checkpoint = (new_path(spark, name) for name in ("replay", "keyed", "checkpoint"))
-    index = index_log(log, order)
-    places = index.rows.select(*dict.fromkeys(["log_id", "t", *order, "i"]))
-    longest = places.agg({"i": "max"}).first()[0] + 1
+    parts = in_parts(index_log(log, order).rows.select(*dict.fromkeys(["log_id", "t", *order, "i"])), batches)
     for n in range(batches):
-        part = places.where(f"i >= {longest * n // batches} AND i < {longest * (n + 1) // batches}").drop("i")
+        part = parts.where(f"part_n = {n}").drop("part_n")
         part.write.mode("append").parquet(source)
         panes = panes_by_log(spark.readStream.schema(part.schema).parquet(source), order, config)
         panes.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()

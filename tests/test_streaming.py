@@ -106,6 +106,15 @@ def test_native_tumbling_runs(spark, make_log):
     assert rows(spark.table("native"), "win_start", "count") == [("log", 0, 2), ("log", 100, 1)]
 
 
+def test_a_replay_reads_each_part_by_itself(spark):
+    index = spark.range(0, 101, 1, 3).selectExpr("'log' AS log_id", "id AS t", "id AS i")
+    parts = fold.in_parts(index, 4)
+    for n in range(4):
+        part = parts.where(f"part_n = {n}").selectExpr("t", "input_file_name() AS file").collect()
+        assert sorted(r.t for r in part) == list(range(101 * n // 4, 101 * (n + 1) // 4))
+        assert all(f"/part_n={n}/" in r.file for r in part)
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_keyed_state_equals_one_run(make_log, batches):
     log, config = make_log(LOGS), Config(100, 17, 130, "update", "idle", WatermarkSpec("bounded", bound_ms=70))
