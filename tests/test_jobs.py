@@ -79,6 +79,20 @@ def test_changed_rows_are_named(spark):
     assert compare.same_rows(left, shifted).first().only_left == 4
 
 
+def test_equal_tables_are_read_once(spark):
+    """What made the rows of a table is not run again to find that no row differs."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    table = spark.range(500).mapInArrow(counted, "id long")
+    assert tuple(compare.same_rows(table, spark.range(500)).first()) == (500, 500, 0, 0)
+    assert made.value == 500
+
+
 def test_emission_order(run):
     order = [(r.at_index, not r.own_pane, r.opened_index) for r in run.emitted.orderBy("pos").collect()]
     assert order == sorted(order) and len(order) == run.panes.count()
