@@ -177,6 +177,12 @@ class Leaves:
         return np.where(self.pairs[at] == key, self.merged[at], NEVER)
 
     def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        tokens, ends = self.flat(pieces)
+        tokens, ends = tokens.tolist(), ends.tolist()
+        return [tuple(tokens[start:end]) for start, end in zip([0, *ends], ends)]
+
+    def flat(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces, one after the other, and where each piece ends."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         tokens = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
         piece = np.repeat(np.arange(len(pieces)), lengths)
@@ -208,9 +214,8 @@ class Leaves:
                 same = inside[piece[inside] == piece[inside + 1]]
                 ranks[same] = self.rank(tokens[same], tokens[same + 1])
         piece = np.concatenate([p for p, _ in done])
-        tokens = np.concatenate([t for _, t in done])[np.argsort(piece, kind="stable")].tolist()
-        ends = np.cumsum(np.bincount(piece, minlength=len(pieces))).tolist()
-        return [tuple(tokens[start:end]) for start, end in zip([0, *ends], ends)]
+        tokens = np.concatenate([t for _, t in done])[np.argsort(piece, kind="stable")]
+        return tokens, np.cumsum(np.bincount(piece, minlength=len(pieces)))
 
 
 class Parts:
@@ -231,13 +236,17 @@ class Parts:
         for parts in texts:
             others.update(parts[1:])
         firsts = {parts[0] for parts in texts}
-        todo = []
+        todo, short, ranks = [], [], self.encoder.ranks
         for known, prefix, new in ((self.firsts, "", firsts), (self.others, " ", others)):
-            for part in new:
-                if part not in known:
-                    text = prefix + part
-                    pieces = [text.encode()] if part.isalpha() else [piece.encode() for piece in self.encoder.pre_tokens(text)]
-                    todo.append((known, part, pieces))
+            for part in new.difference(known):
+                text = prefix + part
+                if not part.isalpha():
+                    todo.append((known, part, [piece.encode() for piece in self.encoder.pre_tokens(text)]))
+                elif len(piece := text.encode()) <= LEAF and piece not in ranks:
+                    short.append((known, part, piece))
+                else:
+                    todo.append((known, part, [piece]))
+        self._add_short(short)
         self.encoder.prepare(piece for _, _, pieces in todo for piece in pieces)
         encode, bytes_of = self.encoder.encode, self.encoder.bytes_of
         for known, part, pieces in todo:
@@ -245,6 +254,19 @@ class Parts:
             known[part] = array("i", ids).tobytes(), b"".join([bytes_of[token] for token in ids]) if self.decoded else b""
         self.encoder.forget()
 
+    def _add_short(self, short: list[tuple[dict, str, bytes]]) -> None:
+        """Parts that are one leaf each: the arrays of all, cut."""
+        if not short:
+            return
+        tokens, ends = self.encoder.leaves.flat([piece for _, _, piece in short])
+        ids = tokens.astype("<i4").tobytes()
+        again = list(map(self.encoder.bytes_of.__getitem__, tokens.tolist())) if self.decoded else []
+        sizes = np.cumsum([0, *map(len, again)]) if self.decoded else np.zeros(len(tokens) + 1, np.int64)
+        data, at, byte = b"".join(again), 0, 0
+        for (known, part, _), end, last in zip(short, (4 * ends).tolist(), sizes[ends].tolist()):
+            known[part] = ids[at:end], data[byte:last]
+            at, byte = end, last
+
     def encoded(self, parts: list[str]) -> tuple[bytes, bytes]:
         """A text's ids and its bytes again: those of its parts, concatenated."""
         others = self.others

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -72,6 +73,20 @@ def test_ids_alone(spark, documents, library):
     assert not parts.encoder._windows
 
 
+def test_short_parts_leave_no_windows(library):
+    """Parts that are one leaf are cut from the arrays of all, ids and bytes alike."""
+    encoder = bpe.Encoder(bpe.load_ranks(open(RANKS, "rb").read()), public_tokenizers.PATTERN)
+    text = "xqzvkw jjqqxzv zzyxw éèqx the xqzvkw"
+    parts = bpe.cut(text)
+    for decoded in (True, False):
+        known = bpe.Parts(encoder, decoded)
+        known.add([parts, parts])
+        assert not encoder._windows
+        ids, again = known.encoded(parts)
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode_ordinary(text)
+        assert again == (text.encode() if decoded else b"")
+
+
 def test_query(spark, small, library):
     texts = {row.doc_id: row.text for row in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = queries()["op2_byte_bpe"](spark, small).collect()
