@@ -27,7 +27,7 @@ import base64
 import heapq
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2
 _CUT = re.compile(f" (?=[^{SPACE}])")
 CACHED_PARTS = 250_000
 CACHED_WINDOWS = 300_000
-LEAF = 12
+LEAF = 16
 NEVER = 1 << 40
 
 
@@ -62,6 +62,13 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+def _text(token: bytes) -> str | None:
+    try:
+        return token.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 class Encoder:
     """Encodes and decodes by one table of ranks; ``pattern`` cuts a text into pre-tokens."""
 
@@ -70,6 +77,10 @@ class Encoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pre_tokens = regex.compile(pattern).findall
         self.leaves = Leaves(ranks)
+        self.vocabulary = pa.array([self.bytes_of.get(rank, b"") for rank in range(max(self.bytes_of) + 1)], pa.binary())
+        # Pieces that are one token, and of these the parts that are a space and a word.
+        self.whole = {text: rank.to_bytes(4, "little") for token, rank in ranks.items() if (text := _text(token))}
+        self.spaced = {text[1:]: ids for text, ids in self.whole.items() if text[0] == " " and text[1:].isalpha()}
         self._windows: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> tuple[int, ...]:
@@ -151,12 +162,32 @@ class Encoder:
         half = len(piece) // 2
         return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
 
+    def packed(self, pieces: list[str]) -> list[bytes]:
+        """The ids of many pieces that have no rank, as little-endian int32: those that are
+        one leaf are cut from the array of all."""
+        data = list(map(str.encode, pieces))
+        long = [at for at, piece in enumerate(data) if len(piece) > LEAF]
+        self.prepare(data[at] for at in long)
+        tokens, ends = self.leaves.flat([piece if len(piece) <= LEAF else b"" for piece in data])
+        ids, cuts = tokens.astype("<i4").tobytes(), (4 * ends).tolist()
+        out = [ids[first:last] for first, last in zip([0, *cuts], cuts)]
+        for at in long:
+            out[at] = array("i", self.encode(data[at])).tobytes()
+        return out
+
     def encode_text(self, text: str) -> tuple[int, ...]:
         return tuple(token for piece in self.pre_tokens(text) for token in self.encode(piece.encode()))
 
-    def decode(self, ids: tuple[int, ...]) -> bytes:
+    def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_rows(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of the ids of each row, which begin at ``offsets``: the bytes of all
+        tokens in a row, cut."""
+        _, ends, data = self.vocabulary.take(pa.array(ids)).buffers()
+        cuts = np.frombuffer(ends, np.int32)[offsets] if len(ids) else np.zeros(len(offsets), np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(cuts), data if len(ids) else pa.py_buffer(b"")])
+
 
 class Leaves:
     """Encodes many short pieces at once: each round merges, in every piece that can
@@ -169,6 +200,7 @@ class Leaves:
             for at in range(1, len(token)) if token[:at] in ranks and token[at:] in ranks)
         self.pairs = np.array([pair for pair, _ in pairs] + [np.iinfo(np.int64).max])
         self.merged = np.array([rank for _, rank in pairs] + [NEVER])
+        self.of_bytes = self.rank(self.single[:, None], self.single[None, :])
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of two neighbours put together, NEVER if they have none."""
@@ -184,10 +216,13 @@ class Leaves:
     def flat(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all pieces, one after the other, and where each piece ends."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        tokens = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        if not len(data):
+            return np.zeros(0, np.int64), lengths
+        tokens = self.single[data]
         piece = np.repeat(np.arange(len(pieces)), lengths)
         ranks = np.full(len(tokens), NEVER)
-        ranks[:-1] = np.where(piece[1:] == piece[:-1], self.rank(tokens[:-1], tokens[1:]), NEVER)
+        ranks[:-1] = np.where(piece[1:] == piece[:-1], self.of_bytes[data[:-1], data[1:]], NEVER)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(tokens):
             starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
@@ -219,61 +254,52 @@ class Leaves:
 
 
 class Parts:
-    """Parts of texts -> (their ids as little-endian int32, the bytes decoded from
-    them, if they are wanted), for the parts of the texts at hand."""
+    """Parts of texts -> their ids as little-endian int32, for the parts of the texts at
+    hand; ``decoded``: whether the bytes decoded from them are wanted."""
 
     def __init__(self, encoder: Encoder, decoded: bool = True) -> None:
         self.encoder, self.decoded = encoder, decoded
-        self.firsts: dict[str, tuple[bytes, bytes]] = {}
-        self.others: dict[str, tuple[bytes, bytes]] = {}
+        self._firsts: dict[str, bytes] = {}
+        self._others = encoder.spaced.copy()
 
     def add(self, texts: list[list[str]]) -> None:
         """Encode what is not known yet, the leaves of all pieces at once."""
-        if len(self.others) + len(self.firsts) >= CACHED_PARTS:
-            self.firsts.clear()
-            self.others.clear()
+        if len(self._others) + len(self._firsts) >= CACHED_PARTS:
+            self._firsts, self._others = {}, self.encoder.spaced.copy()
         others: set[str] = set()
         for parts in texts:
             others.update(parts[1:])
         firsts = {parts[0] for parts in texts}
-        todo, short, ranks = [], [], self.encoder.ranks
-        for known, prefix, new in ((self.firsts, "", firsts), (self.others, " ", others)):
-            for part in new.difference(known):
-                text = prefix + part
-                if not part.isalpha():
-                    todo.append((known, part, [piece.encode() for piece in self.encoder.pre_tokens(text)]))
-                elif len(piece := text.encode()) <= LEAF and piece not in ranks:
-                    short.append((known, part, piece))
-                else:
-                    todo.append((known, part, [piece]))
-        self._add_short(short)
-        self.encoder.prepare(piece for _, _, pieces in todo for piece in pieces)
-        encode, bytes_of = self.encoder.encode, self.encoder.bytes_of
-        for known, part, pieces in todo:
-            ids = encode(pieces[0]) if len(pieces) == 1 else tuple(token for piece in pieces for token in encode(piece))
-            known[part] = array("i", ids).tobytes(), b"".join([bytes_of[token] for token in ids]) if self.decoded else b""
+        pre_tokens, whole = self.encoder.pre_tokens, self.encoder.whole
+        for known, prefix, parts in ((self._firsts, "", firsts), (self._others, " ", others)):
+            new = parts.difference(known)
+            words = [part for part in new if part.isalpha()]  # a piece each
+            known.update(zip(words, self.encoder.packed([prefix + word for word in words])))
+            mixed = [part for part in new if not part.isalpha()]
+            cuts = [pre_tokens(prefix + part) for part in mixed]
+            pieces = list({piece for cut in cuts for piece in cut}.difference(whole))
+            found = whole | dict(zip(pieces, self.encoder.packed(pieces)))
+            known.update(zip(mixed, [b"".join([found[piece] for piece in cut]) for cut in cuts]))
         self.encoder.forget()
 
-    def _add_short(self, short: list[tuple[dict, str, bytes]]) -> None:
-        """Parts that are one leaf each: the arrays of all, cut."""
-        if not short:
-            return
-        tokens, ends = self.encoder.leaves.flat([piece for _, _, piece in short])
-        ids = tokens.astype("<i4").tobytes()
-        again = list(map(self.encoder.bytes_of.__getitem__, tokens.tolist())) if self.decoded else []
-        sizes = np.cumsum([0, *map(len, again)]) if self.decoded else np.zeros(len(tokens) + 1, np.int64)
-        data, at, byte = b"".join(again), 0, 0
-        for (known, part, _), end, last in zip(short, (4 * ends).tolist(), sizes[ends].tolist()):
-            known[part] = ids[at:end], data[byte:last]
-            at, byte = end, last
+    def ids(self, parts: list[str]) -> bytes:
+        """A text's ids: those of its parts, concatenated."""
+        return self._firsts[parts[0]] + b"".join(map(self._others.__getitem__, parts[1:]))
 
     def encoded(self, parts: list[str]) -> tuple[bytes, bytes]:
-        """A text's ids and its bytes again: those of its parts, concatenated."""
-        others = self.others
-        pairs = [self.firsts[parts[0]]]
-        pairs += [others[part] for part in parts[1:]]
-        ids, decoded = zip(*pairs)
-        return b"".join(ids), b"".join(decoded)
+        """A text's ids and its bytes again."""
+        return self._pair(self.ids(parts))
+
+    @property
+    def firsts(self) -> dict[str, tuple[bytes, bytes]]:
+        return {part: self._pair(ids) for part, ids in self._firsts.items()}
+
+    @property
+    def others(self) -> dict[str, tuple[bytes, bytes]]:
+        return {part: self._pair(ids) for part, ids in self._others.items()}
+
+    def _pair(self, ids: bytes) -> tuple[bytes, bytes]:
+        return ids, self.encoder.decode(np.frombuffer(ids, "<i4").tolist()) if self.decoded else b""
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -311,11 +337,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
             for rows in slices(batch, at):
                 texts = [cut(value or "") for value in rows.column(at).to_pylist()]
                 known.add(texts)
-                found = [known.encoded(parts) for parts in texts]
-                flat = pa.array(np.frombuffer(b"".join([ids for ids, _ in found]), "<i4"))
-                offsets = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-                again = [pa.array([data for _, data in found], pa.binary())] if decoded else []
+                found = [known.ids(parts) for parts in texts]
+                flat = np.frombuffer(b"".join(found), "<i4")
+                offsets = np.cumsum([0, *(len(ids) // 4 for ids in found)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+                again = [encoder.decode_rows(flat, offsets)] if decoded else []
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists, *again], [*rows.schema.names, *own])
         # The worker lives on, and so would what it has learnt of these texts.
         encoder.forget(0)

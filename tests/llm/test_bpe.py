@@ -87,6 +87,21 @@ def test_short_parts_leave_no_windows(library):
         assert again == (text.encode() if decoded else b"")
 
 
+def test_short_pieces_leave_no_windows(library):
+    """Parts of several short pieces are cut from the arrays of all too, and the bytes of
+    many rows come from the ids of all."""
+    encoder = bpe.Encoder(bpe.load_ranks(open(RANKS, "rb").read()), public_tokenizers.PATTERN)
+    texts = ["xqzvkw, jjqqxzv's 12zzv!? the", "", " ", "éèqx.  zzyxw\nqq", "日本 of, the."]
+    known = bpe.Parts(encoder)
+    known.add([bpe.cut(text) for text in texts])
+    assert not encoder._windows
+    ids = [np.frombuffer(known.ids(bpe.cut(text)), "<i4") for text in texts]
+    assert [row.tolist() for row in ids] == [library.encode_ordinary(text) for text in texts]
+    again = encoder.decode_rows(np.concatenate(ids), np.cumsum([0, *map(len, ids)]))
+    assert again.to_pylist() == [text.encode() for text in texts]
+    assert encoder.decode_rows(np.zeros(0, np.int32), np.zeros(3, np.int64)).to_pylist() == [b"", b""]
+
+
 def test_query(spark, small, library):
     texts = {row.doc_id: row.text for row in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = queries()["op2_byte_bpe"](spark, small).collect()
