@@ -50,8 +50,11 @@ MOST_FREQUENT = 200_000
 ALPHA, DELTA = 0.5, 0.5
 _WORDS_AT_ONCE = 4_000_000
 _CELLS_AT_ONCE = 2_000_000
+_PARTS_OF_CELLS = 256
 _TIMES_AT_HAND = 4
 _STEPS = 64
+_LOWERED = np.arange(256, dtype=np.uint64)
+_LOWERED[65:91] += 32
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -67,12 +70,12 @@ def class_number(words: int) -> int:
 
 
 def suffix_of(words: Words, suffixes: int) -> np.ndarray:
-    """The group of every word, from its last three bytes."""
+    """The group of every word, from its last three bytes (A-Z lower-cased)."""
     ends = words.ends - 1
-    code = words.data[ends].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
+    code = _LOWERED[words.data[ends]] if len(ends) else np.zeros(0, np.uint64)
     for back in (1, 2):
         at = ends - back
-        code = code << np.uint64(8) | np.where(at >= words.starts, words.data[np.maximum(at, 0)], 0).astype(np.uint64)
+        code = code << np.uint64(8) | np.where(at >= words.starts, _LOWERED[words.data[np.maximum(at, 0)]], np.uint64(0))
     return (mixed(code) % np.uint64(suffixes)).astype(np.int64)
 
 
@@ -118,7 +121,11 @@ class Units:
         return self.end + 1 + len(self.tail)
 
     def of(self, words: Words, hashes: np.ndarray) -> np.ndarray:
-        units = len(self.words) + suffix_of(words, self.suffixes)
+        return self.by_group(hashes, suffix_of(words, self.suffixes))
+
+    def by_group(self, hashes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """The units of words, from their hashes and the groups they end like."""
+        units = len(self.words) + groups
         rest = np.arange(len(hashes))
         for known, first in ((self.words, 0), (self.tail, self.end + 1)):
             if len(known):
@@ -172,8 +179,11 @@ def tokens_of(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray]:
 
 def neighbours(ids: DataFrame, end: int, rows: np.ndarray, classes: np.ndarray, n_rows: int, n_classes: int) -> np.ndarray:
     """``[0, r, c]``: how often class ``c`` stands before a unit of row ``r``; ``[1, r, c]``:
-    after it. Counted in tasks and summed by cell: the result does not grow with the words."""
+    after it. Counted in tasks and summed by parts of the table, which does not grow with
+    the words: a task hands on one byte a cell, and what is above it for the few large ones."""
     shape = (2, n_rows, n_classes)
+    n_cells = 2 * n_rows * n_classes
+    rims = np.linspace(0, n_cells, _PARTS_OF_CELLS + 1).astype(np.int64)
     shared = ids.sparkSession.sparkContext.broadcast((rows.astype(np.int32), classes.astype(np.int16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +200,30 @@ def neighbours(ids: DataFrame, end: int, rows: np.ndarray, classes: np.ndarray,
                 at, c = line[some], of[some]
                 cells[:half] += np.bincount(at[1:] + c[:-1], minlength=half)
                 cells[half:] += np.bincount(at[:-1] + c[1:], minlength=half)
-        found = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([_int64(found), _int64(cells[found])], ["cell", "n"])
-
-    summed = ids.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        low, large = cells.astype(np.uint8), np.flatnonzero(cells >= 256)
+        bounds = np.searchsorted(large, rims)
+        at, above = (large - np.repeat(rims[:-1], np.diff(bounds))).astype("<i4"), (cells[large] >> 8).astype("<i8")
+        columns = [low[a:b].tobytes() for a, b in zip(rims, rims[1:])], *(
+            [column[a:b].tobytes() for a, b in zip(bounds, bounds[1:])] for column in (at, above))
+        some = pa.array(np.arange(_PARTS_OF_CELLS, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([some, *(pa.array(column, pa.binary()) for column in columns)], ["part", "low", "at", "above"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, low, at, above in zip(*(column.to_pylist() for column in batch.columns)):
+                own = sums.setdefault(part, np.zeros(len(low), np.int64))
+                own += np.frombuffer(low, np.uint8)
+                own[np.frombuffer(at, "<i4")] += np.frombuffer(above, "<i8") << 8
+        yield pa.RecordBatch.from_arrays([
+            pa.array(list(sums), pa.int32()), pa.array([own.astype("<i8").tobytes() for own in sums.values()], pa.binary())], ["part", "n"])
+
+    found = ids.mapInArrow(run, "part int, low binary, at binary, above binary").repartition(F.col("part")).mapInArrow(
+        summed, "part int, n binary").toArrow()
     shared.destroy()
-    cells = np.zeros(shape[0] * shape[1] * shape[2])
-    cells[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    cells = np.zeros(n_cells)
+    for part, n in zip(found["part"].to_pylist(), found["n"].to_pylist()):
+        cells[rims[part]:rims[part + 1]] = np.frombuffer(n, "<i8")
     return cells.reshape(shape)
 
 
@@ -491,28 +518,29 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     classes, bigrams = cluster(ids, units, by_frequency, groups[order], class_number(len(chosen) + len(order)))
     smoothed = bigrams + ALPHA
     transitions = np.log10(smoothed / smoothed.sum(axis=1, keepdims=True))
-    sums = _class_sums(texts, units, classes, len(bigrams))
+    sums = _class_sums(counts, units, classes, len(bigrams))
     shares = -np.log10(sums[:, 0] + DELTA * (sums[:, 1] + 1))
     shares[-1] = 0.0
     return Model(units, classes, transitions, shares, known_words, times, total.n + n_texts, total.v + (n_texts > 0), n_texts), counts
 
 
-def _class_sums(texts: DataFrame, units: Units, classes: np.ndarray, n_classes: int) -> np.ndarray:
+def _class_sums(counts: DataFrame, units: Units, classes: np.ndarray, n_classes: int) -> np.ndarray:
     """``[c] = (N, V)``: tokens and different words of each class."""
-    shared = texts.sparkSession.sparkContext.broadcast((units, classes))
+    shared = counts.sparkSession.sparkContext.broadcast((units, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of = shared.value
+        sums = np.zeros((2, n_classes), np.int64)
         for batch in batches:
-            for words in words_of(batch.column("text"), 4 << 20):
-                hashes = words.hashes()
-                found, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                some = Words(0, 0, words.data, words.offsets, words.starts[first], words.ends[first])
-                yield pa.RecordBatch.from_arrays([_int64(found), _int64(of[own.of(some, found)]), _int64(n)], ["word", "class", "n"])
+            words, groups, n = (batch.column(name).to_numpy() for name in ("word", "suffix", "n"))
+            c = of[own.by_group(words.view(np.uint64), groups.astype(np.int64))]
+            np.add.at(sums[0], c, n)
+            sums[1] += np.bincount(c, minlength=n_classes)
+        yield pa.RecordBatch.from_arrays([_int64(np.arange(n_classes)), *map(_int64, sums)], ["class", "n", "v"])
 
-    words = texts.mapInArrow(run, "word long, class long, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
     sums = np.zeros((n_classes, 2))
-    for row in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+    by_task = counts.select("word", "suffix", "n").mapInArrow(run, "class long, n long, v long")
+    for row in by_task.groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         sums[row["class"]] = row.n, row.v
     return sums
 

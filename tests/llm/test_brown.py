@@ -131,6 +131,35 @@ def test_words_outside_the_head_are_exchanged(spark, documents, monkeypatch, at_
     assert sum(row.score - row.base_score for row in got) > 0.3 * sum(row.n_tokens for row in got)
 
 
+def test_neighbours_are_summed_by_parts(spark, monkeypatch):
+    """Counts below and above a byte, from several tasks; the parts of the table are rows, not its cells."""
+    rng = np.random.default_rng(5)
+    texts = [np.append(rng.integers(0, 40, 3000) ** 3 // 1600, 40).astype("<i4") for _ in range(9)]
+    rows = [(text.tobytes(),) for text in texts]
+    ids = spark.createDataFrame(rows, "ids binary").repartition(3)
+    expected, classes = np.zeros((2, 41, 6)), np.append(np.arange(40) % 5, 5)
+    for text in texts:
+        for before, after in zip([40, *text[:-1]], text):
+            expected[0, after, classes[before]] += 1
+            expected[1, before, classes[after]] += 1
+    assert expected.max() > 256
+    handed_on, plain = [], type(ids).toArrow
+    monkeypatch.setattr(type(ids), "toArrow", lambda frame: handed_on.append(plain(frame)) or handed_on[-1])
+    assert (brown.neighbours(ids, 40, np.arange(41), classes, 41, 6) == expected).all()
+    assert handed_on[0].column_names == ["part", "n"] and handed_on[0].num_rows <= brown._PARTS_OF_CELLS
+
+
+def test_group_of_a_word_whatever_its_case(spark, documents):
+    """Every word is in one class, and tokens and words of the classes are those of the counts."""
+    block, = brown.words_of(__import__("pyarrow").array(["Foo FOO foo fOo"]))
+    assert len(set(brown.suffix_of(block, brown.SUFFIXES).tolist())) == 1
+    docs = documents([(k, f"Word{k} wORD{k} ENDS{k} thing") for k in range(40)])
+    model, counts = brown.learn(docs)
+    sums = brown._class_sums(counts, model.units, model.classes, len(model.transitions))
+    words = [word for k in range(40) if not held(k) for word in (f"word{k}", f"word{k}", f"ends{k}", "thing")]
+    assert sums[:, 0].sum() == len(words) and sums[:, 1].sum() == len(set(words))
+
+
 def test_classes_grow_with_words():
     assert brown.class_number(75) == 32 and brown.class_number(10 ** 6) == 63 and brown.class_number(10 ** 8) == 200
 
