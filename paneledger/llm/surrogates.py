@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,12 @@ from paneledger.llm.text import batches_of, free_names
 from paneledger.workspace import keep
 
 MOST_ATTEMPTS, GROWS_AFTER = 24, 8
+# Entities that are tried again are looked for by a broadcast of their hashes up to so
+# many, else by shuffle; a task keeps so many surrogates that it has made.
+BROADCAST_HASHES = 400_000
+CACHED_SURROGATES = 50_000
+# Most characters that are permuted as one number; of longer texts so many at once.
+TOGETHER, BLOCK = 340, 256
 
 # Given names by script and gender, honorifics by gender.
 GIVEN = {
@@ -74,6 +81,13 @@ _ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _SECRET = re.compile(
     r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*(?P<quote>[\"']?)(?P<value>[A-Za-z0-9+/_.~!@#$%^&*-]{4,}[A-Za-z0-9+/_~=-])(?P=quote)")
 _ASSIGNED = re.compile(r"(?i)(?:passw|pwd|secret|token|key)[a-z]*[\"']?\s*[=:]")
+# Where an entity may begin, or lie: patterns that start with what is rare, so that a
+# text is run through quickly; only there the patterns above are tried.
+_NUMERIC = re.compile(r"[0-9+(][0-9+(). -]{6,}")
+_COUNTRY = re.compile(r"[A-Z]{2}[0-9]{2}")
+_TITLED = re.compile(rf"(?:{_TITLE}) ")
+_CALLED = re.compile(rf"(?:{_FIRST}) ")
+_KEYWORDS = ("passw", "pwd", "secret", "token", "key")
 # What stands between the groups of a kind that is written in groups.
 _BETWEEN = {"iban": " ", "phone": " .-"}
 # Most digits of a phone number after these calling codes; else 15 with the code.
@@ -144,9 +158,10 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     starts: list[int] = []  # of what is found, in order, and where each ends
     ends: list[int] = []
 
-    def add(kind: str, pattern: re.Pattern, group: str | int = 0) -> None:
+    def add(kind: str, matches: Callable[[int], re.Match | None], pattern: re.Pattern, group: str | int = 0) -> None:
+        """``matches`` gives the first match of the pattern from a place on."""
         at = 0
-        while match := pattern.search(text, at):
+        while match := matches(at):
             start, end = match.span(group)
             at = match.start() + 1
             for stop in _stops(kind, text, start, end):
@@ -161,23 +176,78 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                     at = max(at, stop)
                     break
 
-    digits = _DIGIT.search(text) is not None
-    if ("=" in text or ":" in text) and _ASSIGNED.search(text):
-        add("secret", _SECRET, "value")
+    if ("=" in text or ":" in text) and any(map(text.casefold().__contains__, _KEYWORDS)) and _ASSIGNED.search(text):
+        add("secret", lambda at: _SECRET.search(text, at), _SECRET, "value")
     if "AKIA" in text or "ASIA" in text:
-        add("access", _ACCESS)
+        add("access", lambda at: _ACCESS.search(text, at), _ACCESS)
     if "@" in text:
-        add("email", _EMAIL)
-    if digits:
-        for kind, pattern in (("iban", _IBAN), ("card", _CARD), ("ssn", _SSN), ("phone", _PHONE), ("ip", _IP)):
-            add(kind, pattern)
-    if any(title in text for title in _HONORIFIC_GENDER):
-        add("name", _HONORED, "name")
-    if any(name in text for name in _GIVEN_GENDER):
-        add("name", _NAMED, "name")
+        add("email", lambda at: _address(text, at), _EMAIL)
+    if _DIGIT.search(text):
+        if begins := [match.start() for match in _COUNTRY.finditer(text)]:
+            add("iban", _Begins(text, _IBAN, begins), _IBAN)
+        if spans := [match.span() for match in _NUMERIC.finditer(text)]:
+            for kind, pattern in (("card", _CARD), ("ssn", _SSN), ("phone", _PHONE), ("ip", _IP)):
+                add(kind, _Inside(text, pattern, spans), pattern)
+    for hint, pattern in ((_TITLED, _HONORED), (_CALLED, _NAMED)):
+        if begins := [match.start() for match in hint.finditer(text)]:
+            add("name", _Begins(text, pattern, begins), pattern, "name")
     return sorted(found)
 
 
+def _address(text: str, at: int) -> re.Match | None:
+    """The first address from here on: no more than 64 characters before the first @."""
+    place = text.find("@", at)
+    return _EMAIL.search(text, max(at, place - 64)) if place >= 0 else None
+
+
+class _Begins:
+    """The first match from a place on, of a pattern that matches at some of the given
+    places only. Places are asked for in order."""
+
+    def __init__(self, text: str, pattern: re.Pattern, places: list[int]) -> None:
+        self.text, self.pattern, self.places, self.next = text, pattern, places, 0
+
+    def __call__(self, at: int) -> re.Match | None:
+        while self.next < len(self.places):
+            if self.places[self.next] >= at and (match := self.pattern.match(self.text, self.places[self.next])):
+                return match
+            self.next += 1
+        return None
+
+
+class _Inside:
+    """The first match from a place on, of a pattern whose matches lie inside the given
+    spans only; it looks one character beyond them. Places are asked for in order."""
+
+    def __init__(self, text: str, pattern: re.Pattern, spans: list[tuple[int, int]]) -> None:
+        self.text, self.pattern, self.spans, self.next = text, pattern, spans, 0
+
+    def __call__(self, at: int) -> re.Match | None:
+        while self.next < len(self.spans):
+            start, end = self.spans[self.next]
+            if match := self.pattern.search(self.text, max(at, start), end + 1):
+                return match
+            self.next += 1
+        return None
+
+
+def _side(size: int) -> int:
+    """A number whose square is at least ``size``: from the root as a float, which is too
+    low by astronomic steps where the size is large, else the next whole root."""
+    side = int(size ** 0.5) + 1 if size.bit_length() < 1024 else 0  # no float is larger
+    return side if side * side >= size else math.isqrt(size - 1) + 1
+
+
+def _stretched(number: hashlib.blake2b, most: int) -> bytes:
+    """The digest, made as long as ``most`` if that is longer: else the first characters
+    of a long value would stay as they are."""
+    data = number.digest()
+    while 8 * len(data) < most.bit_length():
+        number.update(data[-32:])
+        data += number.digest()
+    return data
+
+
 class Surrogates:
     """Surrogates under one secret key."""
 
@@ -193,19 +263,29 @@ class Surrogates:
         of a mixed base, walked on until inside."""
         if size < 2:
             return value
-        side = int(size ** 0.5) + 1
-        while side * side < size:
-            side += 1
+        side = _side(size)
+        narrow = side.bit_length() <= 256
+        keyed = hashlib.blake2b("\x1f".join([*map(str, tweak), str(size), ""]).encode(), key=self.key, digest_size=32)
         while True:
             left, right = divmod(value, side)
             for turn in range(8):
-                left, right = right, (left + self._number(*tweak, size, turn, right)) % side
+                number = keyed.copy()
+                number.update(b"%d\x1f%d" % (turn, right))
+                data = number.digest() if narrow else _stretched(number, side)
+                left, right = right, (left + int.from_bytes(data, "big")) % side
             value = left * side + right
             if value < size:
                 return value
 
     def shaped(self, text: str, alphabets: Callable[[str], str | None], *tweak: object) -> str:
-        """Permute all characters that have an alphabet, together, within the shape."""
+        """Permute all characters that have an alphabet, together, within the shape; those of
+        a long text in blocks, each under what the blocks before have become."""
+        if len(text) > TOGETHER and sum(alphabets(c) is not None for c in text) > TOGETHER:
+            out, before = [], self._number("blocks", *tweak, len(text))
+            for first in range(0, len(text), BLOCK):
+                out.append(self.shaped(text[first:first + BLOCK], alphabets, *tweak, before))
+                before = self._number(before, out[-1])
+            return "".join(out)
         sets = [alphabets(c) for c in text]
         value, size = 0, 1
         for c, alphabet in zip(text, sets):
@@ -313,16 +393,10 @@ _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 _LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
 
 
-def _classes(c: str) -> str | None:
-    return next((letters for letters in _SETS if c in letters), None)
-
-
-def _digits(c: str) -> str | None:
-    return _SETS[0] if c in _SETS[0] else None
-
-
-def _letters(c: str) -> str | None:
-    return next((letters for letters in _LETTERS if c in letters), None)
+# The alphabet of a character, if it has one.
+_classes: Callable[[str], str | None] = {c: letters for letters in _SETS for c in letters}.get
+_digits: Callable[[str], str | None] = dict.fromkeys(_SETS[0], _SETS[0]).get
+_letters: Callable[[str], str | None] = {c: letters for letters in _LETTERS for c in letters}.get
 
 
 def gendered(text: str, start: int, name: str) -> str:
@@ -380,21 +454,58 @@ def _surrogates(values: DataFrame, key: bytes) -> DataFrame:
     return values.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, surrogate string")
 
 
+def _among(rows: DataFrame, others: DataFrame, n: int, key: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows whose key is (or is not) among the ``n`` rows of ``others``."""
+    others = others.select(key)
+    return rows.join(F.broadcast(others) if n <= BROADCAST_HASHES else others, key, how)
+
+
+def _clashes(made: DataFrame, n: int, taken: DataFrame) -> DataFrame:
+    """``(kind, value)`` of the ``n`` entities ``made`` whose surrogate is taken, or is that of
+    a smaller value of them.
+
+    Whole tables meet as hashes only; strings are compared of those few whose hash is
+    not alone."""
+    hashed = F.xxhash64("kind", "surrogate").alias("hash")
+    new, near = made.select("*", hashed), taken.select("kind", "surrogate", hashed)
+    if n <= BROADCAST_HASHES:
+        near = _among(near, new, n, ["hash"])
+    else:
+        both = new.select("hash", F.lit(1).alias("n"), F.lit(0).alias("used")).unionByName(near.select("hash", F.lit(0).alias("n"), F.lit(1).alias("used")))
+        met = keep(both.groupBy("hash").agg(F.sum("n").alias("n"), F.max("used").alias("used")).where("n > 1 OR n = 1 AND used = 1").select("hash"), "hashes")
+        n_met = met.count()
+        new, near = _among(new, met, n_met, ["hash"]), _among(near, met, n_met, ["hash"])
+    new = new.select("kind", "surrogate", "value")
+    both = new.unionByName(near.select("kind", "surrogate", F.lit(None).cast("string").alias("value")))
+    lost = both.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("value").alias("n"), (F.count("*") > F.count("value")).alias("used"))
+    return new.join(lost.where("n > 1 OR n = 1 AND used").drop("n"), ["kind", "surrogate"]).where("used OR value <> first").select("kind", "value")
+
+
 def attempts(values: DataFrame, key: bytes) -> DataFrame:
     """``(kind, value, attempt)`` of the distinct ``values`` whose first surrogate was
-    taken, is an entity of the corpus, or is the entity itself."""
-    current = keep(_surrogates(values.withColumn("attempt", F.lit(0)), key), "surrogates")
+    taken, is an entity of the corpus, or is the entity itself.
+
+    A round looks at the entities that clashed in the round before, no others: what has
+    kept its surrogate once keeps it."""
+    made = keep(_surrogates(values.withColumn("attempt", F.lit(0)), key), "surrogates")
+    real, n = made.select("kind", F.col("value").alias("surrogate")), made.count()
+    settled: list[DataFrame] = []  # at the first attempt, and at later ones
     for round_ in range(MOST_ATTEMPTS):
-        firsts = current.groupBy("kind", "surrogate").agg(F.min_by("value", F.struct("attempt", "value")).alias("first"), F.count("*").alias("n"))
-        shared = firsts.where("n > 1").select("kind", "surrogate", "first")
-        clash = current.join(shared, ["kind", "surrogate"]).where("value <> first").select("kind", "value")
-        real = current.select("kind", F.col("value").alias("surrogate"))
-        clash = keep(clash.unionByName(current.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value")).distinct(), "clashes")
-        if clash.isEmpty():
-            return current.where("attempt > 0").select("kind", "value", "attempt")
-        again = current.join(clash, ["kind", "value"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
-        rest = current.join(clash, ["kind", "value"], "left_anti")
-        current = keep(rest.unionByName(_surrogates(again, key)), "surrogates")
+        taken = real
+        for rows in settled:
+            taken = taken.unionByName(rows.select("kind", "surrogate"))
+        clash = keep(_clashes(made, n, taken), "clashes")
+        n_clash = clash.count()
+        if not n_clash:
+            later = made if round_ else made.where("false")
+            for rows in settled[1:]:
+                later = later.unionByName(rows)
+            return later.select("kind", "value", "attempt")
+        rest = _among(made, clash, n_clash, ["kind", "value"], "left_anti")
+        if len(settled) > 1:
+            rest = settled.pop().unionByName(rest)
+        settled.append(keep(rest, "settled"))
+        made, n = keep(_surrogates(clash.withColumn("attempt", F.lit(round_ + 1)), key), "surrogates"), n_clash
     raise RuntimeError("surrogates still clash; use another key")
 
 
@@ -410,6 +521,15 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text", count: str | None
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Surrogates(key)
+        made: dict[tuple[str, str, int], str] = {}
+
+        def surrogate_of(*entity: str | int) -> str:
+            if entity not in made:
+                if len(made) >= CACHED_SURROGATES:
+                    made.clear()
+                made[entity] = make.of(*entity)
+            return made[entity]
+
         for batch in batches:
             tried = batch.column(len(columns)).to_pylist() if batch.num_columns > len(columns) else [None] * batch.num_rows
             texts, counts = [], []
@@ -417,7 +537,7 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text", count: str | None
                 parts, end, spans = [], 0, detected(value) if value else []
                 own = {(x["kind"], x["value"]): x["attempt"] for x in own or ()}
                 for start, stop, kind, canonical in spans:
-                    surrogate = make.of(kind, canonical, own.get((kind, canonical), 0))
+                    surrogate = surrogate_of(kind, canonical, own.get((kind, canonical), 0))
                     parts += value[end:start], rendered(kind, value[start:stop], surrogate)
                     end = stop
                 texts.append("".join([*parts, value[end:]]) if spans else value)

@@ -152,3 +152,77 @@ def test_many_entities_take_no_square_time():
     start = time.perf_counter()
     assert len(entities(text)) == 30_000
     assert time.perf_counter() - start < 5
+
+
+LONG = {
+    "email": "maximilian.featherstonehaugh@international-consulting.example.com", "secret": "Ab3" * 60, "blob": "q7Z+" * 60_000,
+    "hex": "0123456789abcdef" * 16,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_entities_end_and_hide_all(kind):
+    """The root of a large size as a float may be too low by more steps than can be taken."""
+    make, value = Surrogates(KEY), LONG[kind]
+    start = time.perf_counter()
+    new = make.of("email" if kind == "email" else "secret", value)
+    other = make.of("email" if kind == "email" else "secret", value[:-1] + chr(ord(value[-1]) ^ 1))
+    assert time.perf_counter() - start < 20
+    assert len(new) == len(value) and [c.isdigit() for c in new if kind != "hex"] == [c.isdigit() for c in value if kind != "hex"]
+    assert new != other
+    head = 10 if kind == "email" else 20  # nothing of the beginning stays
+    assert sum(a == b for a, b in zip(new[:head], value[:head])) < 8
+
+
+def test_side_is_the_first_root_from_the_float_on():
+    for size in (*range(2, 3_000), 26**7 * 1_000, 26**26 * 10, 26**60, 10**400):
+        side = surrogates._side(size)
+        assert side * side >= size and (size < 1 << 100 and (side - 2) ** 2 < size or side <= surrogates.math.isqrt(size) + 2 + (surrogates.math.isqrt(size) >> 51))
+
+
+def test_long_entities_in_documents(spark, documents):
+    """Rows that took no end of time."""
+    texts = [f"mail {LONG['email']} and token={LONG['blob'][:5_000]}", f"again {LONG['email'].upper()}"]
+    got = {row.doc_id: row.text for row in replaced(documents(list(enumerate(texts))), KEY).collect()}
+    found = {k: [(kind, value) for _, _, kind, value in detected(text)] for k, text in got.items()}
+    assert [kind for kind, _ in found[0]] == ["email", "secret"] and found[1] == found[0][:1]
+    assert LONG["email"] not in got[0] and LONG["blob"][:20] not in got[0]
+
+
+def plain_attempts(values: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """All entities looked at in every round."""
+    tried, make = dict.fromkeys(values, 0), Surrogates(KEY)
+    while True:
+        made = {entity: (entity[0], make.of(*entity, attempt)) for entity, attempt in tried.items()}
+        first: dict[tuple[str, str], tuple[str, str]] = {}
+        for entity in sorted(made, key=lambda e: (tried[e], e[1])):
+            first.setdefault(made[entity], entity)
+        clash = [entity for entity, new in made.items() if new in tried or first[new] != entity]
+        if not clash:
+            return {entity: attempt for entity, attempt in tried.items() if attempt}
+        for entity in clash:
+            tried[entity] += 1
+
+
+@pytest.mark.parametrize("most", [surrogates.BROADCAST_HASHES, 5])
+def test_rounds_look_at_what_clashed_only(spark, monkeypatch, most):
+    """The same attempts as when every round looks at all entities; no round after the
+    first makes surrogates of more than what clashed."""
+    monkeypatch.setattr(surrogates, "BROADCAST_HASHES", most)
+    values = [("name", f"{g}|{a} {f}") for g in "mf" for a in ("Hans", "Anna", "Foo", "Bar") for f in ("Li", "Lo", "Na", "Axe", "Abe")]
+    values += [("secret", f"{k:02d}") for k in range(60)] + [("ip", f"192.168.{k}.{k}") for k in range(40)]
+    sizes, make = [], surrogates._surrogates
+    monkeypatch.setattr(surrogates, "_surrogates", lambda rows, key: sizes.append(rows.count()) or make(rows, key))
+    got = {(row.kind, row.value): row.attempt for row in surrogates.attempts(spark.createDataFrame(values, "kind string, value string"), KEY).collect()}
+    want = plain_attempts(values)
+    assert got == want and max(want.values()) > 2
+    assert sizes == [len(values), *(sum(attempt > k for attempt in want.values()) for k in range(max(want.values())))]
+
+
+def test_candidates_miss_no_entity():
+    """Entities beside whatever looks like the beginning of one."""
+    assert [k for *_, k, _ in entities("JoAnna Anna Schmidt, Dr Dr Meier")] == ["name", "name"]
+    assert [c for *_, c in entities("AB12 DE89370400440532013000 AB12")] == ["DE89370400440532013000"]
+    assert [c for *_, c in entities("@ @a %b@c.de " + "x" * 70 + "@q.de x@q.de")] == ["b@c.de", "x@q.de"]
+    assert [c for *_, c in entities("1. (2) +3 10.0.0.1 7-8 (826) 555-4081")] == ["8265554081", "10.0.0.1"][::-1]
+    assert [k for *_, k, _ in entities("paſsword=abcd1 To\u212aen:abcd1")] == ["secret", "secret"]
