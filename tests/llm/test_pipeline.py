@@ -76,6 +76,16 @@ def test_personal_data_and_ids(stages):
     assert all(row.ids == library.encode_ordinary(row.text) for row in stages[5].collect())
 
 
+def test_ids_are_decoded_again(spark, stages):
+    """Every row has the bytes of its ids, whatever columns it had."""
+    rows = stages[5].collect()
+    assert rows and stages[5].columns == [*stages[4].columns, "ids", "decoded"]
+    assert all(bytes(row.decoded) == row.text.encode() for row in rows)
+    docs = spark.createDataFrame([(1, "é  of\n12 \u3000x", 5), (1, None, 6), (None, "", 7)], "doc_id long, text string, decoded int")
+    got = corpus_pipeline.encoded(spark, docs, "").collect()
+    assert sorted((row.decoded, bytes(row.decoded_)) for row in got) == [(5, "é  of\n12 \u3000x".encode()), (6, b""), (7, b"")]
+
+
 def test_run_is_the_stages(spark, small, stages):
     assert sorted(corpus_pipeline.run(spark, small).select("doc_id", "ids").collect()) == sorted(stages[5].select("doc_id", "ids").collect())
 
