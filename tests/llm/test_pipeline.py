@@ -102,6 +102,18 @@ def test_odd_rows(spark, small):
     assert "a@b.org" not in str(corpus_pipeline.private(spark, docs, small).collect())
 
 
+def test_long_personal_data_ends(spark):
+    """Addresses and secrets of many letters: their stage took no end of time."""
+    long = ["maximilian.featherstonehaugh@international-consulting.example.com", "konstantina.papadopoulou@verwaltungsgericht-nord.example.org"]
+    docs = spark.createDataFrame([(k, f"write to {long[k % 2]} or use token={'Ab3Kd' * (20 + k)}") for k in range(6)], "doc_id long, text string")
+    got = texts(corpus_pipeline.private(spark, docs, ""))
+    assert len(set(got.values())) == 6
+    for text in got.values():
+        assert not any(one in text for one in long) and "Ab3Kd" not in text
+        assert [kind for _, _, kind, _ in detected(text)] == ["email", "secret"]
+    assert len({text.split()[2] for text in got.values()}) == 2
+
+
 def test_columns_named_like_helpers_stay(spark, small):
     """No stage overwrites a user's column, whatever its name."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
